@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from corvid.llm import exact_dedup
+from corvid.llm import exact_dedup, minhash
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash(spark, sf_dir):
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), width=2)
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op5_exact_dedup": op5_exact_dedup,
 }
 ORACLE_SQL = {

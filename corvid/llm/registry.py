@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from corvid.llm import exact_dedup, minhash
+import corpus_pipeline
+import public_tokenizers
+
+from corvid.llm import bpe, exact_dedup, minhash, mixing, quality
 
 
 def table(spark, sf_dir: str, name: str):
@@ -17,10 +20,27 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_bpe(spark, sf_dir):
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
+    "op10_bpe": op10_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op7_mixing": mixing.oracle_sql(),
 }

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import components, drop_shared, lookup, write_shared
+from corvid.llm.common import bucket_components, drop_shared, lookup, write_shared
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -164,32 +164,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     reps = sketches.join(classes.select(F.col("rep").alias("id"), F.col("sig").alias("s")), "id", "inner").filter("sig = s").dropDuplicates(["id"])
     keyed = reps.select(F.explode("keys").alias("key"), "id", "n")
-    first = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"), "lead")
-    shared, shared_path = write_shared(keyed.join(first, F.col("key") == F.col("k")).select("key", "id", "n", "lead"), "buckets")
+    made: dict[str, tuple[DataFrame, str]] = {}
 
-    wanted = shared.select(F.col("id").alias("w")).distinct()
-    texts, texts_path = write_shared(rows_in.join(wanted, F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"]), "texts")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+        if "texts" not in made:
+            wanted = shared.select(F.col("id").alias("w")).distinct()
+            made["texts"] = write_shared(rows_in.join(wanted, F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"]), "texts")
+        texts = made["texts"][0]
         x = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
         x = x.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
         return x.mapInArrow(_confirmed(width, percent), "a long, b long")
 
-    starred = shared.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    links, links_path = write_shared(confirm(starred), "links")
-    of, paths = components(links)
-
-    known = shared.join(of.select("id", F.col("component_id").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    known = known.join(of.select(F.col("id").alias("lead"), F.col("component_id").alias("lc")), "lead", "left").withColumn("lc", F.coalesce("lc", "lead"))
-    known, known_path = write_shared(known.select("key", "id", "n", "c", "lc"), "known")
-    odd = known.filter("c <> lc").select(F.col("key").alias("k"), F.col("id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    across = odd.join(known, F.col("k") == F.col("key")).filter(f"xc <> c and 100 * least(n, xn) >= {percent} * greatest(n, xn)")
-    across = across.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
-    more, more_path = write_shared(confirm(across), "links")
-    if not more.isEmpty():
-        drop_shared(spark, *paths)
-        of, paths = components(links.union(more))
-    drop_shared(spark, shared_path, texts_path, links_path, known_path, more_path)
+    of, _ = bucket_components(keyed, confirm, f"100 * least(n, xn) >= {percent} * greatest(n, xn)")
+    drop_shared(spark, made["texts"][1])
 
     named = classes.join(of.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("sig", "copies", F.coalesce("component_id", "rep").alias("found"))
     out = lookup(sketches.select("id", "n", F.when(F.col("id").isNotNull(), F.col("sig")).alias("sig")), named, ["sig"], "copies", ["found"])

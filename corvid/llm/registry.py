@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from corvid.llm import bpe, exact_dedup, minhash, mixing, quality
+from corvid.llm import bpe, embedding_dedup, exact_dedup, lm, minhash, mixing, quality
 
 
 def table(spark, sf_dir: str, name: str):
@@ -16,6 +16,10 @@ def op2_minhash(spark, sf_dir):
     return minhash.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
 
+def op4_lm(spark, sf_dir):
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,19 +32,26 @@ def op8_quality(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_embeddings(spark, sf_dir):
+    return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op4_lm": op4_lm,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_embeddings": op9_embeddings,
     "op10_bpe": op10_bpe,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_mixing": mixing.oracle_sql(),
+    "op9_embeddings": embedding_dedup.ORACLE_SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from corvid.llm import bpe, embedding_dedup, exact_dedup, lm, minhash, mixing, quality
+from corvid.llm import bpe, embedding_dedup, exact_dedup, licenses, lm, minhash, mixing, quality
 
 
 def table(spark, sf_dir: str, name: str):
@@ -16,6 +16,10 @@ def op2_minhash(spark, sf_dir):
     return minhash.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
 
+def op3_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op4_lm(spark, sf_dir):
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_bpe(spark, sf_dir):
 
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op3_licenses": op3_licenses,
     "op4_lm": op4_lm,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_mixing": op7_mixing,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from corvid.llm import bpe, embedding_dedup, exact_dedup, licenses, lm, minhash, mixing, quality
+from corvid.llm import bpe, embedding_dedup, exact_dedup, html_text, licenses, lm, minhash, mixing, quality
 
 
 def table(spark, sf_dir: str, name: str):
@@ -32,6 +32,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_lm": op4_lm,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_text": op6_html_text,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,

@@ -5,13 +5,17 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from corvid.llm import bpe, embedding_dedup, exact_dedup, html_text, licenses, lm, minhash, mixing, quality
+from corvid.llm import bpe, embedding_dedup, exact_dedup, html_text, licenses, lm, minhash, mixing, quality, suffix_dedup
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op2_minhash(spark, sf_dir):
     return minhash.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
@@ -49,6 +53,7 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash": op2_minhash,
     "op3_licenses": op3_licenses,
     "op4_lm": op4_lm,

@@ -78,33 +78,45 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(hubs), [path]
 
 
-def bucket_components(keyed: DataFrame, confirm, across: str = "true") -> tuple[DataFrame, list[str]]:
-    """Components of ids that share buckets ``keyed(key, id, n)`` and that ``confirm(pairs(a, b))`` finds linked.
-
-    Every member is confirmed against the smallest id of each of its buckets. Members that end in another component
-    than that first id are then confirmed against every member of the bucket in another component, so no link between
-    components that a bucket shows is lost, and no bucket is expanded into all its pairs. ``across`` is a condition
-    on (n, xn) that links must meet. ``confirm`` gets pairs with a > b, each once. Returns what :func:`components` does.
+def bucket_components(keyed: DataFrame, confirm, across=None) -> tuple[DataFrame, list[str]]:
+    """Components of ids that share buckets ``keyed(key, id)`` and that ``confirm(pairs(a, b), members(id))`` finds linked.
+
+    Every member is confirmed against the smallest id of each of its buckets. Then links between members of a bucket
+    in different components are looked for, one of them in another component than the bucket's first id: by
+    ``across(stars(id, lead, c, lc), members)``, with the components c of the id and lc of the lead, or else by
+    confirming such pairs. So no link between components that a bucket shows is lost, and no bucket is expanded
+    into all its pairs. ``confirm`` gets pairs with a > b, each once. Returns what :func:`components` does.
     """
     spark = keyed.sparkSession
     first = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"), "lead")
-    shared, shared_path = write_shared(keyed.join(first, F.col("key") == F.col("k")).select("key", "id", "n", "lead"), "buckets")
+    shared, shared_path = write_shared(keyed.join(first, F.col("key") == F.col("k")).select("key", "id", "lead"), "buckets")
+    members = shared.select("id").distinct()
     starred, starred_path = write_shared(shared.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    links, links_path = write_shared(confirm(starred, shared), "links")
+    links, links_path = write_shared(confirm(starred, members), "links")
     of, paths = components(links)
 
-    known = shared.join(of.select("id", F.col("component_id").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    known = known.join(of.select(F.col("id").alias("lead"), F.col("component_id").alias("lc")), "lead", "left").withColumn("lc", F.coalesce("lc", "lead"))
-    known, known_path = write_shared(known.select("key", "id", "n", "c", "lc"), "known")
-    odd = known.filter("c <> lc").select(F.col("key").alias("k"), F.col("id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    pairs = odd.join(known, F.col("k") == F.col("key")).filter(f"xc <> c and ({across})")
-    pairs = pairs.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
-    pairs, pairs_path = write_shared(pairs, "pairs")
-    more_path = None
-    if not pairs.isEmpty():
-        more, more_path = write_shared(confirm(pairs, shared), "links")
+    def placed(rows: DataFrame) -> DataFrame:
+        x = rows.join(of.select("id", F.col("component_id").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        x = x.join(of.select(F.col("id").alias("lead"), F.col("component_id").alias("lc")), "lead", "left")
+        return x.withColumn("lc", F.coalesce("lc", "lead"))
+
+    used = [shared_path, starred_path, links_path]
+    if across:
+        stars, path = write_shared(placed(starred.select(F.col("a").alias("id"), F.col("b").alias("lead"))), "stars")
+        found = across(stars, members)
+        used.append(path)
+    else:
+        known, path = write_shared(placed(shared), "known")
+        odd = known.filter("c <> lc").select(F.col("key").alias("k"), F.col("id").alias("x"), F.col("c").alias("xc"))
+        pairs = odd.join(known, F.col("k") == F.col("key")).filter("xc <> c").select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
+        pairs, pairs_path = write_shared(pairs.join(starred, ["a", "b"], "left_anti"), "pairs")
+        found = None if pairs.isEmpty() else confirm(pairs, members)
+        used += [path, pairs_path]
+    if found is not None:
+        more, path = write_shared(found, "links")
+        used.append(path)
         if not more.isEmpty():
             drop_shared(spark, *paths)
             of, paths = components(links.union(more))
-    drop_shared(spark, *[p for p in (shared_path, starred_path, links_path, known_path, pairs_path, more_path) if p])
+    drop_shared(spark, *used)
     return of, paths

@@ -144,9 +144,9 @@ def near_embeddings(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     bands = math.ceil(math.log(miss) / math.log1p(-agree))
     reps = classes.select(F.col("rep").alias("id"), "v")
-    keyed = reps.mapInArrow(_keys(bits, bands, seed), "key long, id long").withColumn("n", F.lit(0).cast("long"))
+    keyed = reps.mapInArrow(_keys(bits, bands, seed), "key long, id long")
 
-    def confirm(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame, members: DataFrame) -> DataFrame:
         x = pairs.join(reps.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(reps.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
         return x.select("a", "b", "va", "vb").mapInArrow(_confirmed(threshold, seed, sigmas), "a long, b long")
 

@@ -7,8 +7,10 @@
 3. Runs of ``rows`` coordinates are bucket keys. At similarity s a pair shares no bucket with probability
    (1 - s ** rows) ** bands: 1.3e-7 at 0.8 with 5 and 40.
 4. In each bucket every member is verified against the smallest id on the full sets: pairs grow with documents,
-   not with the square of a bucket. Members that end in another component than their bucket's first one are then
-   verified against every bucket member of another component, so each link between components is found.
+   not with the square of a bucket. The members of all buckets with one smallest id form its star. Those in another
+   component than that id are then compared with the whole star, in blocks of ``BLOCK`` on each side: an inverted
+   list of a block's shingles gives the exact intersections of one set with all others at once, and a block returns
+   one link for each two components it joins.
 5. Components by alternating stars, in tables of the shared folder.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -149,6 +152,48 @@ def _confirmed(width: int, percent: int):
     return run
 
 
+#: Documents on each side of a task that compares parts of a star.
+BLOCK = 1000
+
+
+def _joining(width: int, percent: int):
+    """Links between components of each star (lead): every odd member (side 1) against the members (side 0)."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        shingle, sets, found = Shingler(width), {}, []
+        for i, text in zip(part["id"], part["t"]):
+            if i not in sets:
+                sets[i] = shingle(text)
+        for _, rows in part.groupby("lead", sort=False):
+            group = {c: c for c in rows["c"]}
+
+            def root(c: int, group: dict = group) -> int:
+                while group[c] != c:
+                    group[c] = c = group[group[c]]
+                return c
+
+            members, odd = rows[rows["side"] == 0], rows[rows["side"] == 1]
+            ids, own = members["id"].to_numpy(), members["c"].to_numpy()
+            size = np.array([len(sets[i]) for i in ids])
+            flat = np.concatenate([sets[i] for i in ids])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(ids)), size)[order]
+            for y, c in zip(odd["id"], odd["c"]):
+                low, high = np.searchsorted(flat, sets[y], "left"), np.searchsorted(flat, sets[y], "right")
+                n = high - low
+                at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+                both = np.bincount(owner[at], minlength=len(ids))
+                hits = np.flatnonzero((100 * both >= percent * (size + len(sets[y]) - both)) & (own != c))
+                for k in hits[np.unique(own[hits], return_index=True)[1]]:
+                    a, b = root(own[k]), root(c)
+                    if a != b:
+                        group[max(a, b)] = min(a, b)
+                        found.append((max(y, ids[k]), min(y, ids[k])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 5, bands: int = 40) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links), kept.
 
@@ -163,19 +208,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = sketches.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
     reps = sketches.join(classes.select(F.col("rep").alias("id"), F.col("sig").alias("s")), "id", "inner").filter("sig = s").dropDuplicates(["id"])
-    keyed = reps.select(F.explode("keys").alias("key"), "id", "n")
+    keyed = reps.select(F.explode("keys").alias("key"), "id")
     made: dict[str, tuple[DataFrame, str]] = {}
 
-    def confirm(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    def texts_of(members: DataFrame) -> DataFrame:
         if "texts" not in made:
-            wanted = shared.select(F.col("id").alias("w")).distinct()
+            wanted = members.select(F.col("id").alias("w"))
             made["texts"] = write_shared(rows_in.join(wanted, F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"]), "texts")
-        texts = made["texts"][0]
+        return made["texts"][0]
+
+    def confirm(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        texts = texts_of(members)
         x = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
         x = x.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
         return x.mapInArrow(_confirmed(width, percent), "a long, b long")
 
-    of, _ = bucket_components(keyed, confirm, f"100 * least(n, xn) >= {percent} * greatest(n, xn)")
+    def across(stars: DataFrame, members: DataFrame) -> DataFrame:
+        sizes = stars.groupBy("lead").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("lc")).alias("o")).filter("m > 1 and o > 0")
+        sizes, sizes_path = write_shared(sizes.select("lead", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("js"), F.ceil(F.col("o") / BLOCK).cast("int").alias("is")), "sizes")
+        cells = max(1, (sizes.filter("js = 1 and is = 1").agg(F.sum("m")).first()[0] or 0) // BLOCK)
+        x = stars.join(sizes, "lead").withColumn("cell", F.when(F.expr("js = 1 and is = 1"), F.pmod(F.xxhash64("lead"), F.lit(cells))).otherwise(-1 - F.col("lead")))
+        all_ = x.select("cell", "lead", "id", "c", F.lit(0).alias("side"), F.explode(F.expr("sequence(0, is - 1)")).alias("i"), F.expr("cast(pmod(xxhash64(id), js) as int)").alias("j"))
+        odd = x.filter("c <> lc").select("cell", "lead", "id", "c", F.lit(1).alias("side"), F.expr("cast(pmod(xxhash64(id, 1), is) as int)").alias("i"), F.explode(F.expr("sequence(0, js - 1)")).alias("j"))
+        return all_.union(odd).join(texts_of(members), "id").groupBy("cell", "i", "j").applyInPandas(_joining(width, percent), "a long, b long")
+
+    of, _ = bucket_components(keyed, confirm, across)
     drop_shared(spark, made["texts"][1])
 
     named = classes.join(of.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("sig", "copies", F.coalesce("component_id", "rep").alias("found"))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from corvid.plans import search_queries
+
+QUERIES: dict = search_queries.QUERIES
+ORACLE_SQL: dict[str, str] = search_queries.ORACLE_SQL

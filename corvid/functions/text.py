@@ -29,8 +29,15 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(c, r"(?U)[^\w\s가-힣]", " "), r"(?U)\s+"), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body and the lambdas in it use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.slice(words, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    """Runs of n words, each joined by spaces; none if the text has fewer."""
+    count = F.size(words) - n + 1
+    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def int_or_null(c: Column) -> Column:

@@ -23,4 +23,5 @@ def unit(a: Column) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """c cut to the range; null stays null, as greatest and least pass nulls over."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvid.functions.jsons import field, lenient
-from corvid.functions.text import ngrams, tokens
+from corvid.functions.text import let, ngrams, tokens
 from corvid.functions.vectors import clamp, dot
 
 # Criteria of a judge, its scale and its neutral score.
@@ -27,17 +27,19 @@ def bleu(reference: Column, candidate: Column, n: int = 4) -> Column:
 
     Zero precisions count as 1e-10, unless all are zero: then the score is 0, as it is without tokens.
     """
-    ref, cand = tokens(reference), tokens(candidate)
+    def of(t: Column) -> Column:
+        grams = F.struct(*[ngrams(t[side], k).alias(f"{side}{k}") for side in ("r", "c") for k in range(1, n + 1)])
+        return let(grams, lambda g: let(F.array(*[share(g[f"c{k}"], g[f"r{k}"]) for k in range(1, n + 1)]), lambda p: score(t, p)))
 
-    def precision(k: int) -> Column:
-        have, want = ngrams(cand, k), ngrams(ref, k)
-        known = F.filter(have, lambda g: F.array_contains(want, g))
-        return F.when(F.size(have) > 0, F.size(known) / F.size(have)).otherwise(0.0)
+    def share(have: Column, want: Column) -> Column:
+        return F.when(F.size(have) > 0, F.size(F.filter(have, lambda x: F.array_contains(want, x))) / F.size(have)).otherwise(0.0)
 
-    p = [precision(k) for k in range(1, n + 1)]
-    mean = sum((F.ln(F.greatest(x, F.lit(1e-10))) for x in p[1:]), F.ln(F.greatest(p[0], F.lit(1e-10)))) / n
-    penalty = F.when(F.size(cand) >= F.size(ref), 1.0).otherwise(F.exp(1 - F.size(ref) / F.nullif(F.size(cand), F.lit(0))))
-    return F.when((F.size(ref) == 0) | (F.size(cand) == 0) | (F.greatest(*p) == 0), 0.0).otherwise(F.exp(mean) * penalty)
+    def score(t: Column, p: Column) -> Column:
+        mean = F.aggregate(p, F.lit(0.0), lambda s, x: s + F.ln(F.greatest(x, F.lit(1e-10)))) / n
+        penalty = F.when(F.size(t["c"]) >= F.size(t["r"]), 1.0).otherwise(F.exp(1 - F.size(t["r"]) / F.nullif(F.size(t["c"]), F.lit(0))))
+        return F.when((F.size(t["r"]) == 0) | (F.size(t["c"]) == 0) | (F.array_max(p) == 0), 0.0).otherwise(F.exp(mean) * penalty)
+
+    return let(F.struct(tokens(reference).alias("r"), tokens(candidate).alias("c")), of)
 
 
 def overlap(retrieved: Column, expected: Column) -> tuple[Column, Column]:

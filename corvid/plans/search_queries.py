@@ -155,7 +155,7 @@ def _candidates(spark, d) -> DataFrame:
     own = triplets.chunk_scores(own, ["query_id"]).select("query_id", F.col("chunk_id").alias("item_id"), "triplet_score")
     x = x.join(own, ["query_id", "item_id"], "left").withColumn("triplet_score", F.coalesce("triplet_score", F.lit(0.0)))
     score = hybrid.combined(hybrid.Weights(), F.col("score"), F.col("rule_score"), F.col("triplet_score"))
-    return x.withColumn("combined_score", F.round(score, 6)).withColumn("rerank_score", F.when(F.col("item_id") % 7 != 0, (F.col("item_id") * 37 % 101) / 10.0))
+    return x.withColumn("combined_score", F.round(score, 9)).withColumn("rerank_score", F.when(F.col("item_id") % 7 != 0, (F.col("item_id") * 37 % 101) / 10.0))
 
 
 def hybrid_combined(spark, d):
@@ -169,14 +169,14 @@ rel AS (SELECT chunk_id AS item_id, CASE WHEN contains(lower(subject), 'the') OR
 own AS (SELECT query_id, item_id, sum(s) AS total FROM hits JOIN rel USING (item_id) WHERE s IS NOT NULL GROUP BY ALL),
 share AS (SELECT query_id, item_id, total / max(total) OVER (PARTITION BY query_id) AS triplet_score FROM own),
 c AS (SELECT query_id, item_id, h.score, coalesce(m.score, 0) * 0.5 AS rule_score, coalesce(triplet_score, 0) AS triplet_score,
-  round(0.5 * h.score + 0.3 * coalesce(m.score, 0) * 0.5 + 0.2 * coalesce(triplet_score, 0), 6) AS combined_score,
+  round(0.5::DOUBLE * h.score + 0.3::DOUBLE * (coalesce(m.score, 0)::DOUBLE * 0.5::DOUBLE) + 0.2::DOUBLE * coalesce(triplet_score, 0)::DOUBLE, 9) AS combined_score,
   CASE WHEN item_id % 7 <> 0 THEN (item_id * 37 % 101) / 10.0::DOUBLE END AS rerank_score
   FROM hits h LEFT JOIN m ON m.doc_id = item_id LEFT JOIN share USING (query_id, item_id))"""
 
 
 def hybrid_rerank_blend(spark, d):
     x = hybrid.rerank_blend(_candidates(spark, d), 0.3, "query_id")
-    return x.select("query_id", "item_id", "combined_score", "rerank_score", F.round("final_score", 6).alias("final_score"))
+    return x.select("query_id", "item_id", "combined_score", "rerank_score", F.round("final_score", 9).alias("final_score"))
 
 
 BLEND = "CASE WHEN rerank_score IS NULL THEN combined_score ELSE 0.7 * combined_score + 0.3 * CASE WHEN hi = lo THEN 0.5 ELSE (rerank_score - lo) / (hi - lo) END END"
@@ -247,7 +247,7 @@ SELECT id, tid, CASE WHEN coalesce(n = article AND (title IS NULL OR contains(t,
 SELECT query, chunk_id, round(total, 6) AS total, round(total / max(total) OVER (PARTITION BY query), 6) AS triplet_score FROM s""",
     "hybrid_combined": f"""WITH {CANDIDATES_SQL[5:]} SELECT query_id, item_id, score, round(rule_score, 6)::DOUBLE AS rule_score, round(triplet_score, 6)::DOUBLE AS triplet_score, combined_score::DOUBLE AS combined_score,
   row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, item_id) AS place FROM c QUALIFY place <= {K}""",
-    "hybrid_rerank_blend": f"WITH {CANDIDATES_SQL[5:]}, l AS (SELECT *, min(rerank_score) OVER (PARTITION BY query_id) AS lo, max(rerank_score) OVER (PARTITION BY query_id) AS hi FROM c) SELECT query_id, item_id, combined_score::DOUBLE AS combined_score, rerank_score, round({BLEND}, 6)::DOUBLE AS final_score FROM l",
+    "hybrid_rerank_blend": f"WITH {CANDIDATES_SQL[5:]}, l AS (SELECT *, min(rerank_score) OVER (PARTITION BY query_id) AS lo, max(rerank_score) OVER (PARTITION BY query_id) AS hi FROM c) SELECT query_id, item_id, combined_score::DOUBLE AS combined_score, rerank_score, round({BLEND}, 9)::DOUBLE AS final_score FROM l",
     "hybrid_fill": f"""WITH {CANDIDATES_SQL[5:]}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rerank_score, '-inf'::DOUBLE) DESC, item_id) AS rr FROM c),
 l AS (SELECT *, min(rerank_score) OVER (PARTITION BY query_id, rr <= 4) AS lo, max(rerank_score) OVER (PARTITION BY query_id, rr <= 4) AS hi FROM r),
 f AS (SELECT *, CASE WHEN rr <= 4 THEN 0 ELSE 1 END AS block, CASE WHEN rr <= 4 THEN {BLEND} ELSE combined_score END AS final_score FROM l)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvid.plans import search_queries
+from corvid.plans import eval_queries, ingest_queries, search_queries
 
-QUERIES: dict = search_queries.QUERIES
-ORACLE_SQL: dict[str, str] = search_queries.ORACLE_SQL
+QUERIES: dict = search_queries.QUERIES | ingest_queries.QUERIES | eval_queries.QUERIES
+ORACLE_SQL: dict[str, str] = search_queries.ORACLE_SQL | ingest_queries.ORACLE_SQL | eval_queries.ORACLE_SQL

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def csv_rows(cases: DataFrame) -> DataFrame:
     """Report rows: questions cut at 100 characters, scores with four digits, latencies with one."""
-    four = lambda c: F.format_string("%.4f", F.col(c))
-    return cases.select("case_id", F.substring("question", 1, 100).alias("question"), "category", four("similarity").alias("similarity"), four("bleu").alias("bleu"), four("faithfulness").alias("faithfulness"), F.format_string("%.1f", F.col("latency_ms")).alias("latency_ms"))
+    four = lambda c: F.format_string("%.4f", F.bround(F.col(c), 4))
+    return cases.select("case_id", F.substring("question", 1, 100).alias("question"), "category", four("similarity").alias("similarity"), four("bleu").alias("bleu"), four("faithfulness").alias("faithfulness"), F.format_string("%.1f", F.bround(F.col("latency_ms"), 1)).alias("latency_ms"))
 
 
 def write_csv(cases: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corvid.functions.jsons import field, lenient
 from corvid.functions.text import let, ngrams, tokens
@@ -72,7 +73,7 @@ def token_counts(usage: Column) -> tuple[Column, Column]:
     return put, got
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratio of matching blocks of two texts, which no built-in function gives."""
     for a, b in parts:

@@ -91,7 +91,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                         pop_to(at)
                 if name in _SAME and stack and stack[-1][0] in _SAME[name]:
                     pop_to(len(stack) - 1)
-            if name not in _VOID and not m.group(4).endswith("/"):
+            if name not in _VOID:
                 rest = m.group(4)
                 names = tuple(w for g in _NAMED.findall(rest) for w in _WORD.findall(re.sub(r"[-_]|(?<=[a-z])(?=[A-Z])", " ", g[0] or g[1] or g[2]).lower())) if rest else ()
                 if rest and _HIDDEN.search(rest):

@@ -93,8 +93,8 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id",
 
     found, _ = write_shared(lookup(placed, ends, LEAF, "n_rows", ["rest", "cut", "ahead"]), "found")
     edge = found.filter("cell = cut").withColumn("run", F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("place", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("taken", F.expr("ahead + run <= rest"))
-    clear = found.filter("cell <> cut").withColumn("taken", F.expr("cell < cut"))
+    edge = edge.withColumn("taken", F.expr("rest > 0 and ahead + run <= rest"))
+    clear = found.filter("cell <> cut").withColumn("taken", F.expr("rest > 0 and cell < cut"))
     keep = ["id", *LEAF, "n_tokens", "full", "taken"]
     out = clear.select(*keep).union(edge.select(*keep))
     return out.select(F.col("id").alias(id_col), *LEAF, "n_tokens", (F.col("full") + F.col("taken").cast("long")).alias("copies"))
@@ -140,5 +140,5 @@ domains AS (SELECT domain, sum(cap)::BIGINT AS cap, {_sql_case("domain", m.domai
 plan AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole FROM leaves JOIN bs USING (domain, lang, source)),
 placed AS (SELECT d.*, whole, budget - whole * tokens AS rest, tokens, md5(concat_ws(':', '{m.seed}', whole + 1, doc_id)) AS place FROM docs d JOIN plan USING (domain, lang, source)),
 run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM placed)
-SELECT doc_id, domain, lang, source, n_tokens, (whole + CASE WHEN tokens > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM run
+SELECT doc_id, domain, lang, source, n_tokens, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM run
 """

@@ -70,13 +70,13 @@ def _cases(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     k = F.col("doc_id")
     return docs.select(
-        k.alias("case_id"), F.substring(F.coalesce("text", F.lit("")), 1, 150).alias("question"), F.when(k % 11 == 0, "").otherwise(F.col("lang")).alias("category"), F.concat(F.lit("model"), (k % 3).cast("string")).alias("model"),
+        k.alias("case_id"), F.coalesce("text", F.lit("")).alias("question"), F.when(k % 11 == 0, "").otherwise(F.col("lang")).alias("category"), F.concat(F.lit("model"), (k % 3).cast("string")).alias("model"),
         ((k % 64) / 64).alias("similarity"), ((k % 32) / 32).alias("bleu"), F.col("quality").cast("double").alias("faithfulness"), (F.col("n_chars") / 8).alias("latency_ms"), (F.col("toxic") == 0).alias("verified"),
         (k % 6).cast("double").alias("judge"), (k % 4 / 4).alias("recall"), (k % 5 != 0).alias("evaluated"),
     )
 
 
-CASES_SQL = """cases AS (SELECT doc_id AS case_id, substr(coalesce(text, ''), 1, 150) AS question, CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang END AS category, 'model' || (doc_id % 3) AS model,
+CASES_SQL = """cases AS (SELECT doc_id AS case_id, coalesce(text, '') AS question, CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang END AS category, 'model' || (doc_id % 3) AS model,
   (doc_id % 64) / 64 AS similarity, (doc_id % 32) / 32 AS bleu, quality::DOUBLE AS faithfulness, n_chars / 8 AS latency_ms, toxic = 0 AS verified, (doc_id % 6)::DOUBLE AS judge, (doc_id % 4) / 4 AS recall, doc_id % 5 <> 0 AS evaluated
   FROM documents JOIN labels USING (doc_id))"""
 SUMMARY_SQL = """count(*) AS n, coalesce(avg(similarity), 0) AS mean_similarity, coalesce(avg(bleu), 0) AS mean_bleu, coalesce(avg(faithfulness), 0) AS mean_faithfulness, coalesce(avg(latency_ms), 0) AS mean_latency_ms,
@@ -131,7 +131,7 @@ def token_usage(spark, d):
 
 
 def sequence_ratio(spark, d):
-    return _faq(spark, d).select("conv_id", "turn", F.round(metrics.sequence_ratio(F.substring("question", 1, 4000), F.substring("answer", 1, 4000)), 6).alias("ratio"), (F.col("question") == F.col("answer")).alias("exact"))
+    return _faq(spark, d).select("conv_id", "turn", F.round(metrics.sequence_ratio(F.col("question"), F.col("answer")), 6).alias("ratio"), (F.col("question") == F.col("answer")).alias("exact"))
 
 
 def latency_by_hour(spark, d):

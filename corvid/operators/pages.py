@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions.text import null_if_empty, squeeze, ymd
@@ -62,3 +62,34 @@ def subcategory(question: Column) -> Column:
 
 def without_label(text: Column, label: str) -> Column:
     return squeeze(F.regexp_replace(squeeze(text), rf"^{label}\s*", ""))
+
+
+def heading_sections(html: Column, heading: str = "h2", siblings: tuple[str, ...] = ("p", "ul", "ol", "div")) -> Column:
+    """array<struct<title, content>>: each heading with the text of the element right after it, if that is one of ``siblings``."""
+    follow = "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in siblings)
+    pattern = F.lit(rf"(?s)<{heading}\b[^>]*>(.*?)</{heading}>\s*({follow})")
+    pairs = F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(1)).alias("a"), F.regexp_extract_all(html, pattern, F.lit(2)).alias("b"))
+    return F.transform(pairs, lambda m: F.struct(without_tags(m["a"]).alias("title"), without_tags(m["b"]).alias("content")))
+
+
+def table_rows(html: Column) -> Column:
+    """array<struct<cells, onclick>> of table rows with two cells or more and a link."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?s)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+
+    def parts(row: Column) -> Column:
+        cells = F.transform(F.regexp_extract_all(row, F.lit(r"(?s)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), without_tags)
+        return F.struct(cells.alias("cells"), F.regexp_extract(row, r'<a\b[^>]*onclick="([^"]*)"', 1).alias("onclick"), row.contains("<a").alias("linked"))
+
+    return F.transform(F.filter(F.transform(rows, parts), lambda r: (F.size(r["cells"]) >= 2) & r["linked"]), lambda r: F.struct(r["cells"].alias("cells"), r["onclick"].alias("onclick")))
+
+
+def faq_items(html: Column, question: str = "question", answer: str = "answer") -> Column:
+    """array<struct<question, answer>> of elements with these classes, one after the other; labels and white space go."""
+    pattern = F.lit(rf'(?s)<(?:dt|div|p|li|a)\b[^>]*class="{question}"[^>]*>(.*?)</(?:dt|div|p|li|a)>\s*<(?:dd|div|p|li)\b[^>]*class="{answer}"[^>]*>(.*?)</(?:dd|div|p|li)>')
+    pairs = F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(1)).alias("q"), F.regexp_extract_all(html, pattern, F.lit(2)).alias("a"))
+    return F.transform(pairs, lambda m: F.struct(without_label(without_tags(m["q"]), "질문").alias("question"), without_label(without_tags(m["a"]), "답변").alias("answer")))
+
+
+def with_details(listed: DataFrame, details: DataFrame, key: str) -> DataFrame:
+    """Listed documents that have details; those whose details failed go."""
+    return listed.join(details, key)

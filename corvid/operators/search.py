@@ -87,3 +87,17 @@ def near_duplicate_gate(new: DataFrame, existing: DataFrame, threshold: float =
     best = top_k(new, existing, 1, **columns).select("query_id", F.col("item_id").alias("best_id"), F.col("score").alias("best_score"))
     ids = new.select(F.col(columns.get("id_col", "vec_id")).alias("query_id"))
     return ids.join(best, "query_id", "left").withColumn("inserted", F.coalesce(F.col("best_score") < threshold, F.lit(True)))
+
+
+def approximate_pairs(queries: DataFrame, items: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", bucket: float = 0.5, tables: int = 8, seed: int = 1) -> DataFrame:
+    """(query_id, item_id, score) of pairs with cosine >= ``least`` by random projections: an opt-in that may miss pairs; :func:`top_k` is exact."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    unit = Normalizer(inputCol="__v", outputCol="__u")
+    pick = lambda df: unit.transform(df.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector_col)).alias("__v")))
+    model = BucketedRandomProjectionLSH(inputCol="__u", outputCol="__h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(pick(items))
+    far = (2 - 2 * least) ** 0.5 + 1e-9
+    pairs = model.approxSimilarityJoin(pick(queries), pick(items), far, "__d")
+    score = F.round(1 - F.col("__d") * F.col("__d") / 2, 6)
+    return pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("item_id"), score.alias("score")).filter(F.col("score") >= least)

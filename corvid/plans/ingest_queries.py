@@ -82,6 +82,11 @@ def html_title_headings(spark, d):
     return table(spark, d, "pages").select("page_id", pages.first_text(F.col("html"), "title").alias("title"), pages.first_text(F.col("html"), "h1").alias("heading"))
 
 
+def html_sections(spark, d):
+    x = table(spark, d, "pages").select("page_id", F.posexplode(pages.heading_sections(F.col("html"), "h1", ("p",))).alias("pos", "s"))
+    return x.select("page_id", "pos", F.col("s.title").alias("title"), F.md5(F.col("s.content").cast("binary")).alias("content_md5"))
+
+
 def html_links(spark, d):
     x = table(spark, d, "pages").select("page_id", F.explode(pages.link_targets(F.col("html"))).alias("target"))
     return x.groupBy("target").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
@@ -115,13 +120,15 @@ def subcategory_label(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     content_id_dedup, ingest_anti_existing, ingest_counters, line_sections, chunk_filter_truncate, parent_context, effective_date, revision_history, handler_parse,
-    html_title_headings, html_links, html_pages, dataset_merge, dataset_validate, deterministic_sample, subcategory_label,
+    html_title_headings, html_sections, html_links, html_pages, dataset_merge, dataset_validate, deterministic_sample, subcategory_label,
 )}
 
 TEXT_ID = "substr(sha256('doc_' || substr(coalesce(text, ''), 1, 500)), 1, 16)"
 NEW = "source IN ('src1', 'src2', 'src3', 'src4')"
 E1, E2 = pages.EFFECTIVE
 TAG_TEXT = "trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<{0}\\b[^>]*>(.*?)</{0}>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+H1 = r"(?s)<h1\b[^>]*>(.*?)</h1>\s*(<p\b[^>]*>.*?</p>)"
+PLAIN = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 ORACLE_SQL = {
     "content_id_dedup": "SELECT substr(sha256(source || '_' || substr(coalesce(text, ''), 1, 500)), 1, 16) AS id, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "ingest_anti_existing": f"SELECT {TEXT_ID} AS id, min(doc_id) AS doc_id FROM documents WHERE {NEW} GROUP BY 1 HAVING id NOT IN (SELECT {TEXT_ID} FROM documents WHERE NOT {NEW})",
@@ -139,6 +146,8 @@ f AS (SELECT *, strpos("full", nullif(regexp_extract("full", '제\\s*' || (n - 1
 l AS (SELECT id, string_agg(DISTINCT d, ',' ORDER BY d) AS revisions FROM (SELECT id, g1 || '-' || lpad(g2, 2, '0') || '-' || lpad(g3, 2, '0') AS d FROM r) GROUP BY id)
 SELECT id, coalesce(revisions, '') AS revisions FROM {fx.sql(fx.TEXT_SCHEMA, fx.DATES)} LEFT JOIN l USING (id)""",
     "html_title_headings": f"SELECT page_id, {TAG_TEXT.format('title')} AS title, {TAG_TEXT.format('h1')} AS heading FROM pages",
+    "html_sections": f"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '{H1}', 1)) AS a, unnest(regexp_extract_all(html, '{H1}', 2)) AS b FROM pages)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id) - 1)::INT AS pos, {PLAIN.format('a')} AS title, md5({PLAIN.format('b')}) AS content_md5 FROM s""",
     "html_links": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS target FROM pages) SELECT target, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM l GROUP BY target""",
     "html_pages": "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n, sum(len(regexp_extract_all(html, '<p>')))::BIGINT AS paragraphs FROM pages GROUP BY 1",
     "dataset_merge": "SELECT 'b' || item_id AS id, text AS question, NULL::VARCHAR AS category FROM benchmark UNION ALL SELECT 'c_' || conv_id || '_' || turn, text, 'talk' FROM conversations WHERE role = 'user'",

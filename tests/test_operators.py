@@ -150,6 +150,22 @@ def test_dates_and_handlers(spark):
     assert one(spark, "t string", [("doView('78','1')",), ("x",)], pages.view_parameters(F.col("t"))["num"]) == ["78", ""]
 
 
+def test_page_parts(spark):
+    page = "<h2>A &b</h2> <p>one <b>two</b></p><h2>C</h2><span>x</span><table><tr><td>1</td><td><a onclick=\"doView('7','2')\">t</a></td></tr><tr><td>1</td><td>2</td></tr><tr><td><a>3</a></td></tr></table>"
+    page += '<dt class="question">질문 왜?</dt><dd class="answer">답변  그래서</dd>'
+    h = F.col("h")
+    assert one(spark, "h string", [(page,)], pages.heading_sections(h)) == [[("A &b", "one two")]]
+    assert [[(list(r["cells"]), r["onclick"]) for r in x] for x in one(spark, "h string", [(page,)], pages.table_rows(h))] == [[(["1", "t"], "doView('7','2')")]]
+    assert one(spark, "h string", [(page,)], pages.faq_items(h)) == [[("왜?", "그래서")]]
+
+
+def test_approximate_pairs_are_true_pairs(spark):
+    v = spark.createDataFrame([(k, [float(k % 3 == j) + 0.01 * k * (j == 1) for j in range(3)]) for k in range(9)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["item_id"]): r["score"] for r in search.approximate_pairs(v, v, 0.99).collect()}
+    exact = {(r["query_id"], r["item_id"]): r["score"] for r in search.top_k(v, v, 9, exclude_self=False, threshold=0.99).collect()}
+    assert got and all(abs(exact[k] - s) < 1e-5 for k, s in got.items())
+
+
 def test_top_k_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 2), (3, [0.0, 1.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0], 1)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")

@@ -102,12 +102,27 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     return out
 
 
-@functools.lru_cache(100_000)
+class _Memo(dict):
+    """A bounded memory of a function's results; it travels to executors without them."""
+
+    def __init__(self, function, size: int):
+        super().__init__()
+        self.function, self.size = function, size
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.clear()
+        self[key] = value = self.function(key)
+        return value
+
+    def __reduce__(self):
+        return _Memo, (self.function, self.size)
+
+
 def _bin(kind: str, word: str, bins: int) -> int:
     return zlib.crc32(f"{kind}:{word}".encode("utf-8", "surrogatepass")) % bins
 
 
-@functools.lru_cache(20_000)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     x = np.zeros(PATH_BINS, np.float32)
     for name in path:
@@ -117,18 +132,20 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(200_000)
 def _word_bin(word: str) -> int:
     return _bin("word", word.strip(".,;:!?©·|"), WORD_BINS)
 
 
+_PATHS, _WORDS = _Memo(_path_vector, 20_000), _Memo(_word_bin, 200_000)
+
+
 def vectors_of(blocks: list) -> np.ndarray:
     x = np.zeros((len(blocks), WIDTH), np.float32)
     for k, (path, text, linked) in enumerate(blocks):
-        x[k, :PATH_BINS] = _path_vector(path)
+        x[k, :PATH_BINS] = _PATHS[path]
         words = text.lower().split(" ")
         n = len(words)
-        x[k, PATH_BINS:-EXTRA] = np.bincount(list(map(_word_bin, words)), minlength=WORD_BINS) * (2 / n)
+        x[k, PATH_BINS:-EXTRA] = np.bincount(list(map(_WORDS.__getitem__, words)), minlength=WORD_BINS) * (2 / n)
         x[k, -EXTRA:] = (linked, min(math.log1p(n) / 5, 1.5), n < 4, text[-1] in ".!?", text[0] == "©", min(text.count(".") / n, 1), k / len(blocks), len(blocks) < 6)
     return x
 

@@ -43,11 +43,11 @@ def lookup(left: DataFrame, index: DataFrame, keys: list[str], weight: str, valu
     """
     n = index.agg(F.sum(weight)).first()[0] or 0
     hot = index.filter(F.col(weight) * share >= n).select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], *[F.col(v).alias(f"__hv{i}") for i, v in enumerate(values)], F.lit(True).alias("__hot"))
-    rest = index.filter(F.col(weight) * share < n).select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], F.lit(0).alias("__r"), *[F.col(v).alias(f"__rv{i}") for i, v in enumerate(values)])
+    rest = index.filter(F.col(weight) * share < n).select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], F.xxhash64(*keys).alias("__r"), *[F.col(v).alias(f"__rv{i}") for i, v in enumerate(values)])
     on_hot = [F.col(k) == F.col(f"__h{i}") for i, k in enumerate(keys)]
     d = left.join(F.broadcast(hot), on_hot, "left")
     done = F.col("__hot").isNotNull() | F.col(keys[0]).isNull()
-    d = d.withColumn("__salt", F.when(done, (F.rand(7) * 1_000_000_000).cast("int") + 1).otherwise(0))
+    d = d.withColumn("__salt", F.when(done, (F.rand(7) * (1 << 62)).cast("long")).otherwise(F.xxhash64(*keys)))
     d = d.join(rest, [F.col("__salt") == F.col("__r"), *[F.col(k) == F.col(f"__r{i}") for i, k in enumerate(keys)]], "left")
     return d.select(*[F.col(c) for c in left.columns], *[F.coalesce(f"__hv{i}", f"__rv{i}").alias(v) for i, v in enumerate(values)])
 

@@ -235,7 +235,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of, _ = bucket_components(keyed, confirm, across)
     drop_shared(spark, made["texts"][1])
 
-    named = classes.join(of.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("sig", "copies", F.coalesce("component_id", "rep").alias("found"))
+    named, _ = write_shared(classes.join(of.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("sig", "copies", F.coalesce("component_id", "rep").alias("found")), "classes")
     out = lookup(sketches.select("id", "n", F.when(F.col("id").isNotNull(), F.col("sig")).alias("sig")), named, ["sig"], "copies", ["found"])
     out = out.withColumn("component_id", F.coalesce("found", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

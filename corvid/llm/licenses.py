@@ -1,10 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates, beside fixed phrases.
 
-A block is a run of words twice as long as a template, and blocks start at every template length, so any run as long
-as the template lies whole in one. A block matches when it holds at least ``containment`` of the template's distinct
-tokens. Template tokens are ordered by their number of documents in the whole corpus, rarest first; a match must hold
-one of the first |T| - o + 1 (prefix filter, o the overlap needed), have o distinct words (length filter), and still
-be able to reach o after each token (positional filter). The filters lose no match.
+A window is a run of words twice as long as a template, or what is left of it at the end of a text, and windows start at
+every word. A window matches when it holds at least ``containment`` of the template's distinct tokens. Template tokens
+are ordered by their number of documents in the whole corpus, rarest first; a match must hold one of the first
+|T| - o + 1 (prefix filter, o the overlap needed), so only windows around those are looked at, and a text must have o
+distinct tokens of the template (length filter). From one window to the next the counts of the template's tokens
+change by a word at each end. The filters lose no match. Blocks are the windows at multiples of the template's length.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ class Templates:
             self.rows.append((label, len(words), tokens, need, frozenset(tokens[: len(tokens) - need + 1])))
         self.rare = frozenset().union(*[r[4] for r in self.rows])
 
-    def matches(self, words: list[bytes]) -> list[tuple[str, int, float]]:
-        """(label, first word of the block, containment) of every block that matches."""
+    def matches(self, words: list[bytes]) -> list[tuple[str, int, int, int, float]]:
+        """(label, template length, first start, last start, containment) of runs of windows that match and hold equally much."""
         there = self.rare.intersection(words)
         found = []
         if not there:
@@ -61,22 +62,42 @@ class Templates:
         for i, w in enumerate(words):
             if w in places:
                 places[w].append(i)
+        distinct = set(words)
         for label, m, tokens, need, prefix in self.rows:
-            starts = {max(s, 0) * m for w in prefix & there for i in places[w] for s in (i // m - 1, i // m)}
-            for s in sorted(starts):
-                block = set(words[s : s + 2 * m])
-                if len(block) < need:
-                    continue
-                both = 0
-                for k, w in enumerate(tokens):
-                    both += w in block
-                    if both + len(tokens) - k - 1 < need:
-                        break
+            if not prefix & there or sum(w in distinct for w in tokens) < need:
+                continue
+            near: list[list[int]] = []
+            for i in sorted(i for w in prefix & there for i in places[w]):
+                if near and i - 2 * m <= near[-1][1]:
+                    near[-1][1] = i
                 else:
-                    found.append((label, s, both / len(tokens)))
+                    near.append([max(0, i - 2 * m + 1), i])
+            for low, high in near:
+                held, both, end = dict.fromkeys(tokens, 0), 0, low
+                run, since = 0, low
+                for s in range(low, high + 1):
+                    for w in words[end : s + 2 * m]:
+                        if w in held:
+                            both += held[w] == 0
+                            held[w] += 1
+                    end = s + 2 * m
+                    if both != run:
+                        if run >= need:
+                            found.append((label, m, since, s - 1, run / len(tokens)))
+                        run, since = both, s
+                    if words[s] in held:
+                        held[words[s]] -= 1
+                        both -= held[words[s]] == 0
+                if run >= need:
+                    found.append((label, m, since, high, run / len(tokens)))
         return found
 
 
+def blocks_in(runs: list[tuple[str, int, int, int, float]]) -> list[tuple[str, int, float]]:
+    """(label, first word, containment) of the windows of ``runs`` that start at multiples of the template's length."""
+    return [(label, s, c) for label, m, first, last, c in runs for s in range(-(-first // m) * m, last + 1, m)]
+
+
 def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
     """(first word, label) of each place where a phrase's words stand one after another."""
     found = []
@@ -105,27 +126,27 @@ def _frequencies(vocabulary: frozenset[bytes]):
 
 def _scan(templates: Templates, phrases: list[tuple[list[bytes], str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
-        kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64())]))]
+        names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks", "windows"]
+        kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64())])), pa.list_(pa.struct([("label", pa.string()), ("first_start", pa.int64()), ("last_start", pa.int64()), ("containment", pa.float64())]))]
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
-                base, blocks = phrase_places(words, phrases), templates.matches(words)
+                base, runs = phrase_places(words, phrases), templates.matches(words)
                 own = sorted({x for _, x in base})
-                score = 1.0 if base else max((x[2] for x in blocks), default=0.0)
-                labels = ",".join(sorted({*own, *(x[0] for x in blocks)}))
-                rows.append((i, len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(own), labels, score, [dict(zip(("label", "first_word", "containment"), x)) for x in blocks]))
+                score = 1.0 if base else max((x[4] for x in runs), default=0.0)
+                labels = ",".join(sorted({*own, *(x[0] for x in runs)}))
+                rows.append((i, len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(own), labels, score, [dict(zip(("label", "first_word", "containment"), x)) for x in blocks_in(runs)], [{"label": x[0], "first_start": x[2], "last_start": x[3], "containment": x[4]} for x in runs]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     return run
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
+    """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks, windows.
 
-    score is 1 where a phrase stands, else the largest containment of a matching block, else 0; blocks lists the
-    matching blocks. Null and empty texts have no words and no labels. Repeated rows and null ids each get their row;
+    score is 1 where a phrase stands, else the largest containment of a matching window, else 0; windows lists the
+    matching windows as runs of starts with equal containment, and blocks those at multiples of the template's length. Null and empty texts have no words and no labels. Repeated rows and null ids each get their row;
     other columns are ignored, whatever their names. No rows give no rows.
     """
     templates = TEMPLATES if templates is None else templates
@@ -135,5 +156,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A row a template token at most.
     counts = docs.select(text.alias("t")).mapInArrow(_frequencies(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     ready = Templates(templates, containment, {bytes(r["word"]): r["n"] for r in counts})
-    out = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).mapInArrow(_scan(ready, split), "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label:string,first_word:long,containment:double>>")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).mapInArrow(_scan(ready, split), "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label:string,first_word:long,containment:double>>, windows array<struct<label:string,first_start:long,last_start:long,containment:double>>")
     return out.withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ def op2_minhash(spark, sf_dir):
 
 
 def op3_licenses(spark, sf_dir):
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks", "windows")
 
 
 def op4_lm(spark, sf_dir):

@@ -190,6 +190,26 @@ def test_license_blocks_equal_brute_force(spark):
         assert {tuple(b) for b in r["blocks"]} == expected
 
 
+def test_license_windows_equal_brute_force_at_every_word(spark):
+    loose = "released under terms of the well known mit style license"
+    texts = ["x " * k + loose + " y" * 9 for k in range(12)] + [" ".join(RND.choice("a b c d e f the license under mit x y z".split()) for _ in range(RND.randrange(0, 80))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    templates = [("mit", "released under the mit license"), ("two", "a b c d e f the"), ("three", "x"), ("four", "the mit the a")]
+    for r in licenses.scan_licenses(df, templates=templates, phrases={}, containment=0.8).collect():
+        w = texts[r["doc_id"]].split()
+        expected = set()
+        for label, t in templates:
+            m, s = len(t.split()), set(t.split())
+            for k in range(len(w)):
+                c = len(s & set(w[k : k + 2 * m])) / len(s)
+                if c >= 0.8:
+                    expected.add((label, k, c))
+        got = [(b["label"], k, b["containment"]) for b in r["windows"] for k in range(b["first_start"], b["last_start"] + 1)]
+        assert len(got) == len(set(got)) and set(got) == expected
+        assert r["labels"] == ",".join(sorted({x[0] for x in expected})) and r["score"] == max((x[2] for x in expected), default=0.0)
+        assert r["doc_id"] >= 12 or "mit" in r["labels"].split(",")
+
+
 def test_licenses_without_rows(none):
     assert licenses.scan_licenses(none).count() == 0
 

@@ -27,25 +27,33 @@ PATH_BINS, WORD_BINS, EXTRA = 96, 48, 8
 WIDTH = PATH_BINS + WORD_BINS + EXTRA
 HIDDEN = 16
 
-# Elements that never close, those whose content is no text, and those that stay inside a block.
+# Elements that never close, those whose content is no text (to the page's end where they stay open), those
+# that can stand in a head, and those that stay inside a block.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NO_TEXT = "script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math|title|head"
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_NO_TEXT = "script|style"
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes template".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object canvas noscript math annotation menclose mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 #: Elements whose open paragraph ends where they start.
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<({_NO_TEXT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+#: The rest of a title; an open one ends before the next tag.
+_TITLE = re.compile(r"(?:(?!</head\b|<body\b).)*?</title\s*>|[^<]*", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"\w+")
 
 
 def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path names, text, share of characters in links) of each text block of a page, in order."""
+    """(path names, text, share of characters in links) of each text block of a page, in order.
+
+    A page begins in its head, which ends at its end tag, at the body, or at text or an element that cannot stand in it.
+    """
     out: list = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked, path, in_link = 0, (), 0
+    in_head = True
 
     def close() -> None:
         nonlocal linked
@@ -61,11 +69,17 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         in_link -= sum(name == "a" for name, _ in stack[at:])
         del stack[at:]
 
-    for m in _PIECE.finditer(page or ""):
+    page, at_char = page or "", 0
+    while at_char < len(page):
+        m = _PIECE.match(page, at_char)
+        at_char = m.end()
         name = m.group(3)
         if name is None:
             piece = m.group(0)
             if piece[0] != "<" or piece == "<":
+                if in_head and not piece.strip(" \t\n\f\r\ufeff"):
+                    continue
+                in_head = False
                 if not text:
                     path = tuple(x for tag, names in stack for x in (tag, *names))
                 text.append(piece)
@@ -73,6 +87,15 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                     linked += len(piece.strip())
             continue
         name = name.lower()
+        if name == "title" and not m.group(2) and not any(tag == "svg" for tag, _ in stack):
+            at_char = _TITLE.match(page, at_char).end()
+            continue
+        if in_head:
+            in_head = name in _IN_HEAD and not (m.group(2) and name == "head")
+            if in_head and name != "html":
+                continue
+        if name == "head":
+            continue
         if m.group(2):
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if name not in _INLINE:

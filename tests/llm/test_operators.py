@@ -305,6 +305,23 @@ def test_blocks_of_a_page():
     assert [(b[0][-1] if b[0] else "", b[1]) for b in html_text.blocks_of(page)][:4] == [("a", "A"), ("h1", "T&t"), ("p", "one two three"), ("p", "fouré")]
 
 
+STORY = "<article><h1>Title here.</h1><p>First words of the story are here.</p><p>More words of it.</p>"
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title><body>", "<head><title>t</title>", "<head><title>t<body>", "<title>t</title>", "<html><head><meta charset=x><script>if (a<b) x='</p>'</script></head><body>", "<!-- c --><html><head><style>p{}</style><link rel=x><title>a <b> c</title>", "<head><title>it's <!-- <y \"z</title></head><body>"])
+def test_head_ends_without_end_tag(head):
+    assert [b[1] for b in html_text.blocks_of(head + STORY + "</article>")] == ["Title here.", "First words of the story are here.", "More words of it."]
+
+
+def test_only_scripts_styles_and_comments_run_to_the_end():
+    for tag in "noscript template textarea select svg iframe object canvas math".split():
+        assert [b[1] for b in html_text.blocks_of(f"<body>{STORY}<{tag}>inside <p>After it.</article>")][2:] == ["More words of it.", "inside", "After it."], tag
+        assert "inside" in " ".join(b[1] for b in html_text.blocks_of(f"<body>{STORY}<p>x <{tag}>inside</{tag}> y</p></article>")), tag
+    for start in ("<script>", "<style>", "<!-- "):
+        assert [b[1] for b in html_text.blocks_of(f"<body>{STORY}{start}inside <p>After it.</article>")][2:] == ["More words of it."]
+    assert [b[1] for b in html_text.blocks_of("<body><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p>")] == ["Let x=1 hold."]
+
+
 def test_extract_text(spark):
     page = "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/'>News</a></li></ul></nav><div class='ad'>Buy this now.</div><article><h1>Title here.</h1><p>First words of the story are here.</p><p>More &amp;  more\n text.</p></article><footer>&copy; site</footer></body></html>"
     rows = [(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (None, "u", "<<<>", "x"), (1, "u", page, "x")]

@@ -1,22 +1,26 @@
 """Hidden Markov language model: Baum-Welch training over partitions, exact likelihoods by the scaled forward recursion.
 
-States emit word classes (``classes`` of them, by the word's hash), and a word's share of its class is its smoothed
-count over all training tokens: P(text) = P_hmm(classes) * product of P(word | class). The parameters of the Markov
-model have a fixed size; the word counts grow with the corpus and never leave the executors.
+States emit words, each with its own probability in every state. The start and move probabilities have a fixed size; the
+counts by (word, state) grow with the corpus and never leave the executors.
 
 1. One scan turns texts into blocks of about ``block_tokens`` tokens: a row holds its documents, the hashes of its
    distinct words, and all tokens as numbers of those words. A long text stays whole in one block.
-2. Counts of a block's words are summed by word over all blocks. Each word of each block joins its sum again, and a
-   block gets its own table: the join has a row a word and block, not a row a token.
-3. Each Baum-Welch iteration runs forward and backward over all documents of a block side by side, and sums expected
-   counts by (state, class) over the tasks.
+2. A block deals numbers for its words to parts by the words' hashes, a row a part. A part sums them by word over all
+   blocks and answers each block with the sums of its words: rows are pairs of block and part, not words or tokens.
+   This first gives the words' counts.
+3. Each Baum-Welch iteration runs forward and backward over all documents of a block side by side. Expected counts by
+   (word, state) go through the parts; those of starts, moves and states are summed over the tasks.
 4. The last pass scores each document with its block's counts and the trained model.
 
+A word's count in a state is raised by 1 / states, so that its counts in all states are raised by 1 as in the base score.
 Words are compared by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
 
+import gc
+import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +29,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.common import drop_shared, write_shared
+from corvid.llm.common import drop_shared, shared_dir, write_shared
 from corvid.llm.quality import held_out
 
 _REMEMBER = 400_000
@@ -50,30 +54,59 @@ class HMM:
     move: np.ndarray
     emit: np.ndarray
 
-    @staticmethod
-    def first(states: int, counts: np.ndarray, seed: int, stay: float = 0.98) -> HMM:
-        """Sticky states whose emissions are the class frequencies times seeded noise."""
-        noise = np.random.default_rng(seed).gamma(2.0, size=(states, len(counts)))
-        emit = (counts + 0.1) * noise
-        move = np.full((states, states), (1 - stay) / max(states - 1, 1))
-        np.fill_diagonal(move, stay if states > 1 else 1.0)
-        return HMM(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
 
-    @staticmethod
-    def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> HMM:
-        return HMM(*[(x + s) / (x + s).sum(-1, keepdims=True) for x, s in ((start, 0.1), (move, 0.1), (emit, 0.02))])
+def first_moves(states: int, stay: float = 0.98) -> tuple[np.ndarray, np.ndarray]:
+    """Even starts and sticky moves."""
+    move = np.full((states, states), (1 - stay) / max(states - 1, 1))
+    np.fill_diagonal(move, stay if states > 1 else 1.0)
+    return np.full(states, 1 / states), move
+
+
+def smoothed(x: np.ndarray) -> np.ndarray:
+    return (x + 0.1) / (x + 0.1).sum(-1, keepdims=True)
+
+
+def noise(vocabulary: np.ndarray, states: int, seed: int) -> np.ndarray:
+    """A number of a gamma distribution of shape 2 for each state and word, by seed and the word's hash."""
+    out = np.zeros((states, len(vocabulary)))
+    for k in range(2 * states):
+        x = vocabulary.astype(np.int64).view(np.uint64) + np.uint64(((k + 1 + (seed << 32)) * 0x9E3779B97F4A7C15) % (1 << 64))
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        out[k % states] -= np.log((((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53))
+    return out
+
+
+@dataclass
+class Emissions:
+    """How words' counts become probabilities. ``by_state``: the sum of each state's counts over all training words."""
+
+    states: int
+    seed: int
+    distinct: int
+    by_state: np.ndarray
+
+    def first(self, vocabulary: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Smoothed counts times seeded noise."""
+        x = noise(vocabulary, self.states, self.seed)
+        return np.where(c > 0, (c + 1) * x, 2.0) / (self.by_state[:, None] + 2.0)
+
+    def trained(self, expected: np.ndarray) -> np.ndarray:
+        """Of expected counts by word and state; the unknown word has none."""
+        return (expected.T + 1 / self.states) / (self.by_state[:, None] + (self.distinct + 1) / self.states)
 
 
 class _Sequences:
     """Tokens of many documents in time order: all first tokens, then all second ones, longest documents first."""
 
-    def __init__(self, lens: np.ndarray):
+    def __init__(self, lens: np.ndarray, begin: np.ndarray | None = None):
+        """``begin``: where each document begins; one after another where not given."""
         self.order = np.argsort(-lens, kind="stable")
         size = lens[self.order]
         self.longest = int(size[0])
         self.active = len(size) - np.searchsorted(size[::-1], np.arange(self.longest), "right")
         self.at = np.concatenate([[0], np.cumsum(self.active)])
-        begin = np.concatenate([[0], np.cumsum(lens)])[:-1][self.order]
+        begin = (np.cumsum(lens) - lens if begin is None else begin)[self.order]
         step = np.repeat(np.arange(self.longest), self.active)
         rank = np.arange(self.at[-1]) - self.at[step]
         self.source = begin[rank] + step
@@ -98,28 +131,50 @@ class _Sequences:
         kind = np.float32
         alpha, scale = self.forward(model, classes, kind)
         back, move, at = np.ones_like(alpha), model.move.astype(kind).T, self.at
-        right = model.emit.T.astype(kind)[classes] / scale[:, None]
+        right = model.emit.T.astype(kind)[classes]
+        right /= scale[:, None]
         for t in range(self.longest - 1, 0, -1):
             now = right[at[t] : at[t + 1]]
             now *= back[at[t] : at[t + 1]]
             back[at[t - 1] : at[t - 1] + len(now)] = now @ move
-        gamma = (alpha * back).astype(np.float64)
+        back *= alpha
+        gamma = back
         gamma /= gamma.sum(1, keepdims=True)
-        later = self.step > 0
-        before = alpha[at[self.step[later] - 1] + self.rank[later]]
-        moves = model.move * (before.T @ right[later])
-        emits = np.stack([np.bincount(classes, gamma[:, k], model.emit.shape[1]) for k in range(gamma.shape[1])])
-        return gamma[: at[1]].sum(0), moves, emits
+        later, moves = np.flatnonzero(self.step > 0), np.zeros_like(model.move)
+        for some in np.split(later, range(100_000, len(later), 100_000)):
+            before = alpha[at[self.step[some] - 1] + self.rank[some]]
+            moves += model.move * (before.T @ right[some])
+        emits = np.empty((gamma.shape[1], model.emit.shape[1]))
+        for k in range(len(emits)):
+            emits[k] = np.bincount(classes, gamma[:, k], emits.shape[1])
+        return gamma[: at[1]].sum(0, dtype=np.float64), moves, emits
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32 as compressed byte planes."""
+    """Numbers below 2 ** 31 as compressed byte planes."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpack(x: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def _shrink(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _grown(x: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pieces(lens: np.ndarray, which: np.ndarray, most: int = 250_000) -> Iterator[np.ndarray]:
+    """The documents ``which`` in runs of about ``most`` tokens and like lengths: memory doesn't grow with a block, and few steps are short."""
+    order = which[np.argsort(-lens[which], kind="stable")]
+    before = np.cumsum(lens[order]) - lens[order]
+    yield from np.split(order, np.flatnonzero(np.diff(before // most)) + 1)
 
 
 def _blocks(block_tokens: int):
@@ -162,82 +217,185 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield block, ids, np.array(held), np.array(lens), np.frombuffer(vocabulary, "<i8"), _unpack(tokens)
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's distinct words, and how often its training documents hold them."""
-    for batch in batches:
-        for block, _, held, lens, vocabulary, tokens in _rows(batch):
-            n = np.bincount(tokens[np.repeat(~held, lens)], minlength=len(vocabulary))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(vocabulary), pa.array(n)], ["block", "pos", "word", "n"])
+_SENT = "part int, block long, words binary, x binary, stats array<double>"
+_ANSWER = "block long, part int, x binary, stats array<double>"
+
+
+def _dealt(vocabulary: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words ordered by their part, and where each part begins and ends."""
+    part = (vocabulary.astype(np.int64).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _send(block: int, vocabulary: np.ndarray, x: np.ndarray, parts: int) -> pa.RecordBatch:
+    """``x``, a row a word, as rows of :data:`_SENT`."""
+    order, at = _dealt(vocabulary, parts)
+    words, x, full = vocabulary[order], x[order], np.flatnonzero(np.diff(at))
+    cut = lambda y, f: pa.array([f(y[at[k] : at[k + 1]]) for k in full], pa.binary())
+    return _sent([full.astype(np.int32), np.full(len(full), block), cut(words, np.ndarray.tobytes), cut(x, _shrink), pa.nulls(len(full), pa.list_(pa.float64()))])
+
+
+def _sent(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["part", "block", "words", "x", "stats"])
 
 
-def _expected(model: HMM, states: int, classes: int):
+def _answered(found: pa.Scalar, vocabulary: np.ndarray, parts: int, kind: str) -> np.ndarray:
+    """What the parts answered to a block, a row a word of its vocabulary."""
+    order, _ = _dealt(vocabulary, parts)
+    x = np.concatenate([_grown(y["x"], kind) for y in sorted(found.as_py(), key=lambda y: y["part"])]).reshape(len(order), -1)
+    out = np.empty_like(x)
+    out[order] = x
+    return out
+
+
+def _summed(kind: str, states: int, seed: int):
+    """Sums the numbers of a part's words and answers each block; for counts, also tokens, words and noisy counts by state.
+
+    Part -1 is what tasks summed: a row a task.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        if table["stats"].null_count == 0:
+            return out([[None, -1, None, list(np.sum(table["stats"].to_pylist(), 0))]])
+        table = table.sort_by("block")
+        words = [np.frombuffer(w, "<i8") for w in table["words"].to_pylist()]
+        distinct, number = np.unique(np.concatenate(words), return_inverse=True)
+        x = np.concatenate([_grown(y, kind) for y in table["x"].to_pylist()]).reshape(len(number), -1)
+        total = np.stack([np.bincount(number, column, len(distinct)) for column in x.T], 1)
+        back, at = total[number].astype(kind), np.cumsum([0, *map(len, words)])
+        rows = [[b, p, _shrink(back[at[k] : at[k + 1]]), None] for k, (b, p) in enumerate(zip(table["block"].to_pylist(), table["part"].to_pylist()))]
+        if kind == "<f8":
+            c = total[:, 0]
+            there = c > 0
+            rows.append([None, rows[0][1], None, [c.sum(), there.sum(), *(noise(distinct[there], states, seed) * (c[there] + 1)).sum(1)]])
+        return out(rows)
+
+    def out(rows: list[list]) -> pa.Table:
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.float64())]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["block", "part", "x", "stats"])
+
+    return run
+
+
+def _counted(parts: int):
+    """How often a block's training documents hold its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, _, held, lens, vocabulary, tokens in _rows(batch):
+                yield _send(block, vocabulary, np.bincount(tokens[np.repeat(~held, lens)], minlength=len(vocabulary)).astype("<f8"), parts)
+
+    return run
+
+
+def _emitted(batch: pa.RecordBatch, r: int, vocabulary: np.ndarray, emissions: Emissions, parts: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """Training counts, where given, and emission probabilities of a block's words; before the first iteration there is no eighth column."""
+    c = _answered(batch.column(6)[r], vocabulary, parts, "<f8")[:, 0] if batch.column(6)[r].is_valid else None
+    if batch.num_columns == 7:
+        return c, emissions.first(vocabulary, c)
+    return c, emissions.trained(_answered(batch.column(7)[r], vocabulary, parts, "<f4"))
+
+
+def _expected(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
+        stats = np.zeros(2 * len(start) + move.size)
         for batch in batches:
-            for _, _, held, lens, vocabulary, tokens in _rows(batch):
-                if held.all():
-                    continue
-                tokens, lens = tokens[np.repeat(~held, lens)], lens[~held]
-                seq = _Sequences(lens)
-                s, m, e = seq.counts(model, (vocabulary & (classes - 1))[tokens[seq.source]])
-                start, move, emit = start + s, move + m, emit + e
-        flat = np.concatenate([start, move.ravel(), emit.ravel()])
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["at", "x"])
+            for r, (block, _, held, lens, vocabulary, tokens) in enumerate(_rows(batch)):
+                e = np.zeros((len(start), len(vocabulary)))
+                if not held.all():
+                    model = HMM(start, move, _emitted(batch, r, vocabulary, emissions, parts)[1])
+                    begin = np.cumsum(lens) - lens
+                    for docs in _pieces(lens, np.flatnonzero(~held)):
+                        seq = _Sequences(lens[docs], begin[docs])
+                        s, m, x = seq.counts(model, tokens[seq.source])
+                        stats[: -len(start)] += np.concatenate([s, m.ravel()])
+                        e += x
+                        del seq, x
+                    stats[-len(start) :] += e.sum(1)
+                yield _send(block, vocabulary, np.ascontiguousarray(e.T.astype("<f4")), parts)
+        yield _sent([np.full(1, -1, np.int32), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([stats])])
 
     return run
 
 
-def _scores(model: HMM, class_n: np.ndarray, total: int, distinct: int):
+def _scores(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = model.emit.shape[1]
         for batch in batches:
             for r, (_, ids, held, lens, vocabulary, tokens) in enumerate(_rows(batch)):
-                c = np.zeros(len(vocabulary))
-                found = batch.column(6)[r].values
-                if found is not None:
-                    c[found.field(0).to_numpy()] = found.field(1).to_numpy()
+                c, emit = _emitted(batch, r, vocabulary, emissions, parts)
                 doc = np.repeat(np.arange(len(lens)), lens)
-                cls = vocabulary & (classes - 1)
                 sum_by_doc = lambda x, doc=doc, n=len(lens): np.bincount(doc, x, n)
-                base = sum_by_doc(np.log10((c + 1) / (total + distinct + 1))[tokens])
-                within = sum_by_doc(np.log10((c + 1) / class_n[cls])[tokens])
-                seq = _Sequences(lens)
-                _, scale = seq.forward(model, cls[tokens[seq.source]])
+                base = sum_by_doc(np.log10((c + 1) / (total + emissions.distinct + 1))[tokens])
                 markov = np.empty(len(lens))
-                markov[seq.order] = np.bincount(seq.rank, np.log10(scale), len(lens))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(lens.astype(np.int64)), pa.array(sum_by_doc((c > 0).astype(float)[tokens]).astype(np.int64)), pa.array(base), pa.array(markov + within)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                begin = np.cumsum(lens) - lens
+                for docs in _pieces(lens, np.arange(len(lens))):
+                    seq = _Sequences(lens[docs], begin[docs])
+                    _, scale = seq.forward(HMM(start, move, emit), tokens[seq.source])
+                    markov[docs[seq.order]] = np.bincount(seq.rank, np.log10(scale), len(lens[docs]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(lens.astype(np.int64)), pa.array(sum_by_doc((c > 0).astype(float)[tokens]).astype(np.int64)), pa.array(base), pa.array(markov)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, classes: int = 4096, iterations: int = 4, block_tokens: int = 1_000_000, modulus: int = 7, remainder: int = 2, seed: int = 3) -> DataFrame:
+def _sums(df: DataFrame, size: int) -> np.ndarray:
+    got = df.filter("stats is not null").select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    flat = np.zeros(size)
+    for r in got:
+        flat[r["at"]] = r["x"]
+    return flat
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of a finished query once the driver has collected its plan."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, iterations: int = 4, block_tokens: int = 6_000_000, modulus: int = 7, remainder: int = 2, seed: int = 3, part_words: int = 250_000) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Rows with crc32(id) mod ``modulus`` = ``remainder`` teach nothing; a null id is never held out. A null or empty
     text is its end alone. Repeated rows all count. Without training rows every token is unknown. Other columns are
-    ignored, whatever their names. ``classes`` must be a power of two.
+    ignored, whatever their names. A part sums about ``part_words`` numbers, one for each word of each block.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col), modulus, remainder).alias("held"), F.col(text_col).cast("string").alias("t"))
-    blocks, _ = write_shared(rows.mapInArrow(_blocks(block_tokens), "block long, ids array<long>, held array<boolean>, lens array<int>, vocabulary binary, tokens binary"), "blocks")
-    words = blocks.mapInArrow(_words, "block long, pos int, word long, n long")
-    counts, counts_path = write_shared(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    by_class = counts.groupBy(F.expr(f"word & {classes - 1}").cast("int").alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    n, v = np.zeros(classes), np.zeros(classes)
-    for x in by_class:
-        n[x["class"]], v[x["class"]] = x["n"], x["v"]
-    total, distinct = int(n.sum()), int(v.sum())
-
-    model = HMM.first(states, n, seed)
-    for _ in range(iterations if total else 0):
-        got = blocks.mapInArrow(_expected(model, states, classes), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
-        flat = np.zeros(states + states**2 + states * classes)
-        flat[got["at"].to_numpy()] = got["x"].to_numpy()
-        model = HMM.from_counts(flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(states, classes))
-
-    table = words.select("block", "pos", "word").join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    ready = blocks.join(table, "block", "left").select("block", "ids", "held", "lens", "vocabulary", "tokens", "found")
-    scored, _ = write_shared(ready.mapInArrow(_scores(model, n + v + 1, total, distinct), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
-    drop_shared(spark, counts_path)
+    columns = ["block", "ids", "held", "lens", "vocabulary", "tokens"]
+    raw, raw_path = write_shared(rows.mapInArrow(_blocks(block_tokens), "block long, ids array<long>, held array<boolean>, lens array<int>, vocabulary binary, tokens binary"), "blocks")
+    size = raw.agg(F.sum(F.length("vocabulary")) / 8).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / part_words))
+
+    def answers(sent: DataFrame, kind: str) -> DataFrame:
+        return sent.groupBy("part").applyInArrow(_summed(kind, states, seed), _ANSWER)
+
+    def by_block(answer: DataFrame, name: str) -> DataFrame:
+        return answer.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "x")).alias(name))
+
+    counts, counts_path = write_shared(answers(raw.mapInArrow(_counted(parts), _SENT), "<f8"), "counts")
+    flat = _sums(counts, 2 + states)
+    total, distinct = int(flat[0]), int(flat[1])
+    # In buckets by block, so that blocks are not shuffled again in each iteration.
+    blocks_path, name = f"{shared_dir(spark)}/corvid/bucketed-{uuid.uuid4().hex[:12]}", f"corvid_blocks_{uuid.uuid4().hex[:12]}"
+    raw.join(by_block(counts, "counted"), "block").select(*columns, "counted").write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", blocks_path).saveAsTable(name)
+    blocks = spark.table(name)
+    drop_shared(spark, raw_path, counts_path)
+    _free_shuffles(spark)
+
+    (start, move), emissions, ready, old = first_moves(states), Emissions(states, seed, distinct, flat[2:]), blocks, []
+    for k in range(iterations if total else 0):
+        summed, path = write_shared(answers(ready.mapInArrow(_expected(start, move, emissions, parts), _SENT), "<f4"), "expected")
+        drop_shared(spark, *old)
+        flat, old = _sums(summed, 2 * states + states**2), [path]
+        start, move = smoothed(flat[:states]), smoothed(flat[states:-states].reshape(states, states))
+        emissions = Emissions(states, seed, distinct, flat[-states:])
+        ready = blocks.join(by_block(summed, "expected"), "block")
+        if k < iterations - 1:  # only the scores need the counts again
+            ready = ready.withColumn("counted", F.lit(None).cast(blocks.schema["counted"].dataType))
+        ready = ready.select(*columns, "counted", "expected")
+        _free_shuffles(spark)
+
+    scored, _ = write_shared(ready.mapInArrow(_scores(start, move, emissions, parts, total), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
+    spark.sql(f"DROP TABLE {name}")
+    drop_shared(spark, blocks_path, *old)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -266,6 +266,52 @@ def test_model_beats_unigrams_on_held_out_texts(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 0.2 * sum(r["n_tokens"] for r in got)
 
 
+def test_states_tell_words_of_equal_low_hash_bits_apart(spark):
+    by_class = {}
+    for k in range(3000):
+        by_class.setdefault(lm.xxhash.xxh3_64_intdigest(b"v%d" % k) & 4095, []).append(f"v{k}")
+    a, b = zip(*[x[:2] for x in by_class.values() if len(x) > 1][:50])
+    rows = [(k, " ".join(RND.choice(a if k % 2 else b) for _ in range(60))) for k in range(300)]
+    got = [r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), states=2, iterations=6).collect() if r["held_out"]]
+    assert len(a) == 50 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 0.2 * sum(r["n_tokens"] for r in got)
+
+
+def test_scores_equal_baum_welch_over_words(spark):
+    rows = [(k, sentence(RND.randrange(0, 30)) if k % 9 else None) for k in range(120)]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=3, iterations=3, block_tokens=200, part_words=50).collect()}
+    texts = {i: [*(t or "").encode().split(), None] for i, t in rows}
+    taught = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for ws in taught for w in ws)
+    words = sorted(c, key=repr)
+    at = {w: k for k, w in enumerate(words)}
+    number = np.array([-1 if w is None else int(np.uint64(lm.xxhash.xxh3_64_intdigest(w)).astype(np.int64)) for w in words])
+    emit = np.concatenate([(np.array([c[w] for w in words]) + 1) * lm.noise(number, 3, 3), np.full((3, 1), 2.0)], 1)
+    start, move, emit = np.full(3, 1 / 3), np.array([[0.98 if a == b else 0.01 for b in range(3)] for a in range(3)]), emit / emit.sum(1, keepdims=True)
+
+    def forward(x):
+        alpha = [start * emit[:, x[0]]]
+        for w in x[1:]:
+            alpha.append(alpha[-1] @ move * emit[:, w])
+        return alpha
+
+    for _ in range(3):
+        s, m, e = np.zeros(3), np.zeros((3, 3)), np.zeros((3, len(words) + 1))
+        for ws in taught:
+            x = [at[w] for w in ws]
+            alpha, beta = forward(x), [np.ones(3)]
+            for w in x[:0:-1]:
+                beta.insert(0, move @ (emit[:, w] * beta[0]))
+            p = alpha[-1].sum()
+            s += alpha[0] * beta[0] / p
+            for t, w in enumerate(x):
+                e[:, w] += alpha[t] * beta[t] / p
+                if t:
+                    m += move * np.outer(alpha[t - 1], emit[:, w] * beta[t]) / p
+        start, move, emit = [(y + z) / (y + z).sum(-1, keepdims=True) for y, z in ((s, 0.1), (m, 0.1), (e, 1 / 3))]
+    for i, ws in texts.items():
+        assert math.isclose(got[i], math.log10(forward([at.get(w, len(words)) for w in ws])[-1].sum()), rel_tol=1e-4)
+
+
 def test_language_model_without_rows(none):
     assert lm.score_texts(none).count() == 0
 

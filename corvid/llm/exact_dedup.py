@@ -1,16 +1,19 @@
 """Exact deduplication by an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Equal texts meet in a grouping on (hash, text): each task first combines its own copies, so a group of any size
-   sends one row a task, and the owner of a hash compares whole texts byte by byte.
-2. The directory of the index starts as one bucket and doubles: a bucket over ``capacity`` entries splits on its
-   next hash bit, down to ``max_depth`` bits. It has ``2 ** max_depth`` cells at most, so it may be broadcast.
+1. Each task combines its own copies of a text, so a group of any size sends one row a task; what is left of equal
+   texts meets on (hash, text), compared byte by byte, and becomes an entry.
+2. The directory starts with a bucket for each ``capacity`` entries and doubles while one is overfull: a bucket over
+   ``capacity`` entries splits on its next hash bit until it fits or holds one hash alone. The depth has no limit.
 3. Owner tasks take ranges of buckets, chain the entries that share a hash (``chain_no`` of ``chain_len``) and write
    the index to the shared folder.
-4. Every row looks its text up by hash and SHA-256; entries with a large share of the rows are broadcast.
+4. A row finds its entry by its hash. Where the chain is longer than one, the row's text is compared byte by byte with
+   the texts chained there. Entries with a large share of the rows are broadcast, by hash and without text.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,40 +26,67 @@ def _hash(text, bits: int):
     return h if bits >= 64 else F.shiftleft(F.shiftrightunsigned(h, 64 - bits), 64 - bits)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64, capacity: int = 64, max_depth: int = 16) -> DataFrame:
-    """One row per distinct text: bucket, depth, hash, chain_no, chain_len, keep_id, group_size, text_sha256."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("hash", _hash(F.col("t"), hash_bits))
-    classes = rows.groupBy("hash", "t").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    slot = F.shiftrightunsigned(F.col("hash"), 64 - max_depth).cast("int")
-    entries, _ = write_shared(classes.select(slot.alias("slot"), "hash", F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size"), "entries")
-
-    cells = entries.groupBy("slot").agg(F.count("*").alias("n"))
-    levels = cells.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    levels = levels.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {max_depth} - depth), {max_depth} - depth)"))
-    full = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("total"), F.collect_list("slot").alias("slots"))
-    fits = full.filter((F.col("total") <= capacity) | (F.col("depth") == max_depth)).select(F.explode("slots").alias("slot"), "depth", "bucket")
-    directory = fits.groupBy("slot").agg(F.min("depth").alias("depth"), F.min_by("bucket", "depth").alias("bucket"))
+def _bucket(depth) -> str:
+    """The first ``depth`` bits of a hash, moved so that buckets order as the hashes in them do."""
+    return f"case when {depth} = 0 then 0L else shiftleft(shiftright(hash, 64 - {depth}), 64 - {depth}) end"
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, hash_bits: int) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("hash", _hash(F.col("t"), hash_bits))
+
 
+def _entries(rows: DataFrame) -> DataFrame:
+    """An entry for each distinct text."""
+    return rows.groupBy("hash", "t").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+
+
+def directory(entries: DataFrame, capacity: int, levels: int = 4) -> DataFrame:
+    """(hash, depth, bucket) of each hash of ``entries``: the shortest prefix that holds ``capacity`` entries at most."""
+    left, out = entries.groupBy("hash").agg(F.count("*").alias("n")), None
+    low = max(0, math.floor(math.log2(max(1, entries.count() / capacity))))
+    while True:
+        high = min(64, low + levels)
+        cells = left.groupBy(F.expr(_bucket(high)).alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("hashes"))
+        tried = cells.withColumnRenamed("cell", "hash").withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("bucket", F.expr(_bucket("depth")))
+        full = tried.groupBy("depth", "bucket").agg(F.sum("n").alias("total"), F.sum("hashes").alias("hashes"), F.collect_list("hash").alias("cells"))
+        found = full.filter((F.col("total") <= capacity) | (F.col("depth") == high)).select(F.explode("cells").alias("cell"), "depth", "bucket", ((F.col("total") <= capacity) | (F.col("hashes") == 1)).alias("fits"))
+        found = found.groupBy("cell").agg(F.min("depth").alias("depth"), F.min_by("bucket", "depth").alias("bucket"), F.min_by("fits", "depth").alias("fits"))
+        placed, _ = write_shared(left.withColumn("cell", F.expr(_bucket(high))).join(found, "cell").select("hash", "n", "depth", "bucket", "fits"), "directory")
+        rest = placed.filter("not fits")
+        done = placed if high == 64 else placed.filter("fits")
+        out = done if out is None else out.union(done)
+        if high == 64 or rest.isEmpty():
+            return out.select("hash", "depth", "bucket")
+        left, low = rest.select("hash", "n"), high + 1
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64, capacity: int = 64) -> DataFrame:
+    """One row per distinct text: bucket, depth, hash, chain_no, chain_len, chain_size (rows of the whole chain), keep_id, group_size, text_sha256."""
+    entries, _ = write_shared(_entries(_rows(docs, id_col, text_col, hash_bits)).select("hash", F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size"), "entries")
     chain = Window.partitionBy("bucket", "hash")
-    owned = entries.join(F.broadcast(directory), "slot").repartitionByRange("bucket")
-    owned = owned.withColumn("chain_no", F.row_number().over(chain.orderBy("text_sha256"))).withColumn("chain_len", F.count("*").over(chain))
-    index, _ = write_shared(owned.select("bucket", "depth", "hash", "chain_no", "chain_len", "keep_id", "group_size", "text_sha256").sortWithinPartitions("bucket", "hash", "chain_no"), "index")
-    return index
+    owned = entries.join(directory(entries, capacity), "hash").repartitionByRange("bucket")
+    owned = owned.withColumn("chain_no", F.row_number().over(chain.orderBy("text_sha256"))).withColumn("chain_len", F.count("*").over(chain)).withColumn("chain_size", F.sum("group_size").over(chain))
+    return write_shared(owned.select("bucket", "depth", "hash", "chain_no", "chain_len", "chain_size", "keep_id", "group_size", "text_sha256").sortWithinPartitions("bucket", "hash", "chain_no"), "index")[0]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64, capacity: int = 64, max_depth: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64, capacity: int = 64) -> DataFrame:
     """One row per row of ``docs``: id, keep_id (the group's largest id), group_size, kept, text_sha256.
 
     A null text counts as empty; empty texts form a group like any other. Rows that repeat an id and its text all
     count in group_size and are all kept. A null id is never a keep_id unless its whole group has null ids; such
     rows are kept. Other columns of ``docs`` are ignored, whatever their names. No rows give no rows.
     """
-    index = build_index(docs, id_col, text_col, hash_bits, capacity, max_depth)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), _hash(text, hash_bits).alias("hash"), F.sha2(text, 256).alias("text_sha256"))
-    found = lookup(rows, index, ["hash", "text_sha256"], "group_size", ["keep_id", "group_size"])
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    index = build_index(docs, id_col, text_col, hash_bits, capacity)
+    rows = _rows(docs, id_col, text_col, hash_bits)
+    heads = index.filter("chain_no = 1").withColumn("alone", F.col("chain_len") == 1)
+    found = lookup(rows.select("id", "hash"), heads, ["hash"], "chain_size", ["keep_id", "group_size", "text_sha256", "alone"])
+    out = found.filter("alone").drop("hash", "alone")
+    chained = index.filter("chain_len > 1").select("hash").distinct()
+    if not chained.isEmpty():
+        collided = rows.join(chained, "hash", "left_semi")
+        texts = _entries(collided).withColumn("text_sha256", F.sha2("t", 256))
+        out = out.union(lookup(collided.select("id", "hash", "t"), texts, ["hash", "t"], "group_size", ["keep_id", "group_size", "text_sha256"]).drop("hash", "t"))
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import bucket_components, drop_shared, lookup, write_shared
+from corvid.llm.common import blocks_of_stars, bucket_components, drop_shared, lookup, spread_join, write_shared
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -209,7 +209,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     reps = sketches.join(classes.select(F.col("rep").alias("id"), F.col("sig").alias("s")), "id", "inner").filter("sig = s").dropDuplicates(["id"])
     keyed = reps.select(F.explode("keys").alias("key"), "id")
-    made: dict[str, tuple[DataFrame, str]] = {}
+    made: dict = {}
 
     def texts_of(members: DataFrame) -> DataFrame:
         if "texts" not in made:
@@ -217,23 +217,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made["texts"] = write_shared(rows_in.join(wanted, F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"]), "texts")
         return made["texts"][0]
 
-    def confirm(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame, members: DataFrame, counts: DataFrame, n: int) -> DataFrame:
         texts = texts_of(members)
-        x = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-        x = x.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+        x = spread_join(pairs, texts.select(F.col("id").alias("l"), F.col("t").alias("tb")), "b", "l", counts, n, "a")
+        x = x.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
         return x.mapInArrow(_confirmed(width, percent), "a long, b long")
 
     def across(stars: DataFrame, members: DataFrame) -> DataFrame:
-        sizes = stars.groupBy("lead").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("lc")).alias("o")).filter("m > 1 and o > 0")
-        sizes, sizes_path = write_shared(sizes.select("lead", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("js"), F.ceil(F.col("o") / BLOCK).cast("int").alias("is")), "sizes")
-        cells = max(1, (sizes.filter("js = 1 and is = 1").agg(F.sum("m")).first()[0] or 0) // BLOCK)
-        x = stars.join(sizes, "lead").withColumn("cell", F.when(F.expr("js = 1 and is = 1"), F.pmod(F.xxhash64("lead"), F.lit(cells))).otherwise(-1 - F.col("lead")))
-        all_ = x.select("cell", "lead", "id", "c", F.lit(0).alias("side"), F.explode(F.expr("sequence(0, is - 1)")).alias("i"), F.expr("cast(pmod(xxhash64(id), js) as int)").alias("j"))
-        odd = x.filter("c <> lc").select("cell", "lead", "id", "c", F.lit(1).alias("side"), F.expr("cast(pmod(xxhash64(id, 1), is) as int)").alias("i"), F.explode(F.expr("sequence(0, js - 1)")).alias("j"))
-        return all_.union(odd).join(texts_of(members), "id").groupBy("cell", "i", "j").applyInPandas(_joining(width, percent), "a long, b long")
+        blocks, made["sizes"] = blocks_of_stars(stars, BLOCK)
+        return blocks.join(texts_of(members), "id").groupBy("cell", "i", "j").applyInPandas(_joining(width, percent), "a long, b long")
 
     of, _ = bucket_components(keyed, confirm, across)
-    drop_shared(spark, made["texts"][1])
+    drop_shared(spark, made["texts"][1], made["sizes"])
 
     named, _ = write_shared(classes.join(of.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("sig", "copies", F.coalesce("component_id", "rep").alias("found")), "classes")
     out = lookup(sketches.select("id", "n", F.when(F.col("id").isNotNull(), F.col("sig")).alias("sig")), named, ["sig"], "copies", ["found"])

@@ -326,7 +326,7 @@ def test_exact_dedup(docs, hash_bits):
         groups.setdefault(t or "", []).append(i)
     keep = {t: max((i for i in g if i is not None), default=None) for t, g in groups.items()}
     expected = sorted(((i, keep[t or ""], len(groups[t or ""]), i == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in documents()), key=repr)
-    assert rows_of(exact_dedup.exact_dedup(docs, hash_bits=hash_bits, capacity=2, max_depth=4)) == expected
+    assert rows_of(exact_dedup.exact_dedup(docs, hash_bits=hash_bits, capacity=2)) == expected
 
 
 def test_drop_exact_copies_keeps_columns(docs):
@@ -339,8 +339,22 @@ def test_exact_dedup_without_rows(none):
 
 
 def test_directory_splits_full_buckets(spark):
-    index = exact_dedup.build_index(spark.createDataFrame([(k, str(k)) for k in range(2000)], "doc_id long, text string"), capacity=50, max_depth=8)
-    assert index.groupBy("bucket").count().agg({"count": "max"}).first()[0] <= 50 and index.select("depth").distinct().count() >= 1
+    index = exact_dedup.build_index(spark.createDataFrame([(k, str(k)) for k in range(3000)], "doc_id long, text string"), capacity=4).collect()
+    sizes, hashes = Counter((r["depth"], r["bucket"]) for r in index), {r["hash"] for r in index}
+    assert len(index) == 3000 == len(hashes) and max(sizes.values()) <= 4 and len({d for d, _ in sizes}) > 1
+    for r in index:
+        assert r["bucket"] >> (64 - r["depth"]) == r["hash"] >> (64 - r["depth"])
+    for depth, bucket in sizes:  # one level up a bucket that split was overfull, below the depth the directory starts with
+        up = [h for h in hashes if h >> (65 - depth) == bucket >> (65 - depth)]
+        assert len(up) > 4 or depth == int(math.log2(3000 / 4))
+
+
+def test_directory_goes_as_deep_as_it_must(spark):
+    """Hashes that agree on 40 bits, a chain that no bit splits, and null ids."""
+    entries = spark.createDataFrame([((7 << 40) + k, 1) for k in range(20)] + [((9 << 40) + 5, 1)] * 6, "hash long, n int")
+    got = {tuple(r) for r in exact_dedup.directory(entries, 2).collect()}
+    assert len(got) == 21 and {d for h, d, _ in got if h >> 40 == 7} <= {62, 63, 64}
+    assert max(Counter((d, b) for h, d, b in got if h >> 40 == 7).values()) <= 2
 
 
 # Pages
@@ -417,6 +431,70 @@ def test_mix_fills_siblings_first(spark):
     assert copies == {("web", "en"): 10, ("web", "fr"): 42, ("books", "en"): 52}
 
 
+def by_plain_sums(rows, m):
+    """Copies of rows (id, text, lang, source) by the stated rules, in plain Python."""
+    leaf = {k: (m.domains.get(r[3] or "", m.other_domain), r[2] or "", r[3] or "") for k, r in enumerate(rows)}
+    n = {k: len((r[1] or "").split()) for k, r in enumerate(rows)}
+    tokens = Counter()
+    for k, x in leaf.items():
+        tokens[x] += n[k]
+    weight = lambda x: (m.domain_weights, m.lang_weights, m.source_weights)[len(x) - 1].get(x[-1], 1)
+    caps = {x: t * m.max_epochs if weight(x) else 0 for x, t in tokens.items()}
+    for depth in (2, 1):
+        for x in {x[:depth] for x in tokens}:
+            caps[x] = sum(c for y, c in caps.items() if len(y) == depth + 1 and y[:depth] == x) if weight(x) else 0
+    budget = {(): sum(tokens.values()) * m.budget_percent // 100}
+    for depth in (1, 2, 3):
+        for parent in [x for x in list(budget) if len(x) == depth - 1]:
+            children = sorted((x for x in caps if len(x) == depth and x[:-1] == parent), key=lambda x: (caps[x] / max(weight(x), 1), x[-1]))
+            b, w = budget[parent], sum(map(weight, children))
+            while children and b * weight(children[0]) >= caps[children[0]] * w:
+                x = children.pop(0)
+                budget[x], b, w = caps[x], b - caps[x], w - weight(x)
+            budget |= {x: b * weight(x) // w for x in children}
+    out, run = [], Counter()
+    full = {x: budget[x] // tokens[x] if tokens[x] else 0 for x in tokens}
+    place = lambda k: hashlib.md5(":".join(map(str, [m.seed, full[leaf[k]] + 1] + ([rows[k][0]] if rows[k][0] is not None else []))).encode()).hexdigest()
+    for k in sorted(leaf, key=lambda k: (place(k), n[k])):
+        x = leaf[k]
+        run[x] += n[k]
+        rest = budget[x] - full[x] * tokens[x]
+        out.append((rows[k][0], n[k], full[x] + (rest > 0 and run[x] <= rest)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("mix", [
+    mixing.Mix(), mixing.Mix(sort_rows=0), mixing.Mix(domain_weights={"web": 0, "books": 1}, lang_weights={"fr": 0}), mixing.Mix(lang_weights={"en": 0, "fr": 0, "": 0}), mixing.Mix(source_weights={"src0": 0, "src1": 7}, budget_percent=150, sort_rows=1),
+    mixing.Mix(budget_percent=0), mixing.Mix(max_epochs=1, budget_percent=100),
+])
+def test_mix_equals_plain_sums(spark, mix):
+    r = random.Random(8)
+    rows = [(k if k % 50 else None, " ".join(["a"] * r.randrange(0, 9)) if k % 31 else None, r.choice(["en", "fr", "de", None]), r.choice(["src0", "src0", "src0", "src1", "src12", None])) for k in range(400)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix_sources(df, mix).select("doc_id", "n_tokens", "copies")
+    assert rows_of(got) == by_plain_sums(rows, mix)
+
+
+def test_take_mix_takes_each_row_its_own_copies(spark):
+    rows = [(k // 2 if k % 7 else None, f"a b c {k}", "en", "src0", k) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copies int")
+    for frame in (df, df.filter("doc_id is not null and copies % 2 = 1")):
+        for mix in (mixing.Mix(budget_percent=50), mixing.Mix(budget_percent=150)):
+            want = Counter()
+            for r in mixing.mix_sources(frame, mix).collect():
+                want[r["doc_id"]] += r["copies"]
+            out = mixing.take_mix(frame, mix)
+            assert out.columns == frame.columns and Counter(r["doc_id"] for r in out.collect()) == +want
+            each = Counter(r["copies"] for r in out.collect())
+            assert set(each.values()) <= ({1} if mix.budget_percent < 100 else {1, 2})
+
+
+def test_mix_refuses_negative_weights():
+    with pytest.raises(ValueError):
+        mixing.Mix(lang_weights={"fr": -1})
+
+
 def test_mix_edges(docs, none):
     out = mixing.mix_sources(docs)
     assert out.count() == docs.count() and mixing.mix_sources(none).count() == 0
@@ -501,3 +579,38 @@ def test_bpe_equals_tiktoken(docs, none):
     for r in bpe.bpe_round_trip(docs, path, public_tokenizers.PATTERN).collect():
         assert len(r["ids"]) == r["n_tokens"]
     assert bpe.bpe_digests(none, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_words_equal_tiktoken():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec = bpe.WordCodec(path)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    r = random.Random(2)
+    words = []
+    for n in (127, 128, 129, 199, 200, 201, 255, 256, 257, 385, 5000, 20_000):
+        words += ["".join(r.choice(some) for _ in range(n)) for some in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "é中a")] + ["a" * n, "=" * n, "the" * (n // 3 + 1), " " * n, "-" * n + "==="]
+    for word, (ids, decoded) in zip(words, codec.encode([w.encode() for w in words], 300_000)):
+        assert list(map(int, ids.split())) == enc._core_bpe.encode_single_piece(word.encode()), (word[:9], len(word))
+        assert decoded == word.encode()
+    assert codec.encode([], 300_000) == []
+
+
+def test_memory_of_words_stays_bounded():
+    memory = bpe._Memory(10)
+    for k in range(50):
+        distinct = {"always", f"w{k}", f"v{k}", "x" * bpe.LONG + str(k)}
+        new = memory.room_for(distinct.difference(memory.ids), distinct)
+        for x in new:
+            memory.ids[x] = memory.bytes[x] = x
+        assert distinct <= set(memory.ids) and len(memory.ids) <= 10
+        memory.forget_long(new)
+        assert not any(len(x) >= bpe.LONG for x in memory.ids)
+    assert "always" not in new
+
+
+def test_spread_join_of_a_hot_key(spark):
+    left = spark.createDataFrame([(1, k) for k in range(3000)] + [(2 + k, k) for k in range(50)], "a long, b long")
+    right = spark.createDataFrame([(k, f"t{k}") for k in range(40)], "u long, t string")
+    counts = left.groupBy("a").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+    got = sorted(tuple(r) for r in common.spread_join(left, right, "a", "u", counts, 3050, "b", least=100).select("a", "b", "t").collect())
+    assert got == sorted((a, b, f"t{a}") for a, b in [(1, k) for k in range(3000)] + [(2 + k, k) for k in range(50)] if a < 40)

@@ -5,15 +5,24 @@ A task splits its texts by the vocabulary's pattern and hands DuckDB the distinc
 leftmost pair of minimum rank until no pair is left, and an ordered aggregation joins the tokens' bytes again.
 Where all pairs that a merged token can form rank higher than itself, its other occurrences in the word would be
 next one by one, so one step contracts them all, from the left and without overlap.
-Words are the unit of work: a task remembers ``remember`` of them and encodes ``at_once`` bytes in one query, so
-memory stays bounded whatever the length of a text.
+
+Words of ``LONG`` bytes and more are cut into pieces, encoded as words, and joined two by two. A row of tokens is the
+encoding of its bytes exactly if each two neighbours are the encoding of theirs, so a joint is right when its two
+tokens, encoded as one word, come back; else a window around it is encoded again and doubled until its ends are right.
+The work grows with the length times its logarithm.
+
+Words are the unit of work: a Python worker remembers ``remember`` of them, from one task of a job to the next, and encodes
+``at_once`` bytes in one query. Long words are not remembered, so memory stays bounded by the texts at hand.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import sys
+import types
+import uuid
+from collections.abc import Callable, Iterator
 
 import duckdb
 import pyarrow as pa
@@ -21,8 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of this many bytes and more keep one state instead of one a step.
-LONG = 200
+#: Words of this many bytes and more are encoded in pieces of ``PIECE`` bytes; windows that long keep one state instead of one a step.
+LONG, PIECE = 200, 128
+#: Tokens on either side of a joint that are encoded again first.
+WINDOW = 8
 
 _STEP = """
   live AS (SELECT w, pos, t, lead(pos) OVER p AS npos, lead(t) OVER p AS nt FROM {state} WINDOW p AS (PARTITION BY w ORDER BY pos)),
@@ -87,10 +98,10 @@ class WordCodec:
             self.db.unregister("given")
         self.first = [self.ranks[bytes([b])] for b in range(256)]
 
-    def _run(self, words: list[bytes], sql: str) -> list[tuple[int, str, str]]:
+    def _run(self, words: list[bytes], sql: str, whole_words: bool = True) -> list[tuple[int, str, str]]:
         w, pos, t, nt, npos = [], [], [], [], []
         for i, x in enumerate(words):
-            whole = self.ranks.get(x)
+            whole = self.ranks.get(x) if whole_words else None
             tokens = [whole] if whole is not None else [self.first[b] for b in x]
             w += [i] * len(tokens)
             pos += range(len(tokens))
@@ -104,7 +115,8 @@ class WordCodec:
         self.db.unregister("start")
         return out
 
-    def encode(self, words: list[bytes], at_once: int) -> list[tuple[str, bytes]]:
+    def merged(self, words: list[bytes], at_once: int, whole_words: bool = True) -> list[tuple[str, bytes]]:
+        """Answers by the recursive queries alone; ``whole_words``: a word in the vocabulary is its own token, merged or not."""
         out: list = [None] * len(words)
         for sql, which in ((_SHORT_SQL, [i for i, x in enumerate(words) if len(x) < LONG]), (_LONG_SQL, [i for i, x in enumerate(words) if len(x) >= LONG])):
             k = 0
@@ -114,46 +126,118 @@ class WordCodec:
                     chunk.append(which[k])
                     size += len(words[which[k]])
                     k += 1
-                for i, ids, decoded in self._run([words[j] for j in chunk], sql):
+                for i, ids, decoded in self._run([words[j] for j in chunk], sql, whole_words):
                     out[chunk[i]] = (ids, bytes.fromhex(decoded))
         return out
 
+    def encode(self, words: list[bytes], at_once: int) -> list[tuple[str, bytes]]:
+        long = [i for i, x in enumerate(words) if len(x) >= LONG and x not in self.ranks]
+        if not long:
+            return self.merged(words, at_once)
+        short = sorted({*range(len(words))}.difference(long))
+        out = dict(zip(short, self.merged([words[i] for i in short], at_once)))
+        out |= zip(long, self._in_pieces([words[i] for i in long], at_once))
+        return [out[i] for i in range(len(words))]
+
+    def _in_pieces(self, words: list[bytes], at_once: int) -> list[tuple[str, bytes]]:
+        token, parts = {i: x for x, i in self.ranks.items()}, {}
+        known: dict[bytes, list[int]] = {}
+
+        def ask(wanted: list[bytes]) -> None:
+            todo = list(dict.fromkeys(x for x in wanted if x not in known))
+            for x, (ids, _) in zip(todo, self.merged(todo, at_once, whole_words=False)):
+                known[x] = list(map(int, ids.split()))
+
+        cut = [[x[k : k + PIECE] for k in range(0, len(x), PIECE)] for x in words]
+        ask([p for pieces in cut for p in pieces])
+        parts = [[known[p] for p in pieces] for pieces in cut]
+        while any(len(p) > 1 for p in parts):
+            joints = [[p[2 * k], p[2 * k + 1], 0, None] for p in parts for k in range(len(p) // 2)]  # left, right, window, joined
+            todo = joints
+            while todo:
+                raw = lambda ids: b"".join(map(token.__getitem__, ids))
+                known.clear()
+                ask([raw(a[len(a) - k :] + b[:k]) for a, b, k, _ in todo if k])
+                middle = [known[raw(a[len(a) - k :] + b[:k])] if k else [] for a, b, k, _ in todo]
+                rows = [(a[: len(a) - k], m, b[k:]) for (a, b, k, _), m in zip(todo, middle)]
+                ends = [[(x[-1], y[0]) for x, y in ((a, m or b), (m, b if m else [])) if x and y] for a, m, b in rows]
+                ask([token[x] + token[y] for e in ends for x, y in e])
+                for joint, (a, m, b), e in zip(todo, rows, ends):
+                    if all(known[token[x] + token[y]] == [x, y] for x, y in e):
+                        joint[3] = a + m + b
+                    else:
+                        joint[2] = min(2 * joint[2], max(len(joint[0]), len(joint[1]))) or WINDOW
+                todo = [joint for joint in todo if joint[3] is None]
+            done = iter(joints)
+            parts = [[next(done)[3] for _ in range(len(p) // 2)] + p[len(p) - len(p) % 2 :] for p in parts]
+        decoded = self.db.cursor()
+        flat = [(i, k, t) for i, (ids,) in enumerate(parts) for k, t in enumerate(ids)]
+        decoded.register("held", pa.table({name: pa.array([r[c] for r in flat], pa.int32()) for c, name in enumerate(("w", "pos", "t"))}))
+        return [(ids, bytes.fromhex(x)) for _, ids, x in sorted(decoded.execute(_RESULT_SQL.format(tokens="SELECT w, pos, t FROM held")).fetchall())]
+
+
+def _once(name: str, key: str, make: Callable):
+    """What ``make`` gives, made once in a Python worker and kept under ``name`` for its later tasks with this ``key``. Functions travel by value, so no module of ours can hold it."""
+    kept = sys.modules.setdefault("corvid_worker", types.ModuleType("corvid_worker")).__dict__
+    if kept.get(name, (None,))[0] != key:
+        kept[name] = key, make()
+    return kept[name][1]
+
+
+class _Memory:
+    """Answers to words. When there are more than ``remember``, those met again since the last time stay."""
+
+    def __init__(self, remember: int):
+        self.remember, self.ids, self.bytes, self.again = remember, {}, {}, set()
+
+    def room_for(self, new: set, distinct: set) -> set:
+        """The words to encode: ``new``, and all of ``distinct`` that had to go."""
+        self.again |= distinct - new
+        if len(self.ids) + len(new) <= self.remember:
+            return new
+        keep = self.again if len(self.again) + len(new) <= self.remember else distinct - new
+        self.ids, self.bytes = {x: self.ids[x] for x in keep}, {x: self.bytes[x] for x in keep}
+        self.again = set()
+        return distinct.difference(self.ids)
+
+    def forget_long(self, words: set) -> None:
+        for x in words:
+            if len(x) >= LONG:
+                del self.ids[x], self.bytes[x]
+
 
 def _codec_rows(path: str, pattern: str, remember: int, at_once: int, texts: bool):
+    job = uuid.uuid4().hex  # words are remembered within a job only
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, codec = regex.compile(pattern).findall, WordCodec(path)
-        ids_of: dict[str, str] = {}
-        bytes_of: dict[str, bytes] = {}
+        split = regex.compile(pattern).findall
+        codec, memory = _once("codec", path, lambda: WordCodec(path)), _once("words", job, lambda: _Memory(remember))
         for batch in batches:
             found, k = [], 0
             column = batch.column(1)
             while k < len(batch):
-                group, new, size = [], {}, 0
+                group, distinct, size = [], set(), 0
                 while k < len(batch) and (not group or size < 8_000_000):
                     text = column[k].as_py() or ""
                     words = split(text)
                     group.append(words)
                     size += len(text)
-                    new.update((x, None) for x in set(words) if x not in ids_of)
+                    distinct.update(words)
                     k += 1
-                if new:
-                    if len(ids_of) + len(new) > remember:
-                        new = {x: None for words in group for x in words}
-                        ids_of.clear()
-                        bytes_of.clear()
-                    todo = list(new)
-                    for x, (ids, decoded) in zip(todo, codec.encode([x.encode("utf-8", "surrogatepass") for x in todo], at_once)):
-                        ids_of[x], bytes_of[x] = ids, decoded
+                new = memory.room_for(distinct.difference(memory.ids), distinct)
+                todo = list(new)
+                for x, (ids, decoded) in zip(todo, codec.encode([x.encode("utf-8", "surrogatepass") for x in todo], at_once)):
+                    memory.ids[x], memory.bytes[x] = ids, decoded
                 for words in group:
-                    ids = " ".join(map(ids_of.__getitem__, words))
-                    decoded = b"".join(map(bytes_of.__getitem__, words))
-                    found.append((ids, ids.count(" ") + 1 if ids else 0, decoded))
-            arrays = [batch.column(0), pa.array([x[1] for x in found], pa.int64())]
-            if texts:
-                arrays += [pa.array([list(map(int, x[0].split())) for x in found], pa.list_(pa.int32())), pa.array([x[2].decode("utf-8", "replace") for x in found], pa.string())]
-            else:
-                arrays += [pa.array([hashlib.sha256(x[0].encode()).hexdigest() for x in found]), pa.array([hashlib.sha256(x[2]).hexdigest() for x in found])]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n_tokens", "a", "b"])
+                    ids = " ".join(map(memory.ids.__getitem__, words))
+                    decoded = b"".join(map(memory.bytes.__getitem__, words))
+                    if texts:
+                        found.append((ids.count(" ") + 1 if ids else 0, list(map(int, ids.split())), decoded.decode("utf-8", "replace")))
+                    else:
+                        found.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                memory.forget_long(new)
+            kinds = (pa.int64(), pa.list_(pa.int32()) if texts else pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[c] for x in found], kind) for c, kind in enumerate(kinds)]], ["id", "n_tokens", "a", "b"])
 
     return run
 

@@ -35,17 +35,16 @@ from pyspark.sql import functions as F
 from corvid.llm.common import drop_shared, shared_dir, write_shared
 from corvid.llm.quality import held_out
 
-_REMEMBER = 400_000
 #: The hash that stands for the end of a text.
 END = -1
 
 
-class _Hashes(dict):
+class _Numbers(dict):
+    """Numbers of a block's words, from 1 on in order of their first place; 0 is the end."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBER:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        self[word] = n = len(self) + 1
+        return n
 
 
 @dataclass
@@ -86,14 +85,19 @@ class Emissions:
     distinct: int
     by_state: np.ndarray
 
-    def first(self, vocabulary: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Smoothed counts times seeded noise."""
+    def first(self, vocabulary: np.ndarray, c: np.ndarray, kind=np.float64) -> np.ndarray:
+        """Smoothed counts times seeded noise; a row a word here and below."""
         x = noise(vocabulary, self.states, self.seed)
-        return np.where(c > 0, (c + 1) * x, 2.0) / (self.by_state[:, None] + 2.0)
+        x *= c + 1
+        x[:, c == 0] = 2.0
+        return np.ascontiguousarray((x / (self.by_state[:, None] + 2.0)).T, kind)
 
-    def trained(self, expected: np.ndarray) -> np.ndarray:
+    def trained(self, expected: np.ndarray, kind=np.float64) -> np.ndarray:
         """Of expected counts by word and state; the unknown word has none."""
-        return (expected.T + 1 / self.states) / (self.by_state[:, None] + (self.distinct + 1) / self.states)
+        x = expected.astype(kind)
+        x += kind(1 / self.states)
+        x /= (self.by_state + (self.distinct + 1) / self.states).astype(kind)
+        return x
 
 
 class _Sequences:
@@ -114,45 +118,64 @@ class _Sequences:
 
     def forward(self, model: HMM, classes: np.ndarray, kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward probabilities, and the scale of each token: the probability of its class given those before."""
-        alpha = model.emit.T.astype(kind)[classes]
-        scale, move, at = np.empty(len(classes), kind), model.move.astype(kind), self.at
+        return self._forward(model, model.emit.T.astype(kind, copy=False)[classes])
+
+    def _forward(self, model: HMM, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In place of the tokens' emissions."""
+        kind, at = alpha.dtype, self.at
+        scale, move, ones = np.empty(len(alpha), kind), model.move.astype(kind), np.ones(alpha.shape[1], kind)
         alpha[: at[1]] *= model.start.astype(kind)
         for t in range(self.longest):
             now = alpha[at[t] : at[t + 1]]
             if t:
                 now *= alpha[at[t - 1] : at[t - 1] + len(now)] @ move
-            s = now.sum(1)
+            s = now @ ones
             now /= s[:, None]
             scale[at[t] : at[t + 1]] = s
         return alpha, scale
 
-    def counts(self, model: HMM, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions."""
+    def counts(self, model: HMM, classes: np.ndarray, into: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, moves and emissions, the latter added to ``into`` (a row a word) where it is given."""
         kind = np.float32
-        alpha, scale = self.forward(model, classes, kind)
-        back, move, at = np.ones_like(alpha), model.move.astype(kind).T, self.at
-        right = model.emit.T.astype(kind)[classes]
+        right = model.emit.T.astype(kind, copy=False)[classes]
+        alpha, scale = self._forward(model, right.copy())
+        back, move, at = np.ones_like(alpha), np.ascontiguousarray(model.move.astype(kind).T), self.at
         right /= scale[:, None]
         for t in range(self.longest - 1, 0, -1):
             now = right[at[t] : at[t + 1]]
             now *= back[at[t] : at[t + 1]]
             back[at[t - 1] : at[t - 1] + len(now)] = now @ move
-        back *= alpha
-        gamma = back
-        gamma /= gamma.sum(1, keepdims=True)
         later, moves = np.flatnonzero(self.step > 0), np.zeros_like(model.move)
         for some in np.split(later, range(100_000, len(later), 100_000)):
             before = alpha[at[self.step[some] - 1] + self.rank[some]]
             moves += model.move * (before.T @ right[some])
-        emits = np.empty((gamma.shape[1], model.emit.shape[1]))
-        for k in range(len(emits)):
-            emits[k] = np.bincount(classes, gamma[:, k], emits.shape[1])
-        return gamma[: at[1]].sum(0, dtype=np.float64), moves, emits
+        del right
+        gamma = back
+        gamma *= alpha
+        gamma /= (gamma @ np.ones(gamma.shape[1], kind))[:, None]
+        into = np.zeros((model.emit.shape[1], gamma.shape[1])) if into is None else into
+        _add_rows(into, classes, gamma)
+        return gamma[: at[1]].sum(0, dtype=np.float64), moves, into.T
+
+
+def _add_rows(into: np.ndarray, rows: np.ndarray, x: np.ndarray, common: int = 1 << 15) -> None:
+    """Add each row of ``x`` to a row of ``into``; the first ``common`` rows, which most go to, by counting in a small space."""
+    often = rows < common
+    few, y = rows[often], np.ascontiguousarray(x[often].T)
+    n = min(common, len(into))
+    for k in range(len(y)):
+        into[:n, k] += np.bincount(few, y[k], n)
+    rest = np.flatnonzero(~often)
+    if len(rest):
+        rest = rest[np.argsort(rows[rest], kind="stable")]
+        row = rows[rest]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        into[row[first]] += np.add.reduceat(x[rest].astype(np.float64), first, axis=0)
 
 
 def _pack(x: np.ndarray) -> bytes:
     """Numbers below 2 ** 31 as compressed byte planes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T))
 
 
 def _unpack(x: bytes) -> np.ndarray:
@@ -162,7 +185,7 @@ def _unpack(x: bytes) -> np.ndarray:
 
 def _shrink(x: np.ndarray) -> bytes:
     """Numbers as compressed byte planes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T))
 
 
 def _grown(x: bytes, kind: str) -> np.ndarray:
@@ -179,24 +202,28 @@ def _pieces(lens: np.ndarray, which: np.ndarray, most: int = 250_000) -> Iterato
 
 def _blocks(block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, serial = _Hashes(), TaskContext.get().partitionId() << 24
+        numbers, serial = _Numbers(), TaskContext.get().partitionId() << 24
         ids, held, tokens, total = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            vocabulary, number, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-            order = np.argsort(-n, kind="stable")
-            place = np.empty_like(order)
+            lens, number = [len(x) for x in tokens], np.concatenate(tokens)
+            tokens.clear()
+            vocabulary = np.empty(len(numbers) + 1, np.int64)
+            vocabulary[0] = END
+            vocabulary[1:] = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers)).view(np.int64)
+            numbers.clear()
+            order = np.argsort(-np.bincount(number, minlength=len(vocabulary)), kind="stable")
+            place = np.empty(len(order), "<u4")
             place[order] = np.arange(len(order))
-            row = [[serial], [ids], [held], [[len(x) for x in tokens]], [vocabulary[order].astype("<i8").tobytes()], [_pack(place[number])]]
+            row = [[serial], [ids], [held], [lens], [vocabulary[order].astype("<i8").tobytes()], [_pack(place[number])]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["block", "ids", "held", "lens", "vocabulary", "tokens"])
 
         for batch in batches:
             for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                x = np.empty(len(words) + 1, np.int64)
-                x[:-1] = np.array(list(map(hashes.__getitem__, words)), np.uint64).view(np.int64)
-                x[-1] = END
+                x = np.zeros(len(words) + 1, np.int32)
+                x[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
                 ids.append(i)
                 held.append(h)
                 tokens.append(x)
@@ -213,17 +240,21 @@ def _blocks(block_tokens: int):
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Block, ids, held, lens, vocabulary, tokens of each row."""
     for r in range(len(batch)):
-        block, ids, held, lens, vocabulary, tokens = (batch.column(k)[r].as_py() for k in range(6))
-        yield block, ids, np.array(held), np.array(lens), np.frombuffer(vocabulary, "<i8"), _unpack(tokens)
+        block, ids, held, lens = (batch.column(k)[r].as_py() for k in range(4))
+        yield block, ids, np.array(held), np.array(lens), np.frombuffer(batch.column(4)[r].as_buffer(), "<i8"), _unpack(batch.column(5)[r].as_buffer())
 
 
 _SENT = "part int, block long, words binary, x binary, stats array<double>"
 _ANSWER = "block long, part int, x binary, stats array<double>"
 
 
+def _part(vocabulary: np.ndarray, parts: int) -> np.ndarray:
+    return (vocabulary.astype(np.int64).view(np.uint64) % np.uint64(parts)).astype(np.int32)
+
+
 def _dealt(vocabulary: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The words ordered by their part, and where each part begins and ends."""
-    part = (vocabulary.astype(np.int64).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    part = _part(vocabulary, parts)
     order = np.argsort(part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
@@ -243,9 +274,16 @@ def _sent(columns: list) -> pa.RecordBatch:
 def _answered(found: pa.Scalar, vocabulary: np.ndarray, parts: int, kind: str) -> np.ndarray:
     """What the parts answered to a block, a row a word of its vocabulary."""
     order, _ = _dealt(vocabulary, parts)
-    x = np.concatenate([_grown(y["x"], kind) for y in sorted(found.as_py(), key=lambda y: y["part"])]).reshape(len(order), -1)
-    out = np.empty_like(x)
-    out[order] = x
+    parts_of, sent = found.values.field("part"), found.values.field("x")
+    out, at = None, 0
+    for k in np.argsort(parts_of.to_numpy(), kind="stable"):
+        x = _grown(sent[int(k)].as_buffer(), kind)
+        if out is None:
+            n = len(x) // int(np.searchsorted(part_of := _part(vocabulary, parts)[order], part_of[0], "right")) if len(x) else 1
+            out = np.empty((len(order), n), kind)
+        rows = len(x) // out.shape[1]
+        out[order[at : at + rows]] = x.reshape(rows, -1)
+        at += rows
     return out
 
 
@@ -289,12 +327,12 @@ def _counted(parts: int):
     return run
 
 
-def _emitted(batch: pa.RecordBatch, r: int, vocabulary: np.ndarray, emissions: Emissions, parts: int) -> tuple[np.ndarray | None, np.ndarray]:
-    """Training counts, where given, and emission probabilities of a block's words; before the first iteration there is no eighth column."""
+def _emitted(batch: pa.RecordBatch, r: int, vocabulary: np.ndarray, emissions: Emissions, parts: int, kind) -> tuple[np.ndarray | None, np.ndarray]:
+    """Training counts, where given, and emission probabilities of a block's words, a row a word; before the first iteration there is no eighth column."""
     c = _answered(batch.column(6)[r], vocabulary, parts, "<f8")[:, 0] if batch.column(6)[r].is_valid else None
     if batch.num_columns == 7:
-        return c, emissions.first(vocabulary, c)
-    return c, emissions.trained(_answered(batch.column(7)[r], vocabulary, parts, "<f4"))
+        return c, emissions.first(vocabulary, c, kind)
+    return c, emissions.trained(_answered(batch.column(7)[r], vocabulary, parts, "<f4"), kind)
 
 
 def _expected(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts: int):
@@ -302,18 +340,18 @@ def _expected(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts:
         stats = np.zeros(2 * len(start) + move.size)
         for batch in batches:
             for r, (block, _, held, lens, vocabulary, tokens) in enumerate(_rows(batch)):
-                e = np.zeros((len(start), len(vocabulary)))
+                e = np.zeros((len(vocabulary), len(start)))
                 if not held.all():
-                    model = HMM(start, move, _emitted(batch, r, vocabulary, emissions, parts)[1])
+                    model = HMM(start, move, _emitted(batch, r, vocabulary, emissions, parts, np.float32)[1].T)
                     begin = np.cumsum(lens) - lens
                     for docs in _pieces(lens, np.flatnonzero(~held)):
                         seq = _Sequences(lens[docs], begin[docs])
-                        s, m, x = seq.counts(model, tokens[seq.source])
+                        s, m, _ = seq.counts(model, tokens[seq.source], e)
                         stats[: -len(start)] += np.concatenate([s, m.ravel()])
-                        e += x
-                        del seq, x
-                    stats[-len(start) :] += e.sum(1)
-                yield _send(block, vocabulary, np.ascontiguousarray(e.T.astype("<f4")), parts)
+                        del seq
+                    stats[-len(start) :] += e.sum(0)
+                    del model
+                yield _send(block, vocabulary, e.astype("<f4"), parts)
         yield _sent([np.full(1, -1, np.int32), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([stats])])
 
     return run
@@ -323,7 +361,7 @@ def _scores(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, (_, ids, held, lens, vocabulary, tokens) in enumerate(_rows(batch)):
-                c, emit = _emitted(batch, r, vocabulary, emissions, parts)
+                c, emit = _emitted(batch, r, vocabulary, emissions, parts, np.float64)
                 doc = np.repeat(np.arange(len(lens)), lens)
                 sum_by_doc = lambda x, doc=doc, n=len(lens): np.bincount(doc, x, n)
                 base = sum_by_doc(np.log10((c + 1) / (total + emissions.distinct + 1))[tokens])
@@ -331,7 +369,7 @@ def _scores(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts: in
                 begin = np.cumsum(lens) - lens
                 for docs in _pieces(lens, np.arange(len(lens))):
                     seq = _Sequences(lens[docs], begin[docs])
-                    _, scale = seq.forward(HMM(start, move, emit), tokens[seq.source])
+                    _, scale = seq.forward(HMM(start, move, emit.T), tokens[seq.source])
                     markov[docs[seq.order]] = np.bincount(seq.rank, np.log10(scale), len(lens[docs]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(lens.astype(np.int64)), pa.array(sum_by_doc((c > 0).astype(float)[tokens]).astype(np.int64)), pa.array(base), pa.array(markov)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

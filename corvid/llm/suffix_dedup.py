@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from corvid.llm.common import drop_shared, write_shared
 
 GRAM = 17
+#: Owners of surroundings to an owner of hashes: surroundings are larger, hashes are many.
+FINE = 4
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 1 << 64)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -214,6 +216,11 @@ class _Block:
         self.keys, self.number = np.unique((shard.astype(np.uint64) << np.uint64(40)) | short, return_inverse=True)
         self.shards = np.searchsorted(self.keys >> np.uint64(40), np.arange(shards + 1, dtype=np.uint64))
 
+    def owners(self, key: np.ndarray) -> np.ndarray:
+        """The owner of the surroundings of keys; it grows with the key."""
+        x = self.keys[key]
+        return ((x >> np.uint64(40)) * np.uint64(FINE) + ((x & np.uint64((1 << 40) - 1)) * np.uint64(FINE) >> np.uint64(40))).astype(np.int64)
+
     def shared_inside(self) -> np.ndarray:
         """Keys that stand in two documents of this block."""
         first, last = np.full(len(self.keys), LAST), np.full(len(self.keys), -LAST)
@@ -296,7 +303,7 @@ def _send_contexts(shards: int, length: int):
             for r in range(len(batch)):
                 b = _Block(batch, r, shards)
                 _, _, rows, key, least = b.contexts(_marked(b, batch.column("answers")[r]), length)
-                shard = (b.keys[key] >> np.uint64(40)).astype(np.int64)
+                shard = b.owners(key)
                 order = np.argsort(shard, kind="stable")
                 found, cut = np.unique(shard[order], return_index=True)
                 parts = np.split(order, cut[1:]) if len(order) else []
@@ -346,7 +353,7 @@ def _cut(shards: int, length: int, texts: bool):
             for r in range(len(batch)):
                 b = _Block(batch, r, shards)
                 take, kind, rows, key, _ = b.contexts(_marked(b, batch.column("answers")[r]), length)
-                order = np.argsort((b.keys[key] >> np.uint64(40)).astype(np.int64), kind="stable")
+                order = np.argsort(b.owners(key), kind="stable")
                 low, seen = np.empty(len(rows), np.int64), np.empty(len(rows), np.uint64)
                 back = sorted(batch.column("cuts")[r].as_py() or [], key=lambda x: x["shard"])
                 if back:
@@ -373,19 +380,22 @@ def _cut(shards: int, length: int, texts: bool):
     return run
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 2_000_000, texts: bool = True) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 2_000_000, shard_bytes: int = 16_000_000, texts: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left; null unless ``texts``).
 
     Strings never cross texts, and are judged on the input, not on what is left. Null and empty texts have no bytes.
     Rows that repeat an id count as one document: their strings don't remove each other. A null id is larger than
     all others and equal to other null ids. Other columns are ignored, whatever their names. No rows give no rows.
+
+    An owner of hashes gets those of ``shard_bytes`` of text. A block sends each owner one row, so rows grow with blocks
+    times owners until a row holds a single hash, and with the text from there on.
     """
     if not GRAM < length <= GRAM + 63:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 63}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     blocks, _ = write_shared(rows.mapInArrow(_pack(block_bytes, length), "block long, ids array<long>, lens array<long>, n long, data binary, mask binary"), "blocks")
-    shards = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // block_bytes)
+    shards = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // shard_bytes)
 
     keys = blocks.mapInArrow(_send_keys(shards), "shard int, block long, keys binary, inside binary")
     bits = keys.groupBy("shard").applyInPandas(_answer_keys, "shard int, block long, bits binary")

@@ -5,15 +5,18 @@ the shares of its hashed words, and a few others (links, stops, length). A bidir
 and gives each block its probability of being main text, so a block is judged with the whole page around it.
 
 The network is trained here, on pages that a seeded generator writes with their labels: articles in many kinds of
-markup, among menus, headers, sidebars, notices, adverts, forms, comments and footers. Its words are made up, and its
-names for things are the common ones of web pages. Training takes a fixed amount of work and is kept for the process.
+markup, among menus, headers, sidebars, notices, adverts, forms, comments and footers. Its words are made up but for
+stock phrases of the frame around articles. Its names for things are the common ones of web pages, or mean nothing at all.
+The weights are kept beside this module; ``python -m corvid.llm.html_text`` trains them again.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -58,7 +61,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     def close() -> None:
         nonlocal linked
         if text:
-            whole = " ".join(html.unescape("".join(text)).split())
+            whole = " ".join("".join(text).split())
             if whole:
                 out.append((path, whole, min(1.0, linked / len(whole))))
             text.clear()
@@ -82,7 +85,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                 in_head = False
                 if not text:
                     path = tuple(x for tag, names in stack for x in (tag, *names))
-                text.append(piece)
+                text.append(html.unescape(piece))  # a reference never goes on behind a tag
                 if in_link:
                     linked += len(piece.strip())
             continue
@@ -239,6 +242,14 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+# Phrases that frames of pages hold, in several languages.
+STOCK = [
+    "All rights reserved.", "All rights reserved by the publisher.", "Privacy policy", "Terms of use", "Terms and conditions", "Contact us", "About us", "Subscribe to our newsletter", "Follow us", "Read more", "Related articles", "Share this", "Back to top", "Sign in", "Log in", "Search", "Home", "Menu", "Copyright 2024",
+    "We use cookies to improve your experience.", "By using this site you agree to our use of cookies.", "Accept all", "Skip to content", "Advertisement", "Sponsored", "Leave a comment", "Most popular", "Alle Rechte vorbehalten.", "Impressum", "Datenschutz", "Kontakt", "Wir verwenden Cookies.", "Tous droits réservés.", "Mentions légales",
+    "Politique de confidentialité", "Nous utilisons des cookies.", "Todos los derechos reservados.", "Aviso legal", "Política de privacidad", "Usamos cookies.",
+]
+
+
 def made_page(r: np.random.Generator) -> tuple[str, list[str]]:
     """A page and the texts of its main blocks."""
     pick = lambda *xs: xs[r.integers(len(xs))]
@@ -246,6 +257,8 @@ def made_page(r: np.random.Generator) -> tuple[str, list[str]]:
     word = lambda: "".join(syllables[k] for k in r.integers(len(syllables), size=r.integers(1, 4)))
     words = lambda a, b: [word() for _ in range(r.integers(a, b))]
     mark = pick("", "", "", "!!", "%%%", "###", "***", "$$$")
+    meaningless = r.random() < 0.2  # names tell nothing, and all is in div elements
+    code = lambda: pick("c", "css-", "sc-", "x", "el", "b_", "t") + "".join(pick(*"0123456789abcdef") for _ in range(r.integers(1, 6)))
 
     def sentence(a: int = 4, b: int = 16) -> str:
         w = [x + mark if mark and r.random() < 0.8 else x for x in words(a, b)]
@@ -266,6 +279,8 @@ def made_page(r: np.random.Generator) -> tuple[str, list[str]]:
 
     def named(tag: str, *names: str) -> tuple[str, str]:
         kind = pick("class", "class", "id")
+        if meaningless:
+            return f'<div {kind}="{code()}">', "</div>"
         name = pick(*names)
         return f'<{tag} {kind}="{pick(name, name + "-" + word(), "site-" + name, "main " + name if tag == "div" and name == "content" else name)}">', f"</{tag}>"
 
@@ -273,11 +288,13 @@ def made_page(r: np.random.Generator) -> tuple[str, list[str]]:
         return pick("<ul>{}</ul>", "{}", "<ol>{}</ol>").format("".join(pick("<li><a href='/{0}'>{0}</a></li>", "<li><a href='/'>{0}</a>", "<a href='/'>{0}</a> | ").format(pick(word().capitalize() + pick("", ","), " ".join(words(1, 4)))) for _ in range(n)))
 
     def wrapped(tag: str, names: tuple, content: str) -> str:
-        a, b = pick((f"<{tag}>", f"</{tag}>"), named("div", *names)) if tag != "div" else named("div", *names)
+        a, b = pick((f"<{tag}>", f"</{tag}>"), named("div", *names)) if tag != "div" and not meaningless else named("div", *names)
         return a + content + b
 
     def boilerplate(kind: str) -> str:
         short, prose_ = sentence(2, 9), prose()
+        if r.random() < (0.7 if meaningless else 0.2):
+            short, prose_ = pick(*STOCK), " ".join(pick(*STOCK) for _ in range(r.integers(1, 4)))
         if kind == "nav":
             return wrapped("nav", ("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toc"), links(r.integers(2, 9)))
         if kind == "header":
@@ -313,13 +330,20 @@ def made_page(r: np.random.Generator) -> tuple[str, list[str]]:
             elif k < 0.97:
                 parts.append(body("pre", sentence()))
             else:
-                parts.append(boilerplate(pick("ad", "aside", "share", "notice", "form")))
+                parts.append(boilerplate(pick("share", "form") if meaningless else pick("ad", "aside", "share", "notice", "form")))
         if r.random() < 0.3:
             parts.insert(0, "<b>")
+        if meaningless:
+            a, b = pick(named("div", ""), ("", ""), ("<main>", "</main>"), ("<div>", "</div>"))
+            return a + "".join(parts) + b
         a, b = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ("<section>", "</section>"), ("<div>", "</div>"), ("", ""), named("div", "content", "article", "post", "entry", "story", "main", "body", "text", "page"), named("section", "content", "article", "post"))
         return a + "".join(parts) + b
 
-    some = lambda p, *kinds: "".join(boilerplate(pick(*kinds)) for _ in range(r.integers(1, 3))) if r.random() < p else ""
+    def some(p: float, *kinds: str) -> str:
+        if meaningless:  # without names, prose of readers, adverts and teasers reads as the article's does
+            kinds = tuple({"comments": "share", "ad": "share", "aside": "nav", "notice": "form"}.get(k, k) for k in kinds)
+        return "".join(boilerplate(pick(*kinds)) for _ in range(r.integers(1, 3))) if r.random() < p else ""
+
     page = some(0.4, "header") + some(0.75, "nav") + some(0.3, "notice", "form") + some(0.5, "ad") + some(0.15, "aside")
     page += article() + some(0.2, "share") + some(0.35, "comments") + some(0.3, "aside", "ad") + some(0.2, "form", "notice") + some(0.75, "footer") + some(0.1, "notice", "nav")
     a, b = pick(("", ""), ("", ""), named("div", "page", "wrapper", "container"), ("<div>", "</div>"))
@@ -337,8 +361,27 @@ def made_pages(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-@functools.lru_cache(4)
-def trained(pages: int = 1500, epochs: int = 12, seed: int = 1, batch: int = 32, rate: float = 0.01) -> BiLSTM:
+#: Where the trained weights are, and the SHA-256 of their numbers in order of name.
+WEIGHTS, CHECKSUM = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_text_weights.npz"), "5edd2829b5352adda940f2cf58a164c3481666ba9c3fea8ed66a11ca31c5503f"
+
+
+def checksum(weights: dict) -> str:
+    return hashlib.sha256(b"".join(np.ascontiguousarray(weights[k], "<f4").tobytes() for k in sorted(weights))).hexdigest()
+
+
+@functools.lru_cache(1)
+def kept() -> BiLSTM:
+    """The model with the weights kept beside this module; ValueError where they are not those that were written."""
+    with np.load(WEIGHTS) as found:
+        weights = {k: found[k] for k in found.files}
+    if checksum(weights) != CHECKSUM:
+        raise ValueError(f"{WEIGHTS} does not hold the trained weights; train them again")
+    model = BiLSTM(0)
+    model.p = weights
+    return model
+
+
+def trained(pages: int = 2500, epochs: int = 12, seed: int = 1, batch: int = 32, rate: float = 0.01) -> BiLSTM:
     rows, model, r = made_pages(pages, seed), BiLSTM(seed), np.random.default_rng(seed)
     m, v, n = {k: np.zeros_like(p) for k, p in model.p.items()}, {k: np.zeros_like(p) for k, p in model.p.items()}, 0
     rows.sort(key=lambda row: len(row[1]))
@@ -399,5 +442,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     row; other columns are ignored, whatever their names. No rows give no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    out = rows.mapInArrow(_extract(model or trained(), at_once), "id long, url string, text string, n_chars long")
+    out = rows.mapInArrow(_extract(model or kept(), at_once), "id long, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+
+
+if __name__ == "__main__":
+    model = trained()
+    np.savez_compressed(WEIGHTS, **model.p)
+    print(checksum(model.p))

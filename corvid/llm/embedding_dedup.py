@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm.common import blocks_of_stars, bucket_components, drop_shared, lookup, spread_join, write_shared
 
-BLOCK = 512
+BLOCK = 256
 
 
 def rotation(d: int, seed: int) -> np.ndarray:

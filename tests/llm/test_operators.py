@@ -14,6 +14,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+from tests.llm.pages import PAGES
+
 from corvid.llm import bpe, common, embedding_dedup, exact_dedup, html_text, licenses, lm, minhash, mixing, quality, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, t int, hash string, keep_id int, block int, key string, v int, n int"
@@ -90,7 +92,7 @@ def cut_by_hand(rows, length):
 
 @pytest.mark.parametrize("block_bytes", [2_000, 2_000_000])
 def test_cut_repeats(docs, block_bytes):
-    got = rows_of(suffix_dedup.cut_repeats(docs, block_bytes=block_bytes).drop("kept"))
+    got = rows_of(suffix_dedup.cut_repeats(docs, block_bytes=block_bytes, shard_bytes=3 * block_bytes).drop("kept"))
     assert got == cut_by_hand([(r[0], r[1]) for r in documents()], 50)
 
 
@@ -210,6 +212,37 @@ def test_license_windows_equal_brute_force_at_every_word(spark):
         assert r["doc_id"] >= 12 or "mit" in r["labels"].split(",")
 
 
+def test_licenses_are_told_apart(spark):
+    texts = {
+        "released under the bsd license": "bsd", "released under the apache license": "apache", "licensed under the eclipse license version 2 0": "", "licensed under cc by 3 0": "cc-by", "licensed under cc by sa 4 0": "cc-by",
+        "you may use this file in agreement with the license": "", "released under the MIT license": "mit", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated docs": "mit",
+    }
+    for pad in (0, 3, 50):
+        rows = [(k, "zeta " * pad + t + " omega" * pad) for k, t in enumerate(texts)]
+        got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [got[k] for k in range(len(texts))] == list(texts.values())
+
+
+def test_license_windows_with_required_and_excluded_words(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("a b c d e must never x y z".split()) for _ in range(r.randrange(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    templates = [("one", "a b must c", "must", "never"), ("two", "a b c d e", "a must", ""), ("three", "d e", "", "never z")]
+    for row in licenses.scan_licenses(df, templates=templates, phrases={}, containment=0.6).collect():
+        w = texts[row["doc_id"]].split()
+        expected = set()
+        for label, t, must, never in templates:
+            m, s = len(t.split()), set(t.split())
+            for k in range(len(w)):
+                window = set(w[k : k + 2 * m])
+                if len(s & window) / len(s) >= 0.6 and set(must.split()) <= window and not set(never.split()) & window:
+                    expected.add((label, k, len(s & window) / len(s)))
+        got = [(b["label"], k, b["containment"]) for b in row["windows"] for k in range(b["first_start"], b["last_start"] + 1)]
+        assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_licenses_without_rows(none):
     assert licenses.scan_licenses(none).count() == 0
 
@@ -390,8 +423,22 @@ def test_extract_text(spark):
     assert [g for g in got if g[0] in (1, 2, 3)] == [(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (3, "u", "", 0)]
 
 
+def test_references_end_at_tags():
+    assert html_text.blocks_of("<p>a &am<b>p;</b> b &lt;p&gt; &nbsp;c &eacute</p>") == [(("p",), "a &amp; b <p> c é", 0.0)]
+
+
+def test_pages_written_by_hand(spark):
+    """Where names or tags say what a block is, every page is right; pages of nameless div elements are not (the README says how many)."""
+    rows = [(k, "u", page) for k, (_, page, _) in enumerate(PAGES)] + [(1000, "u", PAGES[0][1].replace("</p>", "</p>" + "<p>More of the same story is told here.</p>" * 3000, 1))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    wrong = [name for k, (name, _, main) in enumerate(PAGES) if got[k] != "\n\n".join(main)]
+    assert all(name.endswith("nameless") for name in wrong), wrong
+    assert got[1000].count("More of the same story is told here.") == 3000
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_labeller_on_unseen_pages():
-    model, right, n = html_text.trained(), 0, 0
+    model, right, n = html_text.kept(), 0, 0
     for x, y in html_text.made_pages(200, 77):
         s = model.scores(*html_text.padded([x]))[0] >= 0.5
         right, n = right + (s == y).sum(), n + len(y)
@@ -525,6 +572,30 @@ def test_quality_without_labels_or_rows(docs, none, spark):
     assert quality.score_quality(none, lab).count() == 0
 
 
+def test_scores_add_one_entry_a_table():
+    r = np.random.default_rng(5)
+    x = np.round(r.standard_normal((500, 4)), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.2)).astype(float)
+    model = quality.GAM(rounds=20, pair_rounds=10).fit(x, y)
+    assert model.pair_tables
+    for row, score in zip(x, model.score(x)):
+        z = model.base + sum(table[sum(v >= e for e in edges)] for v, edges, table in zip(row, model.edges, model.tables))
+        z += sum(table[sum(row[i] >= e for e in model.pair_edges[i]), sum(row[j] >= e for e in model.pair_edges[j])] for i, j, table in model.pair_tables)
+        assert math.isclose(score, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+    assert ((model.score(x) >= 0.5) == (y > 0)).mean() > 0.9
+
+
+def test_quality_folds_ties_and_repeats(spark):
+    rows = [(1, "same words here."), (1, "same words here."), (1, "| x |"), (2, None), (3, "")] + [(k, sentence(20) if k % 2 else "# # # " * 9) for k in range(10, 90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 0), (1, 1)] + [(k, k % 2) for k in range(10, 90)], "doc_id long, quality int")
+    got = quality.score_quality(d, lab).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7)
+    assert len({r["score"] for r in got if r["doc_id"] in (2, 3)}) == 1 and len({r["score"] for r in got if r["doc_id"] == 1}) == 2
+
+
 def test_features_are_finite():
     for t in (None, "", "\n", "é" * 10, "a " * 10_000):
         x = quality.features(t)

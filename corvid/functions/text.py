@@ -49,5 +49,24 @@ def null_if_empty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number of absolute value below 4 million with so many decimals, rounded by its exact binary value, ties to even."""
+    v = F.abs(c) * float(1 << 40)
+    whole = F.floor(v)
+    units = whole.cast("decimal(38,0)") * F.lit(1 << 23).cast("decimal(10,0)") + F.floor((v - whole) * float(1 << 23)).cast("decimal(10,0)")
+
+    def text(n: Column) -> Column:
+        half, one = F.lit(1 << 62).cast("decimal(20,0)"), F.lit(1 << 62).cast("decimal(20,0)") * 2
+        low = F.floor(n / one)
+        rest = n - low * one
+        up = (rest > half) | ((rest == half) & (low % 2 == 1))
+        k = (low + F.when(up, 1).otherwise(0)).cast("long")
+        sign = F.when((c < 0) & (k > 0), "-").otherwise("")
+        ten = 10**digits
+        return F.concat(sign, F.floor(k / ten).cast("string"), F.lit("."), F.lpad((k % ten).cast("string"), digits, "0"))
+
+    return let((units * F.lit(10**digits).cast("decimal(5,0)")).cast("decimal(38,0)"), text)
+
+
 def ymd(year: Column, month: Column, day: Column) -> Column:
     return F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.functions.text import fixed, or_empty
+from corvid.operators import rules, search, triplets
+
 
 @dataclass(frozen=True)
 class Weights:
@@ -28,6 +31,19 @@ class Weights:
                 object.__setattr__(self, k, getattr(self, k) / total)
 
 
+@dataclass(frozen=True)
+class Config:
+    """Weights, and whether and how much to rerank; :func:`corvid.sources.config.hybrid_config` reads it from a file."""
+
+    weights: Weights = Weights()
+    rerank_enabled: bool = False
+    rerank_candidates: int = 20
+    rerank_top_k: int | None = None
+    rerank_model: str = ""
+    rerank_batch_size: int = 32
+    rerank_max_length: int | None = None
+
+
 def overfetch(n: int, rerank_candidates: int | None = None) -> int:
     return max(3 * n, rerank_candidates or 0)
 
@@ -63,9 +79,55 @@ def rerank_and_fill(rows: DataFrame, n: int, top: int, weight: float, per: str,
     return first.union(rest).drop("__r").withColumn("rank", place).filter(F.col("rank") <= n)
 
 
+def candidates(queries: DataFrame, chunks: DataFrame, stored: DataFrame | None, weights: Weights, k: int, words: dict[str, float] | None = None, **columns) -> DataFrame:
+    """The k nearest chunks of each query with all scores.
+
+    ``queries`` has id, query and vector; ``chunks`` id, vector, section_title and section_content (category too, to
+    search the query's own with ``same_category``). Triplet scores are sums over the candidates alone, as a share of the query's largest.
+    """
+    hits = search.top_k(queries, chunks, k, "id", "vector", exclude_self=False, **columns)
+    x = hits.join(chunks.drop("vector").withColumnRenamed("id", "item_id"), "item_id").join(queries.select(F.col("id").alias("query_id"), "query"), "query_id")
+    text = F.concat(or_empty("section_title"), F.lit("\n"), or_empty("section_content"))
+    x = x.withColumn("section_match", rules.section_match(rules.section_reference(F.col("query")), or_empty("section_title"))).withColumn("__k", rules.matched_keywords(F.col("query"), text, words))
+    x = x.withColumn("rule_score", rules.rule_score(F.col("section_match"), rules.keyword_score(F.col("__k")))).withColumn("matched_keywords", F.transform("__k", lambda m: m["word"])).drop("__k")
+    if stored is None:
+        return _combined(x.withColumn("triplet_score", F.lit(0.0)).withColumn("matched_triplets", F.array().cast("array<string>")), weights)
+    found = triplets.search(queries.select("query").distinct(), stored).select("query", F.col("chunk_id").alias("item_id"), F.col("score").alias("s"), F.concat_ws("-", "subject", "predicate", "object").alias("t"), "triplet_id")
+    own = x.select("query_id", "item_id", "query").join(found, ["query", "item_id"]).groupBy("query_id", "item_id")
+    own = own.agg(F.sum("s").alias("total"), F.array_sort(F.collect_list(F.struct("triplet_id", "t"))).alias("ts"))
+    own = own.withColumn("triplet_score", F.col("total") / F.max("total").over(Window.partitionBy("query_id"))).withColumn("matched_triplets", F.transform("ts", lambda t: t["t"])).drop("total", "ts")
+    x = x.join(own, ["query_id", "item_id"], "left").withColumn("triplet_score", F.coalesce("triplet_score", F.lit(0.0))).withColumn("matched_triplets", F.coalesce("matched_triplets", F.array().cast("array<string>")))
+    return _combined(x, weights)
+
+
+def _combined(x: DataFrame, weights: Weights) -> DataFrame:
+    return x.withColumnRenamed("score", "vector_score").withColumn("combined_score", combined(weights, F.col("vector_score"), F.col("rule_score"), F.col("triplet_score")))
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, stored: DataFrame | None, config: Config | None = None, n: int = 5, rerank=None, words: dict[str, float] | None = None, enabled: bool = True, **columns) -> DataFrame:
+    """The n best chunks of each query, by all scores, or by vectors alone where ``enabled`` is off.
+
+    ``rerank(query, text)`` gives a column of scores for the best candidates where the config wants it.
+    """
+    config = config or Config()
+    if not enabled:
+        x = candidates(queries, chunks, None, Weights(1.0, 0.0, 0.0), n, words, **columns)
+        return x.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("final_score", F.col("vector_score"))
+    wanted = rerank is not None and config.rerank_enabled
+    x = candidates(queries, chunks, stored, config.weights, overfetch(n, config.rerank_candidates if wanted else None), words, **columns)
+    x = x.withColumn("rank", rank_by("combined_score", "query_id", "item_id"))
+    if not wanted:
+        return x.filter(F.col("rank") <= n).withColumn("rerank_score", F.lit(None).cast("double")).withColumn("final_score", F.col("combined_score"))
+    pool = max(config.rerank_candidates, n)
+    text = F.when(or_empty("section_title") != "", F.concat(F.col("section_title"), F.lit("\n"), or_empty("section_content"))).otherwise(or_empty("section_content"))
+    x = x.withColumn("rerank_score", F.when(F.col("rank") <= pool, rerank(F.col("query"), text)))
+    top = min(pool, n, config.rerank_top_k or n)
+    return rerank_and_fill(x, n, top, config.weights.rerank, "query_id", "item_id").drop("block")
+
+
 def explanation(vector: Column, rule: Column, section: Column, words: Column, triplet: Column, first_triplet: Column, rerank: Column, final: Column, combined_score: Column) -> Column:
     """The parts of a hit's score as text."""
-    two = lambda c: F.format_string("%.2f", c)
+    two = lambda c: fixed(c, 2)
     rules = F.concat(F.lit("규칙 매칭: "), two(rule), F.when(section, " (조항 일치)").otherwise(""), F.when(F.size(words) > 0, F.concat(F.lit(" (키워드: "), F.array_join(words, ", "), F.lit(")"))).otherwise(""))
     relation = F.concat(F.lit("관계 매칭: "), two(triplet), F.coalesce(F.concat(F.lit(" ("), first_triplet, F.lit(")")), F.lit("")))
     return F.concat_ws(

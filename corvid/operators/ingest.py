@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.functions.text import or_empty, sha_id, ustrip
+from corvid.functions.text import int_or_null, let, or_empty, sha_id, ustrip
 
 # Lengths that ids, chunks and parents keep.
 ID_PREFIX, ANSWER_PREFIX, CHUNK, STORED, PARENT, LEAST = 500, 200, 2000, 1000, 500, 10
@@ -17,8 +17,33 @@ def faq_id(question: Column, answer: Column) -> Column:
     return sha_id(question, F.substring(answer, 1, ANSWER_PREFIX))
 
 
-def chunk_id(document: Column, content: Column) -> Column:
-    return sha_id(document, F.substring(content, 1, ID_PREFIX))
+def single_faq_id(question: Column, created_at: Column) -> Column:
+    """Id of a pair that is added by itself."""
+    return sha_id(question, created_at)
+
+
+def agent_answer_id(question: Column, session: Column, created_at: Column) -> Column:
+    """Id of an agent's answer: of its session if it names one, else as any single pair."""
+    return F.when(or_empty(session) != "", sha_id(question, session, created_at)).otherwise(single_faq_id(question, created_at))
+
+
+def item_id(question: Column, now: Column) -> Column:
+    """Id of an evaluation item."""
+    return sha_id(question, now, n=12)
+
+
+def chunk_id(document: Column, title: Column, content: Column) -> Column:
+    return sha_id(document, title, F.substring(content, 1, ID_PREFIX))
+
+
+def embed_text(title: Column, content: Column) -> Column:
+    return ustrip(F.concat(or_empty(title), F.lit("\n"), or_empty(content)))
+
+
+def stored_chunks(chunks_: DataFrame) -> DataFrame:
+    """Chunks as a collection holds them: the text to embed, which must not be empty, and content cut to 1000 characters."""
+    x = chunks_.withColumn("embed_text", embed_text(F.col("section_title"), F.col("section_content"))).filter("embed_text <> ''")
+    return x.withColumn("section_content", F.substring("section_content", 1, STORED))
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -44,6 +69,41 @@ def valid_pairs(rows: DataFrame, question: str, answer: str) -> DataFrame:
     return rows.filter((or_empty(question) != "") & (or_empty(answer) != ""))
 
 
+def agent_answers(rows: DataFrame, as_of: str, order: str = "pos") -> DataFrame:
+    """Agents' answers (question, answer, category, agent_id, session_id, created_at) with status and id.
+
+    Questions and answers are stripped; a row that lacks one is skipped. A row with an ``error`` is one that could not be
+    read. ``as_of`` stands for a missing time. Missing texts are empty ones.
+    """
+    x = rows.withColumns({c: ustrip(or_empty(c)) for c in ("question", "answer")}).withColumn("created_at", F.coalesce("created_at", F.lit(as_of)))
+    broken = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+    status = F.when(broken, "error").when((F.col("question") == "") | (F.col("answer") == ""), "skipped").otherwise("added")
+    own = agent_answer_id(F.col("question"), F.col("session_id"), F.col("created_at"))
+    return x.withColumn("status", status).withColumn("id", F.when(status == "added", own)).withColumn("source", F.lit("human_agent")).withColumn("human_verified", F.lit(True))
+
+
+def backfill_summary(rows: DataFrame, order: str = "pos", shown: int = 5) -> DataFrame:
+    """One row: success, added_count, skipped_count, error_count and the first ``shown`` errors in input order."""
+    first = rows.filter("status = 'error'").orderBy(order).limit(shown).agg(F.array_sort(F.collect_list(F.struct(order, "error"))).alias("e"))
+    counts = rows.agg(F.count_if(F.col("status") == "added").alias("added_count"), F.count_if(F.col("status") == "skipped").alias("skipped_count"), F.count_if(F.col("status") == "error").alias("error_count"))
+    return counts.join(first).select((F.col("error_count") == 0).alias("success"), "added_count", "skipped_count", "error_count", F.transform("e", lambda x: x["error"]).alias("errors"))
+
+
+def valid_or_all(rows: DataFrame) -> DataFrame:
+    """Rows without error, or the rows as they came if none is."""
+    valid = rows.agg(F.count_if(F.col("error").isNull()).alias("__valid"))
+    return rows.join(F.broadcast(valid)).filter("error is null or __valid = 0").drop("__valid")
+
+
+def validation_message(rows: DataFrame, order: str, shown: int = 5) -> DataFrame:
+    """One row with the first errors by ``order`` and how many more there are; null without errors."""
+    bad = rows.filter("error is not null")
+    first = bad.orderBy(order).limit(shown).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "error"))), lambda x: x["error"]), "; ").alias("m"))
+    n = bad.agg(F.count("*").alias("n"))
+    more = F.when(F.col("n") > shown, F.concat(F.lit(" (and "), (F.col("n") - shown).cast("string"), F.lit(" more)"))).otherwise("")
+    return first.join(n).select(F.when(F.col("n") > 0, F.concat(F.lit("Dataset validation failed: "), F.col("m"), more)).alias("message"))
+
+
 def validate(rows: DataFrame, required: list[str]) -> DataFrame:
     """``rows`` with error: the first required field that is missing or blank, else null."""
     checks = [F.when(ustrip(or_empty(c)) == "", F.lit(f"{c}: empty")) for c in required]
@@ -58,21 +118,25 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def sections(text: Column, header: str = HEADER) -> Column:
     """array<struct<title, content>> by one pass over the lines: a header line opens a section, blank lines go, and so do lines before the first header."""
     lines = F.filter(F.transform(F.split(text, "\n"), ustrip), lambda x: x != "")
-    empty = F.array().cast("array<struct<title:string,lines:array<string>>>")
+    empty = F.array().cast("array<struct<title:string,content:string>>")
+
+    def cut(all_: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(all_)), lambda k: F.element_at(all_, k).rlike(header))
+        return F.when(F.size(all_) > 0, let(places, lambda p: F.when(F.size(p) > 0, F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: section(all_, p, k))).otherwise(empty))).otherwise(empty)
 
-    def add(acc: Column, line: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["title"].alias("title"), F.concat(last["lines"], F.array(line)).alias("lines"))))
-        return F.when(line.rlike(header), F.concat(acc, F.array(F.struct(line.alias("title"), F.array().cast("array<string>").alias("lines"))))).when(F.size(acc) > 0, longer).otherwise(acc)
+    def section(all_: Column, p: Column, k: Column) -> Column:
+        at = F.element_at(p, k)
+        after = F.coalesce(F.get(p, k), F.size(all_) + 1)
+        return F.struct(F.element_at(all_, at).alias("title"), F.array_join(F.slice(all_, at + 1, after - at - 1), "\n").alias("content"))
 
-    return F.transform(F.aggregate(lines, empty, add), lambda s: F.struct(s["title"].alias("title"), F.array_join(s["lines"], "\n").alias("content")))
+    return let(lines, cut)
 
 
 def parent_context(title: Column, full: Column) -> Column:
-    """The text from the article before this one, 500 characters from its first mention; null without one."""
-    n = F.regexp_extract(title, HEADER, 1).try_cast("int")
-    at = F.regexp_instr(full, F.concat(F.lit(r"제\s*"), (n - 1).cast("string"), F.lit(r"\s*조")))
-    return F.when((n > 1) & (at > 0), full.substr(at, F.lit(PARENT)))
+    """500 characters from the first header (number and title in brackets) of the article before this one; empty without one."""
+    n = int_or_null(F.regexp_extract(title, "(?U)" + HEADER, 1))
+    at = F.regexp_instr(full, F.concat(F.lit(r"(?U)제\s*"), (n - 1).cast("string"), F.lit(r"\s*조\s*[\(（][^)）]+[\)）]")))
+    return F.when((n > 1) & (at > 0), full.substr(at, F.lit(PARENT))).otherwise("")
 
 
 def chunks(docs: DataFrame, document: str, text: str, given: str | None = None, header: str = HEADER) -> DataFrame:
@@ -95,4 +159,4 @@ def chunks(docs: DataFrame, document: str, text: str, given: str | None = None,
         own = F.transform(F.filter(F.col(given), usable), shape)
         found = F.when(F.size(own) > 0, own).otherwise(found)
     x = docs.withColumn("__s", F.explode(found)).withColumn("section_title", F.col("__s.title")).withColumn("section_content", F.col("__s.content"))
-    return x.withColumn("parent_content", parent_context(F.col("section_title"), body)).withColumn("chunk_id", chunk_id(F.col(document), F.col("section_content"))).drop("__s")
+    return x.withColumn("parent_content", parent_context(F.col("section_title"), body)).withColumn("chunk_id", chunk_id(F.col(document), F.col("section_title"), F.col("section_content"))).drop("__s")

@@ -10,23 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from corvid.functions.jsons import field, lenient
-from corvid.functions.text import let, ngrams, tokens
+from corvid.functions.text import let, ngrams, or_empty, tokens, ustrip
 from corvid.functions.vectors import clamp, dot
 
-# Criteria of a judge, its scale and its neutral score.
-CRITERIA, NEUTRAL = ["correctness", "helpfulness", "faithfulness", "fluency"], 3.0
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Clamped dot product of unit vectors; 0 without both."""
     return F.coalesce(clamp(dot(a, b)), F.lit(0.0))
 
 
-def bleu(reference: Column, candidate: Column, n: int = 4) -> Column:
+def bleu(reference: Column, candidate: Column, n: int = 4, tokenizer=tokens) -> Column:
     """BLEU whose precision is the share of candidate n-grams that the reference holds at all, with a brevity penalty.
 
-    Zero precisions count as 1e-10, unless all are zero: then the score is 0, as it is without tokens.
+    ``tokenizer`` gives a text's tokens; a morphological one plugs in here. Zero precisions count as 1e-10, unless all are zero: then the score is 0, as it is without tokens.
     """
     def of(t: Column) -> Column:
         grams = F.struct(*[ngrams(t[side], k).alias(f"{side}{k}") for side in ("r", "c") for k in range(1, n + 1)])
@@ -40,7 +35,7 @@ def bleu(reference: Column, candidate: Column, n: int = 4) -> Column:
         penalty = F.when(F.size(t["c"]) >= F.size(t["r"]), 1.0).otherwise(F.exp(1 - F.size(t["r"]) / F.nullif(F.size(t["c"]), F.lit(0))))
         return F.when((F.size(t["r"]) == 0) | (F.size(t["c"]) == 0) | (F.array_max(p) == 0), 0.0).otherwise(F.exp(mean) * penalty)
 
-    return let(F.struct(tokens(reference).alias("r"), tokens(candidate).alias("c")), of)
+    return let(F.struct(tokenizer(reference).alias("r"), tokenizer(candidate).alias("c")), of)
 
 
 def overlap(retrieved: Column, expected: Column) -> tuple[Column, Column]:
@@ -51,26 +46,25 @@ def overlap(retrieved: Column, expected: Column) -> tuple[Column, Column]:
     return pick(F.size(want)), pick(F.size(got))
 
 
-def judge_scores(reply: Column, low: float = 1.0, high: float = 5.0) -> Column:
-    """struct of the criteria's scores clamped to the scale (3 where missing) and overall (their mean where missing)."""
-    v = lenient(reply)
-    scores = {c: F.coalesce(clamp(F.coalesce(field(v, f"$.{c}.score", "double"), field(v, f"$.{c}", "double")), low, high), F.lit(NEUTRAL)) for c in CRITERIA}
-    mean = sum(list(scores.values())[1:], scores[CRITERIA[0]]) / len(CRITERIA)
-    overall = F.coalesce(clamp(field(v, "$.overall_score", "double"), low, high), mean)
-    return F.struct(*[s.alias(c) for c, s in scores.items()], overall.alias("overall"))
-
-
 def normalised(score: Column) -> Column:
     """1 to 5 as 0 to 1; 0 and less as 0."""
     return F.when(score <= 0, 0.0).otherwise((score - 1) / 4)
 
 
-def token_counts(usage: Column) -> tuple[Column, Column]:
-    """Input and output tokens under any of their names, output also as total less input."""
-    first = lambda *names: F.coalesce(*[F.try_element_at(usage, F.lit(x)) for x in names])
-    put = F.coalesce(first("input", "prompt_tokens", "input_tokens"), F.lit(0))
-    got = F.coalesce(first("output", "completion_tokens", "output_tokens"), F.greatest(first("total_tokens") - put, F.lit(0)), F.lit(0))
-    return put, got
+def token_counts(response: Column, metadata: Column | None = None) -> tuple[Column, Column]:
+    """Input and output tokens, from the response itself, else from its metadata; output also as total less input, 0 at least."""
+    none = F.lit(None).cast("int")
+    own = lambda x: F.try_element_at(response, F.lit(x))
+    told = lambda x: none if metadata is None else F.try_element_at(metadata, F.lit(x))
+    put = F.coalesce(own("input_tokens"), told("prompt_tokens"), told("input_tokens"), F.lit(0))
+    total = F.coalesce(told("total_tokens"), told("tokens_used"))
+    return put, F.coalesce(own("output_tokens"), own("completion_tokens"), told("completion_tokens"), F.when(total.isNotNull(), F.greatest(total - put, F.lit(0))), F.lit(0))
+
+
+def lightweight(expected: Column, generated: Column) -> dict[str, Column]:
+    """BLEU, equality and ratio of matching blocks, the latter two of stripped texts."""
+    a, b = ustrip(or_empty(expected)), ustrip(or_empty(generated))
+    return {"bleu": bleu(expected, generated), "exact_match": a == b, "string_similarity": sequence_ratio(a, b)}
 
 
 @F.pandas_udf(DoubleType())

@@ -30,6 +30,31 @@ def page_count(html: Column) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(F.regexp_extract_all(html, F.lit(r"goPage\(['\"]?(\d+)['\"]?\)"), F.lit(1)), lambda x: x.cast("int"))), F.lit(1)))
 
 
+def table_page_count(html: Column) -> Column:
+    """Largest page number of paging links, by their text in digits or their handler, at least 1."""
+    numbers = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<a\b[^>]*>(.*?)</a>"), F.lit(1)), without_tags), lambda t: t.rlike(r"^\d+$"))
+    return F.greatest(page_count(html), F.coalesce(F.array_max(F.transform(numbers, lambda t: t.try_cast("int"))), F.lit(1)))
+
+
+def faq_scan(pages_: DataFrame, names: dict[str, str], category: str = "category", html: str = "html") -> DataFrame:
+    """Pairs of all pages of all categories: one scan of (category code, html) in place of a loop, codes as names, sub-categories from brackets."""
+    x = pages_.withColumn("__item", F.explode(faq_items(F.col(html)))).withColumn("question", F.col("__item.question")).withColumn("answer", F.col("__item.answer"))
+    return x.withColumn("category", named(F.col(category), names)).withColumn("sub_category", subcategory(F.col("question"))).drop("__item", html)
+
+
+def details(html: Column, frame: Column) -> Column:
+    """struct of a document's title, content, sections, date of effect and revisions, from its page and the frame in it, whose text goes first."""
+    body = F.coalesce(F.nullif(frame, F.lit("")), html)
+    text = without_tags(body)
+    return F.struct(first_text(html, "h1").alias("title"), text.alias("content"), heading_sections(body).alias("sections"), effective_date(text).alias("effective_date"), revisions(text).alias("revision_history"))
+
+
+def listed_details(listed: DataFrame, pages_: DataFrame, key: str = "num") -> DataFrame:
+    """Listed documents (num, title, ...) with the details of their pages (num, html, frame); those without a number or page go."""
+    found = pages_.select(key, details(F.col("html"), F.col("frame")).alias("detail"))
+    return with_details(listed.filter(F.coalesce(key, F.lit("")) != ""), found, key)
+
+
 def view_parameters(onclick: Column) -> Column:
     at = lambda g: F.regexp_extract(onclick, r"doView\(\s*'([^']*)'\s*,\s*'([^']*)'\s*\)", g)
     return F.struct(at(1).alias("num"), at(2).alias("row_num"))
@@ -67,7 +92,7 @@ def without_label(text: Column, label: str) -> Column:
 def heading_sections(html: Column, heading: str = "h2", siblings: tuple[str, ...] = ("p", "ul", "ol", "div")) -> Column:
     """array<struct<title, content>>: each heading with the text of the element right after it, if that is one of ``siblings``."""
     follow = "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in siblings)
-    pattern = F.lit(rf"(?s)<{heading}\b[^>]*>(.*?)</{heading}>\s*({follow})")
+    pattern = F.lit(rf"(?s)<{heading}\b[^>]*>((?:(?!</{heading}>).)*)</{heading}>\s*({follow})")
     pairs = F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(1)).alias("a"), F.regexp_extract_all(html, pattern, F.lit(2)).alias("b"))
     return F.transform(pairs, lambda m: F.struct(without_tags(m["a"]).alias("title"), without_tags(m["b"]).alias("content")))
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.sources.shared import drop_shared, write_shared
+
 BLOCK = 2048
 
 
@@ -35,41 +37,64 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(rows)
 
 
-def _scored(k: int, same_category: bool, exclude_self: bool, digits: int):
+def _scored(k: int | None, same_category: bool, exclude_self: bool, earlier: bool, least: float | None):
+    """Per query the k best items of a block, or all with a score of ``least`` or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
                 q_ids, q_cat, q, i_ids, i_cat, x, d = (batch.column(n)[r].as_py() for n in ("q_ids", "q_categories", "q_data", "ids", "categories", "data", "d"))
                 q, x = np.frombuffer(q).reshape(-1, d), np.frombuffer(x).reshape(-1, d)
                 q_ids, i_ids = np.array(q_ids), np.array(i_ids)
-                scores = np.round(q @ x.T, digits)
+                scores = q @ x.T
                 if same_category:
                     a, b = (np.array([np.nan if c is None else c for c in z], float) for z in (q_cat, i_cat))
                     scores[a[:, None] != b[None, :]] = -np.inf
                 if exclude_self:
                     scores[q_ids[:, None] == i_ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(i_ids, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, 1).ravel()
-                keep = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])[keep]), pa.array(i_ids[order].ravel()[keep]), pa.array(best[keep])], ["query_id", "item_id", "score"])
+                if earlier:
+                    scores[q_ids[:, None] <= i_ids[None, :]] = -np.inf
+                n = scores.shape[1]
+                cut = np.full(len(q), -np.inf) if k is None or k >= n else np.partition(scores, n - k, axis=1)[:, n - k]
+                cut = cut if least is None else np.maximum(cut, least)
+                for s in range(0, len(q), 256):
+                    a, b = np.nonzero((scores[s : s + 256] >= cut[s : s + 256, None] - 1e-9) & np.isfinite(scores[s : s + 256]))
+                    a += s
+                    # A product of matrices may round equal pairs differently; a sum by row does not.
+                    exact = (q[a] * x[b]).sum(1)
+                    order = np.lexsort((i_ids[b], -exact, a))
+                    a, b, exact = a[order], b[order], exact[order]
+                    keep = np.ones(len(a), bool) if k is None else np.arange(len(a)) - np.searchsorted(a, a, "left") < k
+                    keep &= True if least is None else exact >= least
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[keep]]), pa.array(i_ids[b[keep]]), pa.array(exact[keep])], ["query_id", "item_id", "score"])
 
     return run
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", category_col: str | None = None, same_category: bool = False, threshold: float | None = None, exclude_self: bool = True, digits: int = 6) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", category_col: str | None = None, same_category: bool = False, threshold: float | None = None, exclude_self: bool = True, earlier: bool = False) -> DataFrame:
     """(query_id, item_id, score, rank) of each query's k nearest items by cosine; ties go to the smaller id.
 
     Queries meet items as blocks of packed vectors: a pair of blocks is one matrix product that returns at most k rows
     a query, and a rank over those gives the answer. The category filter applies before the top k, ``threshold`` after.
+    ``earlier``: only items with a smaller id than the query's. Scores are not rounded.
     """
+    found = _blocks(queries, items, _scored(k, same_category, exclude_self, earlier, None), id_col, vector_col, category_col)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
+    out = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out if threshold is None else out.filter(F.col("score") >= threshold)
+
+
+def pairs_within(queries: DataFrame, items: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", earlier: bool = False) -> DataFrame:
+    """(query_id, item_id, score) of all pairs with a score of ``least`` or more, in the same blocks."""
+    return _blocks(queries, items, _scored(None, False, True, earlier, least), id_col, vector_col, None)
+
+
+def _blocks(queries: DataFrame, items: DataFrame, scored, id_col: str, vector_col: str, category_col: str | None) -> DataFrame:
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), (F.col(category_col) if category_col else F.lit(None)).cast("long").alias("category"))
     schema = "ids array<long>, categories array<long>, data binary, d int"
     q = pick(queries).mapInArrow(_packed, schema).select(F.col("ids").alias("q_ids"), F.col("categories").alias("q_categories"), F.col("data").alias("q_data"), F.col("d").alias("q_d"))
     pairs = pick(items).mapInArrow(_packed, schema).crossJoin(q).filter("d = q_d")
-    found = pairs.mapInArrow(_scored(k, same_category, exclude_self, digits), "query_id long, item_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    out = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return out if threshold is None else out.filter(F.col("score") >= threshold)
+    return pairs.mapInArrow(scored, "query_id long, item_id long, score double")
 
 
 def dedup_hits(hits: DataFrame, key: str, per: str = "query_id") -> DataFrame:
@@ -82,11 +107,34 @@ def lookup(items: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return items.join(ids.select(id_col).distinct(), id_col, "left_semi").withColumn("score", F.lit(1.0))
 
 
-def near_duplicate_gate(new: DataFrame, existing: DataFrame, threshold: float = 0.9, **columns) -> DataFrame:
-    """(query_id, best_id, best_score, inserted) against a snapshot of the collection: inserted if no neighbour reaches the threshold."""
-    best = top_k(new, existing, 1, **columns).select("query_id", F.col("item_id").alias("best_id"), F.col("score").alias("best_score"))
-    ids = new.select(F.col(columns.get("id_col", "vec_id")).alias("query_id"))
-    return ids.join(best, "query_id", "left").withColumn("inserted", F.coalesce(F.col("best_score") < threshold, F.lit(True)))
+def near_duplicates(queries: DataFrame, items: DataFrame, n: int = 3, least: float = 0.85, **columns) -> DataFrame:
+    """Of each query's n nearest items those within ``least``: what to look at before a pair is added."""
+    return top_k(queries, items, n, threshold=least, **columns)
+
+
+def near_duplicate_gate(new: DataFrame, existing: DataFrame | None = None, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, best_id, best_score, inserted) of rows that arrive by id and go in if nothing there reaches the threshold.
+
+    A row meets the collection and the earlier rows that went in. Rows without an earlier neighbour go in, those with one
+    that did go don't, and so on in rounds over the pairs within the threshold, each written to the shared folder.
+    """
+    spark, of = new.sparkSession, {"id_col": id_col, "vector_col": vector_col}
+    ids = new.select(F.col(id_col).cast("long").alias("query_id"))
+    taken = ids.limit(0) if existing is None else top_k(new, existing, 1, exclude_self=False, threshold=threshold, **of).select("query_id")
+    edges, edges_path = write_shared(pairs_within(new, new, threshold, earlier=True, **of).select("query_id", "item_id"), "edges")
+    state, path = write_shared(ids.join(taken.withColumn("there", F.lit(True)), "query_id", "left").select("query_id", F.when(F.col("there"), False).alias("inserted")), "gate")
+    while not state.filter("inserted is null").isEmpty():
+        before = edges.join(state.select(F.col("query_id").alias("item_id"), F.col("inserted").alias("there")), "item_id")
+        before = before.groupBy("query_id").agg(F.coalesce(F.bool_or("there"), F.lit(False)).alias("met"), F.count_if(F.col("there").isNull()).alias("open"))
+        now = F.when(F.col("inserted").isNotNull(), F.col("inserted")).when(F.col("met"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        new_state, new_path = write_shared(state.join(before, "query_id", "left").select("query_id", now.alias("inserted")), "gate")
+        drop_shared(spark, path)
+        state, path = new_state, new_path
+    inside = new.join(state.filter("inserted"), F.col(id_col) == F.col("query_id"), "left_semi")
+    best = top_k(new, inside, 1, earlier=True, **of)
+    if existing is not None:
+        best = best.unionByName(top_k(new, existing, 1, exclude_self=False, **of)).groupBy("query_id").agg(F.max_by(F.struct("score", "item_id"), F.struct(F.col("score"), -F.col("item_id"))).alias("b")).select("query_id", "b.*")
+    return state.join(best.select("query_id", F.col("item_id").alias("best_id"), F.col("score").alias("best_score")), "query_id", "left").select("query_id", "best_id", "best_score", "inserted")
 
 
 def approximate_pairs(queries: DataFrame, items: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", bucket: float = 0.5, tables: int = 8, seed: int = 1) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions.text import ustrip
@@ -104,3 +104,29 @@ def chunk_scores(hits: DataFrame, by: list[str]) -> DataFrame:
     sums = hits.groupBy(*by, "chunk_id").agg(F.sum("score").alias("total"))
     best = sums.groupBy(*by).agg(F.max("total").alias("best"))
     return sums.join(best, by).withColumn("triplet_score", F.col("total") / F.col("best")).drop("best")
+
+
+def by_chunk(triplets: DataFrame, chunk: str) -> DataFrame:
+    return triplets.filter(F.col("chunk_id") == chunk)
+
+
+def build_index(chunks: DataFrame, patterns: list[Pattern] | None = None, chunk_id: str = "id", title: str = "section_title", content: str = "section_content") -> tuple[DataFrame, DataFrame]:
+    """The store of a collection's triplets, and one row with how many were extracted (not stored) and how many are stored."""
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(content, F.lit("")))
+    found = extract_all(chunks, chunk_id, text, patterns)
+    kept = store(found)
+    return kept, found.agg(F.count("*").alias("extracted")).join(kept.agg(F.count("*").alias("stored")))
+
+
+def save(triplets: DataFrame, path: str) -> None:
+    triplets.select("triplet_id", "subject", "predicate", "object", "chunk_id", "confidence").write.mode("overwrite").json(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`save` wrote; ids are made anew, and of equal triplets one stays."""
+    rows = spark.read.schema("subject string, predicate string, object string, chunk_id string, confidence double").json(path)
+    return store(rows.withColumn("triplet_id", triplet_id()))
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([], "triplet_id string, subject string, predicate string, object string, chunk_id string, confidence double").write.mode("overwrite").json(path)

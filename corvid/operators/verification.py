@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvid.functions.jsons import field, lenient
+from corvid.functions.text import let, or_empty
 from corvid.functions.vectors import clamp
 
-# Citation pattern, article pattern, hedging phrases, penalties and limits.
+# Citation pattern, article pattern, hedging phrases and the texts of signs, penalties and limits.
 CITATION = r"\[참조:\s*([^\]]+)\]|\[출처:\s*([^\]]+)\]"
 ARTICLE = r"제\s*\d+\s*조"
 HEDGES = ["일반적으로", "보통", "아마도", "~할 수도 있습니다", "제 생각에는", "추측컨대"]
+HEDGE_SIGN, LONG_SIGN = "불확실한 표현 감지: '{}'", "긴 답변에 출처가 없습니다"
 CITATION_PENALTY, SIGN_PENALTY, LONG_ANSWER, THRESHOLD = 0.3, 0.15, 500, 0.7
 
 
@@ -36,8 +39,8 @@ def citations_valid(answer: Column, titles: Column, required: bool = True) -> Co
 
 def hedges(answer: Column) -> Column:
     """Signs of doubt: hedging phrases, and a long answer without a citation."""
-    signs = [F.when(answer.contains(h), F.lit(h)) for h in HEDGES]
-    signs.append(F.when((F.length(answer) > LONG_ANSWER) & ~answer.rlike(CITATION), F.lit("long answer without source")))
+    signs = [F.when(answer.contains(h), F.lit(HEDGE_SIGN.format(h))) for h in HEDGES]
+    signs.append(F.when((F.length(answer) > LONG_ANSWER) & ~answer.rlike(CITATION), F.lit(LONG_SIGN)))
     return F.filter(F.array(*signs), lambda s: s.isNotNull())
 
 
@@ -54,11 +57,43 @@ def verified(confidence_: Column, valid: Column, signs: Column, threshold: float
     return (confidence_ >= threshold) & valid & (F.size(signs) == 0)
 
 
-def reasoning(valid: Column, signs: Column) -> Column:
+def quick_verdict(answer: Column, titles: Column, required: bool = True) -> Column:
+    """By the rules alone: valid citations and no sign of doubt."""
+    return citations_valid(answer, titles, required) & (F.size(hedges(answer)) == 0)
+
+
+def check_prompt(question: Column, answer: Column, context: Column) -> Column:
+    """What a model is asked to check; ``context`` has items (title, content)."""
+    sources = F.array_join(F.transform(context, lambda c: F.concat(F.lit("["), or_empty(c["title"]), F.lit("]\n"), or_empty(c["content"]))), "\n\n")
+    return F.concat(F.lit("Sources:\n"), sources, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer: "), answer, F.lit('\n\nDoes every statement of the answer follow from the sources? Reply as {"verified": true or false, "confidence": 0 to 1, "reasoning": "..."}.'))
+
+
+def model_verdict(reply: Column) -> Column:
+    """struct<verified, confidence, reasoning> of a model's reply; null if there is none to be read."""
+    v = lenient(reply)
+    parts = F.struct(F.coalesce(field(v, "$.verified", "boolean"), F.lit(False)).alias("verified"), F.coalesce(field(v, "$.confidence", "double"), F.lit(0.5)).alias("confidence"), or_empty(field(v, "$.reasoning", "string")).alias("reasoning"))
+    return F.when(v.isNotNull(), parts)
+
+
+def verify(answer: Column, titles: Column, reply: Column | None = None, required: bool = True, threshold: float = THRESHOLD) -> Column:
+    """struct<verified, confidence, issues, reasoning, citations_valid> by the rules and, where there is one, a model's reply."""
+
+    def of(x: Column) -> Column:
+        verdict = x["verdict"]
+        c = confidence(x["valid"], x["signs"], verdict["confidence"], verdict.isNotNull())
+        return F.struct(verified(c, x["valid"], x["signs"], threshold).alias("verified"), c.alias("confidence"), x["signs"].alias("issues"), reasoning(x["valid"], x["signs"], verdict).alias("reasoning"), x["valid"].alias("citations_valid"))
+
+    verdict = model_verdict(reply if reply is not None else F.lit(None).cast("string"))
+    return let(F.struct(citations_valid(answer, titles, required).alias("valid"), hedges(answer).alias("signs"), verdict.alias("verdict")), of)
+
+
+def reasoning(valid: Column, signs: Column, verdict: Column | None = None) -> Column:
+    model = [] if verdict is None else [F.when(verdict["verified"], "✓ LLM 검증 통과").when(verdict.isNotNull(), F.concat(F.lit("✗ LLM 검증 실패: "), verdict["reasoning"]))]
     return F.concat_ws(
         " | ",
         F.when(valid, "✓ 출처 인용이 유효합니다").otherwise("✗ 출처 인용에 문제가 있습니다"),
         F.when(F.size(signs) == 0, "✓ 불확실한 표현이 감지되지 않았습니다").otherwise(F.concat(F.lit("✗ "), F.size(signs).cast("string"), F.lit("개의 주의 표현이 감지되었습니다"))),
+        *model,
     )
 
 

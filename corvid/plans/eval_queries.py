@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvid.functions.jsons import field, lenient
-from corvid.operators import aggregates, metrics, routing, verification
+from corvid import providers
+from corvid.operators import aggregates, cases, judging, metrics, results, routing, search, verification
 from corvid.plans import fixtures as fx
 from corvid.plans.fixtures import table
+from corvid.plans.search_queries import hits_sql
 from corvid.sources import sinks
 
 
@@ -21,10 +23,119 @@ FAQ_SQL = """faq AS (SELECT conv_id, turn, coalesce(text, '') AS question, coale
   SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) WHERE role = 'user' AND next_role = 'assistant')"""
 
 
+def _hits(spark, d):
+    """Each query vector's five nearest documents as a list of hits."""
+    v = table(spark, d, "embeddings")
+    hits = search.top_k(v.filter("vec_id % 100 = 0"), v, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source", "lang", "text"), "item_id")
+    hit = F.struct("rank", F.round("score", 6).alias("score"), F.col("source").alias("document"), F.col("lang").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+
+
 def response_assembly(spark, d):
-    hits = F.array(F.struct(F.lit("faq").alias("document"), F.col("question").alias("title"), F.col("answer").alias("content"), F.lit(0.75).alias("score")), F.struct(F.lit("faq").alias("document"), F.lit("2").alias("title"), F.lit("").alias("content"), F.lit(0.25).alias("score")))
-    x = _faq(spark, d).withColumn("hits", hits).withColumn("kept", routing.relevant(F.col("hits"), 0.8))
-    return x.select("conv_id", "turn", F.md5(routing.context_text(F.col("kept")).cast("binary")).alias("context_md5"), routing.mean_score(F.col("hits")).alias("confidence"), F.size("kept").alias("n_context"), F.array_join(routing.citations_or_titles(F.col("answer"), F.col("hits")), ";").alias("citations"), F.lit("faq").alias("source"))
+    x = _hits(spark, d).withColumn("kept", routing.relevant(F.col("hits"), 0.5))
+    answer = F.when(F.col("query_id") % 200 == 0, "답변 [참조: 제1조]").otherwise("답변")
+    return x.select("query_id", F.md5(routing.context_text(F.col("kept")).cast("binary")).alias("context_md5"), F.round(routing.mean_score(F.col("hits")), 6).alias("confidence"), F.size("kept").alias("n_context"), F.array_join(routing.citations_or_titles(answer, F.col("hits")), ";").alias("citations"), F.lit("faq").alias("source"))
+
+
+SECTION_HIT = "query_id int, rank int, document_title string, section_title string, section_content string, score double, combined_score double, final_score double, rerank_score double, words array<string>"
+SECTION_HITS = [
+    (1, 1, "약관", "제1조(목적)", "가" * 600, 0.5, 0.6, 0.75, 2.5, ["해지", "환불"]), (1, 2, "약관", "제2조(해지)", "짧다", 0.5, 0.25, None, None, ["환불"]), (1, 3, None, None, None, None, None, None, None, []),
+    (2, 1, "정보", "", "내용", 0.375, None, None, None, ["동의"]),
+]
+
+
+def _section_hits(spark):
+    return results.section_results(fx.rows(spark, SECTION_HIT, SECTION_HITS))
+
+
+def section_results(spark, d):
+    return _section_hits(spark).select("query_id", "rank", "document_title", "section_title", "category", "score", "vector_score", "combined_score")
+
+
+def section_response(spark, d):
+    """Context, items, confidence and metadata of the hits of a query."""
+    x = _section_hits(spark).withColumn("matched_keywords", F.col("words")).withColumn("matched_triplets", F.transform("words", lambda w: F.concat(w, F.lit("-t"))))
+    x = x.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "document_title", "section_title", "section_content", "score", *results.SCORES, "matched_keywords", "matched_triplets"))).alias("hits"))
+    m = results.section_metadata(F.col("hits"), F.lit("제1조"), F.col("query_id") == 2)
+    items = results.context_items(F.col("hits"))
+    return x.select("query_id", results.section_context(F.col("hits")).alias("context"), F.round(results.section_confidence(F.col("hits")), 6).alias("confidence"), F.array_join(F.transform(items, lambda i: F.length(i["section_content"]).cast("string")), ",").alias("n_chars"), F.array_join(F.transform(items, lambda i: F.size(i["scores"]).cast("string")), ",").alias("n_scores"),
+                    F.size(results.verification_items(items)).alias("n_items"), m["confidence_band"].alias("band"), F.array_join(m["matched_keywords"], ",").alias("words"), F.array_join(m["matched_triplets"], ",").alias("triplets"))
+
+
+def faq_results(spark, d):
+    """Pairs under the fixed names of results, as the search tool returns them when 20 are asked for."""
+    x = _faq(spark, d).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "question", "answer", (F.col("turn") / 64).alias("score"), F.when(F.col("turn") % 4 == 0, "web").alias("source"))
+    return results.for_tool(results.faq_results(x), 20).select("query_id", "rank", F.md5(F.col("question").cast("binary")).alias("question_md5"), "category", "source", "score")
+
+
+def responses(spark, d):
+    """Responses with all their columns, rounded as the question tool does; low scores ask back or hand over."""
+    x = fx.rows(spark, fx.BAND_SCHEMA, fx.BANDS).withColumn("s", F.coalesce("score", F.lit(0.0))).withColumn("n", results.no_answer(F.col("s")))
+    x = x.select("id", F.lit("q").alias("query"), F.when(F.col("s") < 0.55, F.col("n.source")).alias("source"), F.when(F.col("s") < 0.55, F.col("n.confidence")).otherwise(F.col("s")).alias("confidence"), F.when(F.col("s") < 0.55, F.col("n.response_mode")).alias("response_mode"))
+    return results.asked(results.response(x)).drop("citations", "verification_issues")
+
+
+def model_verdicts(spark, d):
+    """Rules and a model's reply together, and the rules alone."""
+    x = fx.rows(spark, "id int, reply string", VERDICTS).join(fx.rows(spark, fx.ANSWER_SCHEMA, fx.ANSWERS), "id")
+    v = verification.verify(F.col("answer"), F.col("titles"), F.col("reply"))
+    return x.withColumn("v", v).select("id", F.col("v.verified").alias("verified"), F.round("v.confidence", 6).alias("confidence"), F.size("v.issues").alias("n_issues"), F.col("v.reasoning").alias("reasoning"), verification.quick_verdict(F.col("answer"), F.col("titles")).alias("quick"))
+
+
+VERDICTS = [(1, '{"verified": true, "confidence": 0.9}'), (2, 'no {"other": 1} but {"verified": false, "confidence": 0.5, "reasoning": "왜냐"}'), (3, "```json\n{\"verified\": true}\n```"), (4, "none"), (5, None), (6, '{"confidence": 0.25}')]
+
+
+def evaluated_cases(spark, d):
+    """All pairs as cases: the question as the expected answer, the answer as the generated one, a context of one item."""
+    item = F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.lit(None).cast("string").alias("id"), F.lit("s").alias("source"), F.lit("제1조(목적)").alias("section_title"), F.lit("t").alias("title"), F.lit("x").alias("content"))
+    wanted = F.when(F.col("turn") % 4 == 0, F.array(F.concat(F.lit("c"), F.col("conv_id").cast("string")))).when(F.col("turn") % 4 == 2, F.array().cast("array<string>"))
+    x = _faq(spark, d).select("conv_id", "turn", "question", F.col("question").alias("expected_answer"), "answer", F.when(F.col("turn") % 8 == 6, "timeout").alias("error"), F.array(item).alias("context"), wanted.alias("expected_sources"))
+    x = cases.evaluated(cases.answered(x, lambda c: c))
+    return x.select("conv_id", "turn", F.round("bleu", 6).alias("bleu"), "faithfulness", "verified", F.size("issues").alias("n_issues"), "evaluated", "recall", "precision", "judge", "output_tokens")
+
+
+def eval_subset(spark, d):
+    """The first cases of two categories that have a question and an expected answer."""
+    x = cases.usable(_cases(spark, d).withColumn("expected_answer", F.when(F.col("case_id") % 7 > 0, F.col("question"))))
+    return cases.limited(cases.in_categories(x, ["en", "fr"]), "case_id", 20).select("case_id", "category")
+
+
+def golden_items(spark, d):
+    """Items for all questions; the stand-in generator answers with its context, and fails on a few."""
+    item = F.struct(F.when(F.col("turn") % 4 == 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("doc_id"), F.lit("").alias("id"), F.lit(None).cast("string").alias("source"), F.lit("제1조").alias("section_title"), F.when(F.col("turn") % 4 == 0, F.col("answer")).alias("content"), F.col("question").alias("question"), F.col("answer").alias("answer"))
+    x = _faq(spark, d).select("question", F.lit(None).cast("string").alias("category"), F.when(F.col("turn") % 8 == 6, "odd").when(F.col("turn") % 8 == 2, "easy").alias("difficulty"), F.array(item).alias("context"))
+    x = cases.golden_items(x, lambda prompt, context: F.concat(F.lit(" "), context, F.length(prompt).cast("string")), "2026-02-01T00:00:00")
+    return x.select("id", F.md5(F.col("golden_answer").cast("binary")).alias("answer_md5"), "category", "difficulty", F.array_join("expected_sources", ",").alias("sources")).distinct()
+
+
+def retrieval_union(spark, d):
+    v = table(spark, d, "embeddings")
+    q = v.filter("vec_id % 100 = 0")
+    return cases.retrieval_union(search.top_k(q, v, 3, category_col="label", same_category=True), search.top_k(q, v, 5))
+
+
+def golden_sets(spark, d):
+    rows = [r for kind in ("sections", "adversarial") for r in cases.golden_set(kind)]
+    return fx.rows(spark, "id string, question string, expected_answer string, category string", rows).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("question").alias("n_questions"), F.min("id").alias("first_id"))
+
+
+def judge_per_criterion(spark, d):
+    x = fx.rows(spark, "id int, a string, b string, context string", [(1, '{"score": 4}', "```json\n{\"score\": 2.5, \"reasoning\": \"r\"}\n```", None), (2, "broken", '{"reasoning": "{}"}', None), (3, 'says {"score": 7} here', None, None)])
+    s = judging.per_criterion({"correctness": F.col("a"), "fluency": F.col("b")})
+    return x.select("id", s["correctness"].alias("correctness"), s["fluency"].alias("fluency"), s["overall"].alias("overall"))
+
+
+def judge_columns(spark, d):
+    """Scores with a context, and neutral ones where the judge failed."""
+    x = fx.rows(spark, "id int, reply string, error string", [(1, '{"context_faithfulness": {"score": 5}, "correctness": {"score": 4}, "overall_score": 5}', None), (2, None, "timeout")])
+    s = judging.judged_or_neutral(judging.judge_scores(F.col("reply"), judging.CONTEXT_CRITERIA), F.col("error"), judging.CONTEXT_CRITERIA)
+    return x.withColumn("s", s).select("id", *[c.alias(n) for n, c in judging.judge_columns(F.col("s"), context=True).items()])
+
+
+def embed_forms(spark, d):
+    """Documents and queries as an embedding model of the prefixed kind gets them."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.md5(providers.passage(t).cast("binary")).alias("passage_md5"), F.md5(providers.query(t).cast("binary")).alias("query_md5"))
 
 
 def citations(spark, d):
@@ -108,30 +219,51 @@ def judge_normalise(spark, d):
     return fx.rows(spark, fx.JUDGE_SCHEMA, fx.JUDGES).select("id", metrics.normalised(F.col("score")).alias("normalised"))
 
 
+def _told(*missing: str, by_pattern: bool = False) -> str:
+    warnings = ["Scores extracted via regex fallback"] * by_pattern + [f"Missing {c}, using default 3.0" for c in missing]
+    return f"[Parse warnings: {'; '.join(warnings)}]"
+
+
+JUDGED = [
+    (1, '{"correctness": {"score": 4, "reasoning": "r"}, "helpfulness": {"score": 9}, "fluency": 2}'),
+    (2, "```json\n{\"overall_score\": 4.5, \"correctness\": {\"score\": 5}, \"summary\": \"good\"}\n```"),
+    (3, "no json"),
+    (4, None),
+    (5, 'Broken {"correctness": {"score": 4, "reasoning": "say "yes""}, "Helpfulness_level": {"note": "x", "score": 2.5}, fluency: {score: 0}, "overall_score": 4'),
+    (6, 'Deep {"correctness": {"score": "3.5", "why": {"a": {"b": "c"}}}, "helpfulness": {}, "faithfulness": {"score": "high"}, "fluency": {"score": 1}} end }'),
+    (7, "```\n{\"correctness\": {\"score\": 2}, \"helpfulness\": {\"score\": 2}, \"faithfulness\": {\"score\": 2}, \"fluency\": {\"score\": 2}}\n```"),
+]
+_ALL = ("correctness", "helpfulness", "faithfulness", "fluency")
+JUDGED_RIGHT = [
+    (1, 4.0, 5.0, 3.0, 3.0, 3.75, _told("faithfulness", "fluency")), (2, 5.0, 3.0, 3.0, 3.0, 4.5, "good " + _told(*_ALL[1:])), (3, 3.0, 3.0, 3.0, 3.0, 3.0, _told(*_ALL)), (4, 3.0, 3.0, 3.0, 3.0, 3.0, _told(*_ALL)),
+    (5, 4.0, 2.5, 3.0, 1.0, 4.0, _told("faithfulness", by_pattern=True)), (6, 3.5, 3.0, 3.0, 1.0, 2.625, _told("faithfulness")), (7, 2.0, 2.0, 2.0, 2.0, 2.0, ""),
+]
+
+
 def judge_parse(spark, d):
-    rows = [(1, '{"correctness": {"score": 4, "reasoning": "r"}, "helpfulness": {"score": 9}, "fluency": 2}'), (2, "```json\n{\"overall_score\": 4.5, \"correctness\": {\"score\": 5}}\n```"), (3, "no json"), (4, None)]
-    s = metrics.judge_scores(F.col("reply"))
-    return fx.rows(spark, "id int, reply string", rows).select("id", s["correctness"].alias("correctness"), s["helpfulness"].alias("helpfulness"), s["faithfulness"].alias("faithfulness"), s["fluency"].alias("fluency"), s["overall"].alias("overall"))
+    s = judging.judge_scores(F.col("reply"))
+    return fx.rows(spark, "id int, reply string", JUDGED).withColumn("s", s).select("id", "s.correctness", "s.helpfulness", "s.faithfulness", "s.fluency", "s.overall", "s.summary")
 
 
 def model_diversity(spark, d):
     """Each generator's judge: its own pair, else its provider's, else the default; never the generator itself."""
     same = lambda c: F.translate(F.lower(c), "-_", "")
     m = fx.rows(spark, fx.MODEL_SCHEMA, fx.MODELS)
-    pairs = F.broadcast(fx.rows(spark, fx.PAIR_SCHEMA, fx.PAIRS).select(same(F.col("generator")).alias("g"), "judge"))
-    fall = F.broadcast(fx.rows(spark, fx.PROVIDER_SCHEMA, fx.PROVIDER_JUDGES))
+    pairs = fx.rows(spark, fx.PAIR_SCHEMA, fx.PAIRS).select(same(F.col("generator")).alias("g"), "judge")
+    fall = fx.rows(spark, fx.PROVIDER_SCHEMA, fx.PROVIDER_JUDGES)
     x = m.join(pairs, same(F.col("generator")) == F.col("g"), "left").join(fall, "provider", "left").withColumn("judge", F.coalesce("judge", "fallback", F.lit("judge-default")))
     return x.select("id", "judge", (same(F.col("judge")) != same(F.col("generator"))).alias("diverse"))
 
 
 def token_usage(spark, d):
-    rows = [(1, {"prompt_tokens": 3, "completion_tokens": 4}), (2, {"input": 2, "total_tokens": 9}), (3, {"total_tokens": 5, "input": 8}), (4, {}), (5, None)]
-    put, got = metrics.token_counts(F.col("usage"))
-    return fx.rows(spark, "id int, usage map<string,int>", rows).select("id", put.alias("input_tokens"), got.alias("output_tokens"))
+    rows = [(1, {}, {"prompt_tokens": 3, "completion_tokens": 4}), (2, {"input_tokens": 2}, {"total_tokens": 9}), (3, {}, {"tokens_used": 5, "input_tokens": 8}), (4, {}, {}), (5, None, None), (6, {"completion_tokens": 7}, {"total_tokens": 9, "prompt_tokens": 1}), (7, {"output_tokens": 1}, {"completion_tokens": 4})]
+    put, got = metrics.token_counts(F.col("usage"), F.col("metadata"))
+    return fx.rows(spark, "id int, usage map<string,int>, metadata map<string,int>", rows).select("id", put.alias("input_tokens"), got.alias("output_tokens"))
 
 
 def sequence_ratio(spark, d):
-    return _faq(spark, d).select("conv_id", "turn", F.round(metrics.sequence_ratio(F.col("question"), F.col("answer")), 6).alias("ratio"), (F.col("question") == F.col("answer")).alias("exact"))
+    m = metrics.lightweight(F.col("question"), F.col("answer"))
+    return _faq(spark, d).select("conv_id", "turn", F.round(m["string_similarity"], 6).alias("ratio"), m["exact_match"].alias("exact"))
 
 
 def latency_by_hour(spark, d):
@@ -149,6 +281,7 @@ def order_totals(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
+    section_results, section_response, faq_results, responses, model_verdicts, evaluated_cases, eval_subset, golden_items, retrieval_union, golden_sets, judge_per_criterion, judge_columns, embed_forms,
     response_assembly, citations, verify_rules, verify_documents, json_lenient, event_properties, bleu4, context_overlap, eval_global, eval_by_category, model_category_report, csv_report_rows,
     judge_normalise, judge_parse, model_diversity, token_usage, sequence_ratio, latency_by_hour, order_totals,
 )}
@@ -161,6 +294,8 @@ v AS (SELECT *, len(refs) > 0 AND len(list_filter(refs, lambda r: NOT (len(list_
   {" + ".join(f"contains(answer, '{h}')::INT" for h in V.HEDGES)} + (length(answer) > 500 AND NOT regexp_matches(answer, '{V.CITATION}'))::INT AS n_signs FROM a),
 s AS (SELECT *, 1.0::DOUBLE - CASE WHEN valid THEN 0 ELSE 0.3 END - n_signs * 0.15 AS own FROM v),
 w AS (SELECT *, greatest(0, least(1, CASE WHEN model_confidence IS NULL THEN own ELSE (own + model_confidence) / 2 END))::DOUBLE AS confidence FROM s)"""
+REASONING_SQL = "CASE WHEN valid THEN '✓ 출처 인용이 유효합니다' ELSE '✗ 출처 인용에 문제가 있습니다' END || ' | ' || CASE WHEN n_signs = 0 THEN '✓ 불확실한 표현이 감지되지 않았습니다' ELSE '✗ ' || n_signs || '개의 주의 표현이 감지되었습니다' END"
+SECTION_HITS_SQL = fx.sql(SECTION_HIT, SECTION_HITS)
 SPLIT = "list_filter(regexp_split_to_array(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s가-힣]', ' ', 'g'), '\\s+'), lambda x: x <> '')"
 
 
@@ -179,10 +314,37 @@ def _bleu_sql(r: str, c: str, p: str) -> str:
 
 
 ORACLE_SQL = {
-    "response_assembly": f"""WITH {FAQ_SQL} SELECT conv_id, turn, md5('[' || question || ']' || chr(10) || answer) AS context_md5, 0.5::DOUBLE AS confidence, 1 AS n_context, 'faq - ' || question || ';faq - 2' AS citations, 'faq' AS source FROM faq""",
+    "response_assembly": f"""{hits_sql()}, h AS (SELECT query_id, rank, score, source, lang, coalesce(text, '') AS content, count(*) FILTER (score >= 0.45) OVER (PARTITION BY query_id) AS near, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM hits JOIN documents ON doc_id = item_id)
+SELECT query_id, md5(string_agg('[' || lang || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) FILTER (score >= 0.45 OR near = 0 AND place = 1)) AS context_md5, round(avg(score), 6) AS confidence, greatest(any_value(near), 1)::INT AS n_context,
+  CASE WHEN query_id % 200 = 0 THEN '제1조' ELSE string_agg(source || ' - ' || lang, ';' ORDER BY rank) FILTER (place <= 2) END AS citations, 'faq' AS source FROM h GROUP BY query_id""",
+    "section_results": f"""SELECT query_id, rank, coalesce(document_title, '') AS document_title, coalesce(section_title, '') AS section_title, '' AS category, coalesce(final_score, combined_score, score, 0)::DOUBLE AS score, 0.0::DOUBLE AS vector_score, combined_score FROM {SECTION_HITS_SQL}""",
+    "section_response": f"""WITH h AS (SELECT query_id, rank, coalesce(document_title, '') AS d, coalesce(section_title, '') AS t, coalesce(section_content, '') AS c, coalesce(final_score, combined_score, score, 0)::DOUBLE AS s, words, 3 + (combined_score IS NOT NULL)::INT + (final_score IS NOT NULL)::INT + (rerank_score IS NOT NULL)::INT AS n FROM {SECTION_HITS_SQL})
+SELECT query_id, string_agg('[' || d || ']' || chr(10) || CASE WHEN t <> '' THEN t || chr(10) ELSE '' END || c, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, round(avg(s), 6) AS confidence, string_agg(least(length(c), 500)::VARCHAR, ',' ORDER BY rank) AS n_chars, string_agg(n::VARCHAR, ',' ORDER BY rank) AS n_scores,
+  count(*)::INT AS n_items, CASE WHEN query_id = 2 THEN 'mid' END AS band, array_to_string(list_sort(list_distinct(flatten(list(words ORDER BY rank)))), ',') AS words, array_to_string(list_transform(flatten(list(words ORDER BY rank)), lambda w: w || '-t')[:5], ',') AS triplets FROM h GROUP BY query_id""",
+    "faq_results": f"WITH {FAQ_SQL} SELECT conv_id AS query_id, turn AS rank, md5(question) AS question_md5, '' AS category, CASE WHEN turn % 4 = 0 THEN 'web' ELSE 'FAQ' END AS source, turn / 64 AS score FROM faq WHERE turn <= 10",
+    "responses": f"""WITH b AS (SELECT id, coalesce(score, 0)::DOUBLE AS s FROM {fx.sql(fx.BAND_SCHEMA, fx.BANDS)}) SELECT id, 'q' AS query, '' AS answer, 'no_context' AS source, round(CASE WHEN s >= 0.4 THEN s ELSE 0 END, 3)::DOUBLE AS confidence,
+  CASE WHEN s >= 0.55 THEN 'answer' WHEN s >= 0.4 THEN 'clarification' ELSE 'handoff' END AS response_mode, true AS verified, 1.0::DOUBLE AS verification_score FROM b""",
+    "model_verdicts": f"""WITH {ANSWERS_SQL}, m AS (SELECT * FROM (VALUES (1, true, 0.9, ''), (2, false, 0.5, '왜냐'), (3, true, 0.5, ''), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, false, 0.25, '')) AS t(id, ok, c, why)),
+f AS (SELECT id, valid, n_signs, ok, why, greatest(0, least(1, CASE WHEN ok IS NULL THEN own ELSE (own + c) / 2 END))::DOUBLE AS confidence FROM w JOIN m USING (id))
+SELECT id, confidence >= 0.7 AND valid AND n_signs = 0 AS verified, round(confidence, 6) AS confidence, n_signs AS n_issues, {REASONING_SQL} || CASE WHEN ok THEN ' | ✓ LLM 검증 통과' WHEN NOT ok THEN ' | ✗ LLM 검증 실패: ' || why ELSE '' END AS reasoning, valid AND n_signs = 0 AS quick FROM f""",
+    "evaluated_cases": f"""WITH {FAQ_SQL}, e AS (SELECT conv_id, turn, question, CASE WHEN turn % 8 = 6 THEN '[Error: timeout]' ELSE answer END AS answer FROM faq), k AS (SELECT *, {SPLIT.format('question')} AS q, {SPLIT.format('answer')} AS a FROM e), g AS (SELECT *, {_grams_sql('q')}, {_grams_sql('a')} FROM k),
+p AS (SELECT *, {_shares_sql('q', 'a', 'p')} FROM g), s AS (SELECT *, (length(answer) > 500)::INT AS n FROM p)
+SELECT conv_id, turn, {_bleu_sql('q', 'a', 'p')} AS bleu, 0.7::DOUBLE - 0.15::DOUBLE * n AS faithfulness, n = 0 AND 0.7::DOUBLE - 0.15::DOUBLE * n >= 0.7 AND false AS verified, n AS n_issues, turn % 4 = 0 AS evaluated, CASE WHEN turn % 4 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall, CASE WHEN turn % 4 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS precision, 0.0::DOUBLE AS judge, 0 AS output_tokens FROM s""",
+    "eval_subset": f"WITH {CASES_SQL} SELECT case_id, category FROM cases WHERE question <> '' AND case_id % 7 > 0 AND category IN ('en', 'fr') ORDER BY case_id LIMIT 20",
+    "golden_items": f"""WITH {FAQ_SQL}, c AS (SELECT *, CASE WHEN turn % 4 = 0 THEN answer ELSE 'Q: ' || question || chr(10) || 'A: ' || answer END AS context FROM faq WHERE turn % 8 <> 6)
+SELECT DISTINCT substr(sha256(question || '_2026-02-01T00:00:00'), 1, 12) AS id, md5(trim(' ' || context || length('[참고 정보]' || chr(10) || CASE WHEN context <> '' THEN context ELSE '(없음)' END || chr(10) || chr(10) || '[질문]' || chr(10) || question || chr(10) || chr(10) || '[답변]' || chr(10)))) AS answer_md5,
+  '' AS category, CASE WHEN turn % 8 = 2 THEN 'easy' ELSE 'medium' END AS difficulty, CASE WHEN turn % 4 = 0 THEN 'c' || conv_id ELSE '제1조' END AS sources FROM c""",
+    "retrieval_union": f"""SELECT query_id, 0 AS kind, rank::INT AS rank, item_id FROM ({hits_sql("AND q.label = i.label", 3)} SELECT * FROM hits) UNION ALL SELECT query_id, 1, rank::INT, item_id FROM ({hits_sql(k=3)} SELECT * FROM hits)""",
+    "golden_sets": """SELECT * FROM (VALUES ('해지', 5, 5, 'sections_1'), ('환불', 5, 5, 'sections_10'), ('면책', 5, 5, 'sections_11'), ('수수료', 5, 5, 'sections_16'), ('개인정보', 5, 5, 'sections_21'), ('손해배상', 5, 5, 'sections_26'), ('약관 변경', 5, 5, 'sections_31'),
+  ('invented article', 5, 5, 'adversarial_1'), ('other company', 5, 5, 'adversarial_10'), ('forecast', 5, 5, 'adversarial_11'), ('override', 5, 5, 'adversarial_16'), ('mixed', 5, 5, 'adversarial_21'), ('vague', 5, 5, 'adversarial_26'), ('false premise', 5, 5, 'adversarial_31'), ('private', 5, 5, 'adversarial_36')) AS t(category, n, n_questions, first_id)""",
+    "judge_per_criterion": "SELECT * FROM (VALUES (1, 4.0::DOUBLE, 2.5::DOUBLE, 3.25::DOUBLE), (2, 3.0, 3.0, 3.0), (3, 7.0, 3.0, 5.0)) AS t(id, correctness, fluency, overall)",
+    "judge_columns": f"""SELECT * FROM (VALUES (1, 5.0::DOUBLE, 1.0::DOUBLE, 4.0::DOUBLE, 3.0::DOUBLE, 5.0::DOUBLE, 3.0::DOUBLE, '{_told("helpfulness", "fluency")}'), (2, 3.0, 0.5, 3.0, 3.0, 3.0, 3.0, 'Evaluation error: timeout')) AS t(id, judge, judge_normalised, judge_correctness, judge_helpfulness, judge_faithfulness, judge_fluency, judge_summary)""",
+    "judge_parse": f"SELECT * FROM {fx.sql('id int, correctness double, helpfulness double, faithfulness double, fluency double, overall double, summary string', JUDGED_RIGHT)}",
+    "token_usage": "SELECT * FROM (VALUES (1, 3, 4), (2, 2, 7), (3, 8, 0), (4, 0, 0), (5, 0, 0), (6, 1, 7), (7, 0, 1)) AS t(id, input_tokens, output_tokens)",
+    "embed_forms": "SELECT doc_id, md5('passage: ' || coalesce(text, '')) AS passage_md5, md5('query: ' || coalesce(text, '')) AS query_md5 FROM documents",
     "citations": f"WITH {ANSWERS_SQL} SELECT id, array_to_string(refs, ';') AS cited, array_to_string(regexp_extract_all(answer, '\\[참조:\\s*([^\\]]+)\\]', 1), ';') AS own, valid FROM w",
     "verify_rules": f"""WITH {ANSWERS_SQL} SELECT id, valid, n_signs, round(confidence, 6) AS confidence, confidence >= 0.7 AND valid AND n_signs = 0 AS verified,
-  CASE WHEN valid THEN '✓ 출처 인용이 유효합니다' ELSE '✗ 출처 인용에 문제가 있습니다' END || ' | ' || CASE WHEN n_signs = 0 THEN '✓ 불확실한 표현이 감지되지 않았습니다' ELSE '✗ ' || n_signs || '개의 주의 표현이 감지되었습니다' END AS reasoning FROM w""",
+  {REASONING_SQL} AS reasoning FROM w""",
     "verify_documents": f"SELECT lang, count(*) AS n_docs, sum((length(text) > 500 AND NOT regexp_matches(text, '{V.CITATION}'))::INT)::BIGINT AS n_signs FROM documents GROUP BY lang",
     "json_lenient": f"""WITH r AS (SELECT id, coalesce(try_cast(reply AS JSON), try_cast(regexp_extract(reply, '```(?:json)?\\s*(\\{{[\\s\\S]*?\\}})\\s*```', 1) AS JSON), try_cast(regexp_extract(reply, '\\{{(?:[^{{}}]|\\{{[^{{}}]*\\}})*\\}}', 0) AS JSON)) AS v
   FROM {fx.sql(fx.REPLY_SCHEMA, fx.REPLIES)}) SELECT id, try_cast(v->>'$.confidence' AS DOUBLE) AS confidence, try_cast(v->>'$.verified' AS BOOLEAN) AS verified FROM r""",

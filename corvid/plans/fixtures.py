@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def rows(spark: SparkSession, schema: str, values: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(values, schema)
+    """A local relation: its size is known, so that plans may broadcast it without being told."""
+    kind = StructType.fromDDL(schema)
+    plain = lambda v: list(v.items()) if isinstance(v, dict) else v
+    columns = [pa.array([plain(r[k]) for r in values], to_arrow_type(f.dataType)) for k, f in enumerate(kind.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, kind.names), schema=kind)
 
 
 def sql(schema: str, values: list[tuple]) -> str:

@@ -15,7 +15,7 @@ HEADER = r"^[^\s]+\.$"
 
 def _documents(spark, d):
     docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    return docs.withColumn("id", ingest.chunk_id(F.col("source"), F.col("text")))
+    return docs.withColumn("id", ingest.chunk_id(F.col("source"), F.col("lang"), F.col("text")))
 
 
 def content_id_dedup(spark, d):
@@ -30,13 +30,13 @@ def _halves(spark, d):
 def ingest_anti_existing(spark, d):
     """Four sources arrive in a collection that holds the others; ids here are of the text alone."""
     new, old = _halves(spark, d)
-    by_text = lambda x: x.withColumn("id", ingest.chunk_id(F.lit("doc"), F.col("text")))
+    by_text = lambda x: x.withColumn("id", ingest.chunk_id(F.lit("doc"), F.lit("part"), F.col("text")))
     return ingest.skip_existing(ingest.first_wins(by_text(new), "id", "doc_id"), by_text(old), "id").select("id", "doc_id")
 
 
 def ingest_counters(spark, d):
     new, old = _halves(spark, d)
-    by_text = lambda x: x.withColumn("id", ingest.chunk_id(F.lit("doc"), F.col("text")))
+    by_text = lambda x: x.withColumn("id", ingest.chunk_id(F.lit("doc"), F.lit("part"), F.col("text")))
     return ingest.ingest_status(by_text(new), by_text(old), "id", "doc_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -51,6 +51,87 @@ def chunk_filter_truncate(spark, d):
     return x.select("doc_id", "section_title", F.length("section_content").alias("n_chars"), "chunk_id")
 
 
+def stored_chunks(spark, d):
+    x = ingest.stored_chunks(ingest.chunks(_documents(spark, d).select("doc_id", "source", "text"), "source", "text", header=HEADER))
+    return x.select("doc_id", "chunk_id", F.md5(F.col("embed_text").cast("binary")).alias("embed_md5"), F.length("section_content").alias("n_stored"))
+
+
+def _turns(spark, d):
+    """User turns with the next turn as the answer; agents and sessions made of ids."""
+    rows = table(spark, d, "conversations").withColumn("answer", F.expr("lead(text) over (partition by conv_id order by turn)")).filter("role = 'user'")
+    session = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("s"), F.col("conv_id").cast("string")))
+    return rows.select("conv_id", "turn", F.col("text").alias("question"), "answer", session.alias("session_id"), F.when(F.col("conv_id") % 3 > 0, "2026-01-28T10:30:00").alias("created_at"))
+
+
+AS_OF = "2026-02-01T00:00:00"
+
+
+def pair_ids(spark, d):
+    """The ids of a pair: in a batch, by itself, as an agent's answer, as an evaluation item."""
+    q, a, now = F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")), F.lit(AS_OF)
+    return _turns(spark, d).select("conv_id", "turn", ingest.faq_id(q, a).alias("batch_id"), ingest.single_faq_id(q, now).alias("single_id"), ingest.agent_answer_id(q, F.col("session_id"), now).alias("agent_id"), ingest.item_id(q, now).alias("item_id"))
+
+
+def agent_answers(spark, d):
+    return ingest.agent_answers(_turns(spark, d), AS_OF).select("conv_id", "turn", "status", "id", "source")
+
+
+ANSWER_ROW = "pos int, question string, answer string, session_id string, created_at string, error string"
+ANSWER_ROWS = [(0, " q ", "a", None, None, None), (1, "", "a", None, None, None), (2, None, None, None, None, "JSON 파싱 오류"), (3, "r", " \t", "s", None, None), (4, "r", "b", "s", "2026-01-01", None)] + [(5 + k, None, None, None, None, f"error {k}") for k in range(6)]
+
+
+def backfill_summary(spark, d):
+    x = ingest.backfill_summary(ingest.agent_answers(fx.rows(spark, ANSWER_ROW, ANSWER_ROWS), AS_OF))
+    return x.select("success", "added_count", "skipped_count", "error_count", F.array_join("errors", ";").alias("errors"))
+
+
+def validation_message(spark, d):
+    """The first five invalid cases of the conversations, in order, and how many more there are."""
+    x = ingest.validate(_turns(spark, d).withColumn("place", F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 9, "0"), F.lpad(F.col("turn").cast("string"), 4, "0"))), ["question", "answer"])
+    return ingest.validation_message(x.withColumn("error", F.concat(F.col("place"), F.lit(" "), F.col("error"))), "place")
+
+
+def valid_cases(spark, d):
+    return ingest.valid_or_all(ingest.validate(_turns(spark, d), ["question", "answer"])).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+PAGE_SCHEMA = "category string, html string"
+PAGE_ROWS = [
+    ("01", '<dl><dt class="question">질문 [결제] 환불은?</dt><dd class="answer">답변  7일  안에</dd></dl><a href="#" onclick="goPage(3)">3</a>'),
+    ("01", '<dt class="question"> 질문 해지는 </dt><dd class="answer">답변 <b>언제든</b></dd><dt class="question">끝</dt>'),
+    ("99", '<div class="question">[a] b</div> <div class="answer">c</div><a>12</a><a>다음</a>'),
+    ("02", "<p>없음</p>"),
+]
+
+
+def faq_scan(spark, d):
+    return pages.faq_scan(fx.rows(spark, PAGE_SCHEMA, PAGE_ROWS), {"01": "요금", "02": "가입"})
+
+
+def page_counts(spark, d):
+    return fx.rows(spark, PAGE_SCHEMA, PAGE_ROWS).select("html", pages.page_count(F.col("html")).alias("by_handler"), pages.table_page_count(F.col("html")).alias("by_link"))
+
+
+LIST_HTML = "<table><tr><th>분류</th><th>제목</th></tr><tr><td>약관</td><td><a onclick=\"doView('78','1')\">이용 약관</a></td><td><a onclick=\"doFile('/f/78.pdf')\">pdf</a></td></tr><tr><td>약관</td><td><a onclick=\"doView('79','2')\">개인 정보</a></td></tr><tr><td>약관</td><td>링크 없음</td></tr><tr><td><a onclick=\"doView('80','3')\">한 칸</a></td></tr><tr><td>기타</td><td><a>번호 없음</a></td></tr></table>"
+DETAIL_SCHEMA = "num string, html string, frame string"
+DETAILS = [
+    ("78", "<h1>이용 약관</h1><p>밖</p>", "<h2>제1조(목적)</h2><p>이 약관은 2024년 1월 5일부터 시행</p><h2>제2조</h2><span>x</span><h2>제3조(환불)</h2><ul><li>개정 2023.3.1</li><li>제정 2020.1.2</li></ul>"),
+    ("77", "<h1>다른 것</h1>", None), ("80", "<h1>한 칸</h1>", ""),
+]
+
+
+def table_list(spark, d):
+    x = fx.rows(spark, "html string", [(LIST_HTML,)]).select(F.explode(pages.table_rows(F.col("html"))).alias("r"))
+    p = pages.view_parameters(F.col("r.onclick"))
+    return x.select(F.col("r.cells")[0].alias("category"), F.col("r.cells")[1].alias("title"), p["num"].alias("num"), p["row_num"].alias("row_num"))
+
+
+def document_details(spark, d):
+    listed = table_list(spark, d)
+    x = pages.listed_details(listed, fx.rows(spark, DETAIL_SCHEMA, DETAILS))
+    return x.select("num", "title", F.col("detail.title").alias("heading"), F.col("detail.content").alias("content"), F.array_join(F.transform("detail.sections", lambda s: F.concat_ws("=", s["title"], s["content"])), ";").alias("sections"), F.col("detail.effective_date").alias("effective_date"), F.array_join("detail.revision_history", ",").alias("revisions"))
+
+
 SECTIONS_SQL = """
 lines AS (SELECT doc_id, source, pos, trim(line, ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 marked AS (SELECT *, regexp_matches(line, '^[^\\s]+\\.$') AS head FROM lines WHERE line <> ''),
@@ -58,7 +139,7 @@ numbered AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS
 sections AS (SELECT doc_id, any_value(source) AS source, section_no, min(line) FILTER (head) AS title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), '') AS content FROM numbered WHERE section_no > 0 GROUP BY doc_id, section_no)"""
 
 PARENT_SCHEMA = "id int, title string, full string"
-PARENTS = [(1, "제2조(정의)", "제1조(목적) 이 약관은 목적을 정한다. 제2조(정의) 말을 정한다."), (2, "제1조(목적)", "제1조(목적) 이 약관은"), (3, "제5조(해지)", "제3조(가) 제5조(해지)"), (4, "부칙", "제1조"), (5, "제3조 (환불)", "제 2 조 (요금) " + "나" * 600)]
+PARENTS = [(1, "제2조(정의)", "제1조(목적) 이 약관은 목적을 정한다. 제2조(정의) 말을 정한다."), (2, "제1조(목적)", "제1조(목적) 이 약관은"), (3, "제5조(해지)", "제3조(가) 제5조(해지)"), (4, "부칙", "제1조"), (5, "제3조 (환불)", "제 2 조 (요금) " + "나" * 600), (6, "제2조(환불)", "이 규정은 제1조에 따라 한다.\n제1조(목적) 목적"), (7, "제2조(환불)", "제1조에 따라 한다.")]
 
 
 def parent_context(spark, d):
@@ -113,34 +194,67 @@ def deterministic_sample(spark, d):
     return ingest.seeded_sample(table(spark, d, "documents"), "doc_id", 50, 7).select("doc_id", "source")
 
 
+LABELS = [(1, "[결제] 질문 환불은?"), (2, "질문  어떻게   하나요"), (3, ""), (4, "[a][b] c"), (5, "  질문질문 x ")]
+
+
 def subcategory_label(spark, d):
-    rows = fx.rows(spark, fx.TEXT_SCHEMA, [(1, "[결제] 질문 환불은?"), (2, "질문  어떻게   하나요"), (3, ""), (4, "[a][b] c")])
+    rows = fx.rows(spark, fx.TEXT_SCHEMA, LABELS)
     return rows.select("id", pages.subcategory(F.col("text")).alias("sub_category"), pages.without_label(F.col("text"), "질문").alias("question"), pages.named(F.col("text"), {"": "none"}).alias("name"), ustrip(F.col("text")).alias("stripped"))
 
 
 QUERIES = {f.__name__: f for f in (
-    content_id_dedup, ingest_anti_existing, ingest_counters, line_sections, chunk_filter_truncate, parent_context, effective_date, revision_history, handler_parse,
+    stored_chunks, pair_ids, agent_answers, backfill_summary, validation_message, valid_cases, faq_scan, page_counts, table_list, document_details, content_id_dedup, ingest_anti_existing, ingest_counters, line_sections, chunk_filter_truncate, parent_context, effective_date, revision_history, handler_parse,
     html_title_headings, html_sections, html_links, html_pages, dataset_merge, dataset_validate, deterministic_sample, subcategory_label,
 )}
 
-TEXT_ID = "substr(sha256('doc_' || substr(coalesce(text, ''), 1, 500)), 1, 16)"
+TEXT_ID = "substr(sha256('doc_part_' || substr(coalesce(text, ''), 1, 500)), 1, 16)"
 NEW = "source IN ('src1', 'src2', 'src3', 'src4')"
 E1, E2 = pages.EFFECTIVE
 TAG_TEXT = "trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<{0}\\b[^>]*>(.*?)</{0}>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 H1 = r"(?s)<h1\b[^>]*>(.*?)</h1>\s*(<p\b[^>]*>.*?</p>)"
 PLAIN = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+CHUNKS_SQL = """ok AS (SELECT * FROM sections WHERE length(title || chr(10) || trim(content)) >= 10),
+c AS (SELECT doc_id, source, title AS section_title, substr(content, 1, 2000) AS content FROM ok UNION ALL
+  SELECT doc_id, source, source, substr(text, 1, 2000) FROM documents d WHERE coalesce(text, '') <> '' AND NOT EXISTS (FROM ok WHERE ok.doc_id = d.doc_id))"""
+CHUNK_ID = "substr(sha256(source || '_' || section_title || '_' || substr(content, 1, 500)), 1, 16)"
+TURNS_SQL = """turns AS (SELECT conv_id, turn, coalesce(text, '') AS q, coalesce(answer, '') AS a, CASE WHEN turn % 4 = 0 THEN 's' || conv_id END AS session_id, CASE WHEN conv_id % 3 > 0 THEN '2026-01-28T10:30:00' END AS created_at
+  FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE role = 'user')"""
+NOW = f"q || '_{AS_OF}'"
+
+
+def ID(parts: str, n: int = 16) -> str:
+    return f"substr(sha256({parts}), 1, {n})"
+
+
 ORACLE_SQL = {
-    "content_id_dedup": "SELECT substr(sha256(source || '_' || substr(coalesce(text, ''), 1, 500)), 1, 16) AS id, min(doc_id) AS doc_id FROM documents GROUP BY 1",
+    "content_id_dedup": "SELECT substr(sha256(source || '_' || lang || '_' || substr(coalesce(text, ''), 1, 500)), 1, 16) AS id, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "ingest_anti_existing": f"SELECT {TEXT_ID} AS id, min(doc_id) AS doc_id FROM documents WHERE {NEW} GROUP BY 1 HAVING id NOT IN (SELECT {TEXT_ID} FROM documents WHERE NOT {NEW})",
     "ingest_counters": f"""WITH n AS (SELECT {TEXT_ID} AS id, doc_id, row_number() OVER (PARTITION BY {TEXT_ID} ORDER BY doc_id) AS k FROM documents WHERE {NEW}), o AS (SELECT DISTINCT {TEXT_ID} AS id FROM documents WHERE NOT {NEW})
 SELECT CASE WHEN k > 1 THEN 'skipped_duplicate' WHEN id IN (SELECT id FROM o) THEN 'skipped_existing' ELSE 'added' END AS status, count(*) AS n FROM n GROUP BY 1""",
     "line_sections": f"WITH {SECTIONS_SQL} SELECT doc_id, section_no, title, length(content) AS n_chars, md5(content) AS content_md5 FROM sections",
-    "chunk_filter_truncate": f"""WITH {SECTIONS_SQL}, ok AS (SELECT * FROM sections WHERE length(title || chr(10) || trim(content)) >= 10),
-c AS (SELECT doc_id, source, title AS section_title, substr(content, 1, 2000) AS content FROM ok UNION ALL
-  SELECT doc_id, source, source, substr(text, 1, 2000) FROM documents d WHERE coalesce(text, '') <> '' AND NOT EXISTS (FROM ok WHERE ok.doc_id = d.doc_id))
-SELECT doc_id, section_title, length(content) AS n_chars, substr(sha256(source || '_' || substr(content, 1, 500)), 1, 16) AS chunk_id FROM c""",
+    "chunk_filter_truncate": f"WITH {SECTIONS_SQL}, {CHUNKS_SQL} SELECT doc_id, section_title, length(content) AS n_chars, {CHUNK_ID} AS chunk_id FROM c",
+    "stored_chunks": f"""WITH {SECTIONS_SQL}, {CHUNKS_SQL} SELECT doc_id, {CHUNK_ID} AS chunk_id, md5(trim(section_title || chr(10) || content, {BLANK})) AS embed_md5, least(length(content), 1000) AS n_stored
+FROM c WHERE trim(section_title || chr(10) || content, {BLANK}) <> ''""",
+    "pair_ids": f"""WITH {TURNS_SQL} SELECT conv_id, turn, {ID("q || '_' || substr(a, 1, 200)")} AS batch_id, {ID(NOW)} AS single_id, CASE WHEN session_id IS NULL THEN {ID(NOW)} ELSE {ID(f"q || '_' || session_id || '_{AS_OF}'")} END AS agent_id, {ID(NOW, 12)} AS item_id FROM turns""",
+    "agent_answers": f"""WITH {TURNS_SQL}, s AS (SELECT *, trim(q, {BLANK}) AS sq, trim(a, {BLANK}) AS sa, coalesce(created_at, '{AS_OF}') AS stamp FROM turns)
+SELECT conv_id, turn, CASE WHEN sq = '' OR sa = '' THEN 'skipped' ELSE 'added' END AS status, CASE WHEN sq <> '' AND sa <> '' THEN {ID("sq || '_' || coalesce(session_id || '_', '') || stamp")} END AS id, 'human_agent' AS source FROM s""",
+    "backfill_summary": "SELECT false AS success, 2::BIGINT AS added_count, 2::BIGINT AS skipped_count, 7::BIGINT AS error_count, 'JSON 파싱 오류;error 0;error 1;error 2;error 3' AS errors",
+    "validation_message": f"""WITH {TURNS_SQL}, bad AS (SELECT lpad(conv_id::VARCHAR, 9, '0') || '-' || lpad(turn::VARCHAR, 4, '0') AS place, CASE WHEN trim(q, {BLANK}) = '' THEN 'question: empty' ELSE 'answer: empty' END AS error FROM turns WHERE trim(q, {BLANK}) = '' OR trim(a, {BLANK}) = ''),
+first AS (SELECT * FROM bad ORDER BY place LIMIT 5)
+SELECT CASE WHEN (SELECT count(*) FROM bad) > 0 THEN 'Dataset validation failed: ' || (SELECT string_agg(place || ' ' || error, '; ' ORDER BY place) FROM first) || CASE WHEN (SELECT count(*) FROM bad) > 5 THEN ' (and ' || ((SELECT count(*) FROM bad) - 5) || ' more)' ELSE '' END END AS message""",
+    "valid_cases": f"WITH {TURNS_SQL} SELECT session_id, count(*) AS n FROM turns WHERE trim(q, {BLANK}) <> '' AND trim(a, {BLANK}) <> '' GROUP BY session_id",
+    "faq_scan": """SELECT * FROM (VALUES ('요금', '[결제] 환불은?', '7일 안에', '결제'), ('요금', '해지는', '언제든', ''), ('99', '[a] b', 'c', 'a')) AS t(category, question, answer, sub_category)""",
+    "page_counts": f"""SELECT html, greatest(1, coalesce(list_max(list_transform(regexp_extract_all(html, 'goPage\\((\\d+)\\)', 1), lambda x: x::INT)), 1)) AS by_handler,
+  greatest(1, coalesce(list_max(list_transform(regexp_extract_all(html, 'goPage\\((\\d+)\\)', 1) || regexp_extract_all(html, '<a[^>]*>(\\d+)</a>', 1), lambda x: x::INT)), 1)) AS by_link FROM {fx.sql(PAGE_SCHEMA, PAGE_ROWS)}""",
+    "table_list": "SELECT * FROM (VALUES ('약관', '이용 약관', '78', '1'), ('약관', '개인 정보', '79', '2'), ('기타', '번호 없음', '', '')) AS t(category, title, num, row_num)",
+    "document_details": """SELECT '78' AS num, '이용 약관' AS title, '이용 약관' AS heading, '제1조(목적) 이 약관은 2024년 1월 5일부터 시행 제2조 x 제3조(환불) 개정 2023.3.1 제정 2020.1.2' AS content,
+  '제1조(목적)=이 약관은 2024년 1월 5일부터 시행;제3조(환불)=개정 2023.3.1 제정 2020.1.2' AS sections, '2024-01-05' AS effective_date, '2020-01-02,2023-03-01' AS revisions""",
+    "handler_parse": f"""SELECT id, regexp_extract(onclick, 'doView\\(\\s*''([^'']*)''\\s*,\\s*''([^'']*)''\\s*\\)', 1) AS num, regexp_extract(onclick, 'doView\\(\\s*''([^'']*)''\\s*,\\s*''([^'']*)''\\s*\\)', 2) AS row_num,
+  nullif(regexp_extract(onclick, 'doFile\\(\\s*''([^'']*)''\\s*\\)', 1), '') AS file_url, coalesce(list_max(list_transform(regexp_extract_all(onclick, 'goPage\\([''"]?(\\d+)', 1), lambda x: x::INT)), 1) AS pages FROM {fx.sql(fx.CLICK_SCHEMA, fx.CLICKS)}""",
+    "subcategory_label": f"""SELECT id, regexp_extract(text, '^\\[([^\\]]+)\\]', 1) AS sub_category, trim(regexp_replace(regexp_replace(trim(text), '\\s+', ' ', 'g'), '^질문\\s*', '')) AS question, CASE text WHEN '' THEN 'none' ELSE text END AS name, trim(text) AS stripped FROM {fx.sql(fx.TEXT_SCHEMA, LABELS)}""",
     "parent_context": f"""WITH p AS (SELECT id, "full", try_cast(regexp_extract(title, '{ingest.HEADER}', 1) AS INT) AS n FROM {fx.sql(PARENT_SCHEMA.replace("full", '"full"'), PARENTS)}),
-f AS (SELECT *, strpos("full", nullif(regexp_extract("full", '제\\s*' || (n - 1) || '\\s*조', 0), '')) AS place FROM p) SELECT id, CASE WHEN n > 1 AND place > 0 THEN substr("full", place, 500) END AS parent FROM f""",
+f AS (SELECT *, strpos("full", nullif(regexp_extract("full", '제\\s*' || (n - 1) || '\\s*조\\s*[\\(（][^)）]+[\\)）]', 0), '')) AS place FROM p) SELECT id, CASE WHEN n > 1 AND place > 0 THEN substr("full", place, 500) ELSE '' END AS parent FROM f""",
     "effective_date": f"""SELECT id, coalesce({", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN regexp_extract(text, '{p}', 1) || '-' || lpad(regexp_extract(text, '{p}', 2), 2, '0') || '-' || lpad(regexp_extract(text, '{p}', 3), 2, '0') END" for p in (E1, E2))}, '') AS effective_date FROM {fx.sql(fx.TEXT_SCHEMA, fx.DATES)}""",
     "revision_history": f"""WITH r AS (SELECT id, {", ".join(f"unnest(regexp_extract_all(text, '{pages.REVISION}', {g})) AS g{g}" for g in (1, 2, 3))} FROM {fx.sql(fx.TEXT_SCHEMA, fx.DATES)}),
 l AS (SELECT id, string_agg(DISTINCT d, ',' ORDER BY d) AS revisions FROM (SELECT id, g1 || '-' || lpad(g2, 2, '0') || '-' || lpad(g3, 2, '0') AS d FROM r) GROUP BY id)

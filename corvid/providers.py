@@ -25,6 +25,15 @@ def _extractive(prompt: Column, context: Column) -> Column:
     return F.substring_index(context, "\n\n---\n\n", 1)
 
 
+def passage(text: Column, prefix: str = "passage: ") -> Column:
+    """A document as models of that family embed it."""
+    return F.concat(F.lit(prefix), text)
+
+
+def query(text: Column, prefix: str = "query: ") -> Column:
+    return F.concat(F.lit(prefix), text)
+
+
 @dataclass(frozen=True)
 class Providers:
     embed: Callable[[Column], Column] = _hashed_vector

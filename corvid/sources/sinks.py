@@ -25,6 +25,13 @@ def slug(name: Column, stamp: str) -> Column:
     return F.concat(F.lit("eval_"), F.lit(stamp), F.lit("_"), F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "_"))
 
 
+def write_dataset(items: DataFrame, path: str, model: str, provider: str, as_of: str, version: str = "1.0") -> None:
+    """A versioned dataset as one JSON object in one file; its items are few by their meaning."""
+    one = items.agg(F.collect_list(F.struct(*items.columns)).alias("items"))
+    head = [F.lit(v).alias(k) for k, v in (("version", version), ("generator_model", model), ("generator_provider", provider), ("generation_timestamp", as_of))]
+    one.select(*head, "items").coalesce(1).write.mode("overwrite").json(path)
+
+
 def markdown(models: DataFrame, categories: DataFrame, title: str = "Evaluation") -> str:
     """A report of one row a model and one a model and category, both small by their meaning."""
     lines = [f"# {title}", "", "| Model | Similarity | BLEU | Faithfulness | Latency (ms) | Verified |", "|---|---|---|---|---|---|"]

@@ -1,18 +1,22 @@
 """Rules and operators on literal rows."""
 
+import difflib
+import hashlib
 import json
 import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from corvid.functions.text import sha_id, tokens, ustrip
+from corvid.functions.text import fixed, sha_id, tokens, ustrip
 from corvid.functions.vectors import clamp, cosine
-from corvid.operators import hybrid, ingest, metrics, pages, routing, rules, search, triplets, verification
+from corvid import providers
+from corvid.operators import cases, hybrid, ingest, judging, metrics, pages, results, routing, rules, search, triplets, verification
 from corvid.plans import answer
 from corvid.plans import fixtures as fx
-from corvid.sources import files, sinks
+from corvid.sources import config, files, sinks
 from corvid.sources.collection import Collection
 from corvid.streaming.ingest import stream_faq
 
@@ -29,7 +33,7 @@ def test_chunks_fall_back_from_given_to_parsed_to_whole(spark):
     for r in ingest.chunks(spark.createDataFrame(rows, schema), "title", "content", "sections").collect():
         got.setdefault(r["title"], []).append((r["section_title"], r["section_content"], r["parent_content"]))
     assert [x[0] for x in got["a"]] == ["제1조(목적)", "제2조 (환불)"] == [x[0] for x in got["d"]]
-    assert got["a"][0][2] is None and got["a"][1][2].startswith("제1조(목적)")
+    assert got["a"][0][2] == "" and got["a"][1][2].startswith("제1조(목적)")
     assert [x[:2] for x in got["b"]] == [("s", "given content here")]
     assert [x[:2] for x in got["c"]] == [("c", "no header at all")]
     assert "e" not in got and len(got["f"][0][1]) == 2000
@@ -114,7 +118,7 @@ def test_bleu_matches_a_restatement(spark):
 
 
 def test_missing_scores_are_neutral(spark):
-    s = metrics.judge_scores(F.col("r"))
+    s = judging.judge_scores(F.col("r"))
     assert one(spark, "r string", [("none",)], s["overall"]) == [3.0]
     assert one(spark, "x double", [(None,), (7.0,), (-1.0,)], clamp(F.col("x"))) == [None, 1.0, 0.0]
     assert one(spark, "a array<double>, b array<double>", [(None, [1.0])], metrics.similarity(F.col("a"), F.col("b"))) == [0.0]
@@ -189,3 +193,171 @@ def test_report(spark):
     cats = spark.createDataFrame([("c", "m", 0.5, 0.25, 3)], "category string, model string, mean_similarity double, mean_bleu double, n int")
     assert "| m | 0.500 | 0.250 | 1.000 | 2.0 | 100.0% |" in sinks.markdown(models, cats)
     assert one(spark, "a string, b string", [("x", "y")], F.length(sha_id(F.col("a"), F.col("b")))) == [16]
+
+
+def test_chunk_ids_tell_titles_apart(spark):
+    rows = [("d", "제1조(가)", "x"), ("d", "제2조(나)", "x"), ("d", "제1조(가)", "x")]
+    ids = one(spark, "d string, t string, c string", rows, ingest.chunk_id(F.col("d"), F.col("t"), F.col("c")))
+    assert ids[0] == ids[2] != ids[1]
+    assert ids[0] == hashlib.sha256("d_제1조(가)_x".encode()).hexdigest()[:16]
+
+
+def test_long_documents_keep_their_sections(spark):
+    text = "\n".join(line for k in range(1, 1501) for line in (f"제{k}조(항목)", f"내용 {k}", "", "둘째 줄"))
+    got = one(spark, "t string", [(text,), ("없음",), ("",), ("제1조(가)",)], ingest.sections(F.col("t")))
+    assert [(s["title"], s["content"]) for s in got[0]] == [(f"제{k}조(항목)", f"내용 {k}\n둘째 줄") for k in range(1, 1501)]
+    assert got[1:3] == [[], []] and [(s["title"], s["content"]) for s in got[3]] == [("제1조(가)", "")]
+
+
+def test_fixed_digits_round_as_c_does(spark):
+    r = random.Random(1)
+    values = [0.125, 0.375, 2.675, 0.425, 0.0, 1.0, 0.005, 0.015, -0.125, -0.001, 99999.995, 0.445, 123456.789] + [r.random() * 10 ** r.randrange(-3, 6) for _ in range(300)]
+    for digits in (1, 2, 4):
+        want = [f"{v:.{digits}f}" for v in values]
+        want = [w.removeprefix("-") if float(w) == 0 else w for w in want]
+        assert one(spark, "x double", [(v,) for v in values], fixed(F.col("x"), digits)) == want
+
+
+def test_equal_vectors_tie_by_id(spark):
+    """Equal pairs get equal scores wherever they stand in a block."""
+    r = random.Random(2)
+    base = [[r.gauss(0, 1) for _ in range(33)] for _ in range(7)]
+    v = spark.createDataFrame([(k, base[k % 7]) for k in range(700)], "vec_id long, embedding array<double>")
+    for row in search.top_k(v.filter("vec_id < 7"), v, 5).collect():
+        assert row["item_id"] == row["query_id"] + 7 * row["rank"]
+
+
+def test_scores_meet_thresholds_unrounded(spark):
+    a, b = [1.0, 0.0], [0.8999996, math.sqrt(1 - 0.8999996**2)]
+    v = spark.createDataFrame([(1, a), (2, b)], "vec_id long, embedding array<double>")
+    assert {r["query_id"]: r["inserted"] for r in search.near_duplicate_gate(v, threshold=0.9).collect()} == {1: True, 2: True}
+
+
+def test_gate_is_sequential(spark):
+    """A row that was turned away blocks no later one."""
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    v = spark.createDataFrame([(k, at(20.0 * k)) for k in range(6)] + [(6, None), (7, at(0.0))], "vec_id long, embedding array<double>")
+    got = {r["query_id"]: (r["best_id"], r["inserted"]) for r in search.near_duplicate_gate(v, threshold=0.9).collect()}
+    assert got == {0: (None, True), 1: (0, False), 2: (0, True), 3: (2, False), 4: (2, True), 5: (4, False), 6: (None, True), 7: (0, False)}
+    old = spark.createDataFrame([(100, at(60.0))], "vec_id long, embedding array<double>")
+    got = {r["query_id"]: r["inserted"] for r in search.near_duplicate_gate(v, old, 0.9).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: False, 5: True, 6: True, 7: False}
+
+
+def test_question_files(spark, tmp_path):
+    forms = [[{"question": "a"}, {"q": "b", "difficulty": "hard"}], {"questions": [{"question": "a"}, {"question": "b"}]}, {"items": [{"question": "a", "category": "c", "difficulty": "hard"}, {"question": "b"}]}]
+    for k, form in enumerate(forms):
+        (tmp_path / f"{k}.json").write_text(json.dumps(form))
+        rows = files.read_questions(spark, str(tmp_path / f"{k}.json")).orderBy("n").collect()
+        assert [r["question"] for r in rows] == ["a", "b"] and [r["difficulty"] for r in rows] == ["medium", "hard" if k == 0 else "medium"]
+    (tmp_path / "bad.json").write_text(json.dumps({"other": 1}))
+    with pytest.raises(Exception, match="no list of questions"):
+        files.read_questions(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_legacy_cases_are_numbered_by_place(spark, tmp_path):
+    (tmp_path / "list.json").write_text(json.dumps([{"question": f"q{k}", "expected_answer": "a" if k % 2 else ""} for k in range(50)]))
+    rows = files.read_cases(spark, str(tmp_path / "list.json")).orderBy("n").collect()
+    assert [(r["id"], r["question"]) for r in rows] == [(f"legacy_{k}", f"q{k}") for k in range(50)]
+    assert files.read_usable_cases(spark, str(tmp_path / "list.json")).count() == 25
+    (tmp_path / "object.json").write_text("{}")
+    with pytest.raises(Exception, match="a list of cases"):
+        files.read_usable_cases(spark, str(tmp_path / "object.json")).collect()
+
+
+def test_agent_answer_files(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps([{"question": " q ", "answer": "a", "session_id": "s", "created_at": "t"}, {"question": "", "answer": "a"}, {"question": "r", "answer": "b"}]))
+    (tmp_path / "broken.json").write_text("[{")
+    (tmp_path / "object.json").write_text("{}")
+    got = lambda name: tuple(files.agent_answers_or_error(spark, str(tmp_path / name), "now").collect()[0])
+    assert got("good.json") == (True, 2, 1, 0, [])
+    assert got("broken.json") == (False, 0, 0, 1, ["JSON 파싱 오류"]) and got("object.json") == (False, 0, 0, 1, ["JSON 형식 오류: 배열이 아닙니다."])
+    assert not got("none.json")[0] and "none.json" in got("none.json")[4][0]
+    rows = ingest.agent_answers(files.read_agent_answers(spark, str(tmp_path / "good.json")), "now").orderBy("pos").collect()
+    assert [r["id"] for r in rows] == [hashlib.sha256(b"q_s_t").hexdigest()[:16], None, hashlib.sha256(b"r_now").hexdigest()[:16]]
+
+
+def test_results_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"model_name": "m", "total_cases": 3, "metrics": {"mean_bleu": 0.5}, "verification": {"verified_count": 2}, "category_scores": {"c": {"n": 1.0}}}))
+    (tmp_path / "s.json").write_text("{}")
+    rows = files.read_results(spark, str(tmp_path)).orderBy(F.desc("total_cases")).collect()
+    assert [(r["model"], r["total_cases"], r["mean_bleu"], r["mean_similarity"], r["verified_count"]) for r in rows] == [("m", 3, 0.5, 0.0, 2), ("unknown", 0, 0.0, 0.0, 0)]
+
+
+def test_datasets_round_trip(spark, tmp_path):
+    q = spark.createDataFrame([("why?", "c", "hard", [("d1", None, None, None, "because", None, None)]), ("how?", None, None, None), ("odd", None, "none", None)], "question string, category string, difficulty string, context array<struct<doc_id:string,id:string,source:string,section_title:string,content:string,question:string,answer:string>>")
+    items = cases.golden_items(q, lambda prompt, context: F.when(context != "", context).otherwise("unknown"), "now")
+    sinks.write_dataset(items, str(tmp_path / "set"), "m", "p", "now")
+    back = {r["question"]: r for r in files.read_cases(spark, str(tmp_path / "set")).collect()}
+    assert set(back) == {"why?", "how?"} and back["why?"]["id"] == hashlib.sha256(b"why?_now").hexdigest()[:12] and back["why?"]["expected_sources"] == ["d1"]
+    assert sorted(tuple(r) for r in cases.legacy(items).collect()) == [("how?", "unknown", ""), ("why?", "because", "c")]
+    assert len(cases.golden_set("sections")) == 35 and len(cases.golden_set("adversarial")) == 40
+
+
+def test_triplet_files(spark, tmp_path):
+    rows = fx.rows(spark, "id string, section_title string, section_content string", [(c, "", t) for c, t in fx.CHUNKS])
+    kept, counts = triplets.build_index(rows)
+    triplets.save(kept, str(tmp_path / "t"))
+    assert sorted(map(tuple, triplets.load(spark, str(tmp_path / "t")).select(*kept.columns).collect())) == sorted(map(tuple, kept.collect()))
+    n = counts.first()
+    assert n["extracted"] > n["stored"] == kept.count() and triplets.by_chunk(kept, "c1").count() == 1 and triplets.by_chunk(kept, "c5").count() == 0
+    triplets.clear(spark, str(tmp_path / "t"))
+    assert triplets.load(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_configuration(tmp_path):
+    pytest.importorskip("yaml")
+    path = str(tmp_path / "c.yaml")
+    with open(path, "w") as f:
+        f.write("default_model: a\nmodels:\n  a: {name: model-a, dimension: 768, other: 1}\nreranker:\n  enabled: true\n  candidates: 7\n  weight: 0.4\n  default_model: r\n  models:\n    r: {name: rank, max_seq_length: 128}\nlimit: 5\nvalidate: false\n")
+    assert config.embedding_config(path) == config.Embedding("model-a", 768) and config.embedding_config(None) == config.Embedding()
+    with pytest.raises(ValueError):
+        config.embedding_config(path, "z")
+    h = config.hybrid_config(path)
+    assert (h.rerank_enabled, h.rerank_candidates, h.weights.rerank, h.rerank_model, h.rerank_max_length) == (True, 7, 0.4, "rank", 128)
+    e = config.evaluation_config(path, {"CORVID_LIMIT": "9", "CORVID_USE_JUDGE": "yes"})
+    assert (e.limit, e.validate, e.use_judge) == (9, False, True) and config.shared_evaluation_config(path) is config.shared_evaluation_config(path)
+
+
+def test_search_without_reranker_or_triplets(spark):
+    q = spark.createDataFrame([(1, "제2조 환불", [1.0, 0.2])], "id long, query string, vector array<double>")
+    c = spark.createDataFrame([(10, [1.0, 0.0], "제1조(목적)", "환불 약관"), (11, [0.0, 1.0], "제2조(환불)", "그 밖"), (12, [0.9, 0.1], None, None)], "id long, vector array<double>, section_title string, section_content string")
+    got = hybrid.hybrid_search(q, c, None, n=3).orderBy("rank").collect()
+    assert {r["item_id"]: round(r["rule_score"], 6) for r in got} == {10: 0.45, 11: 1.0, 12: 0.0} and all(r["final_score"] == r["combined_score"] and r["rerank_score"] is None for r in got)
+    off = hybrid.hybrid_search(q, c, None, n=2, enabled=False).orderBy("rank").collect()
+    assert [r["item_id"] for r in off] == [12, 10] and all(r["final_score"] == r["vector_score"] for r in off)
+
+
+def test_tokens_plug_in(spark):
+    stems = lambda c: F.transform(tokens(c), lambda w: F.substring(w, 1, 3))
+    assert one(spark, "a string, b string", [("running walked talking jumped", "runner walker talker jumper")], F.round(metrics.bleu(F.col("a"), F.col("b"), tokenizer=stems), 6)) == [1.0]
+    assert one(spark, "a string", [("x",)], providers.passage(F.col("a"))) == ["passage: x"] and one(spark, "a string", [("x",)], providers.query(F.col("a"))) == ["query: x"]
+
+
+def test_sequence_ratio(spark):
+    rows = [("abcd", "bcde"), (" same ", "same"), ("", ""), (None, "x"), ("가나다라", "나다")]
+    m = metrics.lightweight(F.col("a"), F.col("b"))
+    got = spark.createDataFrame(rows, "a string, b string").select(m["string_similarity"], m["exact_match"]).collect()
+    strip = [((a or "").strip(), (b or "").strip()) for a, b in rows]
+    assert [tuple(r) for r in got] == [(difflib.SequenceMatcher(None, a, b).ratio(), a == b) for a, b in strip]
+
+
+def test_verifier_errors_and_absence(spark):
+    f = cases.faithfulness(F.col("a"), F.lit(None).cast(f"array<{cases.ITEM}>"), error=F.col("e"))
+    got = one(spark, "a string, e string", [("x", "down"), ("[참조: 없음]", None)], f)
+    assert [tuple(r) for r in got] == [(0.5, False, ["down"]), (1.0, True, [])]
+    assert tuple(one(spark, "a string", [("x",)], cases.faithfulness(F.col("a"), None, verifier=False))[0]) == (1.0, True, [])
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from corvid.sources import shared
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "a"
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Cluster)

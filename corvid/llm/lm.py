@@ -18,6 +18,7 @@ Words are compared by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import math
 import uuid
@@ -237,11 +238,10 @@ def _blocks(block_tokens: int):
     return run
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Block, ids, held, lens, vocabulary, tokens of each row."""
-    for r in range(len(batch)):
-        block, ids, held, lens = (batch.column(k)[r].as_py() for k in range(4))
-        yield block, ids, np.array(held), np.array(lens), np.frombuffer(batch.column(4)[r].as_buffer(), "<i8"), _unpack(batch.column(5)[r].as_buffer())
+def _row(batch: pa.RecordBatch, r: int) -> tuple:
+    """Block, ids, held, lens, vocabulary, tokens of a row."""
+    block, ids, held, lens = (batch.column(k)[r].as_py() for k in range(4))
+    return block, ids, np.array(held), np.array(lens), np.frombuffer(batch.column(4)[r].as_buffer(), "<i8"), _unpack(batch.column(5)[r].as_buffer())
 
 
 _SENT = "part int, block long, words binary, x binary, stats array<double>"
@@ -321,7 +321,8 @@ def _counted(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, _, held, lens, vocabulary, tokens in _rows(batch):
+            for r in range(len(batch)):
+                block, _, held, lens, vocabulary, tokens = _row(batch, r)
                 yield _send(block, vocabulary, np.bincount(tokens[np.repeat(~held, lens)], minlength=len(vocabulary)).astype("<f8"), parts)
 
     return run
@@ -336,42 +337,51 @@ def _emitted(batch: pa.RecordBatch, r: int, vocabulary: np.ndarray, emissions: E
 
 
 def _expected(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts: int):
+    def block_of(batch: pa.RecordBatch, r: int, row: tuple, stats: np.ndarray) -> pa.RecordBatch:
+        block, _, held, lens, vocabulary, tokens = row
+        e = np.zeros((len(vocabulary), len(start)))
+        if not held.all():
+            model = HMM(start, move, _emitted(batch, r, vocabulary, emissions, parts, np.float32)[1].T)
+            begin = np.cumsum(lens) - lens
+            for docs in _pieces(lens, np.flatnonzero(~held)):
+                seq = _Sequences(lens[docs], begin[docs])
+                s, m, _ = seq.counts(model, tokens[seq.source], e)
+                stats[: -len(start)] += np.concatenate([s, m.ravel()])
+                del seq
+            stats[-len(start) :] += e.sum(0)
+            del model
+        return _send(block, vocabulary, e.astype("<f4"), parts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = np.zeros(2 * len(start) + move.size)
         for batch in batches:
-            for r, (block, _, held, lens, vocabulary, tokens) in enumerate(_rows(batch)):
-                e = np.zeros((len(vocabulary), len(start)))
-                if not held.all():
-                    model = HMM(start, move, _emitted(batch, r, vocabulary, emissions, parts, np.float32)[1].T)
-                    begin = np.cumsum(lens) - lens
-                    for docs in _pieces(lens, np.flatnonzero(~held)):
-                        seq = _Sequences(lens[docs], begin[docs])
-                        s, m, _ = seq.counts(model, tokens[seq.source], e)
-                        stats[: -len(start)] += np.concatenate([s, m.ravel()])
-                        del seq
-                    stats[-len(start) :] += e.sum(0)
-                    del model
-                yield _send(block, vocabulary, e.astype("<f4"), parts)
+            for r in range(len(batch)):
+                yield block_of(batch, r, _row(batch, r), stats)
         yield _sent([np.full(1, -1, np.int32), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([stats])])
 
     return run
 
 
 def _scores(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts: int, total: int):
+    def block_of(batch: pa.RecordBatch, r: int, row: tuple) -> pa.RecordBatch:
+        _, ids, held, lens, vocabulary, tokens = row
+        c, emit = _emitted(batch, r, vocabulary, emissions, parts, np.float64)
+        doc = np.repeat(np.arange(len(lens)), lens)
+        sum_by_doc = lambda x: np.bincount(doc, x, len(lens))
+        base = sum_by_doc(np.log10((c + 1) / (total + emissions.distinct + 1))[tokens])
+        known = sum_by_doc((c > 0).astype(float)[tokens]).astype(np.int64)
+        del doc
+        markov, begin = np.empty(len(lens)), np.cumsum(lens) - lens
+        for docs in _pieces(lens, np.arange(len(lens))):
+            seq = _Sequences(lens[docs], begin[docs])
+            _, scale = seq.forward(HMM(start, move, emit.T), tokens[seq.source])
+            markov[docs[seq.order]] = np.bincount(seq.rank, np.log10(scale), len(lens[docs]))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(lens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(markov)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, (_, ids, held, lens, vocabulary, tokens) in enumerate(_rows(batch)):
-                c, emit = _emitted(batch, r, vocabulary, emissions, parts, np.float64)
-                doc = np.repeat(np.arange(len(lens)), lens)
-                sum_by_doc = lambda x, doc=doc, n=len(lens): np.bincount(doc, x, n)
-                base = sum_by_doc(np.log10((c + 1) / (total + emissions.distinct + 1))[tokens])
-                markov = np.empty(len(lens))
-                begin = np.cumsum(lens) - lens
-                for docs in _pieces(lens, np.arange(len(lens))):
-                    seq = _Sequences(lens[docs], begin[docs])
-                    _, scale = seq.forward(HMM(start, move, emit.T), tokens[seq.source])
-                    markov[docs[seq.order]] = np.bincount(seq.rank, np.log10(scale), len(lens[docs]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(lens.astype(np.int64)), pa.array(sum_by_doc((c > 0).astype(float)[tokens]).astype(np.int64)), pa.array(base), pa.array(markov)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            for r in range(len(batch)):
+                yield block_of(batch, r, _row(batch, r))
 
     return run
 
@@ -390,13 +400,31 @@ def _free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, iterations: int = 4, block_tokens: int = 6_000_000, modulus: int = 7, remainder: int = 2, seed: int = 3, part_words: int = 250_000) -> DataFrame:
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """A row of a block or two at a time goes to Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, iterations: int = 4, block_tokens: int = 2_000_000, modulus: int = 7, remainder: int = 2, seed: int = 3, part_words: int = 250_000) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Rows with crc32(id) mod ``modulus`` = ``remainder`` teach nothing; a null id is never held out. A null or empty
     text is its end alone. Repeated rows all count. Without training rows every token is unknown. Other columns are
     ignored, whatever their names. A part sums about ``part_words`` numbers, one for each word of each block.
     """
+    with _small_batches(docs.sparkSession):
+        scored, total = _scored(docs, id_col, text_col, states, iterations, block_tokens, modulus, remainder, seed, part_words)
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, states: int, iterations: int, block_tokens: int, modulus: int, remainder: int, seed: int, part_words: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col), modulus, remainder).alias("held"), F.col(text_col).cast("string").alias("t"))
     columns = ["block", "ids", "held", "lens", "vocabulary", "tokens"]
@@ -436,4 +464,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored, _ = write_shared(ready.mapInArrow(_scores(start, move, emissions, parts, total), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
     spark.sql(f"DROP TABLE {name}")
     drop_shared(spark, blocks_path, *old)
-    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored, total

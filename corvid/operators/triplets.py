@@ -77,26 +77,45 @@ def store(triplets: DataFrame) -> DataFrame:
     return triplets.groupBy("triplet_id", "subject", "predicate", "object", "confidence").agg(F.min("chunk_id").alias("chunk_id"))
 
 
-def _field_score(query: Column, key: Column) -> Column:
-    q, k = F.lower(query), F.lower(key)
-    return F.when(k.contains(q) | q.contains(k), F.length(q) / F.greatest(F.length(k), F.length(q)))
+GRAM = 3
+
+
+def _grams(c: Column) -> Column:
+    """Every character and every run of three characters of a text, each once."""
+    runs = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(runs(1), runs(GRAM)))
+
+
+def containments(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(q, k, score) of queries(q) and keys(k), both distinct and in lower case, of which one holds the other.
+
+    The held text's head, three characters or one if it is shorter, is among the grams of the other: that joins them, and
+    the texts themselves decide. Empty texts match nothing.
+    """
+    head = lambda c: F.when(F.length(c) >= GRAM, F.substring(c, 1, GRAM)).otherwise(F.substring(c, 1, 1))
+    inside = keys.select("k", F.explode(_grams(F.col("k"))).alias("g")).join(queries.select("q", head(F.col("q")).alias("g")), "g").filter(F.col("k").contains(F.col("q")) & (F.col("q") != ""))
+    around = queries.select("q", F.explode(_grams(F.col("q"))).alias("g")).join(keys.select("k", head(F.col("k")).alias("g")), "g").filter(F.col("q").contains(F.col("k")) & (F.col("k") != ""))
+    return inside.select("q", "k").union(around.select("q", "k")).distinct().withColumn("score", F.length("q") / F.greatest(F.length("k"), F.length("q")))
 
 
 def search(queries: DataFrame, triplets: DataFrame, query: str = "query", fuzzy: bool = True) -> DataFrame:
     """Each query's triplets with match_type and score: the first field that matches counts, not the best one.
 
-    Fuzzy search is containment either way, so it compares every triplet with every query of a batch; the batch is the
-    stated query set and is what gets broadcast when its size allows.
+    Fuzzy search is containment either way. Queries meet the distinct values of the fields by their grams, and what
+    matches finds its triplets by equality; no triplet is compared with a query it has nothing in common with.
     """
-    if not fuzzy:
-        fields = [triplets.withColumn("__key", F.lower(f)).withColumn("match_type", F.lit(f)).withColumn("__n", F.lit(n)) for n, f in enumerate(("subject", "predicate", "object"))]
-        x = fields[0].union(fields[1]).union(fields[2]).join(queries, F.col("__key") == F.lower(query))
-        first = F.min_by("match_type", "__n").alias("match_type")
-        return x.groupBy(*queries.columns, *triplets.columns).agg(first).withColumn("score", F.lit(1.0))
-    scores = {f: _field_score(F.col(query), F.col(f)) for f in ("subject", "predicate", "object")}
-    hit = F.coalesce(*scores.values())
-    kind = F.when(scores["subject"].isNotNull(), "subject").when(scores["predicate"].isNotNull(), "predicate").otherwise("object")
-    return triplets.join(queries, hit.isNotNull()).withColumn("match_type", kind).withColumn("score", hit)
+    fields = ("subject", "predicate", "object")
+    places = [triplets.select(F.lower(f).alias("__key"), F.lit(n).alias("__n"), F.lit(f).alias("match_type"), F.struct(*triplets.columns).alias("__t")) for n, f in enumerate(fields)]
+    asked = queries.withColumn("__q", F.lower(query))
+    if fuzzy:
+        keys = triplets.select(F.explode(F.array_distinct(F.array(*[F.lower(f) for f in fields]))).alias("k")).distinct()
+        found = containments(asked.select(F.col("__q").alias("q")).distinct(), keys)
+        asked = asked.join(found, F.col("__q") == F.col("q")).drop("q")
+    else:
+        asked = asked.withColumn("k", F.col("__q")).withColumn("score", F.lit(1.0))
+    x = places[0].union(places[1]).union(places[2]).join(asked, F.col("__key") == F.col("k"))
+    first = F.min_by(F.struct("match_type", "score"), "__n").alias("__m")
+    return x.groupBy(*queries.columns, "__t").agg(first).select(*queries.columns, "__t.*", "__m.match_type", "__m.score")
 
 
 def chunk_scores(hits: DataFrame, by: list[str]) -> DataFrame:

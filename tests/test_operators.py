@@ -361,3 +361,17 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared.shared_dir(Cluster)
+
+
+def test_containments_equal_all_pairs(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("ab회") for _ in range(r.randrange(0, 7)))
+    q, k = {word() for _ in range(60)}, {word() for _ in range(200)}
+    got = {(x["q"], x["k"]): x["score"] for x in triplets.containments(spark.createDataFrame([(x,) for x in q], "q string"), spark.createDataFrame([(x,) for x in k], "k string")).collect()}
+    assert got == {(a, b): len(a) / max(len(a), len(b)) for a in q for b in k if a and b and (a in b or b in a)}
+
+
+def test_first_field_that_matches_counts(spark):
+    t = spark.createDataFrame([("1", "Alpha beta", "is", "alpha"), ("2", "x", "alphabet", "alpha"), ("3", None, "is", "ALPHA"), ("4", "x", "y", "z")], "triplet_id string, subject string, predicate string, object string")
+    got = {(r["query"], r["triplet_id"]): (r["match_type"], round(r["score"], 6)) for r in triplets.search(spark.createDataFrame([("alpha",), ("is",)], "query string"), t).collect()}
+    assert got == {("alpha", "1"): ("subject", 0.5), ("alpha", "2"): ("predicate", 0.625), ("alpha", "3"): ("object", 1.0), ("is", "1"): ("predicate", 1.0), ("is", "3"): ("predicate", 1.0)}

@@ -13,7 +13,8 @@ counts by (word, state) grow with the corpus and never leave the executors.
 4. The last pass scores each document with its block's counts and the trained model.
 
 A word's count in a state is raised by 1 / states, so that its counts in all states are raised by 1 as in the base score.
-Words are compared by 64-bit hashes of their bytes.
+Words are compared by 64-bit hashes of their bytes. Expected counts travel as 16-bit logarithms, right to 0.04 %; sums,
+counts of words and recursions have full precision.
 """
 
 from __future__ import annotations
@@ -93,12 +94,11 @@ class Emissions:
         x[:, c == 0] = 2.0
         return np.ascontiguousarray((x / (self.by_state[:, None] + 2.0)).T, kind)
 
-    def trained(self, expected: np.ndarray, kind=np.float64) -> np.ndarray:
-        """Of expected counts by word and state; the unknown word has none."""
-        x = expected.astype(kind)
-        x += kind(1 / self.states)
-        x /= (self.by_state + (self.distinct + 1) / self.states).astype(kind)
-        return x
+    def trained(self, expected: np.ndarray) -> np.ndarray:
+        """Of expected counts by word and state, in their place; the unknown word has none."""
+        expected += expected.dtype.type(1 / self.states)
+        expected /= (self.by_state + (self.distinct + 1) / self.states).astype(expected.dtype)
+        return expected
 
 
 class _Sequences:
@@ -194,6 +194,23 @@ def _grown(x: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+_STEPS, _LEAST = 1023.0, -30.0
+
+
+def _coded(x: np.ndarray) -> np.ndarray:
+    """Expected counts as 16-bit logarithms; what is below 2 ** -30 is 0."""
+    out = np.zeros(x.shape, "<u2")
+    there = x >= 2.0**_LEAST
+    out[there] = np.clip(np.rint((np.log2(x[there]) - _LEAST) * _STEPS) + 1, 1, 65_535)
+    return out
+
+
+def _decoded(code: np.ndarray, kind) -> np.ndarray:
+    out = np.exp2((code.astype(kind) - kind(1)) * kind(1 / _STEPS) + kind(_LEAST))
+    out[code == 0] = 0
+    return out
+
+
 def _pieces(lens: np.ndarray, which: np.ndarray, most: int = 250_000) -> Iterator[np.ndarray]:
     """The documents ``which`` in runs of about ``most`` tokens and like lengths: memory doesn't grow with a block, and few steps are short."""
     order = which[np.argsort(-lens[which], kind="stable")]
@@ -300,8 +317,8 @@ def _summed(kind: str, states: int, seed: int):
         words = [np.frombuffer(w, "<i8") for w in table["words"].to_pylist()]
         distinct, number = np.unique(np.concatenate(words), return_inverse=True)
         x = np.concatenate([_grown(y, kind) for y in table["x"].to_pylist()]).reshape(len(number), -1)
-        total = np.stack([np.bincount(number, column, len(distinct)) for column in x.T], 1)
-        back, at = total[number].astype(kind), np.cumsum([0, *map(len, words)])
+        total = np.stack([np.bincount(number, column if kind == "<f8" else _decoded(column, np.float64), len(distinct)) for column in x.T], 1)
+        back, at = (total if kind == "<f8" else _coded(total))[number], np.cumsum([0, *map(len, words)])
         rows = [[b, p, _shrink(back[at[k] : at[k + 1]]), None] for k, (b, p) in enumerate(zip(table["block"].to_pylist(), table["part"].to_pylist()))]
         if kind == "<f8":
             c = total[:, 0]
@@ -333,7 +350,7 @@ def _emitted(batch: pa.RecordBatch, r: int, vocabulary: np.ndarray, emissions: E
     c = _answered(batch.column(6)[r], vocabulary, parts, "<f8")[:, 0] if batch.column(6)[r].is_valid else None
     if batch.num_columns == 7:
         return c, emissions.first(vocabulary, c, kind)
-    return c, emissions.trained(_answered(batch.column(7)[r], vocabulary, parts, "<f4"), kind)
+    return c, emissions.trained(_decoded(_answered(batch.column(7)[r], vocabulary, parts, "<u2"), kind))
 
 
 def _expected(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts: int):
@@ -350,7 +367,7 @@ def _expected(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts:
                 del seq
             stats[-len(start) :] += e.sum(0)
             del model
-        return _send(block, vocabulary, e.astype("<f4"), parts)
+        return _send(block, vocabulary, _coded(e), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = np.zeros(2 * len(start) + move.size)
@@ -450,7 +467,7 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, states: int, iterations
 
     (start, move), emissions, ready, old = first_moves(states), Emissions(states, seed, distinct, flat[2:]), blocks, []
     for k in range(iterations if total else 0):
-        summed, path = write_shared(answers(ready.mapInArrow(_expected(start, move, emissions, parts), _SENT), "<f4"), "expected")
+        summed, path = write_shared(answers(ready.mapInArrow(_expected(start, move, emissions, parts), _SENT), "<u2"), "expected")
         drop_shared(spark, *old)
         flat, old = _sums(summed, 2 * states + states**2), [path]
         start, move = smoothed(flat[:states]), smoothed(flat[states:-states].reshape(states, states))

@@ -338,6 +338,8 @@ SELECT id, tid, CASE WHEN coalesce(n = article AND (title IS NULL OR contains(t,
 h AS (SELECT request, section, document_title, section_title, row_number() OVER (PARTITION BY request ORDER BY list_cosine_similarity(r.v, s.v) DESC, id) AS rank FROM r, s QUALIFY rank <= 5),
 p AS (SELECT *, contains(coalesce(section_title, ''), section) AS own FROM h)
 SELECT request, document_title, section_title, CASE WHEN NOT own THEN 'Exact section not found, returning best match' END AS note FROM p QUALIFY row_number() OVER (PARTITION BY request ORDER BY NOT own, rank) = 1""",
+    "triplet_extract": """SELECT substr(md5(concat_ws(':', subject, predicate, object)), 1, 12) AS triplet_id, * FROM (VALUES ('회사', '제한_가능', '서비스 이용', 'c1'), ('이용자', '의무', '요금', 'c2'), ('회사', '면책', '천재지변', 'c3'), ('이용자', '정', '서비스에 접속하는 자', 'c4'),
+  ('고객', '금지', '타인의 정보 도용', 'c6'), ('회사', '면책', '통신 장애', 'c8'), ('당사', '면책', '정전', 'c8')) AS t(subject, predicate, object, chunk_id)""",
     "triplet_extract_documents": f"WITH {TRIPLETS_SQL} SELECT * FROM t",
     "triplet_search": f"WITH {TRIPLETS_SQL}, {TRIPLET_HITS_SQL} SELECT query, triplet_id, match_type, round(score, 6) AS score FROM h",
     "triplet_chunk_score": f"""WITH {TRIPLETS_SQL}, {TRIPLET_HITS_SQL}, s AS (SELECT query, chunk_id, sum(score) AS total FROM h GROUP BY ALL)

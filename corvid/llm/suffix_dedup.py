@@ -6,7 +6,9 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
    anchor, so equal strings have equal anchors at equal places. About one byte in 17 is an anchor.
 2. A block sends the hashes of its anchors, 5 bytes each and by hash range, to owner tasks, which answer with a bit
    for each: does it occur in two documents. Only these anchors go on, with the bytes around them; equal surroundings
-   in a block go as one, with their smallest id.
+   in a block go as one, with their smallest id. Of anchors in more than ``hot_blocks`` blocks, whose surroundings would
+   meet in one task, the block sends its strings of ``length`` bytes as 128-bit hashes instead, each to the owner of
+   its hash and with the block's smallest id; owners answer with the smallest id of all blocks.
 3. Owners sort the suffixes that start at the anchors, and the reversed prefixes before them: a mergesort in which the
    common extension of two strings is found by binary search over prefix polynomial hashes. The extensions of
    neighbours are then checked byte by byte; a sort that a hash collision misled is done again on the bytes.
@@ -33,7 +35,7 @@ from corvid.llm.common import drop_shared, write_shared
 GRAM = 17
 #: Owners of surroundings to an owner of hashes: surroundings are larger, hashes are many.
 FINE = 4
-_P = 0x9E3779B97F4A7C15 | 1
+_P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
 _INVERSE = pow(_P, -1, 1 << 64)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Stands for a null id, which is larger than all others.
@@ -229,6 +231,29 @@ class _Block:
         np.maximum.at(last, self.number, ids)
         return first != last
 
+    def windows(self, hot: np.ndarray, length: int, owners: int) -> tuple[np.ndarray, ...]:
+        """Where strings of ``length`` bytes around hot anchors start, and their classes by 128-bit hashes in order of owner: class of each, and of each class owner, hash and least id; also each start's id."""
+        take = np.flatnonzero(hot[self.number]) if len(self.keys) else np.empty(0, np.int64)
+        at, doc = self.at[take], self.doc[take]
+        low, high = np.maximum(at - (length - GRAM), self.ends[doc] - self.lens[doc]), np.minimum(at, self.ends[doc] - length)
+        n = np.maximum(high - low + 1, 0)
+        start = np.unique(np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n))
+        ids = self.ids[np.searchsorted(self.ends, start, "right")]
+        size, h = len(self.data), []
+        for base in (_P, _Q):
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(base, size))])
+            h.append(_mix((prefix[start + length] - prefix[start]) * _powers(pow(base, -1, 1 << 64), size)[start]) if size else np.empty(0, np.uint64))
+        owner = (h[0] % np.uint64(owners)).astype(np.int64)
+        order = np.lexsort((h[1], h[0], owner))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[0][order][1:] != h[0][order][:-1]) | (h[1][order][1:] != h[1][order][:-1])
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        first = order[new]
+        least = np.full(len(first), LAST)
+        np.minimum.at(least, kind, ids)
+        return start, ids, kind, owner[first], np.stack([h[0][first], h[1][first]], 1), least
+
     def contexts(self, bits: np.ndarray, length: int):
         """Of the occurrences of marked keys: which, their surroundings' class, and of each class bytes, lengths, key and least id."""
         take = np.flatnonzero(bits[self.number]) if len(self.keys) else np.empty(0, np.int64)
@@ -275,43 +300,58 @@ def _send_keys(shards: int):
     return run
 
 
-def _answer_keys(part: pd.DataFrame) -> pd.DataFrame:
-    """For each block's keys of a shard, bits that mark those in two documents."""
-    keys, inside = [], []
-    for k, i in zip(part["keys"], part["inside"]):
-        x = np.zeros((len(k) // 5, 8), np.uint8)
-        x[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
-        keys.append(x.view(np.uint64).ravel())
-        inside.append(np.unpackbits(np.frombuffer(i, np.uint8), count=len(keys[-1])))
-    _, number, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    marked = np.bincount(number, np.concatenate(inside)) + (n > 1) > 0
-    bits = np.split(marked[number], np.cumsum([len(k) for k in keys])[:-1])
-    return pd.DataFrame({"shard": part["shard"], "block": part["block"], "bits": [_zip(np.packbits(b)) for b in bits]})
+def _answer_keys(hot_blocks: int):
+    """For each block's keys of a shard, bits that mark those in two documents, and those of them in many blocks."""
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        keys, inside = [], []
+        for k, i in zip(part["keys"], part["inside"]):
+            x = np.zeros((len(k) // 5, 8), np.uint8)
+            x[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
+            keys.append(x.view(np.uint64).ravel())
+            inside.append(np.unpackbits(np.frombuffer(i, np.uint8), count=len(keys[-1])))
+        _, number, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        marked, cut = np.bincount(number, np.concatenate(inside)) + (n > 1) > 0, np.cumsum([len(k) for k in keys])[:-1]
+        split = lambda x: [_zip(np.packbits(b)) for b in np.split(x[number], cut)]
+        return pd.DataFrame({"shard": part["shard"], "block": part["block"], "bits": split(marked), "hot": split(n > hot_blocks)})
 
-def _marked(b: _Block, answers: pa.Scalar) -> np.ndarray:
-    out = np.zeros(len(b.keys), bool)
+    return run
+
+
+def _marked(b: _Block, answers: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in two documents but the hot ones, and hot ones."""
+    out = np.zeros((2, len(b.keys)), bool)
     for x in answers.as_py() or []:
         low, high = b.shards[x["shard"]], b.shards[x["shard"] + 1]
-        out[low:high] = np.unpackbits(_unzip(x["bits"], np.uint8), count=high - low)
-    return out
+        for k, name in enumerate(("bits", "hot")):
+            out[k, low:high] = np.unpackbits(_unzip(x[name], np.uint8), count=high - low)
+    return out[0] & ~out[1], out[1]
 
 
 def _send_contexts(shards: int, length: int):
+    """Surroundings by owner from 0 on, and hashes of strings around hot anchors by owner from -1 down."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
                 b = _Block(batch, r, shards)
-                _, _, rows, key, least = b.contexts(_marked(b, batch.column("answers")[r]), length)
-                shard = b.owners(key)
-                order = np.argsort(shard, kind="stable")
-                found, cut = np.unique(shard[order], return_index=True)
-                parts = np.split(order, cut[1:]) if len(order) else []
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([b.block] * len(found), pa.int64()), pa.array([_zip(rows[p]) for p in parts], pa.binary()), pa.array([_zip(least[p]) for p in parts], pa.binary())], ["shard", "block", "rows", "least"])
+                marked, hot = _marked(b, batch.column("answers")[r])
+                _, _, rows, key, least = b.contexts(marked, length)
+                sent = [(x, rows[p], least[p]) for x, p in _by_owner(b.owners(key))]
+                if hot.any():
+                    *_, owner, hashes, least = b.windows(hot, length, shards * FINE)
+                    sent += [(-1 - x, hashes[p], least[p]) for x, p in _by_owner(owner)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int32()), pa.array([b.block] * len(sent), pa.int64()), pa.array([_zip(x[1]) for x in sent], pa.binary()), pa.array([_zip(x[2]) for x in sent], pa.binary())], ["shard", "block", "rows", "least"])
 
     return run
 
 
+def _by_owner(owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(owner, kind="stable")
+    found, cut = np.unique(owner[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, cut[1:]) if len(order) else [])
+
+
 def windows_seen(rows: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
     """For distinct surroundings with their least ids: bit o is set if the string from o bytes before the anchor stands in a document with a smaller id."""
     left = length - GRAM
@@ -332,8 +372,24 @@ def windows_seen(rows: np.ndarray, least: np.ndarray, length: int) -> np.ndarray
     return seen
 
 
+def hashes_answered(part: pd.DataFrame) -> pd.DataFrame:
+    """The least id of each hash."""
+    hashes, least = [_unzip(x, np.uint64).reshape(-1, 2) for x in part["rows"]], [_unzip(x, np.int64) for x in part["least"]]
+    at, h, least = np.cumsum([len(x) for x in least])[:-1], np.concatenate(hashes), np.concatenate(least)
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]).any(1)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    low = np.full(int(new.sum()), LAST)
+    np.minimum.at(low, kind, least)
+    return pd.DataFrame({"shard": part["shard"], "block": part["block"], "low": [_zip(x) for x in np.split(low[kind], at)], "seen": [b""] * len(part)})
+
+
 def _answer_contexts(length: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        if part["shard"].iloc[0] < 0:
+            return hashes_answered(part)
         width = 2 * length - GRAM + 2
         rows, least = [_unzip(x, np.uint8).reshape(-1, width) for x in part["rows"]], [_unzip(x, np.int64) for x in part["least"]]
         at = np.cumsum([len(x) for x in least])[:-1]
@@ -352,10 +408,12 @@ def _cut(shards: int, length: int, texts: bool):
         for batch in batches:
             for r in range(len(batch)):
                 b = _Block(batch, r, shards)
-                take, kind, rows, key, _ = b.contexts(_marked(b, batch.column("answers")[r]), length)
+                marked, hot = _marked(b, batch.column("answers")[r])
+                take, kind, rows, key, _ = b.contexts(marked, length)
                 order = np.argsort(b.owners(key), kind="stable")
                 low, seen = np.empty(len(rows), np.int64), np.empty(len(rows), np.uint64)
-                back = sorted(batch.column("cuts")[r].as_py() or [], key=lambda x: x["shard"])
+                all_back = batch.column("cuts")[r].as_py() or []
+                back, hot_back = (sorted((x for x in all_back if (x["shard"] < 0) == of_hot), key=lambda x: abs(x["shard"])) for of_hot in (False, True))
                 if back:
                     low[order] = np.concatenate([_unzip(x["low"], np.int64) for x in back])
                     seen[order] = np.concatenate([_unzip(x["seen"], np.uint64) for x in back])
@@ -367,6 +425,11 @@ def _cut(shards: int, length: int, texts: bool):
                     start = at[hit] - o
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + length, -1)
+                if hot_back:
+                    start, ids, kind, *_ = b.windows(hot, length, shards * FINE)
+                    start = start[ids > np.concatenate([_unzip(x["low"], np.int64) for x in hot_back])[kind]]
+                    np.add.at(cover, start, 1)
+                    np.add.at(cover, start + length, -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 out = []
                 for end, n in zip(b.ends, b.lens):
@@ -380,7 +443,7 @@ def _cut(shards: int, length: int, texts: bool):
     return run
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 2_000_000, shard_bytes: int = 16_000_000, texts: bool = True) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 2_000_000, shard_bytes: int = 16_000_000, hot_blocks: int = 256, texts: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left; null unless ``texts``).
 
     Strings never cross texts, and are judged on the input, not on what is left. Null and empty texts have no bytes.
@@ -398,8 +461,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // shard_bytes)
 
     keys = blocks.mapInArrow(_send_keys(shards), "shard int, block long, keys binary, inside binary")
-    bits = keys.groupBy("shard").applyInPandas(_answer_keys, "shard int, block long, bits binary")
-    answers = bits.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
+    bits = keys.groupBy("shard").applyInPandas(_answer_keys(hot_blocks), "shard int, block long, bits binary, hot binary")
+    answers = bits.groupBy("block").agg(F.collect_list(F.struct("shard", "bits", "hot")).alias("answers"))
     answers, _ = write_shared(answers, "answers")
 
     asked = blocks.join(answers, "block", "left")

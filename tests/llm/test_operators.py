@@ -90,12 +90,23 @@ def cut_by_hand(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [2_000, 2_000_000])
-def test_cut_repeats(docs, block_bytes):
-    got = rows_of(suffix_dedup.cut_repeats(docs, block_bytes=block_bytes, shard_bytes=3 * block_bytes).drop("kept"))
+@pytest.mark.parametrize("block_bytes, hot_blocks", [(2_000, 256), (2_000, 2), (500, 0), (2_000_000, 256)])
+def test_cut_repeats(docs, block_bytes, hot_blocks):
+    got = rows_of(suffix_dedup.cut_repeats(docs, block_bytes=block_bytes, shard_bytes=3 * block_bytes, hot_blocks=hot_blocks).drop("kept"))
     assert got == cut_by_hand([(r[0], r[1]) for r in documents()], 50)
 
 
+def test_cut_repeats_at_the_edges_of_hot_passages(spark):
+    """One passage in many documents, at their ends, behind other text, and cut short."""
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = noise(130)
+    rows = [(k, noise(r.randrange(0, 40)) + passage[r.choice([0, 0, 17, 60]) :][: r.choice([130, 130, 49, 50, 51])] + noise(r.randrange(0, 40))) for k in range(60)] + [(60, passage), (None, passage), (7, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot_blocks in (0, 5, 256):
+        assert rows_of(suffix_dedup.cut_repeats(df, block_bytes=400, shard_bytes=1500, hot_blocks=hot_blocks).drop("kept")) == cut_by_hand(rows, 50)
+
+
 def test_cut_repeats_without_rows(none):
     assert suffix_dedup.cut_repeats(none).count() == 0
 

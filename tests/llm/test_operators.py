@@ -586,8 +586,8 @@ def test_quality_without_labels_or_rows(docs, none, spark):
 def test_scores_add_one_entry_a_table():
     r = np.random.default_rng(5)
     x = np.round(r.standard_normal((500, 4)), 1)
-    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.2)).astype(float)
-    model = quality.GAM(rounds=20, pair_rounds=10).fit(x, y)
+    y = (x[:, 0] + 2 * np.sign(x[:, 1] * x[:, 2]) > 0).astype(float)
+    model = quality.GAM(rounds=20, pair_rounds=20).fit(x, y)
     assert model.pair_tables
     for row, score in zip(x, model.score(x)):
         z = model.base + sum(table[sum(v >= e for e in edges)] for v, edges, table in zip(row, model.edges, model.tables))

@@ -632,6 +632,23 @@ def test_near_embeddings(spark):
     assert embedding_dedup.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_near_embeddings_of_repeated_ids_and_large_components(spark, monkeypatch):
+    """Rows that repeat an id and its vector count as rows; blocks of stars and components meet each other."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    centre = r.standard_normal(24)
+    rows = [(k, (centre + r.standard_normal(24) * 0.13).tolist()) for k in range(60)] + [(100 + k, r.standard_normal(24).tolist()) for k in range(20)]
+    rows += [rows[5], rows[5], rows[70]]
+    good = [(i, np.array(v)) for i, v in rows]
+    pairs = [(a, b) for x, (a, u) in enumerate(good) for b, v in good[x + 1 :] if u @ v / math.sqrt((u @ u) * (v @ v)) >= 0.95]
+    of, n = components_of({i for i, _ in rows}, [(a, b) for a, b in pairs if a != b]), Counter()
+    for x, (a, u) in enumerate(good):
+        n[x] = sum(u @ v / math.sqrt((u @ u) * (v @ v)) >= 0.95 for y, (_, v) in enumerate(good) if y != x)
+    expected = sorted(((i, n[x], of[i], i == of[i]) for x, (i, _) in enumerate(rows)), key=repr)
+    assert len(set(of.values())) < 60
+    assert rows_of(embedding_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == expected
+
+
 def test_estimates_are_unbiased():
     r = np.random.default_rng(7)
     x, y = embedding_dedup._unit(r.standard_normal((2000, 64))), embedding_dedup._unit(r.standard_normal((2000, 64)))

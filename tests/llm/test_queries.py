@@ -1,12 +1,15 @@
 """The registered queries against their SQL, and the pipeline against its stages by hand."""
 
+import base64
 import hashlib
 import os
 from collections import defaultdict
 
 import corpus_pipeline
 import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 
 from corvid.llm import minhash, quality, registry
 
@@ -60,3 +63,33 @@ def test_pipeline(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == chosen
     assert all(r["decoded_sha256"] == hashlib.sha256(rows[i]["text"].encode()).hexdigest() for i, r in got.items())
+    with open(public_tokenizers.path(corpus_pipeline.TOKENIZER), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, r in got.items():
+        ids = enc.encode_ordinary(rows[i]["text"])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_pipeline_stages_on_nulls_and_nothing(spark, tmp_path):
+    """Null texts, ids and sources, repeated ids, and no rows pass every stage; all but the last keep the columns."""
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars between 200 and 900").limit(6).collect()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(k, t, "en", "src1", len(t)) for k, t in enumerate(good)] + [(None, good[0] + " x", None, None, 1), (0, good[0], "en", "src1", 1), (90, None, "en", "src2", None), (91, "", None, "src12", 0)]
+    for name, data in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(data, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns and out.count() <= docs.count()
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert last.count() == len(data) and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_quality_of_held_out_documents(spark):
+    """Labels of the driver's documents that were not learned from."""
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    scored = registry.QUERIES["op8_quality"](spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet").filter("quality is not null"), "doc_id")
+    rows = scored.select("predicted", "quality").collect()
+    assert len(rows) > 30 and sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.95

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.operators import routing, search, verification
+from corvid.operators import routing, rules, search, verification
 from corvid.providers import Providers
 
 CLARIFY, HANDOFF = "질문을 조금 더 구체적으로 알려 주세요.", "상담원에게 연결해 드리겠습니다."
@@ -21,7 +21,10 @@ def _hits(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
 
 def answers(queries: DataFrame, faq: DataFrame, sections: DataFrame, bands: routing.Bands = routing.Bands(), providers: Providers = Providers(), k: int = 5) -> DataFrame:
-    """(id, query, answer, source, confidence, response_mode, citations, verified, verification_score) of queries (id, query, vector)."""
+    """(id, query, answer, source, confidence, response_mode, citations, verified, verification_score, verification_issues, metadata) of queries (id, query, vector).
+
+    metadata has the route, the band of middle and low scores, the section asked for, and the reasons of the verification.
+    """
     first = _hits(queries, faq, k).withColumn("route", routing.route_faq(F.col("top"), bands))
     direct = first.filter("route <> 'sections'").withColumn("source", F.lit("faq"))
     kept = F.when(F.col("route") == "faq_ok", routing.relevant(F.col("hits"), bands.faq)).otherwise(routing.relevant(F.col("hits"), bands.faq_mid))
@@ -37,6 +40,11 @@ def answers(queries: DataFrame, faq: DataFrame, sections: DataFrame, bands: rout
     valid = verification.citations_valid(F.col("answer"), F.transform("hits", lambda h: h["title"]), required=False)
     signs = verification.hedges(F.col("answer"))
     score = verification.confidence(valid, signs)
+    none = F.array().cast("array<string>")
+    checked = verification.gated(F.col("source"), F.col("response_mode"), verification.reasoning(valid, signs), None)
+    band = F.when(F.col("route").isin("faq_mid", "section_mid"), "mid").when(F.col("route") == "section_low", "low")
+    x = x.withColumn("metadata", F.struct("route", band.alias("confidence_band"), rules.loose_reference(F.col("query")).alias("section_reference"), checked.alias("verification_reasoning")))
+    x = x.withColumn("verification_issues", F.when((F.col("source") == "sections") & F.col("response_mode").isin("answer", "limited_answer"), signs).otherwise(none))
     x = x.withColumn("verification_score", verification.gated(F.col("source"), F.col("response_mode"), score, 1.0))
     x = x.withColumn("verified", verification.gated(F.col("source"), F.col("response_mode"), verification.verified(score, valid, signs), True))
-    return x.select("id", "query", "answer", "source", "confidence", "response_mode", "citations", "verified", "verification_score")
+    return x.select("id", "query", "answer", "source", "confidence", "response_mode", "citations", "verified", "verification_score", "verification_issues", "metadata")

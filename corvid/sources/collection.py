@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvid.operators.ingest import first_wins, skip_existing
+from corvid.operators.ingest import chunks, faq_id, first_wins, single_faq_id, skip_existing, stored_chunks, valid_pairs
 
 
 class Collection:
@@ -36,6 +37,24 @@ class Collection:
         now = self.scan()
         self._put(now.unionByName(skip_existing(first_wins(rows, self.key, order), now, self.key).select(*now.columns)))
 
+    def add_pairs(self, rows: DataFrame, order: str) -> None:
+        """Question-answer pairs in bulk: those that lack a text go, ids are of their texts."""
+        self.add(valid_pairs(rows, "question", "answer").withColumn("id", faq_id(F.col("question"), F.col("answer"))), order)
+
+    def add_pair(self, question: str, answer: str, created_at: str, given_id: str | None = None, **columns) -> str:
+        """One pair by itself; its id is of the question and the time unless it is given. Returns the id."""
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        row = self.spark.range(1).select(F.lit(question).alias("question"), F.lit(answer).alias("answer"), F.lit(created_at).alias("created_at"), *[F.lit(v).alias(k) for k, v in columns.items()], F.lit(0).alias("__pos"))
+        row = row.withColumn("id", F.lit(given_id) if given_id else single_faq_id(F.col("question"), F.col("created_at")))
+        row = row.withColumns({c: F.lit(None) for c in names if c not in row.columns})
+        self.add(row, "__pos")
+        return row.first()["id"]
+
+    def add_documents(self, docs: DataFrame, document: str, text: str, given: str | None = None) -> None:
+        """Documents as chunks, each once, with contents as a collection stores them."""
+        x = stored_chunks(chunks(docs, document, text, given)).withColumnRenamed("chunk_id", "id").withColumn("document_title", F.col(document))
+        self.add(x.withColumn("__pos", F.monotonically_increasing_id()), "__pos")
+
     def delete(self, ids: DataFrame) -> None:
         self._put(self.scan().join(ids.select(self.key).distinct(), self.key, "left_anti"))
 

@@ -32,6 +32,14 @@ def write_dataset(items: DataFrame, path: str, model: str, provider: str, as_of:
     one.select(*head, "items").coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_results(summary: DataFrame, cases: DataFrame, folder: str, model: str, stamp: str) -> str:
+    """A model's summary with its cases in one JSON file of a folder named after model and time; returns its path. Cases of one evaluation are few by their meaning."""
+    name = summary.sparkSession.range(1).select(slug(F.lit(model), stamp)).first()[0]
+    one = summary.join(cases.agg(F.collect_list(F.struct(*cases.columns)).alias("case_results"))).withColumn("model_name", F.lit(model))
+    one.coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+    return f"{folder.rstrip('/')}/{name}"
+
+
 def markdown(models: DataFrame, categories: DataFrame, title: str = "Evaluation") -> str:
     """A report of one row a model and one a model and category, both small by their meaning."""
     lines = [f"# {title}", "", "| Model | Similarity | BLEU | Faithfulness | Latency (ms) | Verified |", "|---|---|---|---|---|---|"]

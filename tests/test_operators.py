@@ -186,6 +186,8 @@ def test_answers_route_and_verify(spark):
     sections = spark.createDataFrame([(20, [0.1, 1.0], "d", "제1조(가)", "text")], schema)
     got = {r["id"]: (r["source"], r["response_mode"]) for r in answer.answers(q, faq, sections).collect()}
     assert got == {1: ("faq", "answer"), 2: ("sections", "answer"), 3: ("no_context", "handoff")}
+    first, third = (r["metadata"] for r in answer.answers(q.withColumn("query", F.lit("3조 2항")).filter("id <> 2"), faq, sections).orderBy("id").collect())
+    assert (first["route"], first["confidence_band"], first["section_reference"], third["route"]) == ("faq_ok", None, "제3조 제2항", "none")
 
 
 def test_report(spark):
@@ -375,3 +377,34 @@ def test_first_field_that_matches_counts(spark):
     t = spark.createDataFrame([("1", "Alpha beta", "is", "alpha"), ("2", "x", "alphabet", "alpha"), ("3", None, "is", "ALPHA"), ("4", "x", "y", "z")], "triplet_id string, subject string, predicate string, object string")
     got = {(r["query"], r["triplet_id"]): (r["match_type"], round(r["score"], 6)) for r in triplets.search(spark.createDataFrame([("alpha",), ("is",)], "query string"), t).collect()}
     assert got == {("alpha", "1"): ("subject", 0.5), ("alpha", "2"): ("predicate", 0.625), ("alpha", "3"): ("object", 1.0), ("is", "1"): ("predicate", 1.0), ("is", "3"): ("predicate", 1.0)}
+
+
+def test_single_pairs_and_documents_enter_a_collection(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "faq"), "id string, question string, answer string, created_at string, source string")
+    one_id = c.add_pair("q", "a", "t", source="web")
+    assert one_id == hashlib.sha256(b"q_t").hexdigest()[:16] and c.add_pair("q", "b", "t") == one_id and c.add_pair("q", "a", "t", "own") == "own"
+    c.add_pairs(spark.createDataFrame([("q", "a", 0), ("q", "a", 1), ("", "a", 2)], "question string, answer string, pos int").withColumns({"created_at": F.lit("t"), "source": F.lit("x")}), "pos")
+    assert sorted(r["answer"] for r in c.scan().collect()) == ["a", "a", "a"]
+    d = Collection(spark, str(tmp_path / "terms"), "id string, document_title string, section_title string, section_content string, parent_content string")
+    docs = spark.createDataFrame([("약관", "제1조(목적)\n" + "가" * 1500 + "\n제2조(해지)\n해지는 된다. 언제든지.")], "title string, content string")
+    d.add_documents(docs, "title", "content")
+    d.add_documents(docs, "title", "content")
+    rows = sorted((r["section_title"], len(r["section_content"]), r["parent_content"][:5]) for r in d.scan().collect())
+    assert rows == [("제1조(목적)", 1000, ""), ("제2조(해지)", 13, "제1조(목")]
+
+
+def test_result_files_are_named_by_model_and_time(spark, tmp_path):
+    summary = spark.createDataFrame([(2, 0.5)], "total_cases long, mean_bleu double")
+    path = sinks.write_results(summary, spark.createDataFrame([("c1", 1.0)], "case_id string, bleu double"), str(tmp_path), "Model X.1", "20260201")
+    assert path.endswith("eval_20260201_model_x_1")
+    back = spark.read.json(path).first()
+    assert back["model_name"] == "Model X.1" and back["case_results"][0]["case_id"] == "c1" and back["mean_bleu"] == 0.5
+
+
+def test_recall_of_approximate_pairs(spark):
+    r = random.Random(9)
+    base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    v = spark.createDataFrame([(k, [x + r.gauss(0, 0.1) for x in base[k % 40]]) for k in range(400)], "vec_id long, embedding array<double>")
+    found = {(x["query_id"], x["item_id"]) for x in search.approximate_pairs(v, v, 0.95).collect()}
+    exact = {(x["query_id"], x["item_id"]) for x in search.pairs_within(v, v, 0.95).collect()}
+    assert len(exact) > 500 and len(exact & found) / len(exact) > 0.9

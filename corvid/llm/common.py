@@ -59,11 +59,16 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, on: str, counts: Da
     """``left`` joined with ``right``, which has one row per ``on``, on ``key`` = ``on``.
 
     ``counts`` has (key, n), the rows of ``left`` by key, and ``rows`` is their sum. A key with more than a ``share``-th
-    of all rows (and ``least``; so ``share`` keys at most, which are broadcast) is cut into pieces of about so many by
-    the hash of ``spread``, and its row of ``right`` is repeated once a piece.
+    of all rows (and ``least``; so ``share`` keys at most, which the driver gets and broadcasts) is cut into pieces of
+    about so many by the hash of ``spread``, and its row of ``right`` is repeated once a piece. Without such a key it is
+    a plain join.
     """
     most = max(rows // share, least)
-    hot = F.broadcast(counts.filter(F.col("n") > most).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / most).cast("int").alias("__pieces")))
+    found = counts.filter(F.col("n") > most).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / most).cast("int").alias("__pieces")) if rows > most else None
+    listed = found.collect() if found is not None else []
+    if not listed:
+        return left.join(right, F.col(key) == F.col(on))
+    hot = F.broadcast(left.sparkSession.createDataFrame(listed, found.schema))
     x = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(spread), "__pieces").cast("int"), F.lit(0))).drop("__hot", "__pieces")
     y = right.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__at", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__pieces"), F.lit(1)) - 1))).drop("__hot", "__pieces")
     return x.join(y, (F.col(key) == F.col(on)) & (F.col("__piece") == F.col("__at"))).drop("__piece", "__at")

@@ -105,15 +105,16 @@ def search(queries: DataFrame, triplets: DataFrame, query: str = "query", fuzzy:
     matches finds its triplets by equality; no triplet is compared with a query it has nothing in common with.
     """
     fields = ("subject", "predicate", "object")
-    places = [triplets.select(F.lower(f).alias("__key"), F.lit(n).alias("__n"), F.lit(f).alias("match_type"), F.struct(*triplets.columns).alias("__t")) for n, f in enumerate(fields)]
+    places = triplets.select(F.struct(*triplets.columns).alias("__t"), F.posexplode(F.array(*[F.lower(f) for f in fields])).alias("__n", "__key"))
+    places = places.filter("__key is not null").withColumn("match_type", F.element_at(F.array(*map(F.lit, fields)), F.col("__n") + 1))
     asked = queries.withColumn("__q", F.lower(query))
     if fuzzy:
-        keys = triplets.select(F.explode(F.array_distinct(F.array(*[F.lower(f) for f in fields]))).alias("k")).distinct()
+        keys = places.select(F.col("__key").alias("k")).distinct()
         found = containments(asked.select(F.col("__q").alias("q")).distinct(), keys)
         asked = asked.join(found, F.col("__q") == F.col("q")).drop("q")
     else:
         asked = asked.withColumn("k", F.col("__q")).withColumn("score", F.lit(1.0))
-    x = places[0].union(places[1]).union(places[2]).join(asked, F.col("__key") == F.col("k"))
+    x = places.join(asked, F.col("__key") == F.col("k"))
     first = F.min_by(F.struct("match_type", "score"), "__n").alias("__m")
     return x.groupBy(*queries.columns, "__t").agg(first).select(*queries.columns, "__t.*", "__m.match_type", "__m.score")
 

@@ -55,7 +55,7 @@ def lookup(left: DataFrame, index: DataFrame, keys: list[str], weight: str, valu
     return d.select(*[F.col(c) for c in left.columns], *[F.coalesce(f"__hv{i}", f"__rv{i}").alias(v) for i, v in enumerate(values)])
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, on: str, counts: DataFrame, rows: int, spread: str, share: int = 1000, least: int = 5000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, on: str, counts: DataFrame, rows: int, spread: str, share: int = 1000, least: int = 1000) -> DataFrame:
     """``left`` joined with ``right``, which has one row per ``on``, on ``key`` = ``on``.
 
     ``counts`` has (key, n), the rows of ``left`` by key, and ``rows`` is their sum. A key with more than a ``share``-th

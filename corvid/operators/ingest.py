@@ -142,7 +142,7 @@ def parent_context(title: Column, full: Column) -> Column:
 def chunks(docs: DataFrame, document: str, text: str, given: str | None = None, header: str = HEADER) -> DataFrame:
     """Chunks of documents: given sections, else parsed ones, else the first 2000 characters of the whole.
 
-    A section needs a title or content, and 10 characters together. Adds section_title, section_content,
+    A section needs a title or content, and 10 characters together; a whole has no parent. Adds section_title, section_content,
     parent_content and chunk_id to the document's columns.
     """
     body = or_empty(text)
@@ -151,12 +151,13 @@ def chunks(docs: DataFrame, document: str, text: str, given: str | None = None,
         t, c = ustrip(or_empty(s["title"])), ustrip(or_empty(s["content"]))
         return ((t != "") | (c != "")) & (F.length(F.concat(t, F.lit("\n"), c)) >= LEAST)
 
-    shape = lambda s: F.struct(ustrip(or_empty(s["title"])).alias("title"), F.substring(ustrip(or_empty(s["content"])), 1, CHUNK).alias("content"))
+    shape = lambda s: F.struct(ustrip(or_empty(s["title"])).alias("title"), F.substring(ustrip(or_empty(s["content"])), 1, CHUNK).alias("content"), F.lit(True).alias("section"))
     parsed = F.transform(F.filter(sections(body, header), usable), shape)
-    whole = F.array(F.struct(F.col(document).alias("title"), F.substring(body, 1, CHUNK).alias("content")))
+    whole = F.array(F.struct(F.col(document).alias("title"), F.substring(body, 1, CHUNK).alias("content"), F.lit(False).alias("section")))
     found = F.when(F.size(parsed) > 0, parsed).when(body != "", whole)
     if given:
         own = F.transform(F.filter(F.col(given), usable), shape)
         found = F.when(F.size(own) > 0, own).otherwise(found)
     x = docs.withColumn("__s", F.explode(found)).withColumn("section_title", F.col("__s.title")).withColumn("section_content", F.col("__s.content"))
-    return x.withColumn("parent_content", parent_context(F.col("section_title"), body)).withColumn("chunk_id", chunk_id(F.col(document), F.col("section_title"), F.col("section_content"))).drop("__s")
+    parent = F.when(F.col("__s.section"), parent_context(F.col("section_title"), body)).otherwise("")
+    return x.withColumn("parent_content", parent).withColumn("chunk_id", chunk_id(F.col(document), F.col("section_title"), F.col("section_content"))).drop("__s")

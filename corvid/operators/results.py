@@ -52,6 +52,11 @@ def context_items(hits: Column) -> Column:
     return F.transform(hits, one)
 
 
+def cut(hits: Column) -> Column:
+    """Hits with contents cut as a context keeps them."""
+    return F.transform(hits, lambda h: h.withField("section_content", F.substring(h["section_content"], 1, CONTENT)))
+
+
 def verification_items(context: Column) -> Column:
     return F.transform(context, lambda c: F.struct(or_empty(c["section_title"]).alias("title"), or_empty(c["section_content"]).alias("content")))
 

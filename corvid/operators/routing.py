@@ -21,8 +21,8 @@ class Bands:
     section_low: float = 0.40
 
     def __post_init__(self):
-        if not (self.faq >= self.faq_mid and self.section >= self.section_mid >= self.section_low):
-            raise ValueError("thresholds must fall from high to low")
+        if not (1 >= self.faq >= self.faq_mid >= 0 and 1 >= self.section >= self.section_mid >= self.section_low >= 0):
+            raise ValueError("thresholds must fall from high to low, within 0 and 1")
 
 
 def route_faq(score: Column, bands: Bands = Bands()) -> Column:
@@ -58,6 +58,12 @@ def citations_or_titles(answer: Column, hits: Column) -> Column:
     return F.when(F.size(own) > 0, own).otherwise(F.transform(F.slice(hits, 1, 2), lambda h: F.concat(or_empty(h["document"]), F.lit(" - "), or_empty(h["title"]))))
 
 
+def prompt_of(systems: dict[str, str], route: Column, context: Column, query: Column) -> Column:
+    """What a model is asked: the text of the route, the context, the query."""
+    system = F.create_map(*[F.lit(x) for pair in systems.items() for x in pair])[route]
+    return F.concat(system, F.lit("\n\n"), context, F.lit("\n\n"), query)
+
+
 def prompt(system: str, context: Column, query: Column) -> Column:
     return F.concat(F.lit(system + "\n\n"), context, F.lit("\n\n"), query)
 

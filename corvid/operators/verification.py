@@ -13,6 +13,7 @@ from corvid.functions.vectors import clamp
 CITATION = r"\[참조:\s*([^\]]+)\]|\[출처:\s*([^\]]+)\]"
 ARTICLE = r"제\s*\d+\s*조"
 HEDGES = ["일반적으로", "보통", "아마도", "~할 수도 있습니다", "제 생각에는", "추측컨대"]
+UNCITED = "답변에 출처가 명시되지 않았거나 유효하지 않습니다"
 HEDGE_SIGN, LONG_SIGN = "불확실한 표현 감지: '{}'", "긴 답변에 출처가 없습니다"
 CITATION_PENALTY, SIGN_PENALTY, LONG_ANSWER, THRESHOLD = 0.3, 0.15, 500, 0.7
 
@@ -53,8 +54,19 @@ def confidence(valid: Column, signs: Column, verdict_confidence: Column | None =
     return clamp(own)
 
 
-def verified(confidence_: Column, valid: Column, signs: Column, threshold: float = THRESHOLD) -> Column:
-    return (confidence_ >= threshold) & valid & (F.size(signs) == 0)
+def issues(valid: Column, signs: Column, verdict: Column | None = None, required: bool = True) -> Column:
+    """What speaks against an answer: its citations where they are required, signs of doubt, and what a model that refuses it names."""
+    none = F.array().cast("array<string>")
+    parts = [F.when(valid, none).otherwise(F.array(F.lit(UNCITED)))] if required else []
+    parts.append(signs)
+    if verdict is not None:
+        parts.append(F.when(verdict["verified"], none).otherwise(F.coalesce(verdict["issues"], none)))
+    return F.concat(*parts)
+
+
+def verified(confidence_: Column, found: Column, threshold: float = THRESHOLD) -> Column:
+    """Confident enough, and nothing speaks against it."""
+    return (confidence_ >= threshold) & (F.size(found) == 0)
 
 
 def quick_verdict(answer: Column, titles: Column, required: bool = True) -> Column:
@@ -65,14 +77,18 @@ def quick_verdict(answer: Column, titles: Column, required: bool = True) -> Colu
 def check_prompt(question: Column, answer: Column, context: Column) -> Column:
     """What a model is asked to check; ``context`` has items (title, content)."""
     sources = F.array_join(F.transform(context, lambda c: F.concat(F.lit("["), or_empty(c["title"]), F.lit("]\n"), or_empty(c["content"]))), "\n\n")
-    return F.concat(F.lit("Sources:\n"), sources, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer: "), answer, F.lit('\n\nDoes every statement of the answer follow from the sources? Reply as {"verified": true or false, "confidence": 0 to 1, "reasoning": "..."}.'))
+    return F.concat(F.lit("Sources:\n"), sources, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer: "), answer, F.lit('\n\nDoes every statement of the answer follow from the sources? Reply as {"verified": true or false, "confidence": 0 to 1, "issues": ["..."], "reasoning": "..."}.'))
 
 
 def model_verdict(reply: Column) -> Column:
-    """struct<verified, confidence, reasoning> of a model's reply; null if there is none to be read."""
+    """struct<verified, confidence, issues, reasoning> of a model's reply; null if there is none to be read.
+
+    A reply that doesn't say whether it verifies adds no issues, but doesn't count as passed in the reasoning (``passed``).
+    """
     v = lenient(reply)
-    parts = F.struct(F.coalesce(field(v, "$.verified", "boolean"), F.lit(False)).alias("verified"), F.coalesce(field(v, "$.confidence", "double"), F.lit(0.5)).alias("confidence"), or_empty(field(v, "$.reasoning", "string")).alias("reasoning"))
-    return F.when(v.isNotNull(), parts)
+    said = field(v, "$.verified", "boolean")
+    parts = F.struct(F.coalesce(said, F.lit(True)).alias("verified"), F.coalesce(said, F.lit(False)).alias("passed"), F.coalesce(field(v, "$.confidence", "double"), F.lit(0.5)).alias("confidence"), F.coalesce(field(v, "$.issues", "array<string>"), F.array().cast("array<string>")).alias("issues"), or_empty(field(v, "$.reasoning", "string")).alias("reasoning"))
+    return F.when(v.isNotNull() & (F.to_json(v) != "{}"), parts)
 
 
 def verify(answer: Column, titles: Column, reply: Column | None = None, required: bool = True, threshold: float = THRESHOLD) -> Column:
@@ -81,14 +97,14 @@ def verify(answer: Column, titles: Column, reply: Column | None = None, required
     def of(x: Column) -> Column:
         verdict = x["verdict"]
         c = confidence(x["valid"], x["signs"], verdict["confidence"], verdict.isNotNull())
-        return F.struct(verified(c, x["valid"], x["signs"], threshold).alias("verified"), c.alias("confidence"), x["signs"].alias("issues"), reasoning(x["valid"], x["signs"], verdict).alias("reasoning"), x["valid"].alias("citations_valid"))
+        return let(issues(x["valid"], x["signs"], verdict, required), lambda found: F.struct(verified(c, found, threshold).alias("verified"), c.alias("confidence"), found.alias("issues"), reasoning(x["valid"], x["signs"], verdict).alias("reasoning"), x["valid"].alias("citations_valid")))
 
     verdict = model_verdict(reply if reply is not None else F.lit(None).cast("string"))
     return let(F.struct(citations_valid(answer, titles, required).alias("valid"), hedges(answer).alias("signs"), verdict.alias("verdict")), of)
 
 
 def reasoning(valid: Column, signs: Column, verdict: Column | None = None) -> Column:
-    model = [] if verdict is None else [F.when(verdict["verified"], "✓ LLM 검증 통과").when(verdict.isNotNull(), F.concat(F.lit("✗ LLM 검증 실패: "), verdict["reasoning"]))]
+    model = [] if verdict is None else [F.when(verdict["passed"], "✓ LLM 검증 통과").when(verdict.isNotNull(), F.concat(F.lit("✗ LLM 검증 실패: "), verdict["reasoning"]))]
     return F.concat_ws(
         " | ",
         F.when(valid, "✓ 출처 인용이 유효합니다").otherwise("✗ 출처 인용에 문제가 있습니다"),

@@ -75,16 +75,6 @@ def responses(spark, d):
     return results.asked(results.response(x)).drop("citations", "verification_issues")
 
 
-def model_verdicts(spark, d):
-    """Rules and a model's reply together, and the rules alone."""
-    x = fx.rows(spark, "id int, reply string", VERDICTS).join(fx.rows(spark, fx.ANSWER_SCHEMA, fx.ANSWERS), "id")
-    v = verification.verify(F.col("answer"), F.col("titles"), F.col("reply"))
-    return x.withColumn("v", v).select("id", F.col("v.verified").alias("verified"), F.round("v.confidence", 6).alias("confidence"), F.size("v.issues").alias("n_issues"), F.col("v.reasoning").alias("reasoning"), verification.quick_verdict(F.col("answer"), F.col("titles")).alias("quick"))
-
-
-VERDICTS = [(1, '{"verified": true, "confidence": 0.9}'), (2, 'no {"other": 1} but {"verified": false, "confidence": 0.5, "reasoning": "왜냐"}'), (3, "```json\n{\"verified\": true}\n```"), (4, "none"), (5, None), (6, '{"confidence": 0.25}')]
-
-
 def evaluated_cases(spark, d):
     """All pairs as cases: the question as the expected answer, the answer as the generated one, a context of one item."""
     item = F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.lit(None).cast("string").alias("id"), F.lit("s").alias("source"), F.lit("제1조(목적)").alias("section_title"), F.lit("t").alias("title"), F.lit("x").alias("content"))
@@ -146,7 +136,7 @@ def citations(spark, d):
 def verify_rules(spark, d):
     x = fx.rows(spark, fx.ANSWER_SCHEMA, fx.ANSWERS).withColumn("valid", verification.citations_valid(F.col("answer"), F.col("titles"))).withColumn("signs", verification.hedges(F.col("answer")))
     x = x.withColumn("confidence", verification.confidence(F.col("valid"), F.col("signs"), F.col("model_confidence")))
-    return x.select("id", "valid", F.size("signs").alias("n_signs"), F.round("confidence", 6).alias("confidence"), verification.verified(F.col("confidence"), F.col("valid"), F.col("signs")).alias("verified"), verification.reasoning(F.col("valid"), F.col("signs")).alias("reasoning"))
+    return x.select("id", "valid", F.size("signs").alias("n_signs"), F.round("confidence", 6).alias("confidence"), verification.verified(F.col("confidence"), verification.issues(F.col("valid"), F.col("signs"))).alias("verified"), verification.reasoning(F.col("valid"), F.col("signs")).alias("reasoning"))
 
 
 def verify_documents(spark, d):
@@ -281,7 +271,7 @@ def order_totals(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    section_results, section_response, faq_results, responses, model_verdicts, evaluated_cases, eval_subset, golden_items, retrieval_union, golden_sets, judge_per_criterion, judge_columns, embed_forms,
+    section_results, section_response, faq_results, responses, evaluated_cases, eval_subset, golden_items, retrieval_union, golden_sets, judge_per_criterion, judge_columns, embed_forms,
     response_assembly, citations, verify_rules, verify_documents, json_lenient, event_properties, bleu4, context_overlap, eval_global, eval_by_category, model_category_report, csv_report_rows,
     judge_normalise, judge_parse, model_diversity, token_usage, sequence_ratio, latency_by_hour, order_totals,
 )}
@@ -324,12 +314,9 @@ SELECT query_id, string_agg('[' || d || ']' || chr(10) || CASE WHEN t <> '' THEN
     "faq_results": f"WITH {FAQ_SQL} SELECT conv_id AS query_id, turn AS rank, md5(question) AS question_md5, '' AS category, CASE WHEN turn % 4 = 0 THEN 'web' ELSE 'FAQ' END AS source, turn / 64 AS score FROM faq WHERE turn <= 10",
     "responses": f"""WITH b AS (SELECT id, coalesce(score, 0)::DOUBLE AS s FROM {fx.sql(fx.BAND_SCHEMA, fx.BANDS)}) SELECT id, 'q' AS query, '' AS answer, 'no_context' AS source, round(CASE WHEN s >= 0.4 THEN s ELSE 0 END, 3)::DOUBLE AS confidence,
   CASE WHEN s >= 0.55 THEN 'answer' WHEN s >= 0.4 THEN 'clarification' ELSE 'handoff' END AS response_mode, true AS verified, 1.0::DOUBLE AS verification_score FROM b""",
-    "model_verdicts": f"""WITH {ANSWERS_SQL}, m AS (SELECT * FROM (VALUES (1, true, 0.9, ''), (2, false, 0.5, '왜냐'), (3, true, 0.5, ''), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, false, 0.25, '')) AS t(id, ok, c, why)),
-f AS (SELECT id, valid, n_signs, ok, why, greatest(0, least(1, CASE WHEN ok IS NULL THEN own ELSE (own + c) / 2 END))::DOUBLE AS confidence FROM w JOIN m USING (id))
-SELECT id, confidence >= 0.7 AND valid AND n_signs = 0 AS verified, round(confidence, 6) AS confidence, n_signs AS n_issues, {REASONING_SQL} || CASE WHEN ok THEN ' | ✓ LLM 검증 통과' WHEN NOT ok THEN ' | ✗ LLM 검증 실패: ' || why ELSE '' END AS reasoning, valid AND n_signs = 0 AS quick FROM f""",
     "evaluated_cases": f"""WITH {FAQ_SQL}, e AS (SELECT conv_id, turn, question, CASE WHEN turn % 8 = 6 THEN '[Error: timeout]' ELSE answer END AS answer FROM faq), k AS (SELECT *, {SPLIT.format('question')} AS q, {SPLIT.format('answer')} AS a FROM e), g AS (SELECT *, {_grams_sql('q')}, {_grams_sql('a')} FROM k),
-p AS (SELECT *, {_shares_sql('q', 'a', 'p')} FROM g), s AS (SELECT *, (length(answer) > 500)::INT AS n FROM p)
-SELECT conv_id, turn, {_bleu_sql('q', 'a', 'p')} AS bleu, 0.7::DOUBLE - 0.15::DOUBLE * n AS faithfulness, n = 0 AND 0.7::DOUBLE - 0.15::DOUBLE * n >= 0.7 AND false AS verified, n AS n_issues, turn % 4 = 0 AS evaluated, CASE WHEN turn % 4 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall, CASE WHEN turn % 4 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS precision, 0.0::DOUBLE AS judge, 0 AS output_tokens FROM s""",
+p AS (SELECT *, {_shares_sql('q', 'a', 'p')} FROM g), s AS (SELECT *, (length(answer) > 500)::INT AS n, NOT regexp_matches(answer, '{V.CITATION}') AS uncited FROM p)
+SELECT conv_id, turn, {_bleu_sql('q', 'a', 'p')} AS bleu, 1 - CASE WHEN uncited THEN 0.3::DOUBLE ELSE 0 END - 0.15::DOUBLE * n AS faithfulness, n = 0 AND NOT uncited AS verified, n + uncited::INT AS n_issues, turn % 4 = 0 AS evaluated, CASE WHEN turn % 4 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall, CASE WHEN turn % 4 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS precision, 0.0::DOUBLE AS judge, 0 AS output_tokens FROM s""",
     "eval_subset": f"WITH {CASES_SQL} SELECT case_id, category FROM cases WHERE question <> '' AND case_id % 7 > 0 AND category IN ('en', 'fr') ORDER BY case_id LIMIT 20",
     "golden_items": f"""WITH {FAQ_SQL}, c AS (SELECT *, CASE WHEN turn % 4 = 0 THEN answer ELSE 'Q: ' || question || chr(10) || 'A: ' || answer END AS context FROM faq WHERE turn % 8 <> 6)
 SELECT DISTINCT substr(sha256(question || '_2026-02-01T00:00:00'), 1, 12) AS id, md5(trim(' ' || context || length('[참고 정보]' || chr(10) || CASE WHEN context <> '' THEN context ELSE '(없음)' END || chr(10) || chr(10) || '[질문]' || chr(10) || question || chr(10) || chr(10) || '[답변]' || chr(10)))) AS answer_md5,

@@ -36,7 +36,11 @@ def query(text: Column, prefix: str = "query: ") -> Column:
 
 @dataclass(frozen=True)
 class Providers:
+    """``check`` replies to a verification prompt; ``usage`` counts the tokens of a prompt and its answer by name."""
+
     embed: Callable[[Column], Column] = _hashed_vector
     rerank: Callable[[Column, Column], Column] = _overlap_rerank
     generate: Callable[[Column, Column], Column] = _extractive
     judge: Callable[[Column, Column, Column], Column] | None = None
+    check: Callable[[Column], Column] | None = None
+    usage: Callable[[Column, Column], Column] | None = None

@@ -16,6 +16,7 @@ from corvid import providers
 from corvid.operators import cases, hybrid, ingest, judging, metrics, pages, results, routing, rules, search, triplets, verification
 from corvid.plans import answer
 from corvid.plans import fixtures as fx
+from corvid.providers import Providers
 from corvid.sources import config, files, sinks
 from corvid.sources.collection import Collection
 from corvid.streaming.ingest import stream_faq
@@ -35,7 +36,7 @@ def test_chunks_fall_back_from_given_to_parsed_to_whole(spark):
     assert [x[0] for x in got["a"]] == ["제1조(목적)", "제2조 (환불)"] == [x[0] for x in got["d"]]
     assert got["a"][0][2] == "" and got["a"][1][2].startswith("제1조(목적)")
     assert [x[:2] for x in got["b"]] == [("s", "given content here")]
-    assert [x[:2] for x in got["c"]] == [("c", "no header at all")]
+    assert got["c"] == [("c", "no header at all", "")]
     assert "e" not in got and len(got["f"][0][1]) == 2000
 
 
@@ -88,6 +89,9 @@ def test_weights():
         hybrid.Weights(rerank=1.5)
     with pytest.raises(ValueError):
         routing.Bands(0.5, 0.7)
+    for bands in ((5, 3, 2, 1.5, 1), (0.8, 0.7, 0.6, 0.5, -0.1)):
+        with pytest.raises(ValueError):
+            routing.Bands(*bands)
 
 
 def test_rerank_blend_edges(spark):
@@ -179,15 +183,71 @@ def test_top_k_edges(spark):
     assert one(spark, "a array<double>", [([3.0, 4.0],)], F.round(cosine(F.col("a"), F.col("a")), 9)) == [1.0]
 
 
-def test_answers_route_and_verify(spark):
+def answering(spark):
     q = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0]), (3, "c", [-1.0, 0.0])], "id long, query string, vector array<double>")
-    schema = "id long, vector array<double>, document string, title string, content string"
-    faq = spark.createDataFrame([(10, [1.0, 0.01], "d", "question", "reply")], schema)
-    sections = spark.createDataFrame([(20, [0.1, 1.0], "d", "제1조(가)", "text")], schema)
-    got = {r["id"]: (r["source"], r["response_mode"]) for r in answer.answers(q, faq, sections).collect()}
-    assert got == {1: ("faq", "answer"), 2: ("sections", "answer"), 3: ("no_context", "handoff")}
-    first, third = (r["metadata"] for r in answer.answers(q.withColumn("query", F.lit("3조 2항")).filter("id <> 2"), faq, sections).orderBy("id").collect())
-    assert (first["route"], first["confidence_band"], first["section_reference"], third["route"]) == ("faq_ok", None, "제3조 제2항", "none")
+    faq = spark.createDataFrame([(10, [1.0, 0.01], "question", "reply"), (11, [1.0, 0.3], "other", "more")], "id long, vector array<double>, question string, answer string")
+    sections = spark.createDataFrame([(20, [0.1, 1.0], "d", "제1조(가)", "text")], "id long, vector array<double>, document_title string, section_title string, section_content string")
+    return q, faq, sections
+
+
+def test_answers_route_and_verify(spark):
+    q, faq, sections = answering(spark)
+    x = answer.answers(q, faq, sections, use_hybrid=False)
+    got = {r["id"]: r for r in x.collect()}
+    assert {i: (r["source"], r["response_mode"]) for i, r in got.items()} == {1: ("faq", "answer"), 2: ("sections", "answer"), 3: ("no_context", "handoff")}
+    assert got[1]["citations"] == ["FAQ: question"] and got[1]["answer"] == "Q: question\nA: reply\n\nQ: other\nA: more"
+    assert got[2]["citations"] == ["d - 제1조(가)"] and got[3]["answer"] == answer.NOTHING
+    # An answer from sections must cite; those from pairs are not checked.
+    assert [(got[i]["verified"], got[i]["verification_score"], got[i]["verification_issues"]) for i in (1, 2)] == [(True, 1.0, []), (False, 0.7, [verification.UNCITED])]
+    x = answer.answers(q.withColumn("query", F.lit("3조 2항")), faq, sections, use_hybrid=False)
+    first, second, third = (r["metadata"] for r in x.orderBy("id").collect())
+    assert (first["route"], first["confidence_band"], second["section_reference"], second["hybrid_search"], third["route"]) == ("faq_ok", None, "제3조 제2항", None, "none")
+
+
+def test_sections_go_through_the_hybrid_search(spark):
+    q, faq, sections = answering(spark)
+    more = sections.union(spark.createDataFrame([(21, [0.3, 1.0], "d", "제2조(나)", "x")], sections.schema))
+    r = answer.answers(q.filter("id = 2").withColumn("query", F.lit("제2조 설명")), faq, more, bands=routing.Bands(section=0.6)).first()
+    assert [h["section_title"] for h in r["context"]] == ["제2조(나)", "제1조(가)"] and r["metadata"]["hybrid_search"] is True and round(r["context"][0]["scores"]["rule_score"], 6) == 1.0
+
+
+def test_answers_without_items_or_verification(spark):
+    q, faq, sections = answering(spark)
+    none = answer.answers(q, faq.limit(0), sections.limit(0)).collect()
+    assert {(r["source"], r["confidence"], r["metadata"]["route"]) for r in none} == {("no_context", 0.0, "none")} and len(none) == 3
+    assert answer.answers(q.limit(0), faq, sections).count() == 0
+    off = answer.answers(q.filter("id = 2"), faq, sections, verify=False, use_hybrid=False).first()
+    assert (off["verified"], off["verification_score"], off["verification_issues"], off["metadata"]["verification_reasoning"]) == (True, 1.0, [], None)
+
+
+def test_a_model_is_asked_once_a_query(spark):
+    """The first search and the answers are computed once, whichever branches a query takes."""
+    q, faq, sections = answering(spark)
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        for t in texts:
+            asked.add(len(t))
+            yield t
+
+    model = F.pandas_udf(counting, "string", F.PandasUDFType.SCALAR_ITER)
+    answer.answers(q, faq, sections, providers=Providers(generate=lambda prompt, context: model(context)), use_hybrid=False).collect()
+    assert asked.value == 3
+
+
+def test_a_refused_answer_is_not_verified(spark):
+    v = verification.verify(F.col("a"), F.array(F.lit("제1조(가)")), F.col("r"))
+    rows = [("x [참조: 제1조]", '{"verified": false, "confidence": 0.9, "issues": ["unsupported"]}'), ("x", '{"verified": true, "confidence": 1.0}'), ("x [참조: 제1조]", '{"confidence": 0.6, "issues": ["not counted"]}'), ("x [참조: 제1조]", "{}")]
+    got = [(r["verified"], round(r["confidence"], 6), r["issues"]) for r in one(spark, "a string, r string", rows, v)]
+    assert got == [(False, 0.95, ["unsupported"]), (False, 0.85, [verification.UNCITED]), (True, 0.8, []), (True, 1.0, [])]
+
+
+def test_evaluation_of_failed_and_missing_answers(spark):
+    q, faq, sections = answering(spark)
+    rows = q.select("id", F.col("query").alias("question"), F.lit("Q question A reply").alias("expected_answer"), F.lit("c").alias("category"), "vector")
+    x = answer.evaluated_answers(rows, lambda c: answer.answers(c, faq, sections, use_hybrid=False).filter("id < 3").withColumn("error", F.when(F.col("id") == 2, "down")))
+    got = {r["id"]: r for r in x.collect()}
+    assert got[2]["generated"] == "[Error: down]" and got[3]["generated"] == "[Error: no response]" and got[1]["bleu"] > got[2]["bleu"] == 0.0
 
 
 def test_report(spark):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvid.functions.text import ustrip
 from corvid.operators import ingest, pages
 from corvid.plans import fixtures as fx
 from corvid.plans.fixtures import table
+from corvid.sources.collection import Collection
+from corvid.sources.shared import shared_dir
 
 #: In the driver's documents a line of one word with a full stop serves as a header.
 HEADER = r"^[^\s]+\.$"
@@ -202,7 +206,23 @@ def subcategory_label(spark, d):
     return rows.select("id", pages.subcategory(F.col("text")).alias("sub_category"), pages.without_label(F.col("text"), "질문").alias("question"), pages.named(F.col("text"), {"": "none"}).alias("name"), ustrip(F.col("text")).alias("stripped"))
 
 
+def collection_log(spark, d):
+    """A collection that takes the pairs of even conversations, then all pairs, loses every fifth conversation's, gets every tenth's back, and is compacted in between."""
+    pairs = table(spark, d, "conversations").withColumn("answer", F.expr("lead(text) over (partition by conv_id order by turn)"))
+    pairs = pairs.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), "answer", F.col("conv_id").cast("string").alias("category"))
+    c = Collection(spark, f"{shared_dir(spark)}/corvid/collection-{uuid.uuid4().hex[:12]}", "id string, question string, answer string, category string")
+    put = lambda rows, source: c.add_pairs(rows.withColumn("category", F.concat(F.lit(source), "category")).withColumn("pos", F.struct("conv_id", "turn")), "pos")
+    put(pairs.filter("conv_id % 2 = 0"), "even-")
+    put(pairs, "all-")
+    c.compact()
+    gone = ingest.valid_pairs(pairs, "question", "answer").filter("conv_id % 5 = 0").select(ingest.faq_id(F.col("question"), F.col("answer")).alias("id"))
+    c.delete(gone)
+    put(pairs.filter("conv_id % 10 = 0"), "back-")
+    return c.scan().select("id", "category", F.length("question").alias("n_question"), F.length("answer").alias("n_answer"))
+
+
 QUERIES = {f.__name__: f for f in (
+    collection_log,
     stored_chunks, pair_ids, agent_answers, backfill_summary, validation_message, valid_cases, faq_scan, page_counts, table_list, document_details, content_id_dedup, ingest_anti_existing, ingest_counters, line_sections, chunk_filter_truncate, parent_context, effective_date, revision_history, handler_parse,
     html_title_headings, html_sections, html_links, html_pages, dataset_merge, dataset_validate, deterministic_sample, subcategory_label,
 )}
@@ -228,6 +248,13 @@ def ID(parts: str, n: int = 16) -> str:
 
 
 ORACLE_SQL = {
+    "collection_log": """WITH p AS (SELECT conv_id, turn, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, role FROM conversations),
+v AS (SELECT *, substr(sha256(question || '_' || substr(answer, 1, 200)), 1, 16) AS id FROM p WHERE role = 'user' AND coalesce(question, '') <> '' AND coalesce(answer, '') <> ''),
+puts AS (SELECT 1 AS k, 'even-' AS source, * FROM v WHERE conv_id % 2 = 0 UNION ALL SELECT 2, 'all-', * FROM v),
+kept AS (SELECT * FROM puts QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, conv_id, turn) = 1),
+left_ AS (SELECT * FROM kept WHERE id NOT IN (SELECT id FROM v WHERE conv_id % 5 = 0)),
+back AS (SELECT 3 AS k, 'back-' AS source, * FROM v WHERE conv_id % 10 = 0 AND id NOT IN (SELECT id FROM left_) QUALIFY row_number() OVER (PARTITION BY id ORDER BY conv_id, turn) = 1)
+SELECT id, source || conv_id AS category, length(question)::INTEGER AS n_question, length(answer)::INTEGER AS n_answer FROM (SELECT * FROM left_ UNION ALL SELECT * FROM back)""",
     "content_id_dedup": "SELECT substr(sha256(source || '_' || lang || '_' || substr(coalesce(text, ''), 1, 500)), 1, 16) AS id, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "ingest_anti_existing": f"SELECT {TEXT_ID} AS id, min(doc_id) AS doc_id FROM documents WHERE {NEW} GROUP BY 1 HAVING id NOT IN (SELECT {TEXT_ID} FROM documents WHERE NOT {NEW})",
     "ingest_counters": f"""WITH n AS (SELECT {TEXT_ID} AS id, doc_id, row_number() OVER (PARTITION BY {TEXT_ID} ORDER BY doc_id) AS k FROM documents WHERE {NEW}), o AS (SELECT DISTINCT {TEXT_ID} AS id FROM documents WHERE NOT {NEW})

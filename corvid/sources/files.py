@@ -12,9 +12,14 @@ from corvid.operators.ingest import agent_answers, backfill_summary
 
 
 def read_json(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """Rows with file and pos, the place in input order. Files that are no JSON give a row with _corrupt_record."""
+    """Rows with file and pos, the place in input order. Files that are no JSON give a row with _corrupt_record.
+
+    Files go by name. Spark packs files into tasks by size, and splits none here, so that a number that rises within a task
+    tells the rows of one file apart; the name goes before it.
+    """
     reader = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", glob)
-    return reader.json(path).withColumn("file", F.input_file_name()).withColumn("pos", F.monotonically_increasing_id())
+    x = reader.json(path).withColumn("file", F.col("_metadata.file_path"))
+    return x.withColumn("pos", F.struct("file", F.monotonically_increasing_id().alias("n")))
 
 
 def diagnose(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame | None, str]:
@@ -22,8 +27,9 @@ def diagnose(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame | N
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None, "missing"
-    rows = read_json(spark, path, schema).cache()
-    bad = rows.filter("_corrupt_record is not null").limit(1).count()
+    rows = read_json(spark, path, schema)
+    # Spark reads no file for the mark of a broken row alone, so a column of the schema goes with it.
+    bad = rows.filter("_corrupt_record is not null").select(rows.columns[0], "_corrupt_record").take(1)
     return rows.filter("_corrupt_record is null").drop("_corrupt_record"), "invalid" if bad else ""
 
 

@@ -4,8 +4,11 @@ import difflib
 import hashlib
 import json
 import math
+import os
 import random
 import re
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -439,6 +442,120 @@ def test_first_field_that_matches_counts(spark):
     assert got == {("alpha", "1"): ("subject", 0.5), ("alpha", "2"): ("predicate", 0.625), ("alpha", "3"): ("object", 1.0), ("is", "1"): ("predicate", 1.0), ("is", "3"): ("predicate", 1.0)}
 
 
+def test_a_collection_is_a_log(spark, tmp_path):
+    path = str(tmp_path / "faq")
+    c = Collection(spark, path, "id string, question string")
+    put = lambda rows: spark.createDataFrame([(i, q, k) for k, (i, q) in enumerate(rows)], "id string, question string, pos int")
+    assert c.count() == 0 and c.delete(put([("a", "")])) is None and c.compact() is None
+    assert c.add(put([("a", "1"), ("b", "2"), ("a", "3")]), "pos") == 1
+    first = sorted(os.listdir(path))
+    assert c.add(put([("a", "4"), ("c", "5")]), "pos") == 2
+    # An add writes its own rows and nothing else.
+    new = [d for d in os.listdir(path) if d not in first]
+    assert len(new) == 1 and spark.read.parquet(f"{path}/{new[0]}").collect()[0][0] == "c"
+    assert c.add(put([("a", "6")]), "pos") is None and c.versions() == [1, 2]
+    c.delete(put([("a", ""), ("zzz", "")]))
+    assert sorted(map(tuple, c.scan().collect())) == [("b", "2"), ("c", "5")]
+    c.add(put([("a", "7")]), "pos")
+    assert sorted(map(tuple, c.scan().collect())) == [("a", "7"), ("b", "2"), ("c", "5")]
+    assert sorted(map(tuple, c.scan(2).collect())) == [("a", "1"), ("b", "2"), ("c", "5")]
+    c.compact()
+    m = c.manifest()
+    assert len(m["adds"]) == 1 and m["deletes"] == [] and sorted(map(tuple, c.scan().collect())) == [("a", "7"), ("b", "2"), ("c", "5")]
+    c.delete(put([("c", "")]))
+    assert sorted(map(tuple, c.scan().collect())) == [("a", "7"), ("b", "2")]
+    c.clear()
+    assert c.count() == 0
+    c.add(put([("a", "8")]), "pos")
+    assert [tuple(r) for r in c.scan().collect()] == [("a", "8")]
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    """Each writer adds ten keys of its own and five that all want; compaction and deletes run beside them."""
+    path, seen = str(tmp_path / "faq"), []
+
+    def write(w):
+        c = Collection(spark, path, "id string, writer int")
+        for k in range(2):
+            rows = [(f"{w}-{k}-{n}", w, n) for n in range(5)] + [(f"all-{n}", w, 9) for n in range(5)]
+            seen.append(c.add(spark.createDataFrame(rows, "id string, writer int, pos int"), "pos"))
+        if w == 0:
+            c.compact()
+        if w == 1:
+            c.delete(spark.createDataFrame([("1-0-0",)], "id string"))
+
+    threads = [threading.Thread(target=write, args=(w,)) for w in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    got = [r["id"] for r in Collection(spark, path, "id string, writer int").scan().collect()]
+    assert sorted(got) == sorted({f"{w}-{k}-{n}" for w in range(4) for k in range(2) for n in range(5)} - {"1-0-0"} | {f"all-{n}" for n in range(5)})
+    assert len(set(seen)) == 8
+
+
+def test_many_keys_are_joined_and_a_batch_happens_once(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "faq"), "id string, n long")
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.col("id").alias("n"))
+    c.add(rows, "n", "s", 0)
+    assert c.add(rows.union(spark.createDataFrame([("x", 1)], "id string, n long")), "n", "s", 0) is None and c.count() == 3000
+    assert c.add(rows.union(spark.createDataFrame([("x", 1)], "id string, n long")), "n", "s", 1) == 2 and c.count() == 3001
+    assert c.manifest()["adds"][-1]["rows"] == 1 and c.manifest()["batches"] == {"s": 1}
+
+
+def test_stream_state_survives_restarts_and_replays(spark, tmp_path):
+    folder, check = tmp_path / "in", tmp_path / "check"
+    folder.mkdir()
+    c = Collection(spark, str(tmp_path / "faq"), "id string, question string, answer string, category string")
+    c.add(spark.createDataFrame([("q0", "a0", 0)], "question string, answer string, pos int").withColumn("id", ingest.faq_id(F.col("question"), F.col("answer"))), "pos")
+    r, lines, counters = random.Random(3), [], []
+
+    def drop(name, rows):
+        (folder / name).write_text("".join(json.dumps({"question": q, "answer": a, "category": k}) + "\n" for q, a, k in rows))
+        lines.extend(rows)
+
+    def run():
+        stream_faq(spark, str(folder), c, str(check), counters=counters, files_a_batch=1).awaitTermination()
+
+    some = lambda k: [(f"q{r.randrange(12)}", f"a{r.randrange(2)}", f"{k}-{n}") for n in range(30)] + [("q0", "a0", "hot")] * 40 + [("", "a", "bad")]
+    for k in range(2):
+        drop(f"{k}.json", some(k))
+        time.sleep(1.1)
+    run()
+    before = c.manifest()["version"]
+    run()
+    assert c.manifest()["version"] == before
+    drop("2.json", some(2))
+    run()
+    # The last batch runs again as if the stream had died before it was marked done.
+    last = sorted((check / "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+    for p in (last, last.with_name(f".{last.name}.crc")):
+        p.unlink(missing_ok=True)
+    run()
+    want = {("q0", "a0"): None}
+    for q, a, k in lines:
+        if q and a:
+            want.setdefault((q, a), k)
+    assert {(x["question"], x["answer"]): x["category"] for x in c.scan().collect()} == want and c.count() == len(want)
+    good = sum(1 for q, a, _ in lines if q and a)
+    assert sum(x["rows"] for x in counters) == good and sum(x["added"] for x in counters) == len(want) - 1
+    batch = spark.createDataFrame([(q, a, n) for n, (q, a, _) in enumerate(lines)], "question string, answer string, pos int").filter("question <> ''").withColumn("id", ingest.faq_id(F.col("question"), F.col("answer")))
+    known = spark.createDataFrame([("q0", "a0")], "question string, answer string").select(ingest.faq_id(F.col("question"), F.col("answer")).alias("id"))
+    status = {x["status"]: x["count"] for x in ingest.ingest_status(batch, known, "id", "pos").groupBy("status").count().collect()}
+    assert sum(x["added"] for x in counters) == status["added"] and sum(x["skipped"] for x in counters) == good - status["added"]
+
+
+def test_files_are_read_by_name(spark, tmp_path):
+    """Spark packs large files first; the first pair still is that of the file whose name comes first."""
+    (tmp_path / "a.json").write_text(json.dumps([{"question": "q", "answer": "x" * 200, "category": "first"}, {"question": "p", "answer": "y", "category": "second"}]))
+    (tmp_path / "b.json").write_text(json.dumps([{"question": "q", "answer": "x" * 200, "category": "late"}] + [{"question": f"q{k}", "answer": "z" * 50, "category": "b"} for k in range(3000)]))
+    rows = files.read_faq(spark, str(tmp_path)).filter("_corrupt_record is null")
+    assert [r["category"] for r in rows.orderBy("pos").limit(3).collect()] == ["first", "second", "late"]
+    c = Collection(spark, str(tmp_path / "faq"), "id string, question string, answer string, category string")
+    c.add_pairs(rows, "pos")
+    assert c.scan().filter("question = 'q'").first()["category"] == "first"
+
+
 def test_single_pairs_and_documents_enter_a_collection(spark, tmp_path):
     c = Collection(spark, str(tmp_path / "faq"), "id string, question string, answer string, created_at string, source string")
     one_id = c.add_pair("q", "a", "t", source="web")

@@ -92,8 +92,12 @@ def pairs_within(queries: DataFrame, items: DataFrame, least: float, id_col: str
 def _blocks(queries: DataFrame, items: DataFrame, scored, id_col: str, vector_col: str, category_col: str | None) -> DataFrame:
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), (F.col(category_col) if category_col else F.lit(None)).cast("long").alias("category"))
     schema = "ids array<long>, categories array<long>, data binary, d int"
+    # Blocks of items are dealt to slots, and each block of queries visits every slot: an equi-join, whose tasks hold a block or two.
+    slots = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = pick(queries).mapInArrow(_packed, schema).select(F.col("ids").alias("q_ids"), F.col("categories").alias("q_categories"), F.col("data").alias("q_data"), F.col("d").alias("q_d"))
-    pairs = pick(items).mapInArrow(_packed, schema).crossJoin(q).filter("d = q_d")
+    q = q.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    x = pick(items).mapInArrow(_packed, schema).withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots).cast("long")))
+    pairs = x.join(q, "slot").filter("d = q_d")
     return pairs.mapInArrow(scored, "query_id long, item_id long, score double")
 
 
@@ -112,29 +116,75 @@ def near_duplicates(queries: DataFrame, items: DataFrame, n: int = 3, least: flo
     return top_k(queries, items, n, threshold=least, **columns)
 
 
-def near_duplicate_gate(new: DataFrame, existing: DataFrame | None = None, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicate_gate(new: DataFrame, existing: DataFrame | None = None, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", first: int = 1024) -> DataFrame:
     """(query_id, best_id, best_score, inserted) of rows that arrive by id and go in if nothing there reaches the threshold.
 
-    A row meets the collection and the earlier rows that went in. Rows without an earlier neighbour go in, those with one
-    that did go don't, and so on in rounds over the pairs within the threshold, each written to the shared folder.
+    A row meets the collection and the earlier rows that went in. Rows come in batches of doubling size: those near a row
+    that went in before are turned away at once, so a dense cluster is never written as pairs; only what is left of a batch
+    is compared with itself and settled by :func:`settled`.
     """
     spark, of = new.sparkSession, {"id_col": id_col, "vector_col": vector_col}
-    ids = new.select(F.col(id_col).cast("long").alias("query_id"))
-    taken = ids.limit(0) if existing is None else top_k(new, existing, 1, exclude_self=False, threshold=threshold, **of).select("query_id")
-    edges, edges_path = write_shared(pairs_within(new, new, threshold, earlier=True, **of).select("query_id", "item_id"), "edges")
-    state, path = write_shared(ids.join(taken.withColumn("there", F.lit(True)), "query_id", "left").select("query_id", F.when(F.col("there"), False).alias("inserted")), "gate")
-    while not state.filter("inserted is null").isEmpty():
-        before = edges.join(state.select(F.col("query_id").alias("item_id"), F.col("inserted").alias("there")), "item_id")
-        before = before.groupBy("query_id").agg(F.coalesce(F.bool_or("there"), F.lit(False)).alias("met"), F.count_if(F.col("there").isNull()).alias("open"))
-        now = F.when(F.col("inserted").isNotNull(), F.col("inserted")).when(F.col("met"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        new_state, new_path = write_shared(state.join(before, "query_id", "left").select("query_id", now.alias("inserted")), "gate")
-        drop_shared(spark, path)
-        state, path = new_state, new_path
-    inside = new.join(state.filter("inserted"), F.col(id_col) == F.col("query_id"), "left_semi")
-    best = top_k(new, inside, 1, earlier=True, **of)
+    ids = new.select(F.col(id_col).cast("long").alias("query_id")).filter("query_id is not null").distinct()
+    n = ids.count()
+    shares = [first * 2**k / n for k in range(1, 64) if first * 2**k < n] if n > first else []
+    cuts = [ids.orderBy("query_id").limit(first).agg(F.max("query_id")).first()[0]] if n > first else []
+    cuts = sorted({*cuts, *(ids.agg(F.percentile_approx("query_id", shares, 100_000)).first()[0] if shares else [])})
+    inside, path, low = ids.limit(0).select("query_id"), None, None
+    for high in [*cuts, None]:
+        here = new.filter((F.col(id_col) > low) if low is not None else F.lit(True)).filter((F.col(id_col) <= high) if high is not None else F.lit(True)).filter(F.col(id_col).isNotNull())
+        before = new.join(inside, F.col(id_col) == F.col("query_id"), "left_semi") if path else None
+        for there in (t for t in (existing, before) if t is not None):
+            near = top_k(here, there, 1, exclude_self=False, threshold=threshold, **of).select(F.col("query_id").alias("__near"))
+            here = here.join(near, F.col(id_col) == F.col("__near"), "left_anti")
+        left, left_path = write_shared(here.select(*[F.col(c) for c in (id_col, vector_col)]), "left")
+        pairs, pairs_path = write_shared(pairs_within(left, left, threshold, earlier=True, **of).select("query_id", "item_id"), "edges")
+        went, used = settled(left.select(F.col(id_col).cast("long").alias("query_id")), pairs)
+        now, now_path = write_shared(inside.union(went), "inside")
+        drop_shared(spark, left_path, pairs_path, *used, *([path] if path else []))
+        inside, path, low = now, now_path, high
+    there = new.join(inside, F.col(id_col) == F.col("query_id"), "left_semi")
+    best = top_k(new, there, 1, earlier=True, **of)
     if existing is not None:
         best = best.unionByName(top_k(new, existing, 1, exclude_self=False, **of)).groupBy("query_id").agg(F.max_by(F.struct("score", "item_id"), F.struct(F.col("score"), -F.col("item_id"))).alias("b")).select("query_id", "b.*")
-    return state.join(best.select("query_id", F.col("item_id").alias("best_id"), F.col("score").alias("best_score")), "query_id", "left").select("query_id", "best_id", "best_score", "inserted")
+    state = new.select(F.col(id_col).cast("long").alias("query_id")).join(inside.withColumn("inserted", F.lit(True)), "query_id", "left")
+    return state.join(best.select("query_id", F.col("item_id").alias("best_id"), F.col("score").alias("best_score")), "query_id", "left").select("query_id", "best_id", "best_score", F.coalesce("inserted", F.lit(False)).alias("inserted"))
+
+
+def settled(rows: DataFrame, pairs: DataFrame, counts: dict | None = None) -> tuple[DataFrame, list[str]]:
+    """(query_id) of ``rows`` that stay when each goes by id and stays if no earlier one of its ``pairs`` (query_id, item_id) did.
+
+    In a round, rows next to a row that stayed go, and rows without an open neighbour stay. A row that waits for one
+    earlier row alone takes the opposite of it; such waits are doubled each round, from the row to what that one waits
+    for, so that a chain of n rows is settled in about log2(n) rounds. Also the paths of the tables the result rests on.
+    """
+    spark = rows.sparkSession
+    state, state_path = write_shared(rows.distinct().select("query_id", F.lit(None).cast("boolean").alias("stays")), "gate")
+    # same: the row does what the other does, instead of the opposite.
+    waits, waits_path = write_shared(pairs.distinct().select("query_id", "item_id", F.lit(False).alias("same")), "waits")
+    rounds = 0
+    while not state.filter("stays is null").isEmpty():
+        rounds += 1
+        known = waits.join(state.select(F.col("query_id").alias("item_id"), F.col("stays").alias("there")), "item_id")
+        per = known.groupBy("query_id").agg(F.bool_or(F.col("there") & ~F.col("same")).alias("met"), F.bool_or(F.col("there") & F.col("same")).alias("joined"), F.bool_or(F.col("same")).alias("same"), F.count_if(F.col("there").isNull()).alias("open"))
+        # A doubled wait is a row's only one: it does what the other does. Plain waits all count against it.
+        follows = F.when(F.col("open") > 0, F.lit(None).cast("boolean")).otherwise(F.coalesce("joined", F.lit(False)))
+        alone = F.when(F.coalesce("met", F.lit(False)), False).when(F.col("open") > 0, F.lit(None).cast("boolean")).otherwise(True)
+        value = F.when(F.col("per.query_id").isNull(), True).when(F.col("per.same"), follows).otherwise(alone)
+        new_state, new_path = write_shared(state.alias("s").join(per.alias("per"), F.col("s.query_id") == F.col("per.query_id"), "left").select("s.query_id", F.coalesce("s.stays", value).alias("stays")), "gate")
+        open_ = new_state.filter("stays is null").select("query_id")
+        live = waits.join(open_, "query_id", "left_semi").join(new_state.select(F.col("query_id").alias("item_id"), F.col("stays").alias("there")), "item_id").filter("there is null or there or same").drop("there")
+        live, live_path = write_shared(live, "waits")
+        single = live.groupBy("query_id").agg(F.count("*").alias("n"), F.first("item_id").alias("item_id"), F.first("same").alias("same")).filter("n = 1").drop("n")
+        beyond = single.select(F.col("query_id").alias("k"), F.col("item_id").alias("to"), F.col("same").alias("same2"))
+        doubled = live.join(single.select("query_id").withColumn("__one", F.lit(True)), "query_id", "left").join(beyond, (F.col("item_id") == F.col("k")) & F.col("__one"), "left")
+        doubled = doubled.select("query_id", F.coalesce("to", "item_id").alias("item_id"), F.when(F.col("to").isNotNull(), F.col("same") == F.col("same2")).otherwise(F.col("same")).alias("same"))
+        doubled, doubled_path = write_shared(doubled, "waits")
+        drop_shared(spark, state_path, waits_path, live_path)
+        state, state_path, waits, waits_path = new_state, new_path, doubled, doubled_path
+    if counts is not None:
+        counts["rounds"] = rounds
+    drop_shared(spark, waits_path)
+    return state.filter("stays").select("query_id"), [state_path]
 
 
 def approximate_pairs(queries: DataFrame, items: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", bucket: float = 0.5, tables: int = 8, seed: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.operators import hybrid, ingest, results, routing, rules, search, triplets
+from corvid.operators import hybrid, index, ingest, results, routing, rules, search, triplets
 from corvid.plans import fixtures as fx
 from corvid.plans.fixtures import table
 
@@ -15,6 +15,8 @@ QUERY = "The way of things and other: nicht, pour que"
 #: Also a word that relations have.
 ASKED = "the"
 K = 5
+#: What the nearest of the driver's vectors reach, and the recall that the index is asked for.
+NEAR, RECALL = 0.36, 0.99
 
 
 def _queries(v: DataFrame) -> DataFrame:
@@ -47,13 +49,27 @@ def vector_lookup(spark, d):
 
 
 def near_dup_gate(spark, d):
-    """All vectors, arriving by id in an empty collection."""
-    return search.near_duplicate_gate(table(spark, d, "embeddings"), threshold=0.9).withColumn("best_score", F.round("best_score", 6))
+    """All vectors, arriving by id in an empty collection, at a threshold that some of the driver's vectors reach."""
+    return search.near_duplicate_gate(table(spark, d, "embeddings"), threshold=NEAR).withColumn("best_score", F.round("best_score", 6))
 
 
 def near_duplicates(spark, d):
     v = table(spark, d, "embeddings")
-    return _shown(search.near_duplicates(_queries(v), v))
+    return _shown(search.near_duplicates(_queries(v), v, least=NEAR))
+
+
+def index_topk(spark, d):
+    """What vector_topk_multi gives, by the index."""
+    v = table(spark, d, "embeddings")
+    return _shown(index.search(index.build(v), _queries(v), K))
+
+
+def index_recall(spark, d):
+    """Whether a search of the nearest cells finds nine tenths of what the exact one does, in fewer pairs than there are."""
+    v, counts = table(spark, d, "embeddings"), {}
+    found = index.search(index.build(v), _queries(v), K, recall=RECALL, counts=counts)
+    both = vector_topk_multi(spark, d).select("query_id", "item_id").join(found.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")
+    return both.agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("found")).withColumn("fewer", F.lit(counts["joined"] < counts["pairs"]))
 
 
 def search_dedup(spark, d):
@@ -293,7 +309,7 @@ def list_documents(spark, d):
 QUERIES = {f.__name__: f for f in (
     vector_topk_multi, vector_topk_filtered, vector_topk_threshold, vector_lookup, near_dup_gate, search_dedup, keyword_score, section_ref_parse, section_match, rule_match, rule_boost,
     triplet_extract, triplet_extract_documents, triplet_search, triplet_chunk_score, hybrid_combined, hybrid_rerank_blend, hybrid_fill, search_explanation, route_bands, route_search, get_section, list_documents,
-    near_duplicates, hybrid_entry, hybrid_off, rule_match_category, triplet_search_exact, triplet_index, triplets_of_chunk, word_section,
+    near_duplicates, index_topk, index_recall, hybrid_entry, hybrid_off, rule_match_category, triplet_search_exact, triplet_index, triplets_of_chunk, word_section,
 )}
 
 HEADER_SQL = ingest.HEADER
@@ -304,15 +320,17 @@ ORACLE_SQL = {
     "vector_topk_filtered": hits_sql("AND q.label = i.label") + f" SELECT {SHOWN} FROM hits",
     "vector_topk_threshold": hits_sql() + f" SELECT {SHOWN} FROM hits WHERE s >= 0.4",
     "vector_lookup": "SELECT vec_id, label, 1.0::DOUBLE AS score FROM embeddings WHERE vec_id % 100 = 0",
-    "near_dup_gate": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
+    "near_dup_gate": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
 pairs AS (SELECT a.n AS n, b.n AS m, b.vec_id AS id, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON b.n < a.n),
-near AS (SELECT n, list(m) AS ms FROM pairs WHERE s >= 0.9 GROUP BY n),
+near AS (SELECT n, list(m) AS ms FROM pairs WHERE s >= {NEAR} GROUP BY n),
 step(n, inside) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
   SELECT step.n + 1, CASE WHEN list_has_any(inside, coalesce(ms, [])) THEN inside ELSE list_append(inside, step.n + 1) END FROM step LEFT JOIN near ON near.n = step.n + 1 WHERE step.n < (SELECT max(n) FROM v)),
 went AS (SELECT unnest(inside) AS m FROM step WHERE n = (SELECT max(n) FROM v)),
 best AS (SELECT n, id, s FROM pairs JOIN went USING (m) QUALIFY row_number() OVER (PARTITION BY n ORDER BY s DESC, id) = 1)
 SELECT vec_id AS query_id, id AS best_id, round(s, 6) AS best_score, n IN (SELECT m FROM went) AS inserted FROM v LEFT JOIN best USING (n)""",
-    "near_duplicates": hits_sql(k=3) + f" SELECT {SHOWN} FROM hits WHERE s >= 0.85",
+    "near_duplicates": hits_sql(k=3) + f" SELECT {SHOWN} FROM hits WHERE s >= {NEAR}",
+    "index_topk": hits_sql() + f" SELECT {SHOWN} FROM hits",
+    "index_recall": hits_sql() + " SELECT count(*) AS wanted, true AS found, true AS fewer FROM hits",
     "hybrid_entry": f"""{candidates_sql(20, LENGTH_RERANK)}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, item_id) AS rr FROM c),
 l AS (SELECT *, min(rerank_score) OVER (PARTITION BY query_id, rr <= 4) AS lo, max(rerank_score) OVER (PARTITION BY query_id, rr <= 4) AS hi FROM p),
 f AS (SELECT *, rr > 4 AS filled, CASE WHEN rr <= 4 THEN 0.7 * combined_score + 0.3 * CASE WHEN hi = lo THEN 0.5 ELSE (rerank_score - lo) / (hi - lo) END ELSE combined_score END AS final_score FROM l)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corvid.functions.text import fixed, sha_id, tokens, ustrip
 from corvid.functions.vectors import clamp, cosine
 from corvid import providers
-from corvid.operators import cases, hybrid, ingest, judging, metrics, pages, results, routing, rules, search, triplets, verification
+from corvid.operators import cases, hybrid, index, ingest, judging, metrics, pages, results, routing, rules, search, triplets, verification
 from corvid.plans import answer
 from corvid.plans import fixtures as fx
 from corvid.providers import Providers
@@ -585,3 +585,82 @@ def test_recall_of_approximate_pairs(spark):
     found = {(x["query_id"], x["item_id"]) for x in search.approximate_pairs(v, v, 0.95).collect()}
     exact = {(x["query_id"], x["item_id"]) for x in search.pairs_within(v, v, 0.95).collect()}
     assert len(exact) > 500 and len(exact & found) / len(exact) > 0.9
+
+
+def greedy(n, pairs):
+    """Of 0..n-1 those that stay, one after another."""
+    earlier = {}
+    for a, b in pairs:
+        earlier.setdefault(a, []).append(b)
+    stay = set()
+    for k in range(n):
+        if not any(b in stay for b in earlier.get(k, [])):
+            stay.add(k)
+    return stay
+
+
+@pytest.mark.parametrize("kind", ["chain", "random", "tree"])
+def test_gate_settles_chains_in_few_rounds(spark, kind):
+    r, n = random.Random(6), 300
+    pairs = {"chain": [(k, k - 1) for k in range(1, n)], "random": [(k, r.randrange(k)) for k in range(1, n) for _ in range(r.randrange(4))], "tree": [(k, r.randrange(k)) for k in range(1, n)]}[kind]
+    counts = {}
+    got, _ = search.settled(spark.range(n).select(F.col("id").alias("query_id")), spark.createDataFrame(pairs, "query_id long, item_id long"), counts)
+    assert {x["query_id"] for x in got.collect()} == greedy(n, pairs)
+    assert counts["rounds"] <= (11 if kind != "random" else 20)
+
+
+@pytest.mark.parametrize("first", [20, 1000])
+def test_gate_turns_near_rows_away(spark, first):
+    r = random.Random(2)
+    base = [[r.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    rows = [(k * 3, [x + r.gauss(0, 0.25) for x in base[r.randrange(12)]]) for k in range(150)]
+    near = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
+    old = [(7, base[0]), (9, base[1])]
+    v = lambda x: spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    for existing in ([], old):
+        inside, want = [w for _, w in existing], {}
+        for i, w in rows:
+            want[i] = not any(near(w, x) >= 0.95 for x in inside)
+            inside += [w] if want[i] else []
+        got = search.near_duplicate_gate(v(rows), v(existing) if existing else None, 0.95, first=first).collect()
+        assert {x["query_id"]: x["inserted"] for x in got} == want and 20 < sum(want.values()) < 140
+        assert all((x["best_score"] or -1) < 0.95 for x in got if x["inserted"]) and all(x["best_score"] >= 0.95 for x in got if not x["inserted"])
+    assert search.near_duplicate_gate(v([]), None, 0.9).count() == 0
+
+
+def clustered(spark):
+    r = random.Random(5)
+    base = [[r.gauss(0, 1) for _ in range(12)] for _ in range(30)]
+    rows = [(k, [x + r.gauss(0, 0.1) for x in base[k % 30]]) for k in range(2000)]
+    rows += [(5000, None), (5001, [0.0] * 12), (5002, [1.0, None] + [0.0] * 10), (None, [1.0] * 12), (5003, [1.0]), (5004, rows[0][1]), (5005, rows[0][1]), (5006, [float("nan")] * 12)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+
+
+def test_index_search_is_exact_and_skips_blocks(spark):
+    v = clustered(spark)
+    q = v.filter("vec_id % 40 = 0 or vec_id between 5000 and 5006")
+    ix = index.build(v, rows_a_block=64)
+    shown = lambda hits: sorted((r["query_id"], r["rank"], r["item_id"], round(r["score"], 9)) for r in hits.collect())
+    counts = {}
+    assert shown(index.search(ix, q, 5, counts=counts)) == shown(search.top_k(q.filter("vec_id <> 5003"), v, 5))
+    assert 0 < counts["scored"] < counts["joined"] < 0.2 * counts["pairs"]
+    assert shown(index.search(ix, q, 5, exclude_self=False)) == shown(search.top_k(q.filter("vec_id <> 5003"), v, 5, exclude_self=False))
+    assert index.search(ix, q.limit(0), 5).count() == 0 and index.build(v.filter("vec_id between 5000 and 5002")) is None
+    ix.drop()
+
+
+def test_index_of_few_and_equal_rows(spark):
+    v = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(7)] + [(8, [-1.0, -2.0])], "vec_id long, embedding array<double>")
+    ix = index.build(v, rows_a_block=2)
+    got = index.search(ix, v, 3).collect()
+    assert {r["query_id"]: [x["item_id"] for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == r["query_id"]] for r in got}[4] == [0, 1, 2] and len(got) == 24
+    assert index.search(ix, v, 50).count() == 8 * 7
+
+
+def test_index_finds_the_recall_it_is_asked_for(spark):
+    v = clustered(spark)
+    q = v.filter("vec_id % 20 = 0")
+    exact = {(r["query_id"], r["item_id"]) for r in search.top_k(q, v, 5).collect()}
+    counts = {}
+    found = {(r["query_id"], r["item_id"]) for r in index.search(index.build(v), q, 5, recall=0.95, counts=counts).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and counts["joined"] < 0.2 * counts["pairs"]

@@ -158,11 +158,12 @@ def settled(rows: DataFrame, pairs: DataFrame, counts: dict | None = None) -> tu
     for, so that a chain of n rows is settled in about log2(n) rounds. Also the paths of the tables the result rests on.
     """
     spark = rows.sparkSession
-    state, state_path = write_shared(rows.distinct().select("query_id", F.lit(None).cast("boolean").alias("stays")), "gate")
+    met = pairs.select("query_id").union(pairs.select("item_id")).distinct()
+    state, state_path = write_shared(met.select("query_id", F.lit(None).cast("boolean").alias("stays")), "gate")
     # same: the row does what the other does, instead of the opposite.
     waits, waits_path = write_shared(pairs.distinct().select("query_id", "item_id", F.lit(False).alias("same")), "waits")
     rounds = 0
-    while not state.filter("stays is null").isEmpty():
+    while not waits.isEmpty():
         rounds += 1
         known = waits.join(state.select(F.col("query_id").alias("item_id"), F.col("stays").alias("there")), "item_id")
         per = known.groupBy("query_id").agg(F.bool_or(F.col("there") & ~F.col("same")).alias("met"), F.bool_or(F.col("there") & F.col("same")).alias("joined"), F.bool_or(F.col("same")).alias("same"), F.count_if(F.col("there").isNull()).alias("open"))
@@ -184,7 +185,8 @@ def settled(rows: DataFrame, pairs: DataFrame, counts: dict | None = None) -> tu
     if counts is not None:
         counts["rounds"] = rounds
     drop_shared(spark, waits_path)
-    return state.filter("stays").select("query_id"), [state_path]
+    # Open rows that wait for nothing any more stay.
+    return rows.distinct().join(state.filter("not stays").select("query_id"), "query_id", "left_anti"), [state_path]
 
 
 def approximate_pairs(queries: DataFrame, items: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", bucket: float = 0.5, tables: int = 8, seed: int = 1) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
 from corvid.functions.text import ustrip
-from corvid.operators import ingest, pages
+from corvid.operators import ingest, pages, tree
 from corvid.plans import fixtures as fx
 from corvid.plans.fixtures import table
 from corvid.sources.collection import Collection
@@ -206,6 +207,47 @@ def subcategory_label(spark, d):
     return rows.select("id", pages.subcategory(F.col("text")).alias("sub_category"), pages.without_label(F.col("text"), "질문").alias("question"), pages.named(F.col("text"), {"": "none"}).alias("name"), ustrip(F.col("text")).alias("stripped"))
 
 
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&#34;"))
+
+
+def _pairs(spark, d):
+    x = table(spark, d, "conversations").withColumn("answer", F.expr("lead(text) over (partition by conv_id order by turn)")).filter("role = 'user'")
+    return x.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+def faq_pages(spark, d):
+    """Each conversation's pairs as a list page with nested and unclosed elements, and the pairs that its tree gives back."""
+    answer = F.concat(F.lit('<div class="faq_a open">답변 '), F.regexp_replace(_escaped(F.col("answer")), "\n", "<br>\n"), F.lit("<script>if (a < b) {}</script>"))
+    ask = F.when(F.col("turn") % 4 == 1, F.lit("<b>no question</b>")).otherwise(F.concat(F.lit('<span><a href=# class="faq_q">질문 '), F.when(F.col("turn") % 4 == 0, F.lit("[a &amp; b] ")).otherwise(""), _escaped(F.col("question")), F.lit("</a></span>")))
+    item = F.concat(F.lit("<li>"), ask, answer, F.when(F.col("turn") % 3 == 0, "</div></li>").otherwise(""))
+    page = F.concat(F.lit('<ul class="other"><li><a class="faq_q">not this</a></ul><ul class="x faq_list">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("h")))), lambda x: x["h"]), "\n"), F.lit("</ul><p>end"))
+    return tree.extract(_pairs(spark, d).groupBy("conv_id").agg(page.alias("html")), "html", "place int, question string, answer string, sub_category string", lambda root: [(k, *r) for k, r in enumerate(tree.faq_items(root))])
+
+
+def terms_pages(spark, d):
+    """Documents as list pages of up to 50 a source and a detail page each; the lists' rows joined with what the details' trees give."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    link = F.format_string("<tr><td>%s<td><a href=\"javascript:doView('%d','%d')\">T <i>%d</i></a><td><a onclick=\"doFile('/f/%d.pdf')\">pdf</a>", _escaped(F.col("lang")), F.col("doc_id"), F.col("doc_id") % 10, F.col("doc_id"), F.col("doc_id"))
+    row = F.when(F.col("doc_id") % 9 == 0, F.lit("<tr><td>x<td>no link")).when(F.col("doc_id") % 9 == 1, F.lit("<tr><td><a>one cell</a>")).otherwise(link)
+    lists = docs.groupBy("source", F.floor(F.col("doc_id") / 50).alias("page")).agg(F.concat(F.lit('<div class="tableDefault"><table><thead><tr><th>a<th>b</thead><tbody>'), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table></div>")).alias("html"))
+    listed = tree.extract(lists, "html", "category string, title string, num string, row_num string, pdf_url string", tree.listed)
+    inner = F.concat(F.lit("<h2>제1조(<b>"), _escaped(F.col("lang")), F.lit("</b>)</h2> loose <p>"), _escaped(F.col("text")), F.lit("<h2></h2><h2>제2조</h2><span>x</span><h2>제3조</h2><ul><li>개정 2023.3."), (F.col("doc_id") % 28 + 1).cast("string"), F.lit("<li>2024년 1월 5일부터 시행</ul>"))
+    details = tree.extract(docs.select(F.col("doc_id").cast("string").alias("num"), inner.alias("html")), "html", "content string, sections array<struct<title:string,content:string>>", lambda root: [(root.shown(), [dict(zip(("title", "content"), s)) for s in tree.sections(root)])])
+    x = pages.with_details(listed, details, "num")
+    titles = lambda c: F.array_join(F.transform("sections", lambda s: s[c]), ";")
+    return x.select("source", "category", "title", "num", "row_num", "pdf_url", F.md5(F.col("sections")[0]["content"].cast("binary")).alias("first_md5"), titles("title").alias("titles"), F.size("sections").alias("n_sections"), pages.effective_date(F.col("content")).alias("effective_date"), F.array_join(pages.revisions(F.col("content")), ",").alias("revisions"))
+
+
+def page_outline(spark, d):
+    """Every page's headings, each with a digest of what follows, its links, and its list items, by its tree."""
+    def of(root):
+        head = root.first("title")
+        return [(head.text().strip() if head else "", [t for t, _ in tree.sections(root, "h1")], hashlib.md5("|".join(c for _, c in tree.sections(root, "h1")).encode()).hexdigest(), [a.attrs["href"] for a in root.select("a") if "href" in a.attrs], len(root.select("nav li")), len(root.select("article > p")))]
+
+    return tree.extract(table(spark, d, "pages").select("page_id", "html"), "html", "title string, headings array<string>, follow_md5 string, links array<string>, n_nav long, n_paragraphs long", of)
+
+
 def collection_log(spark, d):
     """A collection that takes the pairs of even conversations, then all pairs, loses every fifth conversation's, gets every tenth's back, and is compacted in between."""
     pairs = table(spark, d, "conversations").withColumn("answer", F.expr("lead(text) over (partition by conv_id order by turn)"))
@@ -222,7 +264,7 @@ def collection_log(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    collection_log,
+    collection_log, faq_pages, terms_pages, page_outline,
     stored_chunks, pair_ids, agent_answers, backfill_summary, validation_message, valid_cases, faq_scan, page_counts, table_list, document_details, content_id_dedup, ingest_anti_existing, ingest_counters, line_sections, chunk_filter_truncate, parent_context, effective_date, revision_history, handler_parse,
     html_title_headings, html_sections, html_links, html_pages, dataset_merge, dataset_validate, deterministic_sample, subcategory_label,
 )}
@@ -248,6 +290,10 @@ def ID(parts: str, n: int = 16) -> str:
 
 
 ORACLE_SQL = {
+    "faq_pages": """WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS question, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS answer, role FROM conversations)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS place, trim(CASE WHEN turn % 4 = 0 THEN '[a & b] ' ELSE '' END || question) AS question, trim(regexp_replace(answer, '\\s+', ' ', 'g')) AS answer, CASE WHEN turn % 4 = 0 THEN 'a & b' ELSE regexp_extract(question, '^\\[([^\\]]+)\\]', 1) END AS sub_category FROM p WHERE role = 'user' AND turn % 4 <> 1""",
+    "terms_pages": """SELECT coalesce(source, '') AS source, coalesce(lang, '') AS category, 'T ' || doc_id AS title, doc_id::VARCHAR AS num, (doc_id % 10)::VARCHAR AS row_num, '/f/' || doc_id || '.pdf' AS pdf_url, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS first_md5,
+  '제1조(' || coalesce(lang, '') || ');제2조;제3조' AS titles, 3 AS n_sections, '2024-01-05' AS effective_date, '2023-03-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS revisions FROM documents WHERE doc_id % 9 > 1""",
     "collection_log": """WITH p AS (SELECT conv_id, turn, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, role FROM conversations),
 v AS (SELECT *, substr(sha256(question || '_' || substr(answer, 1, 200)), 1, 16) AS id FROM p WHERE role = 'user' AND coalesce(question, '') <> '' AND coalesce(answer, '') <> ''),
 puts AS (SELECT 1 AS k, 'even-' AS source, * FROM v WHERE conv_id % 2 = 0 UNION ALL SELECT 2, 'all-', * FROM v),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corvid.functions.text import fixed, sha_id, tokens, ustrip
 from corvid.functions.vectors import clamp, cosine
 from corvid import providers
-from corvid.operators import cases, hybrid, index, ingest, judging, metrics, pages, results, routing, rules, search, triplets, verification
+from corvid.operators import cases, hybrid, index, ingest, judging, metrics, pages, results, routing, rules, search, tree, triplets, verification
 from corvid.plans import answer
 from corvid.plans import fixtures as fx
 from corvid.providers import Providers
@@ -664,3 +664,40 @@ def test_index_finds_the_recall_it_is_asked_for(spark):
     counts = {}
     found = {(r["query_id"], r["item_id"]) for r in index.search(index.build(v), q, 5, recall=0.95, counts=counts).collect()}
     assert len(exact & found) >= 0.9 * len(exact) and counts["joined"] < 0.2 * counts["pairs"]
+
+
+PAGE = """<div class="tableDefault x"><table><tbody><tr><td>약관<td><a onclick="doView('78','1')">이용 <b>약관</b></a><td><a onclick="doFile('/f')">p</a><tr><td>only</table></div>
+<h2>A</h2> text <p>one
+ two<p>three<h2>B<i>b</i></h2><span>x</span><h2>C</h2><ul><li>1<ul><li>n</ul><li>2</ul><h2></h2>
+<ul class="faq_list y"><li><a class=faq_q>질문 [a] q &amp; r?</a><div class="faq_a">답변 x<script>no</script><br>y<p>z</div><li>no<li><div><a class="faq_q">질문 r</a></div></ul></h3>
+<div class="pager"><a>3</a><a href="javascript:goPage(12)">n</a></div><a>99</a><p id=1>never closed<!-- <p>hidden"""
+
+
+def test_trees_of_nested_and_unclosed_elements():
+    root = tree.parse(PAGE)
+    assert tree.listed(root) == [("약관", "이용 약관", "78", "1", "/f")]
+    assert tree.sections(root) == [("A", "one two"), ("Bb", ""), ("C", "1\nn\n2")]
+    assert tree.faq_items(root) == [("[a] q & r?", "x y z", "a"), ("r", "", "")]
+    assert tree.last_page(root) == 12
+    assert [n.text() for n in root.select("ul > li > ul li")] == ["n"] and [n.attrs.get("id") for n in root.select("p")] == [None, None, None, "1"]
+    assert tree.parse("a < b <3 </ x></> c").text() == "a < b <3  c"
+    assert [n.attrs for n in tree.parse("<A HREF='x>y' b=\"1\" c d=e/f G>").select("a")] == [{"href": "x>y", "b": "1", "c": "", "d": "e/f", "g": ""}]
+    assert tree.parse("<title>a<b</title><p>x").select("p")[0].text() == "x" and tree.parse("").select("p") == []
+
+
+@pytest.mark.parametrize("piece", ["<a x=", "<title>", "<div>", "<!--", "<li>", "<p>", "<td>", "</p>", "<a href='", "<ul><li>", "<", "&"])
+def test_pages_take_linear_time(piece):
+    def took(n):
+        t = time.process_time()
+        root = tree.parse(piece * n)
+        root.select(".a > b c"), root.shown(), tree.sections(root, "p")
+        return time.process_time() - t
+
+    took(100)
+    assert took(40_000) < 8 * took(10_000) + 0.5
+
+
+def test_trees_run_in_arrow_batches(spark):
+    df = spark.createDataFrame([(1, PAGE, "k"), (2, None, "l"), (3, "", None)], "id int, html string, key string")
+    got = tree.extract(df, "html", "title string, content string", tree.sections).collect()
+    assert [tuple(r) for r in got] == [(1, "k", "A", "one two"), (1, "k", "Bb", ""), (1, "k", "C", "1\nn\n2")]

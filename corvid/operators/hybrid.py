@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid import models
 from corvid.functions.text import fixed, or_empty
 from corvid.operators import rules, search, triplets
 
@@ -69,10 +70,11 @@ def rerank_blend(rows: DataFrame, weight: float, per: str, combined_col: str = "
 def rerank_and_fill(rows: DataFrame, n: int, top: int, weight: float, per: str, tie: str) -> DataFrame:
     """The ``top`` rows by rerank score, blended and sorted, then the others by combined score, cut at n a query.
 
-    Blocks are not sorted together; rows that fill keep their combined score as the final one.
+    Blocks are not sorted together; rows that fill keep their combined score as the final one. Rows with equal scores, or
+    without any where the reranker failed, stay in the order of their combined scores.
     """
     order = F.coalesce(F.col("rerank_score"), F.lit(float("-inf")))
-    x = rows.withColumn("__r", F.row_number().over(Window.partitionBy(per).orderBy(F.desc(order), tie)))
+    x = rows.withColumn("__r", F.row_number().over(Window.partitionBy(per).orderBy(F.desc(order), F.desc("combined_score"), tie)))
     first = rerank_blend(x.filter(F.col("__r") <= top), weight, per).withColumn("block", F.lit(0))
     rest = x.filter(F.col("__r") > top).withColumn("final_score", F.col("combined_score")).withColumn("block", F.lit(1))
     place = F.row_number().over(Window.partitionBy(per).orderBy("block", F.desc("final_score"), tie))
@@ -107,7 +109,8 @@ def _combined(x: DataFrame, weights: Weights) -> DataFrame:
 def hybrid_search(queries: DataFrame, chunks: DataFrame, stored: DataFrame | None, config: Config | None = None, n: int = 5, rerank=None, words: dict[str, float] | None = None, enabled: bool = True, **columns) -> DataFrame:
     """The n best chunks of each query, by all scores, or by vectors alone where ``enabled`` is off.
 
-    ``rerank(query, text)`` gives a column of scores for the best candidates where the config wants it.
+    ``rerank(query, text)`` gives a column of scores for the best candidates where the config wants it; a
+    :class:`corvid.models.Model` is asked for the best candidates' scores in a stage of its own.
     """
     config = config or Config()
     if not enabled:
@@ -120,7 +123,11 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, stored: DataFrame | Non
         return x.filter(F.col("rank") <= n).withColumn("rerank_score", F.lit(None).cast("double")).withColumn("final_score", F.col("combined_score"))
     pool = max(config.rerank_candidates, n)
     text = F.when(or_empty("section_title") != "", F.concat(F.col("section_title"), F.lit("\n"), or_empty("section_content"))).otherwise(or_empty("section_content"))
-    x = x.withColumn("rerank_score", F.when(F.col("rank") <= pool, rerank(F.col("query"), text)))
+    if isinstance(rerank, models.Model):
+        best = models.rerank_scores(x.filter(F.col("rank") <= pool).withColumn("__text", text), rerank, "query", "__text").drop("__text")
+        x = best.unionByName(x.filter(F.col("rank") > pool), allowMissingColumns=True)
+    else:
+        x = x.withColumn("rerank_score", F.when(F.col("rank") <= pool, rerank(F.col("query"), text)))
     top = min(pool, n, config.rerank_top_k or n)
     return rerank_and_fill(x, n, top, config.weights.rerank, "query_id", "item_id").drop("block")
 

@@ -49,11 +49,12 @@ def faq_context(hits: Column) -> Column:
 
 
 def answers(queries: DataFrame, faq: DataFrame, sections: DataFrame, bands: routing.Bands = routing.Bands(), providers: Providers = Providers(), k: int = 5, stored: DataFrame | None = None, config: hybrid.Config | None = None, words: dict[str, float] | None = None, use_hybrid: bool = True, verify: bool = True, threshold: float = verification.THRESHOLD) -> DataFrame:
-    """(id, query, answer, source, confidence, response_mode, context, citations, verified, verification_score, verification_issues, metadata) of queries (id, query, vector).
+    """(id, query, answer, source, confidence, response_mode, context, citations, verified, verification_score, verification_issues, metadata, error) of queries (id, query, vector).
 
     ``faq`` has id, vector, question, answer (category, sub_category); ``sections`` id, vector, document_title,
     section_title, section_content; ``stored`` their relations. Ids of queries must be unique. metadata has the route,
-    the band of middle and low scores, thresholds, and what a route tells of its hits.
+    the band of middle and low scores, thresholds, and what a route tells of its hits. ``error`` says why a model gave no
+    answer; the answer is empty then.
     """
     has = lambda df, c: F.col(c) if c in df.columns else F.lit("")
     pairs = faq.select(F.col("id").alias("item_id"), "question", "answer", has(faq, "category").alias("category"), has(faq, "sub_category").alias("sub_category"))
@@ -74,7 +75,10 @@ def answers(queries: DataFrame, faq: DataFrame, sections: DataFrame, bands: rout
     x = x.withColumn("hits", F.coalesce(near, F.array().cast(f"array<{ITEM}>")))
     text = F.when(direct, faq_context(F.col("hits"))).when(told, results.section_context(F.col("hits"))).when(F.col("route") == "section_low", TOO_LITTLE).otherwise(NOTHING)
     x = x.withColumn("__text", text).withColumn("__asked", routing.prompt_of(SYSTEM, F.col("route"), F.col("__text"), F.col("query")))
-    x = x.withColumn("answer", or_empty(providers.generate(F.col("__asked"), F.col("__text"))))
+    if providers.model is not None:
+        x = providers.model.ask(x, "__asked", "answer", "error").withColumn("answer", or_empty("answer"))
+    else:
+        x = x.withColumn("answer", or_empty(providers.generate(F.col("__asked"), F.col("__text")))).withColumn("error", F.lit(None).cast("string"))
     x = x.withColumn("source", F.when(direct, "faq").when(told, "sections").otherwise("no_context"))
     x = x.withColumn("confidence", F.when(told, results.section_confidence(F.col("hits"))).when(F.col("route") == "none", 0.0).otherwise(F.col("top")))
     x = x.withColumn("response_mode", F.when(F.col("route").isin("faq_ok", "section_ok"), "answer").when(F.col("route").isin("faq_mid", "section_mid"), "limited_answer").when(F.col("route") == "section_low", "clarification").otherwise("handoff"))
@@ -84,8 +88,12 @@ def answers(queries: DataFrame, faq: DataFrame, sections: DataFrame, bands: rout
     x = x.withColumn("citations", F.when(direct & (F.size("hits") > 0), F.array(F.concat(F.lit("FAQ: "), best["question"]))).when(told, cited).otherwise(none))
 
     titles = F.transform("hits", lambda h: or_empty(h["section_title"]))
-    reply = providers.check(verification.check_prompt(F.col("query"), F.col("answer"), results.verification_items(results.cut(F.col("hits"))))) if providers.check else None
     gate = F.lit(verify) & verification.gated(F.col("source"), F.col("response_mode"), F.lit(True), False)
+    to_check = verification.check_prompt(F.col("query"), F.col("answer"), results.verification_items(results.cut(F.col("hits"))))
+    reply = providers.check(to_check) if providers.check else None
+    if providers.checker is not None:
+        # A check that fails leaves the answer to the rules.
+        x, reply = providers.checker.ask(x.withColumn("__check", F.when(gate, to_check)), "__check", "__reply", "__check_error"), F.col("__reply")
     x = x.withColumn("__v", F.when(gate, verification.verify(F.col("answer"), titles, reply, True, threshold)))
     x = x.withColumns({"verified": F.coalesce("__v.verified", F.lit(True)), "verification_score": F.coalesce("__v.confidence", F.lit(1.0)), "verification_issues": F.coalesce("__v.issues", none)})
 
@@ -108,7 +116,7 @@ def answers(queries: DataFrame, faq: DataFrame, sections: DataFrame, bands: rout
         usage.alias("usage"),
         F.col("__v.reasoning").alias("verification_reasoning"),
     )
-    return x.select("id", "query", "answer", "source", "confidence", "response_mode", results.cut(F.col("hits")).alias("context"), "citations", "verified", "verification_score", "verification_issues", metadata.alias("metadata"))
+    return x.select("id", "query", "answer", "source", "confidence", "response_mode", results.cut(F.col("hits")).alias("context"), "citations", "verified", "verification_score", "verification_issues", metadata.alias("metadata"), "error")
 
 
 def evaluated_answers(rows: DataFrame, pipeline: Callable[[DataFrame], DataFrame], embed: Callable[[Column], Column] | None = None, judge: Column | None = None) -> DataFrame:

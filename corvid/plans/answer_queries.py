@@ -148,7 +148,7 @@ tm AS (SELECT id, item, triplet_id, concat_ws('-', subject, predicate, object) A
 ts AS (SELECT id, item, sum(coalesce(s, p, o)) AS total, list(triplet ORDER BY triplet_id) AS triplets FROM tm WHERE coalesce(s, p, o) IS NOT NULL GROUP BY ALL),
 tt AS (SELECT *, total / max(total) OVER (PARTITION BY id) AS share FROM ts),
 comb AS (SELECT n.*, words, triplets, 0.5::DOUBLE * vec + 0.3::DOUBLE * coalesce(rule, 0)::DOUBLE + 0.2::DOUBLE * coalesce(share, 0)::DOUBLE AS combined FROM near n LEFT JOIN kw USING (id, item) LEFT JOIN tt USING (id, item)),
-rr AS (SELECT *, (length(title || {NL} || content) * 7 % 13) / 13.0::DOUBLE AS rerank, row_number() OVER (PARTITION BY id ORDER BY rerank DESC, item) AS place FROM comb),
+rr AS (SELECT *, (length(title || {NL} || content) * 7 % 13) / 13.0::DOUBLE AS rerank, row_number() OVER (PARTITION BY id ORDER BY rerank DESC, combined DESC, item) AS place FROM comb),
 lo AS (SELECT *, min(rerank) OVER (PARTITION BY id, place <= 4) AS low, max(rerank) OVER (PARTITION BY id, place <= 4) AS high FROM rr),
 fin AS (SELECT *, CASE WHEN place <= 4 THEN 0.7::DOUBLE * combined + 0.3::DOUBLE * CASE WHEN high = low THEN 0.5 ELSE (rerank - low) / (high - low) END ELSE combined END AS score FROM lo),
 sh AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place > 4, score DESC, item) AS rank FROM fin QUALIFY rank <= 5),

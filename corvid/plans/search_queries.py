@@ -331,7 +331,7 @@ SELECT vec_id AS query_id, id AS best_id, round(s, 6) AS best_score, n IN (SELEC
     "near_duplicates": hits_sql(k=3) + f" SELECT {SHOWN} FROM hits WHERE s >= {NEAR}",
     "index_topk": hits_sql() + f" SELECT {SHOWN} FROM hits",
     "index_recall": hits_sql() + " SELECT count(*) AS wanted, true AS found, true AS fewer FROM hits",
-    "hybrid_entry": f"""{candidates_sql(20, LENGTH_RERANK)}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, item_id) AS rr FROM c),
+    "hybrid_entry": f"""{candidates_sql(20, LENGTH_RERANK)}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, combined_score DESC, item_id) AS rr FROM c),
 l AS (SELECT *, min(rerank_score) OVER (PARTITION BY query_id, rr <= 4) AS lo, max(rerank_score) OVER (PARTITION BY query_id, rr <= 4) AS hi FROM p),
 f AS (SELECT *, rr > 4 AS filled, CASE WHEN rr <= 4 THEN 0.7 * combined_score + 0.3 * CASE WHEN hi = lo THEN 0.5 ELSE (rerank_score - lo) / (hi - lo) END ELSE combined_score END AS final_score FROM l)
 SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY filled, f.final_score DESC, item_id) AS rank, round(combined_score, 6)::DOUBLE AS combined_score, round(rerank_score, 6)::DOUBLE AS rerank_score, round(f.final_score, 6)::DOUBLE AS final_score FROM f QUALIFY rank <= {K}""",
@@ -365,7 +365,7 @@ SELECT query, chunk_id, round(total, 6) AS total, round(total / max(total) OVER
     "hybrid_combined": f"""{CANDIDATES_SQL} SELECT query_id, item_id, score, round(rule_score, 6)::DOUBLE AS rule_score, round(triplet_score, 6)::DOUBLE AS triplet_score, combined_score::DOUBLE AS combined_score,
   row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, item_id) AS place FROM c QUALIFY place <= {K}""",
     "hybrid_rerank_blend": f"{CANDIDATES_SQL}, l AS (SELECT *, min(rerank_score) OVER (PARTITION BY query_id) AS lo, max(rerank_score) OVER (PARTITION BY query_id) AS hi FROM c) SELECT query_id, item_id, combined_score::DOUBLE AS combined_score, rerank_score, round({BLEND}, 9)::DOUBLE AS final_score FROM l",
-    "hybrid_fill": f"""{CANDIDATES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rerank_score, '-inf'::DOUBLE) DESC, item_id) AS rr FROM c),
+    "hybrid_fill": f"""{CANDIDATES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rerank_score, '-inf'::DOUBLE) DESC, combined_score DESC, item_id) AS rr FROM c),
 l AS (SELECT *, min(rerank_score) OVER (PARTITION BY query_id, rr <= 4) AS lo, max(rerank_score) OVER (PARTITION BY query_id, rr <= 4) AS hi FROM r),
 f AS (SELECT *, CASE WHEN rr <= 4 THEN 0 ELSE 1 END AS block, CASE WHEN rr <= 4 THEN {BLEND} ELSE combined_score END AS final_score FROM l)
 SELECT query_id, item_id, block, round(final_score, 5)::DOUBLE AS final_score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY block, f.final_score DESC, item_id) <= 8""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from corvid.models import Model
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,11 @@ def query(text: Column, prefix: str = "query: ") -> Column:
 
 @dataclass(frozen=True)
 class Providers:
-    """``check`` replies to a verification prompt; ``usage`` counts the tokens of a prompt and its answer by name."""
+    """``check`` replies to a verification prompt; ``usage`` counts the tokens of a prompt and its answer by name.
+
+    ``model`` and ``checker`` (:class:`corvid.models.Model`) are called in stages of their own, in place of ``generate`` and
+    ``check``; ``rerank`` may be such a model, too.
+    """
 
     embed: Callable[[Column], Column] = _hashed_vector
     rerank: Callable[[Column, Column], Column] = _overlap_rerank
@@ -44,3 +50,5 @@ class Providers:
     judge: Callable[[Column, Column, Column], Column] | None = None
     check: Callable[[Column], Column] | None = None
     usage: Callable[[Column, Column], Column] | None = None
+    model: Model | None = None
+    checker: Model | None = None

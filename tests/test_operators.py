@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions.text import fixed, sha_id, tokens, ustrip
 from corvid.functions.vectors import clamp, cosine
-from corvid import providers
+from corvid import models, providers
 from corvid.operators import cases, hybrid, index, ingest, judging, metrics, pages, results, routing, rules, search, tree, triplets, verification
 from corvid.plans import answer
 from corvid.plans import fixtures as fx
@@ -701,3 +701,78 @@ def test_trees_run_in_arrow_batches(spark):
     df = spark.createDataFrame([(1, PAGE, "k"), (2, None, "l"), (3, "", None)], "id int, html string, key string")
     got = tree.extract(df, "html", "title string, content string", tree.sections).collect()
     assert [tuple(r) for r in got] == [(1, "k", "A", "one two"), (1, "k", "Bb", ""), (1, "k", "C", "1\nn\n2")]
+
+
+def flaky(spark, fails, answer_=lambda p: p.upper()):
+    """A stand-in that counts what it is asked, and fails as ``fails(prompt, how often it was asked in this task)`` says."""
+    calls, seen = spark.sparkContext.accumulator(0), {}
+
+    def call(prompts):
+        for p in prompts:
+            calls.add(1)
+            seen[p] = seen.get(p, 0) + 1
+        bad = [p for p in prompts if fails(p, seen[p])]
+        if bad:
+            raise TimeoutError(bad[0])
+        return [answer_(p) for p in prompts]
+
+    return call, calls
+
+
+def test_model_calls_are_retried_kept_and_made_once(spark, tmp_path):
+    call, calls = flaky(spark, lambda p, n: p == "broken" or (p == "slow" and n == 1))
+    model = models.Model(call, str(tmp_path / "kept"), retries=2, delay=0.01, tasks=1)
+    rows = spark.createDataFrame([(1, "a"), (2, "slow"), (3, "broken"), (4, None), (5, "a"), (6, "a"), (7, "")], "id int, prompt string").repartition(3)
+    got = {r["id"]: (r["answer"], r["error"]) for r in model.ask(rows, "prompt").collect()}
+    assert got == {1: ("A", None), 2: ("SLOW", None), 3: (None, "TimeoutError: broken"), 4: (None, None), 5: ("A", None), 6: ("A", None), 7: ("", None)}
+    assert calls.value == 4 * 3  # four prompts, in two batches and then alone
+    again, more = flaky(spark, lambda p, n: False)
+    got = {r["id"]: (r["answer"], r["error"]) for r in models.Model(again, str(tmp_path / "kept"), delay=0.01).ask(rows.union(spark.createDataFrame([(8, "new")], rows.schema)), "prompt").collect()}
+    assert more.value == 2 and got[3] == ("BROKEN", None) and got[8] == ("NEW", None) and got[1] == ("A", None)
+
+
+def test_answers_that_cannot_be_used_are_asked_for_again(spark):
+    tries = spark.sparkContext.accumulator(0)
+
+    def call(prompts):
+        tries.add(1)
+        return ["nothing" if p == "odd" else '{"score": 4}' for p in prompts]
+
+    waits, model = [], models.Model(call, retries=1, delay=0.01, valid=lambda a: "score" in a, tasks=1)
+    got = {r["prompt"]: (r["answer"], r["error"]) for r in model.ask(spark.createDataFrame([("odd",), ("even",)], "prompt string"), "prompt").collect()}
+    assert got == {"odd": ("nothing", "invalid answer"), "even": ('{"score": 4}', None)} and tries.value == 2
+    short = models.Model(lambda prompts: ["x"], retries=0, tasks=1).ask(spark.createDataFrame([("a",), ("b",)], "prompt string"), "prompt")
+    assert {r["error"] for r in short.collect()} == {"1 answers to 2 prompts"}
+    run = models._asked(call, 8, 3, 0.5, 2.0, lambda a: False)
+    import pyarrow as pa
+
+    real, models.time.sleep = models.time.sleep, waits.append
+    try:
+        list(run(iter([pa.RecordBatch.from_pydict({"id": ["1"], "prompt": ["x"]})])))
+    finally:
+        models.time.sleep = real
+    assert waits == [0.5, 1.0, 2.0]
+
+
+def test_a_reranker_that_fails_leaves_the_order(spark):
+    rows = [(k, [1.0, k / 10]) for k in (3, 1, 2, 4)]
+    chunks = spark.createDataFrame(rows, "id long, vector array<double>").withColumns({"section_title": F.lit(""), "section_content": F.concat(F.lit("t"), F.col("id").cast("string"))})
+    q = spark.createDataFrame([(1, "ask", [1.0, 0.0]), (2, "down", [1.0, 0.0])], "id long, query string, vector array<double>")
+    call, _ = flaky(spark, lambda p, n: "down" in p, lambda p: p.rsplit("t", 1)[1][0])
+    x = hybrid.hybrid_search(q, chunks, None, hybrid.Config(rerank_enabled=True), 3, models.Model(call, retries=1, delay=0.01))
+    got = {i: [r["item_id"] for r in sorted(x.collect(), key=lambda r: r["rank"]) if r["query_id"] == i] for i in (1, 2)}
+    assert got[2] == [1, 2, 3] and got[1] != got[2] and 4 not in got[2]
+
+
+def test_the_run_asks_models_in_stages(spark, tmp_path):
+    q, faq, sections = answering(spark)
+    call, calls = flaky(spark, lambda p, n: p.startswith(answer.SYSTEM["none"]), lambda p: "said [참조: 제1조]")
+    check, checks = flaky(spark, lambda p, n: False, lambda p: '{"verified": false, "confidence": 0.9, "issues": ["no"]}')
+    p = Providers(model=models.Model(call, str(tmp_path / "said"), retries=1, delay=0.01), checker=models.Model(check, retries=0))
+    got = {r["id"]: r for r in answer.answers(q, faq, sections, providers=p, use_hybrid=False).collect()}
+    assert (got[1]["answer"], got[1]["error"], got[1]["verified"]) == ("said [참조: 제1조]", None, True)
+    assert got[2]["verification_issues"] == ["no"] and not got[2]["verified"] and got[2]["citations"] == ["제1조"]
+    assert got[3]["answer"] == "" and got[3]["error"].startswith("TimeoutError") and checks.value == 1
+    before = calls.value
+    answer.answers(q.filter("id < 3"), faq, sections, providers=p, use_hybrid=False).collect()
+    assert calls.value == before

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import blocks_of_stars, bucket_components, drop_shared, lookup, spread_join, write_shared
+from corvid.llm.common import blocks_of_stars, bucket_components, drop_shared, lookup, sifted, spread_join, write_shared
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -214,7 +214,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def texts_of(members: DataFrame) -> DataFrame:
         if "texts" not in made:
             wanted = members.select(F.col("id").alias("w"))
-            made["texts"] = write_shared(rows_in.join(wanted, F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"]), "texts")
+            made["texts"] = write_shared(sifted(rows_in, "id", wanted, "w").join(wanted, F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"]), "texts")
         return made["texts"][0]
 
     def confirm(pairs: DataFrame, members: DataFrame, counts: DataFrame, n: int) -> DataFrame:

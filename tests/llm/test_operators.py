@@ -713,3 +713,12 @@ def test_spread_join_of_a_hot_key(spark):
     counts = left.groupBy("a").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
     got = sorted(tuple(r) for r in common.spread_join(left, right, "a", "u", counts, 3050, "b", least=100).select("a", "b", "t").collect())
     assert got == sorted((a, b, f"t{a}") for a, b in [(1, k) for k in range(3000)] + [(2 + k, k) for k in range(50)] if a < 40)
+
+
+def test_sifted_keeps_what_a_join_needs(spark):
+    rows = spark.range(5000).union(spark.createDataFrame([(None,), (-7,)], "id long")).withColumnRenamed("id", "k")
+    ids = spark.createDataFrame([(i,) for i in (0, 1, 17, 4999, -7, 10**12)], "w long")
+    for bits in (1 << 24, 1 << 16, 64):
+        got = {r["k"] for r in common.sifted(rows, "k", ids, "w", bits).collect()}
+        assert {0, 1, 17, 4999, -7} <= got and (bits == 64 or len(got) < 100)
+    assert common.sifted(rows, "k", ids.limit(0), "w").count() == 0

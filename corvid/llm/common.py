@@ -55,17 +55,22 @@ def lookup(left: DataFrame, index: DataFrame, keys: list[str], weight: str, valu
     return d.select(*[F.col(c) for c in left.columns], *[F.coalesce(f"__hv{i}", f"__rv{i}").alias(v) for i, v in enumerate(values)])
 
 
-def sifted(rows: DataFrame, column: str, ids: DataFrame, id_col: str, bits: int = 1 << 24) -> DataFrame:
-    """``rows`` without most of those whose ``column`` is not among ``ids``, ahead of a join on it.
+def may_be_among(rows: DataFrame, column: str, ids: DataFrame, id_col: str, name: str, bits: int = 1 << 24) -> DataFrame:
+    """``rows`` with a boolean ``name``: true where ``column`` is among ``ids``, and by chance elsewhere; nulls count as absent.
 
-    A bitmap of the ids' hashes, ``bits`` bits whatever their number (2 MB by default), is broadcast; rows that hit it by
-    chance stay, and no row that the join needs goes.
+    A bitmap of the ids' hashes, ``bits`` bits whatever their number (2 MB by default), is broadcast.
     """
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     marks = ids.select(at(id_col).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bitmap"))
     x = rows.withColumn("__at", at(column)).withColumn("__pos", F.bitmap_bit_position("__at"))
-    x = x.join(F.broadcast(marks), F.bitmap_bucket_number("__at") == F.col("__bucket"))
-    return x.filter(F.expr("shiftright(cast(conv(hex(substring(__bitmap, cast(__pos div 8 as int) + 1, 1)), 16, 10) as int), cast(__pos % 8 as int)) & 1 = 1")).select(*rows.columns)
+    x = x.join(F.broadcast(marks), F.bitmap_bucket_number("__at") == F.col("__bucket"), "left")
+    bit = F.expr("shiftright(cast(conv(hex(substring(__bitmap, cast(__pos div 8 as int) + 1, 1)), 16, 10) as int), cast(__pos % 8 as int)) & 1 = 1")
+    return x.select(*rows.columns, (F.col(column).isNotNull() & F.coalesce(bit, F.lit(False))).alias(name))
+
+
+def sifted(rows: DataFrame, column: str, ids: DataFrame, id_col: str, bits: int = 1 << 24) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not among ``ids``, ahead of a join on it; no row that the join needs goes."""
+    return may_be_among(rows, column, ids, id_col, "__may", bits).filter("__may").drop("__may")
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, on: str, counts: DataFrame, rows: int, spread: str, share: int = 1000, least: int = 1000) -> DataFrame:

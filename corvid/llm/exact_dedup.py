@@ -1,13 +1,15 @@
 """Exact deduplication by an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Each task combines its own copies of a text, so a group of any size sends one row a task; what is left of equal
-   texts meets on (hash, text), compared byte by byte, and becomes an entry.
+1. Tasks combine their copies of a text, and copies meet in ``SALT`` parts by the id's hash: a group of any size leaves
+   ``SALT`` entries (hash, text, largest id, rows) at most.
 2. The directory starts with a bucket for each ``capacity`` entries and doubles while one is overfull: a bucket over
    ``capacity`` entries splits on its next hash bit until it fits or holds one hash alone. The depth has no limit.
-3. Owner tasks take ranges of buckets, chain the entries that share a hash (``chain_no`` of ``chain_len``) and write
-   the index to the shared folder.
-4. A row finds its entry by its hash. Where the chain is longer than one, the row's text is compared byte by byte with
-   the texts chained there. Entries with a large share of the rows are broadcast, by hash and without text.
+3. Owner tasks take ranges of buckets. An owner gets its buckets' entries, with the text wherever the hash may have come
+   more than once; it merges entries of one hash whose texts are equal byte by byte, and chains those that differ
+   (``chain_no`` of ``chain_len``). What stays and how many rows there were is decided here. The owners write the index to
+   the shared folder.
+4. A row finds its entry by its hash; where the chain is longer than one, by its text in the chain, byte by byte. Entries
+   with a large share of the rows are broadcast, by hash and without text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import lookup, write_shared
+from corvid.llm.common import lookup, may_be_among, write_shared
+
+#: Parts in which copies of a text are combined before they reach their owner.
+SALT = 4
 
 
 def _hash(text, bits: int):
@@ -36,8 +41,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, hash_bits: int) -> DataFr
 
 
 def _entries(rows: DataFrame) -> DataFrame:
-    """An entry for each distinct text."""
-    return rows.groupBy("hash", "t").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    """Entries of the texts, up to ``SALT`` for one."""
+    part = F.pmod(F.xxhash64("id"), F.lit(SALT))
+    found = rows.groupBy("hash", "t", part.alias("part")).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    return found.select("hash", "t", F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size")
 
 
 def directory(entries: DataFrame, capacity: int, levels: int = 4) -> DataFrame:
@@ -61,12 +68,17 @@ def directory(entries: DataFrame, capacity: int, levels: int = 4) -> DataFrame:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64, capacity: int = 64) -> DataFrame:
-    """One row per distinct text: bucket, depth, hash, chain_no, chain_len, chain_size (rows of the whole chain), keep_id, group_size, text_sha256."""
-    entries, _ = write_shared(_entries(_rows(docs, id_col, text_col, hash_bits)).select("hash", F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size"), "entries")
+    """One row per distinct text: bucket, depth, hash, chain_no, chain_len, chain_size (rows of the whole chain), keep_id, group_size, text_sha256, and the text where its hash may have come more than once."""
+    entries, _ = write_shared(_entries(_rows(docs, id_col, text_col, hash_bits)), "entries")
+    places = directory(entries, capacity)
+    again = entries.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    sent = may_be_among(entries, "hash", again, "hash", "again").withColumn("t", F.when(F.col("again"), F.col("t"))).drop("again")
+    owned = sent.join(places, "hash").repartitionByRange("bucket")
+    # The owner's merge: within a bucket, entries of one hash are one text if their bytes are equal. A hash that came once has no text.
+    merged = owned.groupBy("bucket", "depth", "hash", "t").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.first("text_sha256").alias("text_sha256"))
     chain = Window.partitionBy("bucket", "hash")
-    owned = entries.join(directory(entries, capacity), "hash").repartitionByRange("bucket")
-    owned = owned.withColumn("chain_no", F.row_number().over(chain.orderBy("text_sha256"))).withColumn("chain_len", F.count("*").over(chain)).withColumn("chain_size", F.sum("group_size").over(chain))
-    return write_shared(owned.select("bucket", "depth", "hash", "chain_no", "chain_len", "chain_size", "keep_id", "group_size", "text_sha256").sortWithinPartitions("bucket", "hash", "chain_no"), "index")[0]
+    merged = merged.withColumn("chain_no", F.row_number().over(chain.orderBy("text_sha256"))).withColumn("chain_len", F.count("*").over(chain)).withColumn("chain_size", F.sum("group_size").over(chain))
+    return write_shared(merged.select("bucket", "depth", "hash", "chain_no", "chain_len", "chain_size", "keep_id", "group_size", "text_sha256", "t").sortWithinPartitions("bucket", "hash", "chain_no"), "index")[0]
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64, capacity: int = 64) -> DataFrame:
@@ -84,8 +96,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chained = index.filter("chain_len > 1").select("hash").distinct()
     if not chained.isEmpty():
         collided = rows.join(chained, "hash", "left_semi")
-        texts = _entries(collided).withColumn("text_sha256", F.sha2("t", 256))
-        out = out.union(lookup(collided.select("id", "hash", "t"), texts, ["hash", "t"], "group_size", ["keep_id", "group_size", "text_sha256"]).drop("hash", "t"))
+        out = out.union(lookup(collided.select("id", "hash", "t"), index.filter("chain_len > 1"), ["hash", "t"], "group_size", ["keep_id", "group_size", "text_sha256"]).drop("hash", "t"))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tests.llm.pages import PAGES
 
@@ -373,6 +374,27 @@ def test_exact_dedup(docs, hash_bits):
     assert rows_of(exact_dedup.exact_dedup(docs, hash_bits=hash_bits, capacity=2)) == expected
 
 
+def test_a_broken_directory_breaks_the_result(docs, monkeypatch):
+    """The owners of buckets decide: what the directory sends to no bucket, or to two, is answered wrongly."""
+    right, real = rows_of(exact_dedup.exact_dedup(docs, capacity=2)), exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda e, c: real(e, c).filter("hash % 3 <> 0"))
+    assert len(rows_of(exact_dedup.exact_dedup(docs, capacity=2).filter("keep_id is not null or group_size is not null"))) < len(right)
+    monkeypatch.setattr(exact_dedup, "directory", lambda e, c: real(e, c).unionByName(real(e, c).withColumn("bucket", F.col("bucket") + 1)))
+    assert rows_of(exact_dedup.exact_dedup(docs, capacity=2)) != right
+
+
+def test_owners_merge_parts_and_tell_texts_of_one_hash_apart(spark):
+    rows = [(k, f"text {k % 7}") for k in range(200)] + [(1000 + k, f"alone {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    entries = exact_dedup._entries(exact_dedup._rows(df, "doc_id", "text", 64))
+    assert entries.count() > 57 + 7
+    index = exact_dedup.build_index(df).collect()
+    assert sorted((r["keep_id"], r["group_size"]) for r in index if r["group_size"] > 1) == sorted((max(k for k in range(200) if k % 7 == m), sum(k % 7 == m for k in range(200))) for m in range(7)) and len(index) == 57
+    chained = exact_dedup.build_index(df, hash_bits=2).collect()
+    assert len(chained) == 57 and max(r["chain_len"] for r in chained) > 5 and len({(r["bucket"], r["hash"]) for r in chained}) <= 4
+    assert all(r["t"] is not None for r in chained if r["chain_len"] > 1)
+
+
 def test_drop_exact_copies_keeps_columns(docs):
     out = exact_dedup.drop_exact_copies(docs)
     assert out.columns == docs.columns and sorted(r[0] or 0 for r in out.select("doc_id").collect()).count(1) == 0

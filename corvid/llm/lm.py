@@ -305,7 +305,7 @@ def _answered(found: pa.Scalar, vocabulary: np.ndarray, parts: int, kind: str) -
 
 
 def _summed(kind: str, states: int, seed: int):
-    """Sums the numbers of a part's words and answers each block; for counts, also tokens, words and noisy counts by state.
+    """Sums the numbers of a part's words and answers each block, with sums by state; for counts, also tokens and words.
 
     Part -1 is what tasks summed: a row a task.
     """
@@ -318,12 +318,16 @@ def _summed(kind: str, states: int, seed: int):
         distinct, number = np.unique(np.concatenate(words), return_inverse=True)
         x = np.concatenate([_grown(y, kind) for y in table["x"].to_pylist()]).reshape(len(number), -1)
         total = np.stack([np.bincount(number, column if kind == "<f8" else _decoded(column, np.float64), len(distinct)) for column in x.T], 1)
-        back, at = (total if kind == "<f8" else _coded(total))[number], np.cumsum([0, *map(len, words)])
+        told = total if kind == "<f8" else _coded(total)
+        back, at = told[number], np.cumsum([0, *map(len, words)])
         rows = [[b, p, _shrink(back[at[k] : at[k + 1]]), None] for k, (b, p) in enumerate(zip(table["block"].to_pylist(), table["part"].to_pylist()))]
         if kind == "<f8":
             c = total[:, 0]
             there = c > 0
             rows.append([None, rows[0][1], None, [c.sum(), there.sum(), *(noise(distinct[there], states, seed) * (c[there] + 1)).sum(1)]])
+        else:
+            # Sums by state are of the numbers as the blocks read them, so that each state's emissions add up to 1.
+            rows.append([None, rows[0][1], None, [*np.zeros(states + states**2), *_decoded(told, np.float64).sum(0)]])
         return out(rows)
 
     def out(rows: list[list]) -> pa.Table:
@@ -365,7 +369,6 @@ def _expected(start: np.ndarray, move: np.ndarray, emissions: Emissions, parts:
                 s, m, _ = seq.counts(model, tokens[seq.source], e)
                 stats[: -len(start)] += np.concatenate([s, m.ravel()])
                 del seq
-            stats[-len(start) :] += e.sum(0)
             del model
         return _send(block, vocabulary, _coded(e), parts)
 

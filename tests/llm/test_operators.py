@@ -357,6 +357,24 @@ def test_scores_equal_baum_welch_over_words(spark):
         assert math.isclose(got[i], math.log10(forward([at.get(w, len(words)) for w in ws])[-1].sum()), rel_tol=1e-4)
 
 
+def test_emissions_add_up_to_one_as_blocks_read_them():
+    """Blocks get rounded counts; the sums by state are of those, whichever blocks a word is in."""
+    rnd, states = np.random.default_rng(1), 3
+    blocks = [(b, np.sort(rnd.choice(500, 200, replace=False)).astype("<i8")) for b in range(4)]
+    sent = [(7, b, w.tobytes(), lm._shrink(lm._coded(rnd.exponential(0.01, (len(w), states)) * rnd.exponential(9, (len(w), 1)))), None) for b, w in blocks]
+    import pyarrow as pa
+
+    table = pa.table({n: pa.array(c, k) for (n, k), c in zip((("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("x", pa.binary()), ("stats", pa.list_(pa.float64()))), zip(*sent))})
+    rows = lm._summed("<u2", states, 3)(table).to_pylist()
+    seen = {}
+    for (b, words), r in zip(blocks, rows):
+        for w, x in zip(words, lm._decoded(lm._grown(r["x"], "<u2").reshape(-1, states), np.float64)):
+            assert seen.setdefault(int(w), tuple(x)) == tuple(x)
+    by_state = np.array(rows[-1]["stats"])[-states:]
+    emit = lm.Emissions(states, 3, len(seen), by_state).trained(np.array([*seen.values(), (0.0,) * states]))
+    assert np.allclose(emit.sum(0), 1, atol=1e-12)
+
+
 def test_language_model_without_rows(none):
     assert lm.score_texts(none).count() == 0
 

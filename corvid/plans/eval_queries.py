@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvid.functions import morphs
 from corvid.functions.jsons import field, lenient
 from corvid import providers
 from corvid.operators import aggregates, cases, judging, metrics, results, routing, search, verification
@@ -161,6 +162,13 @@ def bleu4(spark, d):
     return x.select("conv_id", "turn", F.round(metrics.bleu(F.col("question"), F.col("answer")), 6).alias("bleu"), F.round(metrics.bleu(F.col("answer"), F.col("answer")), 6).alias("self_bleu"))
 
 
+def bleu_morphs(spark, d):
+    """BLEU over morphological tokens, and how many there are."""
+    cut = morphs.tokenizer()
+    x = _faq(spark, d)
+    return x.select("conv_id", "turn", F.size(cut(F.col("answer"))).alias("n_tokens"), F.round(metrics.bleu(F.col("question"), F.col("answer"), tokenizer=cut), 6).alias("bleu"))
+
+
 def context_overlap(spark, d):
     recall, precision = metrics.overlap(F.col("got"), F.col("want"))
     return fx.rows(spark, fx.CASE_SCHEMA, fx.CASES).select("id", F.round(recall, 6).alias("recall"), F.round(precision, 6).alias("precision"))
@@ -272,7 +280,7 @@ def order_totals(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     section_results, section_response, faq_results, responses, evaluated_cases, eval_subset, golden_items, retrieval_union, golden_sets, judge_per_criterion, judge_columns, embed_forms,
-    response_assembly, citations, verify_rules, verify_documents, json_lenient, event_properties, bleu4, context_overlap, eval_global, eval_by_category, model_category_report, csv_report_rows,
+    response_assembly, citations, verify_rules, verify_documents, json_lenient, event_properties, bleu4, bleu_morphs, context_overlap, eval_global, eval_by_category, model_category_report, csv_report_rows,
     judge_normalise, judge_parse, model_diversity, token_usage, sequence_ratio, latency_by_hour, order_totals,
 )}
 
@@ -288,6 +296,9 @@ REASONING_SQL = "CASE WHEN valid THEN '✓ 출처 인용이 유효합니다' ELS
 SECTION_HITS_SQL = fx.sql(SECTION_HIT, SECTION_HITS)
 SPLIT = "list_filter(regexp_split_to_array(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s가-힣]', ' ', 'g'), '\\s+'), lambda x: x <> '')"
 
+#: The driver's texts hold no Hangul, so that runs of letters and of digits are all there is.
+MORPHS = "regexp_extract_all({0}, '[\\p{{L}}\\p{{M}}_]+|\\p{{Nd}}+')"
+
 
 def _grams_sql(x: str) -> str:
     return ", ".join(f"list_transform(generate_series(1, len({x}) - {n - 1}), lambda i: array_to_string(list_slice({x}, i, i + {n - 1}), ' ')) AS {x}{n}" for n in (1, 2, 3, 4))
@@ -336,6 +347,8 @@ SELECT DISTINCT substr(sha256(question || '_2026-02-01T00:00:00'), 1, 12) AS id,
     "json_lenient": f"""WITH r AS (SELECT id, coalesce(try_cast(reply AS JSON), try_cast(regexp_extract(reply, '```(?:json)?\\s*(\\{{[\\s\\S]*?\\}})\\s*```', 1) AS JSON), try_cast(regexp_extract(reply, '\\{{(?:[^{{}}]|\\{{[^{{}}]*\\}})*\\}}', 0) AS JSON)) AS v
   FROM {fx.sql(fx.REPLY_SCHEMA, fx.REPLIES)}) SELECT id, try_cast(v->>'$.confidence' AS DOUBLE) AS confidence, try_cast(v->>'$.verified' AS BOOLEAN) AS verified FROM r""",
     "event_properties": "SELECT event_type, count(*) AS n, count(json_keys(props)) AS n_objects, round(avg(coalesce(len(json_keys(props)), 0)), 6) AS mean_keys FROM events GROUP BY event_type",
+    "bleu_morphs": f"""WITH {FAQ_SQL}, k AS (SELECT conv_id, turn, {MORPHS.format('question')} AS q, {MORPHS.format('answer')} AS a FROM faq), g AS (SELECT *, {_grams_sql('q')}, {_grams_sql('a')} FROM k),
+p AS (SELECT *, {_shares_sql('q', 'a', 'p')} FROM g) SELECT conv_id, turn, len(a)::INTEGER AS n_tokens, {_bleu_sql('q', 'a', 'p')} AS bleu FROM p""",
     "bleu4": f"""WITH {FAQ_SQL}, k AS (SELECT conv_id, turn, {SPLIT.format('question')} AS q, {SPLIT.format('answer')} AS a FROM faq), g AS (SELECT *, {_grams_sql('q')}, {_grams_sql('a')} FROM k),
 p AS (SELECT *, {_shares_sql('q', 'a', 'p')}, {_shares_sql('a', 'a', 's')} FROM g) SELECT conv_id, turn, {_bleu_sql('q', 'a', 'p')} AS bleu, {_bleu_sql('a', 'a', 's')} AS self_bleu FROM p""",
     "context_overlap": f"""WITH c AS (SELECT id, list_distinct(got) AS g, list_distinct(want) AS w FROM {fx.sql(fx.CASE_SCHEMA, fx.CASES)})

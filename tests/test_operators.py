@@ -13,6 +13,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from corvid.functions import morphs
 from corvid.functions.text import fixed, sha_id, tokens, ustrip
 from corvid.functions.vectors import clamp, cosine
 from corvid import models, providers
@@ -776,3 +777,37 @@ def test_the_run_asks_models_in_stages(spark, tmp_path):
     before = calls.value
     answer.answers(q.filter("id < 3"), faq, sections, providers=p, use_hybrid=False).collect()
     assert calls.value == before
+
+
+def paths(lexicon, piece, at=0, last="^"):
+    """Every path over a piece with its cost and entries, without a table."""
+    if at == len(piece):
+        yield 0.0, 0, []
+    else:
+        for end, tag, cost in lexicon.edges(piece, at):
+            joined = 0.0 if tag in morphs.DROPPED or last in morphs.DROPPED else lexicon.joins.get((last, tag), lexicon.other)
+            for rest, n, forms in paths(lexicon, piece, end, tag):
+                yield joined + cost + rest, n + 1, [(piece[at:end], tag), *forms]
+
+
+def test_best_paths_equal_enumeration():
+    r = random.Random(8)
+    own = morphs.Lexicon(entries=tuple((f, t, c) for f, t, c in [("가", "NN", 1.0), ("가나", "JX", 0.5), ("나", "EF", 0.5), ("나다", "NN", 0.25), ("다", "JX", 1.5), ("x", "NN", 0.1), ("xy", "EF", 0.2)]), joins={("^", "NN"): 0.0, ("NN", "JX"): 0.25, ("NN", "EF"): 0.5, ("JX", "NN"): 1.0}, other=2.0)
+    for lexicon in (own, morphs.Lexicon()):
+        for _ in range(300):
+            piece = "".join(r.choice("가나다는을xy1.이") for _ in range(r.randrange(1, 8)))
+            every = [(round(c, 9), n) for c, n, _ in paths(lexicon, piece)]
+            found = lexicon.path(piece)
+            cost = [round(c, 9) for c, n, f in paths(lexicon, piece) if f == found]
+            assert "".join(f for f, _ in found) == piece and (cost[0], len(found)) == min(every)
+
+
+def test_morphological_tokens(spark):
+    got = morphs.tokens_of("고객은 카드를 해지했습니다. (환불은 7일까지!) OK-bank에서 3.5%", morphs.Lexicon())
+    assert got == ["고객", "은", "카드", "를", "해지", "했", "습니다", "환불", "은", "7", "일", "까지", "OK", "bank", "에서", "3", "5"]
+    assert morphs.tokens_of("우대금리는", morphs.Lexicon(entries=(*morphs.Lexicon().entries, *morphs.words(["우대", "금리"], cost=0.1)))) == ["우대", "금리", "는"]
+    assert morphs.tokens_of("", morphs.Lexicon()) == [] and len(morphs.tokens_of("가" * 20_000, morphs.Lexicon())) > 1000
+    cut = morphs.tokenizer()
+    assert one(spark, "a string", [("집이 크다.",), (None,)], cut(F.col("a")))[1] == []
+    plain, own = (one(spark, "a string, b string", [("환불은 됩니다", "환불을 됩니다")], metrics.bleu(F.col("a"), F.col("b"), n=1, tokenizer=t))[0] for t in (tokens, cut))
+    assert own > plain

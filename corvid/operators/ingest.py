@@ -58,11 +58,12 @@ def skip_existing(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 def ingest_status(new: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
     """``new`` with status: skipped_duplicate (not the first of its key), skipped_existing, or added."""
-    first = new.groupBy(key).agg(F.min(order).alias("__first"))
     known = existing.select(key).distinct().withColumn("__known", F.lit(True))
-    x = new.join(first, key).join(known, key, "left")
-    status = F.when(F.col(order) != F.col("__first"), "skipped_duplicate").when(F.col("__known"), "skipped_existing").otherwise("added")
-    return x.withColumn("status", status).drop("__first", "__known")
+    # One row a key meets the collection, and rows meet it by key and order: a hot key's rows never come together.
+    first = new.groupBy(key).agg(F.min(order).alias(order)).join(known, key, "left").select(F.col(key).alias("__k"), F.col(order).alias("__o"), F.coalesce("__known", F.lit(False)).alias("__known"))
+    x = new.join(first, F.col(key).eqNullSafe(F.col("__k")) & (F.col(order) == F.col("__o")), "left")
+    status = F.when(F.col("__known").isNull(), "skipped_duplicate").when(F.col("__known"), "skipped_existing").otherwise("added")
+    return x.withColumn("status", status).drop("__k", "__o", "__known")
 
 
 def valid_pairs(rows: DataFrame, question: str, answer: str) -> DataFrame:

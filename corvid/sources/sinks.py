@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvid.sources.shared import drop_shared, write_shared
+
 
 def csv_rows(cases: DataFrame) -> DataFrame:
     """Report rows: questions cut at 100 characters, scores with four digits, latencies with one."""
@@ -25,18 +27,31 @@ def slug(name: Column, stamp: str) -> Column:
     return F.concat(F.lit("eval_"), F.lit(stamp), F.lit("_"), F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "_"))
 
 
+def _one_object(head: DataFrame, rows: DataFrame, name: str, path: str) -> None:
+    """The one row of ``head`` and a list ``name`` of all ``rows`` as one JSON object in one file, a row a line.
+
+    The rows are written once; then one task streams their lines in order, so that none holds them all.
+    """
+    lines, lines_path = write_shared(rows.select(F.to_json(F.struct(*rows.columns)).alias("line")).select(F.monotonically_increasing_id().alias("n"), "line"), "lines")
+    first = lines.agg(F.min("n")).first()[0]
+    body = lines.select(F.lit(1).alias("part"), "n", F.concat(F.when(F.col("n") == F.lit(first), "").otherwise(","), "line").alias("value"))
+    text = F.to_json(F.struct(*head.columns))
+    start = head.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.concat(text.substr(F.lit(1), F.length(text) - 1), F.lit(f', "{name}": [')).alias("value"))
+    end = head.sparkSession.range(1).select(F.lit(2).alias("part"), F.col("id").alias("n"), F.lit("]}").alias("value"))
+    start.union(body).union(end).repartition(1).sortWithinPartitions("part", "n").select("value").write.mode("overwrite").text(path)
+    drop_shared(head.sparkSession, lines_path)
+
+
 def write_dataset(items: DataFrame, path: str, model: str, provider: str, as_of: str, version: str = "1.0") -> None:
-    """A versioned dataset as one JSON object in one file; its items are few by their meaning."""
-    one = items.agg(F.collect_list(F.struct(*items.columns)).alias("items"))
+    """A versioned dataset as one JSON object in one file."""
     head = [F.lit(v).alias(k) for k, v in (("version", version), ("generator_model", model), ("generator_provider", provider), ("generation_timestamp", as_of))]
-    one.select(*head, "items").coalesce(1).write.mode("overwrite").json(path)
+    _one_object(items.sparkSession.range(1).select(*head), items, "items", path)
 
 
 def write_results(summary: DataFrame, cases: DataFrame, folder: str, model: str, stamp: str) -> str:
-    """A model's summary with its cases in one JSON file of a folder named after model and time; returns its path. Cases of one evaluation are few by their meaning."""
+    """A model's summary with its cases in one JSON file of a folder named after model and time; returns its path."""
     name = summary.sparkSession.range(1).select(slug(F.lit(model), stamp)).first()[0]
-    one = summary.join(cases.agg(F.collect_list(F.struct(*cases.columns)).alias("case_results"))).withColumn("model_name", F.lit(model))
-    one.coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+    _one_object(summary.withColumn("model_name", F.lit(model)), cases, "case_results", f"{folder.rstrip('/')}/{name}")
     return f"{folder.rstrip('/')}/{name}"
 
 

@@ -575,10 +575,28 @@ def test_result_files_are_named_by_model_and_time(spark, tmp_path):
     summary = spark.createDataFrame([(2, 0.5)], "total_cases long, mean_bleu double")
     path = sinks.write_results(summary, spark.createDataFrame([("c1", 1.0)], "case_id string, bleu double"), str(tmp_path), "Model X.1", "20260201")
     assert path.endswith("eval_20260201_model_x_1")
-    back = spark.read.json(path).first()
+    back = spark.read.option("multiLine", True).json(path).first()
     assert back["model_name"] == "Model X.1" and back["case_results"][0]["case_id"] == "c1" and back["mean_bleu"] == 0.5
 
 
+def test_many_cases_are_written_line_by_line(spark, tmp_path):
+    cases_ = spark.range(500).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("case_id"), F.when(F.col("id") % 2 == 0, "a \"b\"").alias("note")).repartition(7)
+    for rows, n in ((cases_, 500), (cases_.limit(0), 0)):
+        path = sinks.write_results(spark.createDataFrame([(n,)], "total_cases long"), rows, str(tmp_path / str(n)), "m", "1")
+        files_ = [f for f in os.listdir(path) if f.startswith("part-") and os.path.getsize(f"{path}/{f}")]
+        with open(f"{path}/{files_[0]}") as f:
+            text = f.read()
+        assert len(files_) == 1 and len(text.splitlines()) == n + 2
+        back = json.loads(text)
+        assert back["total_cases"] == n and {c["case_id"] for c in back["case_results"]} == {f"c{k}" for k in range(n)}
+
+
+def test_status_of_a_hot_key(spark):
+    new = spark.createDataFrame([("hot", k) for k in range(50)] + [("old", 60), ("old", 61), (None, 70), (None, 71)], "id string, pos int").repartition(5)
+    got = {(r["id"], r["pos"]): r["status"] for r in ingest.ingest_status(new, spark.createDataFrame([("old",)], "id string"), "id", "pos").collect()}
+    assert got == {("hot", 0): "added", **{("hot", k): "skipped_duplicate" for k in range(1, 50)}, ("old", 60): "skipped_existing", ("old", 61): "skipped_duplicate", (None, 70): "added", (None, 71): "skipped_duplicate"}
+
+
 def test_recall_of_approximate_pairs(spark):
     r = random.Random(9)
     base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(40)]

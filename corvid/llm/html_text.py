@@ -19,6 +19,7 @@ import math
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +40,74 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 #: Elements whose open paragraph ends where they start.
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
-_PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<({_NO_TEXT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
-#: The rest of a title; an open one ends before the next tag.
-_TITLE = re.compile(r"(?:(?!</head\b|<body\b).)*?</title\s*>|[^<]*", re.S | re.I)
+_LETTER, _NAME_END = re.compile(r"[a-zA-Z]"), re.compile(r"[\s/>]")
+_RAW = {tag: (re.compile(rf"{tag}\b", re.I), re.compile(rf"</{tag}\s*>", re.I)) for tag in _NO_TEXT.split("|")}
+_MARK, _ANGLE, _TITLE_END, _HEAD_END = re.compile(r"[>\"']"), re.compile(">"), re.compile(r"</title\s*>", re.I), re.compile(r"</head\b|<body\b", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"\w+")
 
 
+class _Scanner:
+    """Where tags end in a page. What was searched once is not searched again, so that unclosed tags, quotes and titles take linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.found, self.dead = page, {}, set()
+
+    def next(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        """The first match at or behind a place; places must not fall but by what one tag looks ahead."""
+        known = self.found.get(pattern)
+        if known is None or at < known[0] or (known[1] is not None and known[1].start() < at):
+            known = self.found[pattern] = (at, pattern.search(self.page, at))
+        return known[1]
+
+    def tag_end(self, at: int) -> int:
+        """Behind the ``>`` that ends a tag, quoted ones left out; -1 if there is none."""
+        seen, page = [], self.page
+        m = self.next(_MARK, at)
+        while m is not None and m.start() not in self.dead:
+            if m[0] == ">":
+                return m.end()
+            seen.append(m.start())
+            close = page.find(m[0], m.end())
+            m = _MARK.search(page, close + 1) if close >= 0 else None
+        self.dead.update(seen)
+        return -1
+
+    def piece(self, at: int) -> tuple[int, str | None, bool, str]:
+        """(end, name of a tag or null, whether it is an end tag, what stands in it) of the text, tag or comment at a place."""
+        page, n = self.page, len(self.page)
+        if page[at] != "<":
+            end = page.find("<", at)
+            return (n if end < 0 else end), None, False, ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return (n if end < 0 else end + 3), None, False, ""
+        for starts, ends in _RAW.values():
+            if m := starts.match(page, at + 1):
+                if (open_ := self.tag_end(m.end())) >= 0:
+                    close = self.next(ends, open_)
+                    return (n if close is None else close.end()), None, False, ""
+        closing = page.startswith("/", at + 1)
+        begin = at + 1 + closing
+        if _LETTER.match(page, begin):
+            stop = self.next(_NAME_END, begin)
+            named = n if stop is None else stop.start()
+            if (end := self.tag_end(named)) >= 0:
+                return end, page[begin:named], closing, page[named : end - 1]
+        if page[at + 1 : at + 2] in ("!", "?", "/") and at + 1 < n and (m := self.next(_ANGLE, at + 2)):
+            return m.end(), None, False, ""
+        return at + 1, None, False, ""
+
+    def title_end(self, at: int) -> int:
+        """Behind the rest of a title; an open one ends before the next tag."""
+        close, head = self.next(_TITLE_END, at), self.next(_HEAD_END, at)
+        if close is not None and (head is None or close.start() < head.start()):
+            return close.end()
+        end = self.page.find("<", at)
+        return len(self.page) if end < 0 else end
+
+
 def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     """(path names, text, share of characters in links) of each text block of a page, in order.
 
@@ -54,6 +115,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     """
     out: list = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter = Counter()
     text: list[str] = []
     linked, path, in_link = 0, (), 0
     in_head = True
@@ -69,16 +131,18 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
 
     def pop_to(at: int) -> None:
         nonlocal in_link
-        in_link -= sum(name == "a" for name, _ in stack[at:])
+        for name, _ in stack[at:]:
+            opened[name] -= 1
+            in_link -= name == "a"
         del stack[at:]
 
     page, at_char = page or "", 0
+    scanner = _Scanner(page)
     while at_char < len(page):
-        m = _PIECE.match(page, at_char)
-        at_char = m.end()
-        name = m.group(3)
+        began = at_char
+        at_char, name, closing, rest = scanner.piece(began)
         if name is None:
-            piece = m.group(0)
+            piece = page[began:at_char]
             if piece[0] != "<" or piece == "<":
                 if in_head and not piece.strip(" \t\n\f\r\ufeff"):
                     continue
@@ -90,17 +154,17 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                     linked += len(piece.strip())
             continue
         name = name.lower()
-        if name == "title" and not m.group(2) and not any(tag == "svg" for tag, _ in stack):
-            at_char = _TITLE.match(page, at_char).end()
+        if name == "title" and not closing and not opened["svg"]:
+            at_char = scanner.title_end(at_char)
             continue
         if in_head:
-            in_head = name in _IN_HEAD and not (m.group(2) and name == "head")
+            in_head = name in _IN_HEAD and not (closing and name == "head")
             if in_head and name != "html":
                 continue
         if name == "head":
             continue
-        if m.group(2):
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+        if closing:
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None) if opened[name] else None
             if name not in _INLINE:
                 close()
             if at is not None:
@@ -112,17 +176,17 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             else:
                 close()
                 if name in _ENDS_P:
-                    at = next((k for k, (tag, _) in enumerate(stack) if tag == "p"), None)
+                    at = next((k for k, (tag, _) in enumerate(stack) if tag == "p"), None) if opened["p"] else None
                     if at is not None:
                         pop_to(at)
                 if name in _SAME and stack and stack[-1][0] in _SAME[name]:
                     pop_to(len(stack) - 1)
             if name not in _VOID:
-                rest = m.group(4)
                 names = tuple(w for g in _NAMED.findall(rest) for w in _WORD.findall(re.sub(r"[-_]|(?<=[a-z])(?=[A-Z])", " ", g[0] or g[1] or g[2]).lower())) if rest else ()
                 if rest and _HIDDEN.search(rest):
                     names += ("hidden",)
                 stack.append((name, names))
+                opened[name] += 1
                 in_link += name == "a"
     close()
     return out

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -762,3 +763,14 @@ def test_sifted_keeps_what_a_join_needs(spark):
         got = {r["k"] for r in common.sifted(rows, "k", ids, "w", bits).collect()}
         assert {0, 1, 17, 4999, -7} <= got and (bits == 64 or len(got) < 100)
     assert common.sifted(rows, "k", ids.limit(0), "w").count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<a x=", "<title>", "<a \"", "<a<a", "</a ", "<script ", "<a 'b\" ", "<title></head>", "<! ", "<div>", "</x>"])
+def test_blocks_take_linear_time(piece):
+    def took(n):
+        t = time.process_time()
+        html_text.blocks_of(piece * n)
+        return time.process_time() - t
+
+    took(100)
+    assert took(40_000) < 8 * took(10_000) + 0.5

@@ -145,7 +145,7 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_rows: int = 20_000, **params) -> GAM:
-    """Learn from labelled rows outside the held-out fold. Null labels teach nothing; a repeated id counts by its largest label."""
+    """Learn from labelled rows outside the held-out fold. Null labels teach nothing; a repeated id counts by its largest label. No more than ``max_train_rows`` rows reach the driver."""
     rows = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).filter("__id is not null and __label is not null").filter(~held_out(F.col("__id")))
     rows = rows.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows)
     found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(rows), F.col("__doc") == F.col("__id"))
@@ -154,7 +154,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         for part in parts:
             yield pd.DataFrame({"id": part["__doc"], "label": part["__label"], "x": [features(t) for t in part["__text"]]})
 
-    got = found.mapInPandas(run, "id long, label int, x array<double>").toPandas().sort_values("id", kind="stable")
+    # An id may repeat among the documents, so that the bound holds for their rows, too.
+    taught = found.mapInPandas(run, "id long, label int, x array<double>").orderBy(F.xxhash64("id"), "id", F.xxhash64("x")).limit(max_train_rows)
+    got = taught.toPandas().sort_values("id", kind="stable")
     x = np.stack(got["x"].to_numpy()) if len(got) else np.empty((0, len(FEATURES)))
     return GAM(**params).fit(x, (got["label"].to_numpy() > 0).astype(float))
 

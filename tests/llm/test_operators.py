@@ -648,6 +648,15 @@ def test_quality_folds_ties_and_repeats(spark):
     assert len({r["score"] for r in got if r["doc_id"] in (2, 3)}) == 1 and len({r["score"] for r in got if r["doc_id"] == 1}) == 2
 
 
+def test_no_more_rows_than_the_bound_are_learned_from(spark, monkeypatch):
+    seen, fit = [], quality.GAM.fit
+    monkeypatch.setattr(quality.GAM, "fit", lambda self, x, y: seen.append(len(x)) or fit(self, x, y))
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(k, "other words") for k in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, quality int")
+    quality.fit_quality(docs, labels, max_train_rows=40)
+    assert seen == [40]
+
+
 def test_features_are_finite():
     for t in (None, "", "\n", "é" * 10, "a " * 10_000):
         x = quality.features(t)

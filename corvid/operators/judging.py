@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions.jsons import embedded, field
@@ -115,6 +115,19 @@ def judged_or_neutral(scores: Column, error: Column, criteria: list[str] | None
     return F.when(error.isNull(), scores).otherwise(neutral)
 
 
+def judges_of(models: DataFrame, pairs: DataFrame, fallbacks: DataFrame, default: str = "judge-default") -> DataFrame:
+    """``models`` (generator, provider, ..) with the judge of each: that of its pair, else its provider's, else the default; and whether that is another model (``diverse``).
+
+    ``pairs`` (generator, judge) and ``fallbacks`` (provider, fallback) come from a configuration. Names differ neither by
+    case nor by hyphens and underscores.
+    """
+    same = lambda c: F.translate(F.lower(c), "-_", "")
+    own = pairs.select(same(F.col("generator")).alias("__g"), F.col("judge").alias("judge"))
+    x = models.join(own, same(F.col("generator")) == F.col("__g"), "left").join(fallbacks.select(F.col("provider").alias("__p"), "fallback"), F.col("provider") == F.col("__p"), "left")
+    x = x.withColumn("judge", F.coalesce("judge", "fallback", F.lit(default))).drop("__g", "__p", "fallback")
+    return x.withColumn("diverse", same(F.col("judge")) != same(F.col("generator")))
+
+
 def judge_columns(scores: Column, context: bool = False) -> dict[str, Column]:
     """A case's judge columns; without scores they are 0. Faithfulness is that to the context where the judge saw one."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))

@@ -245,12 +245,8 @@ def judge_parse(spark, d):
 
 def model_diversity(spark, d):
     """Each generator's judge: its own pair, else its provider's, else the default; never the generator itself."""
-    same = lambda c: F.translate(F.lower(c), "-_", "")
-    m = fx.rows(spark, fx.MODEL_SCHEMA, fx.MODELS)
-    pairs = fx.rows(spark, fx.PAIR_SCHEMA, fx.PAIRS).select(same(F.col("generator")).alias("g"), "judge")
-    fall = fx.rows(spark, fx.PROVIDER_SCHEMA, fx.PROVIDER_JUDGES)
-    x = m.join(pairs, same(F.col("generator")) == F.col("g"), "left").join(fall, "provider", "left").withColumn("judge", F.coalesce("judge", "fallback", F.lit("judge-default")))
-    return x.select("id", "judge", (same(F.col("judge")) != same(F.col("generator"))).alias("diverse"))
+    pairs, fall = fx.rows(spark, fx.PAIR_SCHEMA, fx.PAIRS), fx.rows(spark, fx.PROVIDER_SCHEMA, fx.PROVIDER_JUDGES)
+    return judging.judges_of(fx.rows(spark, fx.MODEL_SCHEMA, fx.MODELS), pairs, fall).select("id", "judge", "diverse")
 
 
 def token_usage(spark, d):

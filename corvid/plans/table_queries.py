@@ -110,6 +110,14 @@ def judged_cases(spark, d):
     return x.select("conv_id", "turn", *[F.round(c, 6).alias(n) if n != "judge_summary" else c.alias(n) for n, c in columns.items()])
 
 
+def judge_choice(spark, d):
+    """Judges of models named after the documents' sources, by pair, provider (their language) and default."""
+    made = table(spark, d, "documents").select(F.initcap(F.coalesce("source", F.lit(""))).alias("generator"), F.coalesce("lang", F.lit("")).alias("provider")).distinct()
+    own = table(spark, d, "documents").select(F.concat(F.lit("SRC-"), (F.col("doc_id") % 12).cast("string")).alias("generator"), F.concat(F.lit("src_"), (F.col("doc_id") % 12 * F.col("doc_id") % 12 % 7).cast("string")).alias("judge")).groupBy("generator").agg(F.min("judge").alias("judge"))
+    fall = table(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("")).alias("provider")).agg(F.min(F.coalesce("source", F.lit(""))).alias("fallback")).filter("provider <> 'es'")
+    return judging.judges_of(made, own, fall)
+
+
 CODES = {"0": "zero", "1": "one"}
 
 
@@ -121,7 +129,7 @@ def page_numbers(spark, d):
     return tree.extract(x.select("conv_id", pages.named(code, CODES).alias("category"), html.alias("html")), "html", "pages long", lambda root: [(tree.last_page(root),)])
 
 
-QUERIES = {f.__name__: f for f in (section_references, clause_relations, chunk_parents, section_lookup, judged_cases, page_numbers)}
+QUERIES = {f.__name__: f for f in (section_references, clause_relations, chunk_parents, section_lookup, judged_cases, judge_choice, page_numbers)}
 
 R = rules.REFERENCE
 WARN = lambda *names: " || ".join(f"CASE WHEN {n} IS NULL THEN '; Missing {n}, using default 3.0' ELSE '' END" for n in names)
@@ -153,5 +161,8 @@ f AS (SELECT *, CASE WHEN failed THEN 3.0 ELSE coalesce(named, (coalesce(correct
   (CASE WHEN kind = 2 THEN '; Scores extracted via regex fallback' ELSE '' END || {WARN(*CRITERIA)})[3:] AS warnings FROM c)
 SELECT conv_id, turn, round(overall, 6) AS judge, round((overall - 1) / 4, 6) AS judge_normalised, {", ".join(f"CASE WHEN failed THEN 3.0 ELSE coalesce({c}, 3.0) END::DOUBLE AS judge_{c}" for c in CRITERIA)},
   CASE WHEN failed THEN 'Evaluation error: timeout' WHEN warnings <> '' THEN CASE WHEN told <> '' THEN told || ' ' ELSE '' END || '[Parse warnings: ' || warnings || ']' ELSE told END AS judge_summary FROM f""",
+    "judge_choice": """WITH m AS (SELECT DISTINCT upper(coalesce(source, '')[1]) || lower(coalesce(source, '')[2:]) AS generator, coalesce(lang, '') AS provider FROM documents),
+p AS (SELECT 'src' || doc_id % 12 AS g, min('src_' || (doc_id % 12 * doc_id % 12) % 7) AS own FROM documents GROUP BY 1), f AS (SELECT coalesce(lang, '') AS provider, min(coalesce(source, '')) AS fallback FROM documents GROUP BY 1 HAVING coalesce(lang, '') <> 'es')
+SELECT generator, provider, coalesce(own, fallback, 'judge-default') AS judge, replace(replace(lower(coalesce(own, fallback, 'judge-default')), '-', ''), '_', '') <> lower(generator) AS diverse FROM m LEFT JOIN p ON g = lower(generator) LEFT JOIN f USING (provider)""",
     "page_numbers": "SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE '2' END AS category, greatest(1, count(*), max(turn), any_value(conv_id % 13))::BIGINT AS pages FROM conversations GROUP BY conv_id",
 }

@@ -216,13 +216,17 @@ def _pairs(spark, d):
     return x.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
 
 
+def _placed_items(root, items=tree.faq_items):
+    return [(k, *r) for k, r in enumerate(items(root))]
+
+
 def faq_pages(spark, d):
     """Each conversation's pairs as a list page with nested and unclosed elements, and the pairs that its tree gives back."""
     answer = F.concat(F.lit('<div class="faq_a open">답변 '), F.regexp_replace(_escaped(F.col("answer")), "\n", "<br>\n"), F.lit("<script>if (a < b) {}</script>"))
     ask = F.when(F.col("turn") % 4 == 1, F.lit("<b>no question</b>")).otherwise(F.concat(F.lit('<span><a href=# class="faq_q">질문 '), F.when(F.col("turn") % 4 == 0, F.lit("[a &amp; b] ")).otherwise(""), _escaped(F.col("question")), F.lit("</a></span>")))
     item = F.concat(F.lit("<li>"), ask, answer, F.when(F.col("turn") % 3 == 0, "</div></li>").otherwise(""))
     page = F.concat(F.lit('<ul class="other"><li><a class="faq_q">not this</a></ul><ul class="x faq_list">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("h")))), lambda x: x["h"]), "\n"), F.lit("</ul><p>end"))
-    return tree.extract(_pairs(spark, d).groupBy("conv_id").agg(page.alias("html")), "html", "place int, question string, answer string, sub_category string", lambda root: [(k, *r) for k, r in enumerate(tree.faq_items(root))])
+    return tree.extract(_pairs(spark, d).groupBy("conv_id").agg(page.alias("html")), "html", "place int, question string, answer string, sub_category string", _placed_items)
 
 
 def terms_pages(spark, d):

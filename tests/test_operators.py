@@ -785,7 +785,8 @@ def test_a_reranker_that_fails_leaves_the_order(spark):
 
 def test_the_run_asks_models_in_stages(spark, tmp_path):
     q, faq, sections = answering(spark)
-    call, calls = flaky(spark, lambda p, n: p.startswith(answer.SYSTEM["none"]), lambda p: "said [참조: 제1조]")
+    nothing_found = answer.SYSTEM["none"]
+    call, calls = flaky(spark, lambda p, n: p.startswith(nothing_found), lambda p: "said [참조: 제1조]")
     check, checks = flaky(spark, lambda p, n: False, lambda p: '{"verified": false, "confidence": 0.9, "issues": ["no"]}')
     p = Providers(model=models.Model(call, str(tmp_path / "said"), retries=1, delay=0.01), checker=models.Model(check, retries=0))
     got = {r["id"]: r for r in answer.answers(q, faq, sections, providers=p, use_hybrid=False).collect()}

@@ -55,11 +55,12 @@ def lookup(left: DataFrame, index: DataFrame, keys: list[str], weight: str, valu
     return d.select(*[F.col(c) for c in left.columns], *[F.coalesce(f"__hv{i}", f"__rv{i}").alias(v) for i, v in enumerate(values)])
 
 
-def may_be_among(rows: DataFrame, column: str, ids: DataFrame, id_col: str, name: str, bits: int = 1 << 24) -> DataFrame:
+def may_be_among(rows: DataFrame, column: str, ids: DataFrame, id_col: str, name: str, bits: int | None = None) -> DataFrame:
     """``rows`` with a boolean ``name``: true where ``column`` is among ``ids``, and by chance elsewhere; nulls count as absent.
 
-    A bitmap of the ids' hashes, ``bits`` bits whatever their number (2 MB by default), is broadcast.
+    A bitmap of the ids' hashes is broadcast: 16 to 32 bits an id, but no more than 2 ** 27 (16 MB), where it lets more pass.
     """
+    bits = bits or min(1 << 27, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     marks = ids.select(at(id_col).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bitmap"))
     x = rows.withColumn("__at", at(column)).withColumn("__pos", F.bitmap_bit_position("__at"))
@@ -68,7 +69,7 @@ def may_be_among(rows: DataFrame, column: str, ids: DataFrame, id_col: str, name
     return x.select(*rows.columns, (F.col(column).isNotNull() & F.coalesce(bit, F.lit(False))).alias(name))
 
 
-def sifted(rows: DataFrame, column: str, ids: DataFrame, id_col: str, bits: int = 1 << 24) -> DataFrame:
+def sifted(rows: DataFrame, column: str, ids: DataFrame, id_col: str, bits: int | None = None) -> DataFrame:
     """``rows`` without most of those whose ``column`` is not among ``ids``, ahead of a join on it; no row that the join needs goes."""
     return may_be_among(rows, column, ids, id_col, "__may", bits).filter("__may").drop("__may")
 

@@ -768,7 +768,7 @@ def test_spread_join_of_a_hot_key(spark):
 def test_sifted_keeps_what_a_join_needs(spark):
     rows = spark.range(5000).union(spark.createDataFrame([(None,), (-7,)], "id long")).withColumnRenamed("id", "k")
     ids = spark.createDataFrame([(i,) for i in (0, 1, 17, 4999, -7, 10**12)], "w long")
-    for bits in (1 << 24, 1 << 16, 64):
+    for bits in (None, 1 << 24, 1 << 16, 64):
         got = {r["k"] for r in common.sifted(rows, "k", ids, "w", bits).collect()}
         assert {0, 1, 17, 4999, -7} <= got and (bits == 64 or len(got) < 100)
     assert common.sifted(rows, "k", ids.limit(0), "w").count() == 0

@@ -94,8 +94,8 @@ def candidates(queries: DataFrame, chunks: DataFrame, stored: DataFrame | None,
     x = x.withColumn("rule_score", rules.rule_score(F.col("section_match"), rules.keyword_score(F.col("__k")))).withColumn("matched_keywords", F.transform("__k", lambda m: m["word"])).drop("__k")
     if stored is None:
         return _combined(x.withColumn("triplet_score", F.lit(0.0)).withColumn("matched_triplets", F.array().cast("array<string>")), weights)
-    found = triplets.search(queries.select("query").distinct(), stored).select("query", F.col("chunk_id").alias("item_id"), F.col("score").alias("s"), F.concat_ws("-", "subject", "predicate", "object").alias("t"), "triplet_id")
-    own = x.select("query_id", "item_id", "query").join(found, ["query", "item_id"]).groupBy("query_id", "item_id")
+    found = triplets.search_within(x.select("query_id", "item_id", "query"), stored).select("query_id", "item_id", F.col("score").alias("s"), F.concat_ws("-", "__t.subject", "__t.predicate", "__t.object").alias("t"), "__t.triplet_id")
+    own = found.groupBy("query_id", "item_id")
     own = own.agg(F.sum("s").alias("total"), F.array_sort(F.collect_list(F.struct("triplet_id", "t"))).alias("ts"))
     own = own.withColumn("triplet_score", F.col("total") / F.max("total").over(Window.partitionBy("query_id"))).withColumn("matched_triplets", F.transform("ts", lambda t: t["t"])).drop("total", "ts")
     x = x.join(own, ["query_id", "item_id"], "left").withColumn("triplet_score", F.coalesce("triplet_score", F.lit(0.0))).withColumn("matched_triplets", F.coalesce("matched_triplets", F.array().cast("array<string>")))

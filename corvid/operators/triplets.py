@@ -119,6 +119,24 @@ def search(queries: DataFrame, triplets: DataFrame, query: str = "query", fuzzy:
     return x.groupBy(*queries.columns, "__t").agg(first).select(*queries.columns, "__t.*", "__m.match_type", "__m.score")
 
 
+def search_within(asked: DataFrame, triplets: DataFrame) -> DataFrame:
+    """What a fuzzy :func:`search` gives of the chunks that queries ask about: ``asked`` (query_id, item_id, query), item_id a chunk's.
+
+    Adds the triplet and its score, each once. Triplets are met by their chunk alone, so rows grow with what the chunks
+    hold, not with how often a word of a query is a part of any triplet.
+    """
+    x = asked.distinct().join(triplets.select(F.col("chunk_id").alias("item_id"), F.struct(*triplets.columns).alias("__t")), "item_id")
+    q = F.lower("query")
+
+    def score(field: str) -> Column:
+        k = F.lower(F.col("__t")[field])
+        return F.when((q != "") & (k != "") & (k.contains(q) | q.contains(k)), F.length(q) / F.greatest(F.length(k), F.length(q)))
+
+    # The first field that matches counts, not the best one.
+    first = F.coalesce(*[score(f) for f in ("subject", "predicate", "object")])
+    return x.withColumn("score", first).filter("score is not null").distinct()
+
+
 def chunk_scores(hits: DataFrame, by: list[str]) -> DataFrame:
     """Sum of scores per query and chunk, as a share of the query's largest sum."""
     sums = hits.groupBy(*by, "chunk_id").agg(F.sum("score").alias("total"))

@@ -830,3 +830,20 @@ def test_morphological_tokens(spark):
     assert one(spark, "a string", [("집이 크다.",), (None,)], cut(F.col("a")))[1] == []
     plain, own = (one(spark, "a string, b string", [("환불은 됩니다", "환불을 됩니다")], metrics.bleu(F.col("a"), F.col("b"), n=1, tokenizer=t))[0] for t in (tokens, cut))
     assert own > plain
+
+
+def test_relations_of_candidates_are_met_by_their_chunk(spark):
+    """A word that most queries and relations share must not pair all queries with all relations."""
+    rng = random.Random(5)
+    words = ["it", "The", "that", "alpha", "Beta", "", "gamma delta"]
+    stored = [(f"t{n}", rng.choice(words), "is", rng.choice(words), rng.randrange(12)) for n in range(200)]
+    t = spark.createDataFrame(stored, "triplet_id string, subject string, predicate string, object string, chunk_id long")
+    asked = [(q, i, text) for q, text in enumerate(["what is the alpha of it", "Gamma", "", "delta", None]) for i in range(0, 12, 2)]
+    pairs = spark.createDataFrame(asked, "query_id long, item_id long, query string")
+    got = triplets.search_within(pairs, t).select("query_id", "item_id", "__t.triplet_id", "score")
+    want = triplets.search(pairs.select("query").distinct(), t).join(pairs, "query").filter("chunk_id = item_id").select("query_id", "item_id", "triplet_id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    queries = pairs.select(F.col("query_id").alias("id"), "query", F.array(F.lit(1.0), F.col("query_id") + 0.5).alias("vector")).distinct()
+    chunks = spark.range(12).select("id", F.array(F.lit(1.0), F.col("id") / 2).alias("vector"), F.lit("").alias("section_title"), F.lit("x").alias("section_content"))
+    plan = hybrid.candidates(queries, chunks, t, hybrid.Weights(), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__t" in plan and "__key" not in plan

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from corvid.sources.shared import drop_shared, write_shared
 
 BLOCK, QUERIES = 2048, 256
+#: Blocks in a piece of a cell, and blocks whose bounds share a slot.
+PIECE, BOUNDS = 4, 64
 #: What sums in double precision may be off by.
 SLACK = 1e-9
 
@@ -84,13 +86,17 @@ class Index:
 SCHEMA = "number long, cell int, n int, centre binary, radius double, ids binary, codes binary, scales binary, rests binary, vectors binary"
 
 
-def _assigned(pivots: np.ndarray, d: int):
+def _assigned(pivots: np.ndarray, d: int, pieces: np.ndarray):
+    """Rows with their cell and one of its ``pieces``, by a hash of the id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and _good(v) and len(v) == d]
             if rows:
                 x = _units([v for _, v in rows], d)
-                yield pa.RecordBatch.from_arrays([pa.array((x @ pivots.T).argmax(1).astype(np.int32)), pa.array([i for i, _ in rows], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["cell", "id", "u"])
+                cell, ids = (x @ pivots.T).argmax(1).astype(np.int32), np.array([i for i, _ in rows], np.int64)
+                piece = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % pieces[cell].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(piece.astype(np.int32)), pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary())], ["cell", "piece", "id", "u"])
 
     return run
 
@@ -146,8 +152,13 @@ def build(items: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     sample = _units([v for v in found if len(v) == d], d)
     n = cells or min(int(4 * math.sqrt(x.count())) + 1, max(1, len(sample) // 8))
     pivots = pivots_of(sample, n)
-    # A cell may hold a third of all rows: it is dealt by the id's hash, too, and a block needs no whole cell.
-    dealt = x.mapInArrow(_assigned(pivots, d), "cell int, id long, u binary").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("cell")
+    # A cell may hold a third of all rows, and a block needs no whole cell: it is dealt in pieces of a few blocks by the
+    # id's hash. Smaller cells stay whole, as what a search sends grows with the number of blocks.
+    assigned = lambda pieces: x.mapInArrow(_assigned(pivots, d, pieces), "cell int, piece int, id long, u binary")
+    pieces = np.ones(len(pivots), np.int64)
+    for r in assigned(pieces).groupBy("cell").count().collect():
+        pieces[r["cell"]] += r["count"] // (PIECE * rows_a_block)
+    dealt = assigned(pieces).repartition("cell", "piece").sortWithinPartitions("cell").select("cell", "id", "u")
     blocks = dealt.mapInArrow(_blocked(pivots, d, rows_a_block), SCHEMA.removeprefix("number long, ")).select(F.monotonically_increasing_id().alias("number"), "*")
     _, path = write_shared(blocks, "index")
     return Index(spark, path, d, pivots, sample)
@@ -206,6 +217,27 @@ def _roomy(d: int):
     return run
 
 
+def _asking(d: int):
+    """(g, number, places, q_ids, q, floors) of query blocks with a list of pairs (number, places): of each pair, the queries that ask for its block, and no others."""
+    names = ["g", "number", "places", "q_ids", "q", "floors"]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                g, q_ids, q, floors, pairs = (c[n].as_py() for c in batch.columns)
+                q, q_ids = np.frombuffer(q).reshape(-1, d), np.frombuffer(q_ids, "<i8")
+                floors = None if floors is None else np.frombuffer(floors)
+                for s in range(0, len(pairs), 64):
+                    rows = []
+                    for p in pairs[s : s + 64]:
+                        at = np.frombuffer(p["places"], "<i4")
+                        rows.append((g, p["number"], p["places"], q_ids[at].tobytes(), q[at].tobytes(), None if floors is None else floors[at].tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return run
+
+
 def _met(pivots: np.ndarray, d: int, k: int, exclude_self: bool):
     """Of the pairs of queries and a block, each query's k best rows that reach its floor, and how many rows were scored with their vectors."""
 
@@ -213,8 +245,8 @@ def _met(pivots: np.ndarray, d: int, k: int, exclude_self: bool):
         for batch in batches:
             for r in batch.to_pylist():
                 places = np.frombuffer(r["places"], "<i4")
-                q, q_ids = np.frombuffer(r["q"]).reshape(-1, d)[places], np.frombuffer(r["q_ids"], "<i8")[places]
-                floor = np.frombuffer(r["floors"])[places] if r["floors"] else np.full(len(places), -np.inf)
+                q, q_ids = np.frombuffer(r["q"]).reshape(-1, d), np.frombuffer(r["q_ids"], "<i8")
+                floor = np.frombuffer(r["floors"]) if r["floors"] else np.full(len(places), -np.inf)
                 ids, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"]).reshape(-1, d)
                 codes = np.frombuffer(r["codes"], np.int8).reshape(-1, d).astype(float)
                 est = (q @ pivots[r["cell"]])[:, None] + (q @ codes.T) * np.frombuffer(r["scales"])[None, :]
@@ -254,7 +286,8 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     def answered(pairs: DataFrame, floors: DataFrame | None, name: str) -> DataFrame:
         payload = asked.select("g", "q_ids", "q")
         payload = payload.withColumn("floors", F.lit(None).cast("binary")) if floors is None else payload.join(floors, "g")
-        x = pairs.join(payload, "g").join(blocks.drop("n", "centre", "radius"), "number")
+        listed = pairs.groupBy("g").agg(F.collect_list(F.struct("number", "places")).alias("pairs"))
+        x = payload.join(listed, "g").select("g", "q_ids", "q", "floors", "pairs").mapInArrow(_asking(d), "g long, number long, places binary, q_ids binary, q binary, floors binary").join(blocks.drop("n", "centre", "radius"), "number")
         hits, path = write_shared(x.mapInArrow(_met(index.pivots, d, k, exclude_self), _HITS), name)
         used.append(path)
         return hits
@@ -266,7 +299,8 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     if recall is None:
         floors, path = write_shared(_floors(hits, asked, k), "floors")
         used.append(path)
-        slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # A slot holds the bounds of some blocks, and each query block visits every slot.
+        slots = min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count() // BOUNDS + 1)
         met = bounds.select("number", "centre", "radius", F.pmod(F.xxhash64("number"), F.lit(slots)).alias("slot"))
         dealt = asked.select("g", "q").join(floors, "g").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
         pairs, path = write_shared(met.join(dealt, "slot").select("g", "number", "q", "floors", "centre", "radius").mapInArrow(_roomy(d), "g long, number long, places binary"), "pairs")

@@ -847,3 +847,29 @@ def test_relations_of_candidates_are_met_by_their_chunk(spark):
     chunks = spark.range(12).select("id", F.array(F.lit(1.0), F.col("id") / 2).alias("vector"), F.lit("").alias("section_title"), F.lit("x").alias("section_content"))
     plan = hybrid.candidates(queries, chunks, t, hybrid.Weights(), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "__t" in plan and "__key" not in plan
+
+
+def test_index_blocks_hold_whole_cells(spark):
+    """Small cells stay whole; what a search sends grows with the number of blocks. Large ones are cut."""
+    v = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * k + k) for k in (1.0, 2.3, 3.7, 5.1)]).alias("embedding"))
+    built = index.build(v, cells=20)
+    sizes = [r["n"] for r in built.blocks().collect()]
+    assert sum(sizes) == 3000 and len(sizes) <= 20
+    cut = [r["n"] for r in index.build(v, cells=2, rows_a_block=100).blocks().collect()]
+    assert sum(cut) == 3000 and max(cut) <= 100
+    counts = {}
+    q = v.filter("vec_id % 100 = 0")
+    got = index.search(built, q, 3, counts=counts)
+    want = search.top_k(q, v, 3)
+    assert sorted((r["query_id"], r["rank"], r["item_id"]) for r in got.collect()) == sorted((r["query_id"], r["rank"], r["item_id"]) for r in want.collect())
+
+
+def test_index_sends_a_block_the_queries_that_ask_for_it():
+    import numpy as np
+    import pyarrow as pa
+
+    q = np.arange(12.0).reshape(6, 2)
+    places = [np.array(p, "<i4").tobytes() for p in ([1, 4], [0])]
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([np.arange(10, 16).astype("<i8").tobytes()]), pa.array([q.tobytes()]), pa.array([np.arange(6.0).tobytes()]), pa.array([[{"number": 3, "places": places[0]}, {"number": 5, "places": places[1]}]])], ["g", "q_ids", "q", "floors", "pairs"])
+    rows = [r for b in index._asking(2)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["g"], r["number"], np.frombuffer(r["q_ids"], "<i8").tolist(), np.frombuffer(r["q"]).tolist(), np.frombuffer(r["floors"]).tolist()) for r in rows] == [(7, 3, [11, 14], [2.0, 3.0, 8.0, 9.0], [1.0, 4.0]), (7, 5, [10], [0.0, 1.0], [0.0])]

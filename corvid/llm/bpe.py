@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 #: Words of this many bytes and more are encoded in pieces of ``PIECE`` bytes; windows that long keep one state instead of one a step.
 LONG, PIECE = 200, 128
+#: Characters of texts whose words are held at once; a longer text is alone.
+GROUP = 2_000_000
 #: Tokens on either side of a joint that are encoded again first.
 WINDOW = 8
 
@@ -185,7 +187,7 @@ def _once(name: str, key: str, make: Callable):
 
 
 class _Memory:
-    """Answers to words. When there are more than ``remember``, those met again since the last time stay."""
+    """Answers to words: ids, and decoded bytes where they are not the word's own. When there are more than ``remember``, those met again since the last time stay."""
 
     def __init__(self, remember: int):
         self.remember, self.ids, self.bytes, self.again = remember, {}, {}, set()
@@ -196,14 +198,23 @@ class _Memory:
         if len(self.ids) + len(new) <= self.remember:
             return new
         keep = self.again if len(self.again) + len(new) <= self.remember else distinct - new
-        self.ids, self.bytes = {x: self.ids[x] for x in keep}, {x: self.bytes[x] for x in keep}
+        self.ids, self.bytes = {x: self.ids[x] for x in keep}, {x: self.bytes[x] for x in keep if x in self.bytes}
         self.again = set()
         return distinct.difference(self.ids)
 
     def forget_long(self, words: set) -> None:
         for x in words:
             if len(x) >= LONG:
-                del self.ids[x], self.bytes[x]
+                del self.ids[x]
+                self.bytes.pop(x, None)
+
+    def put(self, word: str, raw: bytes, ids: str, decoded: bytes) -> None:
+        self.ids[word] = ids
+        if decoded != raw:
+            self.bytes[word] = decoded
+
+    def decoded(self, word: str) -> bytes:
+        return self.bytes[word] if word in self.bytes else word.encode("utf-8", "surrogatepass")
 
 
 def _codec_rows(path: str, pattern: str, remember: int, at_once: int, texts: bool):
@@ -217,7 +228,7 @@ def _codec_rows(path: str, pattern: str, remember: int, at_once: int, texts: boo
             column = batch.column(1)
             while k < len(batch):
                 group, distinct, size = [], set(), 0
-                while k < len(batch) and (not group or size < 8_000_000):
+                while k < len(batch) and (not group or size < GROUP):
                     text = column[k].as_py() or ""
                     words = split(text)
                     group.append(words)
@@ -226,11 +237,12 @@ def _codec_rows(path: str, pattern: str, remember: int, at_once: int, texts: boo
                     k += 1
                 new = memory.room_for(distinct.difference(memory.ids), distinct)
                 todo = list(new)
-                for x, (ids, decoded) in zip(todo, codec.encode([x.encode("utf-8", "surrogatepass") for x in todo], at_once)):
-                    memory.ids[x], memory.bytes[x] = ids, decoded
+                raw = [x.encode("utf-8", "surrogatepass") for x in todo]
+                for x, y, (ids, decoded) in zip(todo, raw, codec.encode(raw, at_once)):
+                    memory.put(x, y, ids, decoded)
                 for words in group:
                     ids = " ".join(map(memory.ids.__getitem__, words))
-                    decoded = b"".join(map(memory.bytes.__getitem__, words))
+                    decoded = b"".join(map(memory.decoded, words))
                     if texts:
                         found.append((ids.count(" ") + 1 if ids else 0, list(map(int, ids.split())), decoded.decode("utf-8", "replace")))
                     else:

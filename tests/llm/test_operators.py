@@ -783,3 +783,15 @@ def test_blocks_take_linear_time(piece):
 
     took(100)
     assert took(40_000) < 8 * took(10_000) + 0.5
+
+
+def test_bpe_remembers_decoded_bytes_only_where_they_differ():
+    from corvid.llm import bpe as module
+
+    memory = module._Memory(10)
+    memory.put("ab", b"ab", "1 2", b"ab")
+    memory.put("c", b"c", "3", b"other")
+    assert memory.bytes == {"c": b"other"} and [memory.decoded(x) for x in ("ab", "c")] == [b"ab", b"other"]
+    memory.put("x" * module.LONG, b"x" * module.LONG, "4", b"x" * module.LONG)
+    memory.forget_long({"ab", "x" * module.LONG})
+    assert set(memory.ids) == {"ab", "c"}

@@ -92,15 +92,33 @@ def pairs_within(queries: DataFrame, items: DataFrame, least: float, id_col: str
 def _blocks(queries: DataFrame, items: DataFrame, scored, id_col: str, vector_col: str, category_col: str | None) -> DataFrame:
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), (F.col(category_col) if category_col else F.lit(None)).cast("long").alias("category"))
     schema = "ids array<long>, categories array<long>, data binary, d int"
-    # Blocks of items are dealt to slots, and each block of queries visits every slot: an equi-join, whose tasks hold a block or two.
-    slots = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = pick(queries).mapInArrow(_packed, schema).select(F.col("ids").alias("q_ids"), F.col("categories").alias("q_categories"), F.col("data").alias("q_data"), F.col("d").alias("q_d"))
-    q = q.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    x = pick(items).mapInArrow(_packed, schema).withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots).cast("long")))
-    pairs = x.join(q, "slot").filter("d = q_d")
+    n_items = items.select(id_col).count()
+    n_queries = n_items if queries is items else queries.select(id_col).count()
+    by_q, by_x = _grid(n_queries, n_items, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slot = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n).cast("long"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # Fewer rows than a block in a partition would make more pairs of blocks than the rows need.
+    packed = lambda df, n: pick(df).coalesce(max(1, -(-n // BLOCK))).mapInArrow(_packed, schema)
+    q = packed(queries, n_queries).select(F.col("ids").alias("q_ids"), F.col("categories").alias("q_categories"), F.col("data").alias("q_data"), F.col("d").alias("q_d"))
+    q = q.withColumn("q_slot", slot(by_q)).withColumn("slot", each(by_x))
+    x = packed(items, n_items).withColumn("slot", slot(by_x)).withColumn("q_slot", each(by_q))
+    # Both sides are files to the planner, of a few MB: without the hint it sends all copies of one through the driver.
+    pairs = x.hint("merge").join(q, ["slot", "q_slot"]).filter("d = q_d")
     return pairs.mapInArrow(scored, "query_id long, item_id long, score double")
 
 
+def _grid(queries: int, items: int, tasks: int) -> tuple[int, int]:
+    """Slots that the blocks of queries and of items are dealt to. A pair of slots is a task, and each side is sent once a slot of the other.
+
+    Of the grids with at least half as many tasks as there may be (``tasks``, and the pairs of full blocks), the one that sends
+    least: what is sent grows with the rows, and not with ``tasks`` times the queries.
+    """
+    blocks_q, blocks_x = (max(1, -(-n // BLOCK)) for n in (queries, items))
+    grids = [(a, min(blocks_x, max(1, tasks // a))) for a in range(1, min(blocks_q, tasks) + 1)]
+    most = max(a * b for a, b in grids)
+    return min((g for g in grids if 2 * g[0] * g[1] >= most), key=lambda g: (queries * g[1] + items * g[0], g))
+
+
 def dedup_hits(hits: DataFrame, key: str, per: str = "query_id") -> DataFrame:
     """Of a query's hits with one content key, the best ranked; applied after the top k, so fewer may be left."""
     return hits.withColumn("__n", F.row_number().over(Window.partitionBy(per, key).orderBy("rank"))).filter("__n = 1").drop("__n")

@@ -873,3 +873,32 @@ def test_index_sends_a_block_the_queries_that_ask_for_it():
     batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([np.arange(10, 16).astype("<i8").tobytes()]), pa.array([q.tobytes()]), pa.array([np.arange(6.0).tobytes()]), pa.array([[{"number": 3, "places": places[0]}, {"number": 5, "places": places[1]}]])], ["g", "q_ids", "q", "floors", "pairs"])
     rows = [r for b in index._asking(2)(iter([batch])) for r in b.to_pylist()]
     assert [(r["g"], r["number"], np.frombuffer(r["q_ids"], "<i8").tolist(), np.frombuffer(r["q"]).tolist(), np.frombuffer(r["floors"]).tolist()) for r in rows] == [(7, 3, [11, 14], [2.0, 3.0, 8.0, 9.0], [1.0, 4.0]), (7, 5, [10], [0.0, 1.0], [0.0])]
+
+
+def test_blocks_of_vectors_are_not_sent_once_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 8)
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(100)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for queries in (v, v.filter("vec_id % 10 = 0")):
+            found = search.top_k(queries, v, 3)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 1
+            got = {}
+            for r in found.collect():
+                got.setdefault(r["query_id"], {})[r["rank"]] = r["item_id"]
+            assert len(got) == queries.count()
+            unit = {i: [x / math.hypot(*u) for x in u] for i, u in rows}
+            for i, ranks in got.items():
+                near = sorted((j for j in unit if j != i), key=lambda j: (-sum(a * b for a, b in zip(unit[i], unit[j])), j))
+                assert [ranks[k] for k in (1, 2, 3)] == near[:3]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert search._grid(100, 100_000, 200)[0] == 1
+    for tasks in (12, 200, 2000):
+        a, b = search._grid(600_000, 600_000, tasks)
+        assert tasks // 2 <= a * b <= tasks and a + b <= 3 * math.sqrt(tasks)
+    assert search._grid(0, 0, 200) == (1, 1)

@@ -12,7 +12,8 @@ tokens, encoded as one word, come back; else a window around it is encoded again
 The work grows with the length times its logarithm.
 
 Words are the unit of work: a Python worker remembers ``remember`` of them, from one task of a job to the next, and encodes
-``at_once`` bytes in one query. Long words are not remembered, so memory stays bounded by the texts at hand.
+``at_once`` bytes in one query. Long words are not remembered, so memory stays bounded by the texts at hand. Workers live on
+and serve other jobs, so one that has had no such task for ``IDLE`` seconds forgets all.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import sys
+import threading
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 LONG, PIECE = 200, 128
 #: Characters of texts whose words are held at once; a longer text is alone.
 GROUP = 2_000_000
+#: Seconds after its last task in which a worker keeps its codec and words.
+IDLE = 3
 #: Tokens on either side of a joint that are encoded again first.
 WINDOW = 8
 
@@ -181,9 +185,27 @@ class WordCodec:
 def _once(name: str, key: str, make: Callable):
     """What ``make`` gives, made once in a Python worker and kept under ``name`` for its later tasks with this ``key``. Functions travel by value, so no module of ours can hold it."""
     kept = sys.modules.setdefault("corvid_worker", types.ModuleType("corvid_worker")).__dict__
-    if kept.get(name, (None,))[0] != key:
-        kept[name] = key, make()
-    return kept[name][1]
+    found = kept.get(name)
+    if found is None or found[0] != key:
+        found = kept[name] = key, make()
+    return found[1]
+
+
+def _keep(seconds: float | None) -> None:
+    """Let the worker forget what :func:`_once` kept after so many seconds, or not at all, whatever was said before."""
+    kept = sys.modules.setdefault("corvid_worker", types.ModuleType("corvid_worker")).__dict__
+    if kept.get("timer"):
+        kept["timer"].cancel()
+    kept["timer"] = None
+    if seconds is not None:
+
+        def forget() -> None:
+            for name in ("codec", "words"):
+                kept.pop(name, None)
+
+        kept["timer"] = threading.Timer(seconds, forget)
+        kept["timer"].daemon = True
+        kept["timer"].start()
 
 
 class _Memory:
@@ -220,7 +242,7 @@ class _Memory:
 def _codec_rows(path: str, pattern: str, remember: int, at_once: int, texts: bool):
     job = uuid.uuid4().hex  # words are remembered within a job only
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
         codec, memory = _once("codec", path, lambda: WordCodec(path)), _once("words", job, lambda: _Memory(remember))
         for batch in batches:
@@ -251,6 +273,13 @@ def _codec_rows(path: str, pattern: str, remember: int, at_once: int, texts: boo
             kinds = (pa.int64(), pa.list_(pa.int32()) if texts else pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[c] for x in found], kind) for c, kind in enumerate(kinds)]], ["id", "n_tokens", "a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep(None)
+        try:
+            yield from rows(batches)
+        finally:
+            _keep(IDLE)
+
     return run
 
 

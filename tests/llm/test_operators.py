@@ -795,3 +795,20 @@ def test_bpe_remembers_decoded_bytes_only_where_they_differ():
     memory.put("x" * module.LONG, b"x" * module.LONG, "4", b"x" * module.LONG)
     memory.forget_long({"ab", "x" * module.LONG})
     assert set(memory.ids) == {"ab", "c"}
+
+
+def test_a_worker_without_bpe_tasks_forgets_words_and_codec(monkeypatch):
+    import sys
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "IDLE", 0.2)
+    run = bpe._codec_rows(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 100, 1000, False)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words of a text", None])], ["id", "t"])
+    first = [b.to_pylist() for b in run(iter([batch]))]
+    kept = sys.modules["corvid_worker"].__dict__
+    until = time.time() + 10
+    while time.time() < until and ("codec" in kept or "words" in kept):
+        time.sleep(0.05)
+    assert "codec" not in kept and "words" not in kept
+    assert [b.to_pylist() for b in run(iter([batch]))] == first

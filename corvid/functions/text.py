@@ -37,7 +37,8 @@ def let(value: Column, body) -> Column:
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, each joined by spaces; none if the text has fewer."""
     count = F.size(words) - n + 1
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    run = lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)])
+    return F.when(count >= 1, F.transform(F.sequence(F.lit(0), count - 1), run)).otherwise(F.array().cast("array<string>"))
 
 
 def int_or_null(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvid.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -19,7 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    """``a`` and its norm are computed once, however long it is."""
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -75,10 +75,11 @@ def rerank_and_fill(rows: DataFrame, n: int, top: int, weight: float, per: str,
     """
     order = F.coalesce(F.col("rerank_score"), F.lit(float("-inf")))
     x = rows.withColumn("__r", F.row_number().over(Window.partitionBy(per).orderBy(F.desc(order), F.desc("combined_score"), tie)))
-    first = rerank_blend(x.filter(F.col("__r") <= top), weight, per).withColumn("block", F.lit(0))
-    rest = x.filter(F.col("__r") > top).withColumn("final_score", F.col("combined_score")).withColumn("block", F.lit(1))
+    # Rows beyond ``top`` are blended without a score: one plan for both blocks, or the candidates are searched for each.
+    x = rerank_blend(x.withColumn("__s", F.when(F.col("__r") <= top, F.col("rerank_score"))), weight, per, rerank_col="__s")
+    x = x.withColumn("block", F.when(F.col("__r") <= top, 0).otherwise(1))
     place = F.row_number().over(Window.partitionBy(per).orderBy("block", F.desc("final_score"), tie))
-    return first.union(rest).drop("__r").withColumn("rank", place).filter(F.col("rank") <= n)
+    return x.drop("__r", "__s").withColumn("rank", place).filter(F.col("rank") <= n)
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, stored: DataFrame | None, weights: Weights, k: int, words: dict[str, float] | None = None, **columns) -> DataFrame:

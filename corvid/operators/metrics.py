@@ -15,7 +15,7 @@ from corvid.functions.vectors import clamp, dot
 
 def similarity(a: Column, b: Column) -> Column:
     """Clamped dot product of unit vectors; 0 without both."""
-    return F.coalesce(clamp(dot(a, b)), F.lit(0.0))
+    return F.coalesce(let(dot(a, b), lambda c: clamp(c)), F.lit(0.0))
 
 
 def bleu(reference: Column, candidate: Column, n: int = 4, tokenizer=tokens) -> Column:
@@ -31,8 +31,11 @@ def bleu(reference: Column, candidate: Column, n: int = 4, tokenizer=tokens) ->
         return F.when(F.size(have) > 0, held(have, want) / F.size(have)).otherwise(0.0)
 
     def held(have: Column, want: Column) -> Column:
-        """How many of ``have`` are in ``want``: both are sorted into one row of marks and counted in a pass, so that long texts cost n log n."""
-        marks = F.array_sort(F.concat(F.transform(F.array_distinct(want), lambda x: F.struct(x.alias("g"), F.lit(0).alias("k"))), F.transform(have, lambda x: F.struct(x.alias("g"), F.lit(1).alias("k")))))
+        """How many of ``have`` are in ``want``: where none repeats, those that both have; else both are sorted into one row of marks and counted in a pass, so that long texts cost n log n."""
+        return let(F.array_intersect(have, want), lambda both: F.when(F.size(both) == 0, 0).when(F.size(F.array_distinct(have)) == F.size(have), F.size(both)).otherwise(repeated(have, both)))
+
+    def repeated(have: Column, both: Column) -> Column:
+        marks = F.sort_array(F.concat(F.transform(both, lambda x: F.struct(x.alias("g"), F.lit(0).alias("k"))), F.transform(have, lambda x: F.struct(x.alias("g"), F.lit(1).alias("k")))))
         start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("n"))
         step = lambda s, m: F.when(m["k"] == 0, F.struct(m["g"].alias("g"), s["n"].alias("n"))).otherwise(F.struct(s["g"].alias("g"), (s["n"] + F.when(s["g"] == m["g"], 1).otherwise(0)).alias("n")))
         return F.aggregate(marks, start, step)["n"]

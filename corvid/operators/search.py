@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,25 +17,37 @@ BLOCK = 2048
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, v, category) as blocks of up to BLOCK unit vectors of one length; vectors without direction are left out."""
-    waiting: dict[int, list] = {}
+    waiting: dict[int, tuple[list, list, np.ndarray]] = {}
 
-    def out(rows: list) -> pa.RecordBatch:
-        x = np.array([r[1] for r in rows], float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        return pa.RecordBatch.from_arrays([pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[2] for r in rows]], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], ["ids", "categories", "data", "d"])
+    def out(ids: list, categories: list, x: np.ndarray) -> pa.RecordBatch:
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([categories], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], ["ids", "categories", "data", "d"])
 
     for batch in batches:
-        for i, v, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if i is None or not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
-                continue
-            rows = waiting.setdefault(len(v), [])
-            rows.append((i, v, c))
-            if len(rows) >= BLOCK:
-                yield out(rows)
-                rows.clear()
-    for rows in waiting.values():
-        if rows:
-            yield out(rows)
+        for d, at, x in _finite(batch.column(0), batch.column(1)):
+            ids, categories = (batch.column(k).take(pa.array(at)).to_pylist() for k in (0, 2))
+            if d in waiting:
+                before = waiting[d]
+                ids, categories, x = before[0] + ids, before[1] + categories, np.concatenate([before[2], x])
+            while len(ids) >= BLOCK:
+                yield out(ids[:BLOCK], categories[:BLOCK], x[:BLOCK])
+                ids, categories, x = ids[BLOCK:], categories[BLOCK:], x[BLOCK:]
+            waiting[d] = ids, categories, x
+    for ids, categories, x in waiting.values():
+        if ids:
+            yield out(ids, categories, x)
+
+
+def _finite(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By length of vector: the places of rows with an id and a finite vector that is not zero, and these vectors."""
+    lengths = np.where(ids.is_valid().to_numpy(False), pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(False), 0)
+    for d in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == d)
+        # A null component becomes NaN.
+        x = vectors.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, d)
+        good = np.isfinite(x).all(1) & x.any(1)
+        if good.any():
+            yield int(d), at[good], x[good]
 
 
 def _scored(k: int | None, same_category: bool, exclude_self: bool, earlier: bool, least: float | None):

@@ -53,7 +53,9 @@ def _parts(text: Column, p: Pattern) -> Column:
         named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PREDICATES.items() for x in kv]), predicate), predicate)
         return F.struct(clean(subject).alias("subject"), clean(F.concat(named, F.lit(p.predicate_suffix))).alias("predicate"), clean(part(m, p.object)).alias("object"))
 
-    return F.transform(found, triple)
+    # Most texts match no pattern: they are read once, not once a group.
+    parts = F.transform(found, triple)
+    return F.when(~text.rlike("(?U)" + p.regex), F.array().cast("array<struct<subject:string,predicate:string,object:string>>")).otherwise(parts)
 
 
 def extract(text: Column, patterns: list[Pattern] | None = None) -> Column:

@@ -10,12 +10,14 @@ import re
 import threading
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvid.functions import morphs
 from corvid.functions.text import fixed, sha_id, tokens, ustrip
-from corvid.functions.vectors import clamp, cosine
+from corvid.functions.vectors import clamp, cosine, unit
 from corvid import models, providers
 from corvid.operators import cases, hybrid, index, ingest, judging, metrics, pages, results, routing, rules, search, tree, triplets, verification
 from corvid.plans import answer
@@ -902,3 +904,33 @@ def test_blocks_of_vectors_are_not_sent_once_a_partition(spark, monkeypatch):
         a, b = search._grid(600_000, 600_000, tasks)
         assert tasks // 2 <= a * b <= tasks and a + b <= 3 * math.sqrt(tasks)
     assert search._grid(0, 0, 200) == (1, 1)
+
+
+def test_a_unit_vector_is_of_one_value(spark):
+    """The norm was computed anew for every component, from the vector's whole expression."""
+    got = spark.range(20).select(unit(F.array(F.rand(1) + 0.1, F.rand(2), F.rand(3))).alias("v")).collect()
+    assert all(math.isclose(sum(x * x for x in r["v"]), 1.0) for r in got)
+
+
+def test_candidates_are_read_once_for_both_blocks(spark):
+    rows = spark.range(12).select((F.col("id") % 2).alias("q"), F.col("id").alias("item"), (F.col("id") / 12).alias("combined_score"), F.when(F.col("id") < 9, F.col("id") * 5 % 7).cast("double").alias("rerank_score"))
+    x = hybrid.rerank_and_fill(rows, 5, 2, 0.5, "q", "item")
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    got = {q: [(r["item"], round(r["final_score"], 4), r["block"]) for r in sorted(x.collect(), key=lambda r: r["rank"]) if r["q"] == q] for q in (0, 1)}
+    assert got == {0: [(4, 0.6667, 0), (8, 0.3333, 0), (10, 0.8333, 1), (6, 0.5, 1), (2, 0.1667, 1)], 1: [(1, 0.5417, 0), (5, 0.2083, 0), (11, 0.9167, 1), (9, 0.75, 1), (7, 0.5833, 1)]}
+
+
+def test_bleu_counts_repeated_runs(spark):
+    """None in common, none repeated, some repeated: each is counted in its own way."""
+    rows = [("a b c", "x x y"), ("a b c d", "a b c d"), ("a b a b c", "a b a b a b"), ("a", "a a a a")]
+    got = one(spark, "r string, c string", rows, F.round(metrics.bleu(F.col("r"), F.col("c"), n=2), 6))
+    assert got == [0.0, 1.0, 1.0, 0.00001]
+
+
+def test_blocks_hold_finite_vectors_in_order():
+    ids = pa.array([1, None, 3, 4, 5, 6, 7, 8], pa.int64())
+    vectors = pa.array([[9.0, 9.0], [1.0, 0.0], None, [1.0, None], [float("nan"), 1.0], [0.0, 0.0], [3.0, 4.0], [2.0]], pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([ids, vectors, pa.array([1, 2, 3, 4, 5, 6, None, 8], pa.int64())], ["id", "v", "category"])
+    got = [r for b in search._packed(iter([batch, batch.slice(6)])) for r in b.to_pylist()]
+    assert {r["d"]: (r["ids"], r["categories"]) for r in got} == {2: ([1, 7, 7], [1, None, None]), 1: ([8, 8], [8, 8])}
+    assert [tuple(round(x, 6) for x in v) for r in got if r["d"] == 2 for v in np.frombuffer(r["data"]).reshape(-1, 2).tolist()] == [(0.707107, 0.707107), (0.6, 0.8), (0.6, 0.8)]

@@ -217,10 +217,27 @@ def _roomy(d: int):
     return run
 
 
+def _in_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, pairs) with the pairs (slot, number, places) of a slot as one: its number, the places of all, and ``wanted``, by block its places and where they stand among these."""
+    part = pa.struct([("number", pa.int64()), ("places", pa.binary()), ("at", pa.binary())])
+    kind = pa.list_(pa.struct([("number", pa.int64()), ("places", pa.binary()), ("wanted", pa.list_(part))]))
+    for batch in batches:
+        for g, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+            slots: dict[int, list] = {}
+            for p in pairs:
+                slots.setdefault(p["slot"], []).append((p["number"], np.frombuffer(p["places"], "<i4")))
+            out = []
+            for slot, asked in slots.items():
+                here = np.unique(np.concatenate([places for _, places in asked]))
+                wanted = [{"number": k, "places": places.tobytes(), "at": np.searchsorted(here, places).astype("<i4").tobytes()} for k, places in asked]
+                out.append({"number": slot, "places": here.tobytes(), "wanted": wanted})
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([out], kind)], ["g", "pairs"])
+
+
 def _asking(d: int):
-    """(g, number, places, q_ids, q, floors) of query blocks with a list of pairs (number, places): of each pair, the queries that ask for its block, and no others."""
-    names = ["g", "number", "places", "q_ids", "q", "floors"]
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    """(g, number, places, q_ids, q, floors, wanted) of query blocks with a list of pairs (number, places, wanted): of each pair, the queries that ask for its block or slot, and no others."""
+    names = ["g", "number", "places", "q_ids", "q", "floors", "wanted"]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.struct([("number", pa.int64()), ("places", pa.binary()), ("at", pa.binary())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +249,7 @@ def _asking(d: int):
                     rows = []
                     for p in pairs[s : s + 64]:
                         at = np.frombuffer(p["places"], "<i4")
-                        rows.append((g, p["number"], p["places"], q_ids[at].tobytes(), q[at].tobytes(), None if floors is None else floors[at].tobytes()))
+                        rows.append((g, p["number"], p["places"], q_ids[at].tobytes(), q[at].tobytes(), None if floors is None else floors[at].tobytes(), p.get("wanted")))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
@@ -244,9 +261,9 @@ def _met(pivots: np.ndarray, d: int, k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                places = np.frombuffer(r["places"], "<i4")
-                q, q_ids = np.frombuffer(r["q"]).reshape(-1, d), np.frombuffer(r["q_ids"], "<i8")
-                floor = np.frombuffer(r["floors"]) if r["floors"] else np.full(len(places), -np.inf)
+                places, at = np.frombuffer(r["places"], "<i4"), np.frombuffer(r["at"], "<i4")
+                q, q_ids = np.frombuffer(r["q"]).reshape(-1, d)[at], np.frombuffer(r["q_ids"], "<i8")[at]
+                floor = np.frombuffer(r["floors"])[at] if r["floors"] else np.full(len(places), -np.inf)
                 ids, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"]).reshape(-1, d)
                 codes = np.frombuffer(r["codes"], np.int8).reshape(-1, d).astype(float)
                 est = (q @ pivots[r["cell"]])[:, None] + (q @ codes.T) * np.frombuffer(r["scales"])[None, :]
@@ -265,6 +282,7 @@ def _met(pivots: np.ndarray, d: int, k: int, exclude_self: bool):
     return run
 
 
+_WANTED = "array<struct<number:long,places:binary,at:binary>>"
 _HITS = "g long, place int, query_id long, item_id long, score double, scored long"
 
 
@@ -282,12 +300,20 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     used.append(path)
     blocks = index.blocks()
     bounds = blocks.select("number", "cell", "n", "centre", "radius")
+    tasks, n_blocks = int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count()
+    # A query is sent once to each slot that holds a block it asks for, however many these are: what is sent grows with the queries alone.
+    shared = F.pmod(F.xxhash64("number"), F.lit(max(1, min(n_blocks, tasks // 4))).cast("long"))
 
     def answered(pairs: DataFrame, floors: DataFrame | None, name: str) -> DataFrame:
         payload = asked.select("g", "q_ids", "q")
         payload = payload.withColumn("floors", F.lit(None).cast("binary")) if floors is None else payload.join(floors, "g")
-        listed = pairs.groupBy("g").agg(F.collect_list(F.struct("number", "places")).alias("pairs"))
-        x = payload.join(listed, "g").select("g", "q_ids", "q", "floors", "pairs").mapInArrow(_asking(d), "g long, number long, places binary, q_ids binary, q binary, floors binary").join(blocks.drop("n", "centre", "radius"), "number")
+        listed = pairs.groupBy("g").agg(F.collect_list(F.struct(shared.alias("slot"), "number", "places")).alias("pairs"))
+        listed = listed.mapInArrow(_in_slots, f"g long, pairs array<struct<number:long,places:binary,wanted:{_WANTED}>>")
+        sent = payload.join(listed, "g").select("g", "q_ids", "q", "floors", "pairs").mapInArrow(_asking(d), f"g long, number long, places binary, q_ids binary, q binary, floors binary, wanted {_WANTED}")
+        sent = sent.drop("places").withColumnRenamed("number", "slot")
+        # Queries are files of a few MB to the planner: without the hint it sends what all slots get through the driver.
+        x = blocks.drop("n", "centre", "radius").withColumn("slot", shared).hint("merge").join(sent, "slot").withColumn("__w", F.get(F.filter("wanted", lambda w: w["number"] == F.col("number")), F.lit(0))).filter("__w is not null")
+        x = x.select("g", "cell", "ids", "codes", "scales", "rests", "vectors", "q_ids", "q", "floors", "__w.places", "__w.at")
         hits, path = write_shared(x.mapInArrow(_met(index.pivots, d, k, exclude_self), _HITS), name)
         used.append(path)
         return hits
@@ -300,7 +326,7 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
         floors, path = write_shared(_floors(hits, asked, k), "floors")
         used.append(path)
         # A slot holds the bounds of some blocks, and each query block visits every slot.
-        slots = min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count() // BOUNDS + 1)
+        slots = min(tasks, n_blocks // BOUNDS + 1)
         met = bounds.select("number", "centre", "radius", F.pmod(F.xxhash64("number"), F.lit(slots)).alias("slot"))
         dealt = asked.select("g", "q").join(floors, "g").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
         pairs, path = write_shared(met.join(dealt, "slot").select("g", "number", "q", "floors", "centre", "radius").mapInArrow(_roomy(d), "g long, number long, places binary"), "pairs")

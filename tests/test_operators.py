@@ -934,3 +934,13 @@ def test_blocks_hold_finite_vectors_in_order():
     got = [r for b in search._packed(iter([batch, batch.slice(6)])) for r in b.to_pylist()]
     assert {r["d"]: (r["ids"], r["categories"]) for r in got} == {2: ([1, 7, 7], [1, None, None]), 1: ([8, 8], [8, 8])}
     assert [tuple(round(x, 6) for x in v) for r in got if r["d"] == 2 for v in np.frombuffer(r["data"]).reshape(-1, 2).tolist()] == [(0.707107, 0.707107), (0.6, 0.8), (0.6, 0.8)]
+
+
+def test_a_query_is_sent_once_to_blocks_that_share_a_slot():
+    at = lambda *n: np.array(n, "<i4").tobytes()
+    pairs = [{"slot": s, "number": k, "places": at(*n)} for s, k, n in ((0, 7, [0, 2]), (0, 8, [2]), (0, 9, [0, 2]), (1, 10, [1]))]
+    listed = next(index._in_slots(iter([pa.RecordBatch.from_pylist([{"g": 5, "pairs": pairs}])])))
+    block = pa.RecordBatch.from_arrays([listed.column(0), pa.array([np.array([10, 11, 12], "<i8").tobytes()]), pa.array([np.eye(3).tobytes()]), pa.array([np.array([0.1, 0.2, 0.3]).tobytes()]), listed.column(1)], ["g", "q_ids", "q", "floors", "pairs"])
+    got = {r["number"]: r for b in index._asking(3)(iter([block])) for r in b.to_pylist()}
+    assert {s: (np.frombuffer(r["q_ids"], "<i8").tolist(), np.frombuffer(r["floors"]).tolist(), len(r["q"])) for s, r in got.items()} == {0: ([10, 12], [0.1, 0.3], 48), 1: ([11], [0.2], 24)}
+    assert [(w["number"], w["places"], w["at"]) for w in got[0]["wanted"]] == [(7, at(0, 2), at(0, 1)), (8, at(2), at(1)), (9, at(0, 2), at(0, 1))]
